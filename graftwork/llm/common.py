@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,7 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
 def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
     """Parts of a batch with about ``most`` bytes of text each, so that arrays made from them stay small."""
     col = batch.column(batch.schema.get_field_index(text))
-    size = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(size):
         return
     part = (np.cumsum(size) - size) // most

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, tokens
+from . import language, mixing, packing, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,13 @@ def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op8_count_tokens)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.train(docs.where(~held_out).select("text", "lang"))
+    return language.predict(docs, model, keep=(held_out.alias("held_out"),))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op8_count_tokens, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, nearjoin, packing, quality, substring, tokens, topk
+from . import language, licenses, mixing, nearjoin, packing, quality, substring, tokens, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +34,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in a tree of folders: source, then thousands of ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs, path)
+
+
+#: The audit's second replica is made here: records of these remainders by 97 are damaged or lost in it.
+DAMAGED, LOST = 5, 6
+
+
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, against a replica in which some are damaged or lost."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.when(F.col("page_id") % 97 == DAMAGED, F.concat(F.lit("?"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))
+    first = warc.leaves(pages, F.col("page_id"), warc.record(F.col("url"), F.col("html")))
+    second = warc.leaves(pages.where(F.coalesce(F.col("page_id") % 97 != LOST, F.lit(True))), F.col("page_id"), warc.record(F.col("url"), body))
+    return warc.audit(first, second).withColumnRenamed("number", "page_id")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -53,6 +73,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, keep=(held_out.alias("held_out"),))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op5_licenses, op6_warc_audit, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_audit": """
+WITH r AS (
+  SELECT page_id, page_id // 1024 AS file,
+         strlen(concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, ''))::VARCHAR))
+         + 4 + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r)
+SELECT page_id, CASE page_id % 97 WHEN 5 THEN 'changed' ELSE 'missing' END AS kind, file, "offset", length::BIGINT AS length
+FROM o WHERE page_id % 97 IN (5, 6)
+""",
+}

@@ -1,6 +1,209 @@
-"""The registered queries of the graph operators and their SQL."""
+"""The registered queries of the graph operators, on the whole supplier-part graph, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import evaluate as ev
+from .operators import facts, partition, sequence, tree
+from .sources import graphs, sinks
+from .storage import materialize
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Graph:
+    """The graph of a data directory and what is derived from it, each made when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.edges = materialize(graphs.supplier_part(spark, sf_dir), "edges")
+
+    @property
+    def seq(self) -> DataFrame:
+        if not hasattr(self, "_seq"):
+            self._seq = sequence.degree_sequence(self.edges)
+        return self._seq
+
+    @property
+    def epos(self) -> DataFrame:
+        if not hasattr(self, "_epos"):
+            self._epos = materialize(tree.positioned(self.edges, self.seq), "epos")
+        return self._epos
+
+    @property
+    def tree(self) -> DataFrame:
+        if not hasattr(self, "_tree"):
+            self._tree = materialize(tree.build_tree(self.epos, self.seq), "tree")
+        return self._tree
+
+    def hash_parts(self, k: int = 4) -> DataFrame:
+        return partition.hash_partition(self.edges, k)
+
+
+# SQL of the same things; each text is a list of common table expressions
+_E = "e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, (1000000 + l_partkey)::BIGINT AS dst FROM lineitem)"
+_D = _E + ", d AS (SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e), deg AS (SELECT x AS vid, count(*) AS degree FROM d GROUP BY x)"
+_S = _D + ", seq AS (SELECT row_number() OVER (ORDER BY degree, vid) - 1 AS pos, vid FROM deg)"
+
+
+def _positions(seq: str) -> str:
+    return f", epos AS (SELECT least(a.pos, b.pos) AS lo, greatest(a.pos, b.pos) AS hi FROM e JOIN {seq} a ON a.vid = e.src JOIN {seq} b ON b.vid = e.dst WHERE e.src <> e.dst)"
+
+
+def _tree_of(seq: str) -> str:
+    """Edges are rewritten until each vertex has one later neighbour: lo's neighbours become a chain."""
+    return f""", rw AS (
+  SELECT 0 AS r, lo, hi FROM (SELECT DISTINCT lo, hi FROM epos)
+  UNION ALL
+  SELECT r + 1, lo2, hi FROM (SELECT DISTINCT r, coalesce(lag(hi) OVER (PARTITION BY lo ORDER BY hi), lo) AS lo2, hi FROM rw)
+  WHERE (SELECT max(c) FROM (SELECT count(*) AS c FROM rw GROUP BY lo)) > 1),
+up AS (SELECT lo AS child, hi AS parent FROM rw WHERE r = (SELECT max(r) FROM rw)),
+pst AS (SELECT lo, count(*) AS n FROM epos GROUP BY lo),
+tree AS (SELECT s.pos AS jnid, up.parent, coalesce(pst.n, 0)::BIGINT AS pst_weight FROM {seq} s LEFT JOIN up ON up.child = s.pos LEFT JOIN pst ON pst.lo = s.pos)"""
+
+
+_P = _S + _positions("seq")
+_T = _P + _tree_of("seq")
+_ABOVE = _T + ", above AS (SELECT jnid AS v, jnid AS a, 0 AS steps FROM tree UNION ALL SELECT v, t.parent, steps + 1 FROM above JOIN tree t ON t.jnid = above.a WHERE t.parent IS NOT NULL)"
+_HASH = "((({}::HUGEINT) * 2654435769) % 4294967296)::BIGINT"
+_PARTS = _P + f", parts AS (SELECT vid, ({_HASH.format('vid')} % 4)::INTEGER AS part FROM deg)"
+_ENDS = _PARTS + f""", n AS (SELECT p.vid, p.part, s.pos, {_HASH.format('p.vid')} AS h FROM parts p JOIN seq s USING (vid)),
+j AS (SELECT x, y, a.part AS px, b.part AS py, CASE WHEN a.h < b.h THEN a.part ELSE b.part END AS hash_part,
+  CASE WHEN a.pos < b.pos THEN a.part ELSE b.part END AS down_part, CASE WHEN a.pos < b.pos THEN b.part ELSE a.part END AS up_part
+  FROM d JOIN n a ON a.vid = d.x JOIN n b ON b.vid = d.y)"""
+
+
+def _query(name: str, sql: str | None = None):
+    def put(f: Callable[[Graph], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = "WITH RECURSIVE " + sql if "rw AS (" in sql else "WITH " + sql
+        return f
+
+    return put
+
+
+_query("gp_edges_distinct", _E + " SELECT src, dst FROM e")(lambda g: g.edges)
+_query("gp_edges_doubled", _D + " SELECT x AS src, y AS dst FROM d")(lambda g: sequence.doubled(g.edges))
+_query("gp_nodes_degree", _D + " SELECT vid, degree FROM deg")(lambda g: sequence.degrees(g.edges))
+_query("gp_graph_counts", _D + " SELECT (SELECT count(*) FROM deg) AS nodes, (SELECT max(vid) + 1 FROM deg) AS max_vid, (SELECT count(*) FROM e) AS edges")(lambda g: sequence.graph_counts(g.edges))
+_query("gp_neighbours", _D + " SELECT x AS vid, count(*) AS n, sum(y)::BIGINT AS total, min(y) AS first, max(y) AS last FROM d GROUP BY x")(
+    lambda g: sequence.neighbours(g.edges).select("vid", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.element_at("nbrs", 1).alias("first"), F.element_at("nbrs", -1).alias("last"))
+)
+_query("gp_default_sequence", _D + " SELECT row_number() OVER (ORDER BY vid) - 1 AS pos, vid FROM deg")(lambda g: sequence.default_sequence(g.edges))
+_query("gp_degree_sequence", _S + " SELECT pos, vid FROM seq")(lambda g: g.seq)
+
+
+@_query("gp_partial_degree_sum", _D + " SELECT vid, degree::BIGINT AS degree FROM deg")
+def _partial(g: Graph) -> DataFrame:
+    share = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
+    return sequence.summed_degrees([g.edges.where(share == i) for i in range(3)])
+
+
+_query("gp_edges_positioned", _P + " SELECT lo, hi FROM epos")(lambda g: g.epos)
+_query("gp_pst_weight", _P + " SELECT lo AS jnid, count(*) AS pst_weight FROM epos GROUP BY lo")(lambda g: tree.pst_weight(g.epos))
+_query("gp_pst_lists", _P + " SELECT lo AS jnid, string_agg(vid::VARCHAR, ' ' ORDER BY vid) AS pst FROM (SELECT DISTINCT lo, vid FROM epos JOIN seq ON seq.pos = epos.hi) GROUP BY lo")(
+    lambda g: tree.pst_lists(g.edges, g.seq).select("jnid", F.array_join(F.transform("pst", lambda x: x.cast("string")), " ").alias("pst"))
+)
+_query("gp_tree", _T + " SELECT jnid, parent, pst_weight FROM tree")(lambda g: g.tree)
+
+
+@_query("gp_tree_merged", _T + " SELECT jnid, parent, pst_weight FROM tree")
+def _merged(g: Graph) -> DataFrame:
+    part = F.pmod(F.xxhash64("lo", "hi"), F.lit(2))
+    return tree.merge_trees(*(tree.build_tree(g.epos.where(part == i), g.seq) for i in range(2)))
+
+
+_USER = _D + ", seq AS (SELECT row_number() OVER (ORDER BY vid DESC) - 1 AS pos, vid FROM deg)" + _positions("seq") + _tree_of("seq")
+
+
+@_query("gp_user_sequence_tree", _USER + " SELECT jnid, parent, pst_weight FROM tree")
+def _user(g: Graph) -> DataFrame:
+    """A sequence of the user's own: ids from the last to the first."""
+    seq = sequence.ranked(sequence.degrees(g.edges).select("vid", (-F.col("vid")).alias("k")), "k")
+    return tree.build_tree(tree.positioned(g.edges, seq), seq)
+
+
+_query("gp_kids", _T + " SELECT parent AS jnid, count(*) AS n, string_agg(jnid::VARCHAR, ' ' ORDER BY jnid) AS kids FROM tree WHERE parent IS NOT NULL GROUP BY parent")(
+    lambda g: tree.kids(g.tree).select("jnid", F.size("kids").cast("long").alias("n"), F.array_join(F.transform("kids", lambda x: x.cast("string")), " ").alias("kids"))
+)
+_query("gp_tree_prefix", _T + " SELECT jnid, CASE WHEN parent < 100 THEN parent END AS parent, pst_weight FROM tree WHERE jnid < 100")(lambda g: tree.prefix(g.tree, 100))
+_query("gp_pre_weight", _ABOVE + " SELECT t.jnid, count(epos.lo)::BIGINT AS pre_weight FROM tree t LEFT JOIN above ON above.a = t.jnid LEFT JOIN epos ON epos.lo = above.v AND epos.hi = t.parent GROUP BY t.jnid")(lambda g: tree.pre_weights(g.tree, g.epos))
+_JXN = _ABOVE + ", jx AS (SELECT DISTINCT above.a AS jnid, epos.hi AS u FROM above JOIN epos ON epos.lo = above.v WHERE epos.hi > above.a)"
+_query("gp_jxn", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width, coalesce(sum(jx.u), 0)::BIGINT AS total FROM tree t LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY t.jnid")(
+    lambda g: tree.filled(g.tree, g.epos).select("jnid", "width", F.aggregate("jxn", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+)
+_query("gp_fill", _JXN + " SELECT (count(*) - (SELECT count(*) FROM epos))::BIGINT AS fill FROM jx")(lambda g: facts.tree_facts(g.tree, tree.filled(g.tree, g.epos)).select("fill"))
+_HEIGHTS = _ABOVE + ", dep AS (SELECT v, max(steps) AS depth, sum(t.pst_weight) AS w FROM above JOIN tree t ON t.jnid = above.a GROUP BY v)"
+_query("gp_heights", _HEIGHTS + " SELECT v AS jnid, depth::BIGINT AS depth, w::BIGINT AS path_weight, (SELECT max(steps) FROM above b WHERE b.a = dep.v)::BIGINT AS height, (SELECT count(*) FROM above b WHERE b.a = dep.v)::BIGINT AS subtree_size FROM dep")(
+    lambda g: tree.path_figures(g.tree).drop("subtree_weight")
+)
+_query(
+    "gp_tree_facts",
+    _HEIGHTS
+    + """ SELECT count(*) AS vert_cnt, sum(pst_weight)::BIGINT AS edge_cnt, (max(pst_weight) + 1)::BIGINT AS width, 0::BIGINT AS fill, (max(depth) + 1)::BIGINT AS vert_height, max(w)::BIGINT AS edge_height,
+ count(*) FILTER (WHERE parent IS NULL) AS root_cnt, min(jnid) FILTER (WHERE pst_weight > 2) AS halo_id, min(jnid) FILTER (WHERE pst_weight = (SELECT max(pst_weight) FROM tree)) AS core_id FROM tree JOIN dep ON dep.v = tree.jnid""",
+)(lambda g: facts.tree_facts(g.tree))
+_query("gp_tree_validate", "z AS (SELECT 0::BIGINT AS o) SELECT o AS bad_parents, o AS bad_edges, o AS weight_gap FROM z")(lambda g: tree.validate(g.tree, g.epos))
+_query("gp_tree_width_limit")(lambda g: tree.limited(g.edges, g.seq, width_limit=30))
+_query("gp_tree_max_width")(lambda g: tree.limited(g.edges, g.seq, find_max_width=True))
+
+_query("gp_hash_parts", _PARTS + " SELECT vid, part FROM parts")(lambda g: g.hash_parts())
+_query("gp_part_counts", _PARTS + " SELECT part, count(*) AS vertices FROM parts GROUP BY part")(lambda g: sinks.part_counts(g.hash_parts()))
+_EVAL = {
+    "edges_cut": "(SELECT count(*) FROM j WHERE x < y AND px <> py)",
+    "vcom_vol": "(SELECT count(*) FROM (SELECT DISTINCT x, py FROM j WHERE px <> py))",
+    "vertex_bal": "(SELECT max(c) FROM (SELECT count(*) AS c FROM parts GROUP BY part))",
+}
+for _rule in ("hash", "down", "up"):
+    _EVAL[f"ecv_{_rule}"] = f"((SELECT count(*) FROM (SELECT DISTINCT x, {_rule}_part FROM j)) - (SELECT count(*) FROM deg))"
+    _EVAL[f"{_rule}_bal"] = f"(SELECT max(c) FROM (SELECT count(*) AS c FROM j WHERE x < y GROUP BY {_rule}_part))"
+for _name, _sql in _EVAL.items():
+    _query(f"gp_eval_{_name}", f"{_ENDS} SELECT {_sql}::BIGINT AS {_name}")(lambda g, c=_name: ev.evaluate(g.edges, g.hash_parts(), g.seq).select(c))
+_RATIOS = ", ".join(f"({_EVAL[c]} / (SELECT count(*) FROM e)::DOUBLE) AS {c}_ratio" for c in ("edges_cut", "vcom_vol", "ecv_hash", "ecv_down", "ecv_up"))
+_BALANCES = ", ".join(f"({_EVAL[c]} / ((SELECT count(*) FROM {t}) // 4)::DOUBLE) AS {c}_ratio" for c, t in (("vertex_bal", "deg"), ("hash_bal", "e"), ("down_bal", "e"), ("up_bal", "e")))
+_query("gp_eval_all", f"{_ENDS} SELECT (SELECT count(*) FROM deg) AS nodes, (SELECT count(*) FROM e) AS edges, " + ", ".join(f"{s}::BIGINT AS {c}" for c, s in _EVAL.items()) + f", {_RATIOS}, {_BALANCES}")(
+    lambda g: ev.evaluate(g.edges, g.hash_parts(), g.seq, 4)
+)
+_query("gp_edge_assign_down", _ENDS + " SELECT least(x, y) AS src, greatest(x, y) AS dst, down_part AS part FROM j WHERE x < y")(lambda g: ev.assign_edges(g.edges, g.hash_parts(), g.seq))
+_query("gp_isomorphic", _ENDS + ", iso AS (SELECT vid, row_number() OVER (ORDER BY part, pos) - 1 AS p FROM n) SELECT least(a.p, b.p) AS src, greatest(a.p, b.p) AS dst FROM e JOIN iso a ON a.vid = e.src JOIN iso b ON b.vid = e.dst")(
+    lambda g: ev.isomorphic(g.edges, g.hash_parts(), g.seq)
+)
+for _k in (2, 4, 8):
+    _query(f"gp_forward_k{_k}")(lambda g, k=_k: partition.tree_partition(g.tree, g.seq, k))
+for _m in ("backward", "depth", "height"):
+    _query(f"gp_{_m}")(lambda g, m=_m: partition.tree_partition(g.tree, g.seq, 4, m))
+_query(
+    "gp_naive",
+    _T
+    + """, c AS (SELECT floor(((SELECT sum(pst_weight) FROM tree)::BIGINT // 4) * 1.03)::BIGINT AS cap),
+f AS (SELECT 0::BIGINT AS id, 0 AS part, 0::BIGINT AS size
+  UNION ALL SELECT f.id + 1, CASE WHEN f.size + t.pst_weight >= c.cap THEN f.part + 1 ELSE f.part END, CASE WHEN f.size + t.pst_weight >= c.cap THEN 0 ELSE f.size + t.pst_weight END
+  FROM f JOIN tree t ON t.jnid = f.id, c)
+SELECT seq.vid, f.part FROM f JOIN seq ON seq.pos = f.id""",
+)(lambda g: partition.tree_partition(g.tree, g.seq, 4, "naive"))
+_query("gp_forward_eval_k4")(lambda g: ev.evaluate(g.edges, materialize(partition.tree_partition(g.tree, g.seq, 4), "parts"), g.seq, 4))
+_query("gp_vfennel_k4")(lambda g: partition.stream_vertices(g.edges, 4))
+_query("gp_vfennel_nodes_k4")(lambda g: partition.stream_vertices(g.edges, 4, by_edges=False))
+_query("gp_efennel_k4")(lambda g: partition.stream_edges(g.edges, 4))
+_query("gp_round_robin", _E + " SELECT src, dst, ((row_number() OVER (ORDER BY src, dst) - 1) % 4)::INTEGER AS part FROM e")(lambda g: partition.round_robin(g.edges, 4))
+_query(
+    "gp_metis_adj",
+    _P
+    + """, a AS (SELECT s.pos + 1 AS line, t.pos + 1 AS u FROM d JOIN seq s ON s.vid = d.x JOIN seq t ON t.vid = d.y WHERE d.x <> d.y)
+SELECT 0::BIGINT AS line, concat((SELECT count(*) FROM seq), ' ', (SELECT count(*) FROM e WHERE src <> dst), ' 010') AS value
+UNION ALL SELECT s.pos + 1, concat(deg.degree, ' ', (SELECT string_agg(u::VARCHAR, ' ' ORDER BY u) FROM a WHERE a.line = s.pos + 1)) FROM seq s JOIN deg USING (vid)""",
+)(lambda g: sinks.graph_adjacency(g.edges, g.seq))
+_query("gp_tree_metis_adj")(lambda g: sinks.tree_adjacency(g.tree.join(tree.pre_weights(g.tree, g.epos), "jnid")))
+_query(
+    "gp_tree_dot",
+    _T + """ SELECT 0::BIGINT AS line, 'digraph {' AS value UNION ALL SELECT (SELECT count(*) FROM tree) + 1, '}'
+UNION ALL SELECT (SELECT count(*) FROM tree) - jnid, concat(chr(9), jnid, ' -> ', parent) FROM tree WHERE parent IS NOT NULL""",
+)(lambda g: sinks.tree_dot(g.tree))
+_query("gp_tree_print", _T + " SELECT t.jnid, s.vid, 1 + t.pst_weight AS width, t.pst_weight, t.parent, (SELECT count(*) FROM tree k WHERE k.parent = t.jnid) AS n_kids FROM tree t JOIN seq s ON s.pos = t.jnid")(
+    lambda g: sinks.tree_rows(g.tree, g.seq).withColumn("kids", F.size("kids").cast("long")).withColumnRenamed("kids", "n_kids")
+)

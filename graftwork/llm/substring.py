@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import U64, column_of, hash_words, materialize, mix64, slices, split_words, window_hashes
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 32
 MOST_PASSAGES = 1000
 SHARD_PASSAGES = 2000
 #: Tables of at most so many rows are broadcast (about 100 bytes a row); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 _POS = 28
 _MULT = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -146,10 +146,20 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     for c, x in zip(cols, got, strict=True):
                         c.append(x)
                 fp, ctx, first, count = (np.concatenate(c) if c else np.empty(0, np.int64) for c in cols)
-                take = np.repeat(np.arange(batch.num_rows), reps)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["fp", "ctx", "doc", "th", "first", "n"])
-
-    return docs.where("doc is not null and text is not null").mapInArrow(run, "fp long, ctx long, doc long, th long, first int, n int")
+                if not len(fp):
+                    continue
+                row = np.repeat(np.arange(batch.num_rows), reps)
+                # a context that stands several times in one document is one row with all of its places
+                with np.errstate(over="ignore"):
+                    key = mix64(fp + ctx * U64(_MULT) + mix64(row.astype(U64)))
+                order = np.argsort(key, kind="stable")
+                new = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+                one = order[new]
+                firsts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(order)].astype(np.int32)), pa.array(first[order].astype(np.int32)))
+                take = pa.array(row[one])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[one].view(np.int64)), pa.array(ctx[one].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), firsts, pa.array(count[one].astype(np.int32))], ["fp", "ctx", "doc", "th", "firsts", "n"])
+
+    return docs.where("doc is not null and text is not null").mapInArrow(run, "fp long, ctx long, doc long, th long, firsts array<int>, n int")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -180,7 +190,7 @@ def _passages(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _owners(passages: DataFrame, length: int) -> DataFrame:
     """fp, ctx, owners: for each window of a passage, the smallest document that has it."""
     passages = materialize(passages, "passages")
-    crowd = passages.groupBy("fp").count().where(f"count > {MOST_PASSAGES}").select(F.col("fp").alias("hot"))
+    crowd = _small(materialize(passages.groupBy("fp").count().where(f"count > {MOST_PASSAGES}").select(F.col("fp").alias("hot")), "crowd"))
     shards = max(1, passages.count() // SHARD_PASSAGES)
     schema = "fp long, ctx long, owners array<long>"
 
@@ -202,29 +212,31 @@ def _owners(passages: DataFrame, length: int) -> DataFrame:
 
     usual = passages.join(crowd, F.col("fp") == F.col("hot"), "left_anti")
     by_automaton = usual.groupBy(F.pmod("fp", F.lit(shards)).alias("shard")).applyInArrow(match, schema)
-    one = passages.join(crowd, F.col("fp") == F.col("hot"), "left_semi").select("fp", "ctx", "doc", "words").mapInArrow(windows, "fp long, ctx long, doc long, no int, w long")
+    one = passages.join(crowd, F.col("fp") == F.col("hot"), "left_semi").select("fp", "ctx", "doc", "words").repartition("fp", "ctx").mapInArrow(windows, "fp long, ctx long, doc long, no int, w long")
     first = one.groupBy("w").agg(F.min("doc").alias("owner")).withColumnRenamed("w", "v")
     by_window = one.join(first, F.col("w") == F.col("v")).groupBy("fp", "ctx").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "owner"))), lambda x: x["owner"]).alias("owners"))
     return by_automaton.unionByName(by_window)
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, th, text) -> doc, th, marks: [first window of a context, which of its windows an earlier document has]."""
+    """(doc, th, text) -> doc, th, marks: [first windows of a context, their number, which of them an earlier document has (null: all)]."""
     anchors = materialize(_anchors(docs, length), "anchors")
     kinds = anchors.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("ctx") != F.max("ctx")).alias("several"))
-    shared = kinds.where("hi > lo").select(F.col("fp").alias("f"), "several")
+    # stored, so that the join has a shuffle of its own and large keys can be split in it
+    shared = materialize(kinds.where("hi > lo").select(F.col("fp").alias("f"), "several"), "kinds")
     met = materialize(anchors.join(shared, F.col("fp") == F.col("f")).drop("f"), "shared")
     passages = met.groupBy("fp", "ctx").agg(F.min("doc").alias("owner"), F.max("several").alias("several"))
     alone = passages.where("not several").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owner")
     owned = passages.where("several").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owner")
     several = met.where("several")
-    wanted = several.join(owned, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c")) & (F.col("doc") == F.col("owner"))).select("fp", "ctx", "doc", "th", "first", "n").groupBy("fp", "ctx").agg(F.min_by(F.struct("doc", "th", "first", "n"), F.struct("th", "first")).alias("x")).select("fp", "ctx", "x.*")
+    wanted = several.join(owned, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c")) & (F.col("doc") == F.col("owner"))).select("fp", "ctx", "doc", "th", F.element_at("firsts", 1).alias("first"), "n").groupBy("fp", "ctx").agg(F.min_by(F.struct("doc", "th", "first", "n"), F.struct("th", "first")).alias("x")).select("fp", "ctx", "x.*")
     owners = materialize(_owners(_passages(docs, wanted, length), length), "owners").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owners")
     on = (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))
-    all_ = F.sequence(F.lit(0), F.col("n") - 1)
-    whole = met.where("not several").join(alone, on).where("doc > owner").select("doc", "th", "first", all_.alias("which"))
-    part = several.join(owners, on).select("doc", "th", "first", F.filter(all_, lambda i: F.get("owners", i) < F.col("doc")).alias("which")).where(F.size("which") > 0)
-    return whole.unionByName(part).groupBy("doc", "th").agg(F.collect_list(F.struct("first", "which")).alias("marks"))
+    whole = met.where("not several").join(alone, on).where("doc > owner").select("doc", "th", "firsts", "n", F.lit(None).cast("array<int>").alias("which"))
+    windows = F.sequence(F.lit(0), F.col("n") - 1)
+    part = several.join(owners, on).select("doc", "th", "firsts", "n", F.filter(windows, lambda i: F.get("owners", i) < F.col("doc")).alias("which")).where(F.size("which") > 0)
+    part = part.withColumn("which", F.when(F.size("which") < F.col("n"), F.col("which")))
+    return whole.unionByName(part).groupBy("doc", "th").agg(F.collect_list(F.struct("firsts", "n", "which")).alias("marks"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -247,7 +259,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         kept, out = words, text
         if found:
             edge = np.zeros(len(words) + 1, np.int32)
-            starts = np.concatenate([np.array(x["which"], np.int64) + x["first"] for x in found])
+            starts = np.concatenate([np.add.outer(np.array(x["firsts"], np.int64), np.arange(x["n"]) if x["which"] is None else np.array(x["which"], np.int64)).ravel() for x in found])
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + length, -1)
             kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]

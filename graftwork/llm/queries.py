@@ -75,7 +75,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op5_licenses, op6_warc_audit, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language)}
 
+_WORDS = r"w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op7_substring": f"""
+WITH {_WORDS},
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+hit AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM hit, unnest(range(50)) AS t(k)),
+kept AS (SELECT w.doc_id, t.j, ws[t.j] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(j) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.j = t.j WHERE gone.j IS NULL),
+own AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM kept GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(own.n, 0))::BIGINT AS n_removed, sha256(coalesce(own.text, '')) AS kept_sha256 FROM w LEFT JOIN own USING (doc_id)
+""",
+    "op9_near_duplicates": f"""
+WITH RECURSIVE {_WORDS},
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT a AS v, a AS u FROM e UNION SELECT v, e.b FROM reach JOIN e ON e.a = reach.u)
+SELECT w.doc_id, coalesce((SELECT min(u) FROM reach WHERE v = w.doc_id), w.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.a = w.doc_id)::BIGINT AS n_links FROM w
+""",
     "op6_warc_audit": """
 WITH r AS (
   SELECT page_id, page_id // 1024 AS file,

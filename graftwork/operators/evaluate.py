@@ -42,13 +42,17 @@ def evaluate(edges: DataFrame, parts: DataFrame, seq: DataFrame | None = None, k
         F.struct(F.col("y").alias("v"), F.col("part_y").alias("own"), F.col("part_x").alias("other"), (F.col("y") < F.col("x")).alias("once"), *(r[1].alias(n) for n, r in rules.items())),
     ]
     d = e.select(F.explode(F.array(*sides)).alias("s")).select("s.*")
-    cut = d.agg(F.count(F.when(F.col("once") & (F.col("own") != F.col("other")), 1)).alias("edges_cut"))
-    out = cut.join(parts.agg(F.count("*").alias("nodes"))).join(edges.agg(F.count("*").alias("edges")))
-    out = out.join(d.where("own <> other").select("v", "other").distinct().agg(F.count("*").alias("vcom_vol")))
-    out = out.join(parts.groupBy("part").count().agg(F.max("count").alias("vertex_bal")))
-    for name in rules:
-        out = out.join(d.select("v", name).distinct().agg(F.count("*").alias("touched"))).withColumn(f"ecv_{name}", F.col("touched") - F.col("nodes")).drop("touched")
-        out = out.join(d.where("once").groupBy(name).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias(f"{name}_bal")))
+    # one shuffle by vertex: the sets hold parts, so they are never larger than the number of parts
+    sets = [F.size(F.collect_set(F.when(F.col("own") != F.col("other"), F.col("other")))).alias("vcom_vol"), *(F.size(F.collect_set(n)).alias(f"touched_{n}") for n in rules)]
+    cut = F.count(F.when(F.col("once") & (F.col("own") != F.col("other")), 1)).alias("edges_cut")
+    out = d.groupBy("v").agg(cut, *sets).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("edges_cut", "vcom_vol", *(f"touched_{n}" for n in rules))))
+    # one more by part, with a row for each rule and part
+    loads = d.where("once").select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("part")) for n in rules))).alias("l")).select("l.*")
+    loads = loads.unionByName(parts.select(F.lit("vertex").alias("rule"), "part")).groupBy("rule", "part").count()
+    of = lambda n: F.when(F.col("rule") == n, F.col("count"))
+    most = loads.agg(F.coalesce(F.sum(of("vertex")), F.lit(0)).alias("nodes"), *(F.coalesce(F.max(of(n)), F.lit(0)).alias(f"{n}_bal") for n in ("vertex", *rules)))
+    out = out.join(most).join(edges.agg(F.count("*").alias("edges")))
+    out = out.withColumns({f"ecv_{n}": F.col(f"touched_{n}") - F.col("nodes") for n in rules})
     names = ["nodes", "edges", "edges_cut", "vcom_vol", "vertex_bal", *(c for n in rules for c in (f"ecv_{n}", f"{n}_bal"))]
     if k is None:
         return out.select(*names)

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column_of, hash_words, mix64, slices, split_words, window_hashes
+from .common import U64, column_of, hash_words, mix64, slices, small_batches, split_words, window_hashes
 
 BUCKETS = 1 << 16
 #: Documents whose labels say they are good, at most: the model is fitted on this many of them, by a hash of their id.
 TRUSTED_ROWS = 20_000
+#: Counts that the trusted side is thought to have in each bucket beforehand, in the corpus's proportion: rare n-grams say little.
+PRIOR = 2.0
 #: A document scoring below is not kept.
 THRESHOLD = -0.2
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -98,7 +100,7 @@ def count_grams(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         some = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "trusted", "corpus"])
 
-    sums = docs.mapInArrow(count, "bucket int, trusted long, corpus long").groupBy("bucket").agg(F.sum("trusted"), F.sum("corpus"))
+    sums = small_batches(docs).mapInArrow(count, "bucket int, trusted long, corpus long").groupBy("bucket").agg(F.sum("trusted"), F.sum("corpus"))
     out = np.zeros((2, buckets))
     for bucket, trusted, corpus in sums.toPandas().itertuples(index=False):
         out[:, bucket] = trusted, corpus
@@ -117,8 +119,8 @@ def fit(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows:
     counts = count_grams(marked, buckets)
     if not counts[0].sum():
         return np.zeros(buckets, np.float32)
-    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-    return np.log(share[0] / share[1]).astype(np.float32)
+    expected = counts[1] * (counts[0].sum() / counts[1].sum())
+    return np.log((counts[0] + PRIOR) / (expected + PRIOR)).astype(np.float32)
 
 
 _LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -156,7 +158,7 @@ def score(df: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, id_col
                 cols = list(zip(*(measure(x, ratio) for x in column_of(batch, "text")), strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds), *batch.columns[1:-1]], ["doc_id", *_LONGS, "base_failed", "kept", "llr", *(f.name for f in kept)])
 
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(run, schema)
 
 
 def kept_documents(df: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

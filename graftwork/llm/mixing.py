@@ -77,7 +77,9 @@ def draw_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -
     """A row for each slot: shard, source, epoch, block, and part: which share of the block it takes."""
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     # slots are made from runs, so that a hot source's are made by many tasks
-    runs = plan.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("slots") - 1) / shard_slots)).cast("int"))).alias("run")).where("slots > 0").repartition(F.col("source"), F.col("run"))
+    runs = plan.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("slots") - 1) / shard_slots)).cast("int"))).alias("run")).where("slots > 0")
+    # a number of its own: these rows are few and small, what is made of them isn't
+    runs = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("run"))
     lo = F.col("run").cast("long") * shard_slots
     s = runs.select("source", "source_size", "target", "n", "slots", "first", F.explode(F.sequence(lo, F.least(lo + shard_slots, F.col("slots")) - 1)).alias("k"))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.floor(F.col("k") / F.col("n")).cast("long"))
@@ -124,7 +126,7 @@ def _overlaps(docs: DataFrame, plan: DataFrame, takes: DataFrame, keys: list[str
     """(document, block) pairs with the words a..b of the document in it, the whole takes of it, and ``to``: where a part ends."""
     d = docs.where("size > 0").select(*keys).join(F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "n")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     d = d.withColumn("block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1))))
-    t = takes.select(F.col("source").alias("s"), F.col("block").alias("j"), "whole", "part")
+    t = takes.select(F.col("source").alias("s"), F.col("block").alias("j"), "whole", "part").hint("merge")  # it grows with the data
     d = d.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j"))).drop("s", "j")
     lo, hi = block_start(F.col("block")), block_start(F.col("block") + 1)
     d = d.withColumn("lo", lo).withColumn("hi", hi)
@@ -159,7 +161,7 @@ def mix(df: DataFrame, **how) -> DataFrame:
     taken = F.col("whole") * (F.col("b") - F.col("a")) + F.col("to") - F.col("a")
     keys = ["doc_id", "source", "size", "start"]
     got = _overlaps(m.docs, m.sources, _takes(m.slots), keys).groupBy("source", "start").agg(F.sum(taken).alias("taken"))
-    got = got.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken")
+    got = got.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken").hint("merge")
     some = m.docs.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")), "left").select(*keys, "taken")
     rows = some.unionByName(m.docs.where("size = 0").select(*keys, F.lit(None).cast("long").alias("taken")))
     plan = F.broadcast(m.sources.select(F.col("source").alias("s"), "source_size", "target"))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 from ..storage import materialize  # noqa: F401
 
@@ -14,6 +15,16 @@ CACHE_ENTRIES = 400_000
 #: Longer words are hashed each time instead of being kept.
 CACHE_WORD_BYTES = 32
 U64 = np.uint64
+#: Rows that go to a Python worker at a time. Spark's own default, 10,000, is tens of megabytes of documents.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session's Arrow batches are made smaller, unless the user has set their size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> list:

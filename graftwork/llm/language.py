@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, slices
+from .common import U64, slices, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -103,7 +103,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.nd
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["lang", "bucket", "n"])
 
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = small_batches(rows).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     pairs = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("v")).limit(MOST_LANGUAGES + 1).collect()
     if len(pairs) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
@@ -147,4 +147,4 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                 pred = [names[b] if ok else UND for b, ok in zip(best.tolist(), has.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(has, p, 0.0), pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(run, schema)

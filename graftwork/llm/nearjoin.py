@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column_of, hash_words, materialize, slices, split_words, window_hashes
+from .common import U64, column_of, hash_words, materialize, slices, small_batches, split_words, window_hashes
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -150,7 +150,7 @@ def _profile(rows: DataFrame) -> DataFrame:
                     keys.append(bands(signature(s)[None])[0].view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*digest, strict=True)), pa.array(keys, pa.list_(pa.int64()))], ["doc", "d1", "d2", "bands"])
 
-    return rows.mapInArrow(run, "doc long, d1 long, d2 long, bands array<long>")
+    return small_batches(rows).mapInArrow(run, "doc long, d1 long, d2 long, bands array<long>")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
                 texts = [shingles(x) for x in column_of(batch, "text")]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in texts], pa.binary()), pa.array([signature(x).tobytes() for x in texts], pa.binary())], ["rid", "copies", "chunk", "sets", "sig"])
 
-    full = joined.mapInArrow(sets, "rid long, copies long, chunk long, sets binary, sig binary")
+    full = small_batches(joined).mapInArrow(sets, "rid long, copies long, chunk long, sets binary, sig binary")
     first = full.join(pairs.withColumnsRenamed({"c1": "x1", "c2": "x2"}), F.col("chunk") == F.col("x1")).select("x1", "x2", F.lit(True).alias("first"), "rid", "copies", "sets", "sig")
     second = full.join(pairs.where("c1 <> c2").withColumnsRenamed({"c1": "x1", "c2": "x2"}), F.col("chunk") == F.col("x2")).select("x1", "x2", F.lit(False).alias("first"), "rid", "copies", "sets", "sig")
     groups = first.unionByName(second).repartition("x1", "x2").sortWithinPartitions("x1", "x2")
@@ -241,7 +241,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 3)], ["a", "b", "links"])
 
         at, held = None, []
-        for batch in batches:
+        for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
             cols = [batch.column(c).to_pylist() for c in range(7)]
             for x1, x2, is_first, r, copies, data, sig in zip(*cols, strict=True):
                 if (x1, x2) != at:
@@ -252,7 +252,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
         if held:
             yield flush()
 
-    linked = materialize(groups.mapInArrow(verify, "a long, b long, links long"), "links")
+    linked = materialize(small_batches(groups).mapInArrow(verify, "a long, b long, links long"), "links")
     counts = linked.groupBy(F.col("a").alias("r2")).agg(F.sum("links").alias("near"))
     label = components(linked.select(F.col("a").alias("node")).union(linked.select("b")).distinct(), linked)
     named = weight.join(label, F.col("rid") == F.col("node")).select("doc", "rid", "label")

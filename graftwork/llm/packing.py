@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, slices
+from .common import column_of, slices, small_batches
 from .tokens import encoder
 
 #: Pieces that wait in a task at most; half of them are packed when the pool is full.
@@ -147,4 +147,4 @@ def pack(df: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments: in
             yield out()
 
     chosen = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), (df[prompt_col] if prompt_col else F.lit(None)).cast("string").alias("prompt"))
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in _INTS) + ", ids binary")
+    return small_batches(chosen).mapInArrow(run, f"doc_id {chosen.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in _INTS) + ", ids binary")

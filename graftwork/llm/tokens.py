@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column_of, slices
+from .common import column_of, slices, small_batches
 
 #: Documents of more characters are encoded window by window.
 WINDOW_CHARS = 16_384
@@ -171,4 +171,4 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.select(df[id_col].alias("doc_id")).schema[0].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(df).select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SHARD_ROWS = 8192
 LEAF_ROWS = 128
 BLOCK_QUERIES = 256
@@ -153,7 +155,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_
         if best is not None:
             yield out()
 
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = small_batches(met).mapInArrow(search, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

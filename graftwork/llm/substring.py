@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column_of, hash_words, materialize, mix64, slices, split_words, window_hashes
+from .common import U64, column_of, hash_words, materialize, mix64, slices, small_batches, split_words, window_hashes
 
 LENGTH = 50
 ANCHOR = 32
@@ -159,7 +159,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 take = pa.array(row[one])
                 yield pa.RecordBatch.from_arrays([pa.array(fp[one].view(np.int64)), pa.array(ctx[one].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), firsts, pa.array(count[one].astype(np.int32))], ["fp", "ctx", "doc", "th", "firsts", "n"])
 
-    return docs.where("doc is not null and text is not null").mapInArrow(run, "fp long, ctx long, doc long, th long, firsts array<int>, n int")
+    return small_batches(docs).where("doc is not null and text is not null").mapInArrow(run, "fp long, ctx long, doc long, th long, firsts array<int>, n int")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _passages(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["fp", "ctx", "doc", "n", "words"])
 
     # a document met by two rows of the same id and text gives its passages twice
-    return found.mapInArrow(run, "fp long, ctx long, doc long, n int, words binary").dropDuplicates(["fp", "ctx"])
+    return small_batches(found).mapInArrow(run, "fp long, ctx long, doc long, n int, words binary").dropDuplicates(["fp", "ctx"])
 
 
 def _owners(passages: DataFrame, length: int) -> DataFrame:
@@ -273,4 +273,4 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 cols = list(zip(*map(cut, column_of(batch, "text"), batch.column(last - 1).to_pylist()), strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[1 : last - 2]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(f.name for f in others)])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)

@@ -219,7 +219,7 @@ def _owners(passages: DataFrame, length: int) -> DataFrame:
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, th, text) -> doc, th, marks: [first windows of a context, their number, which of them an earlier document has (null: all)]."""
+    """(doc, th, text) -> doc, th, marks: runs of windows that an earlier document has, each as first * 2^32 + number."""
     anchors = materialize(_anchors(docs, length), "anchors")
     kinds = anchors.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("ctx") != F.max("ctx")).alias("several"))
     # stored, so that the join has a shuffle of its own and large keys can be split in it
@@ -232,11 +232,13 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = several.join(owned, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c")) & (F.col("doc") == F.col("owner"))).select("fp", "ctx", "doc", "th", F.element_at("firsts", 1).alias("first"), "n").groupBy("fp", "ctx").agg(F.min_by(F.struct("doc", "th", "first", "n"), F.struct("th", "first")).alias("x")).select("fp", "ctx", "x.*")
     owners = materialize(_owners(_passages(docs, wanted, length), length), "owners").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owners")
     on = (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))
-    whole = met.where("not several").join(alone, on).where("doc > owner").select("doc", "th", "firsts", "n", F.lit(None).cast("array<int>").alias("which"))
-    windows = F.sequence(F.lit(0), F.col("n") - 1)
-    part = several.join(owners, on).select("doc", "th", "firsts", "n", F.filter(windows, lambda i: F.get("owners", i) < F.col("doc")).alias("which")).where(F.size("which") > 0)
-    part = part.withColumn("which", F.when(F.size("which") < F.col("n"), F.col("which")))
-    return whole.unionByName(part).groupBy("doc", "th").agg(F.collect_list(F.struct("firsts", "n", "which")).alias("marks"))
+    run = lambda first, n: F.shiftleft(first.cast("long"), 32) + n
+    whole = met.where("not several").join(alone, on).where("doc > owner").select("doc", "th", F.transform("firsts", lambda f: run(f, F.col("n"))).alias("runs"))
+    which = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("owners", i) < F.col("doc"))
+    part = several.join(owners, on).select("doc", "th", "firsts", "n", which.alias("which")).where(F.size("which") > 0)
+    each = F.flatten(F.transform("firsts", lambda f: F.transform("which", lambda i: run(f + i, F.lit(1)))))
+    part = part.select("doc", "th", F.when(F.size("which") == F.col("n"), F.transform("firsts", lambda f: run(f, F.col("n")))).otherwise(each).alias("runs"))
+    return whole.unionByName(part).groupBy("doc", "th").agg(F.flatten(F.collect_list("runs")).alias("marks"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -259,9 +261,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         kept, out = words, text
         if found:
             edge = np.zeros(len(words) + 1, np.int32)
-            starts = np.concatenate([np.add.outer(np.array(x["firsts"], np.int64), np.arange(x["n"]) if x["which"] is None else np.array(x["which"], np.int64)).ravel() for x in found])
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + length, -1)
+            runs = np.array(found, np.int64)
+            first = runs >> 32
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + (runs & 0xFFFFFFFF) + length - 1, -1)
             kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
             out = b" ".join(kept)
         return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), None if out is None else out.decode()

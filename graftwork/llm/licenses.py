@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, slices, small_batches
+from .common import column_of, materialize, slices, small_batches
 
 #: Short notices and openings of common licenses.
 TEMPLATES = {
@@ -111,6 +111,7 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.string(), pa.bool_()), strict=True))], ["doc_id", "path", "cosine", "found", "mostly"])
 
     files = small_batches(base).mapInArrow(run, f"doc_id {base.schema[0].dataType.simpleString()}, path string, cosine double, found string, mostly boolean")
+    files = materialize(files, "licenses")  # narrow, and used three times below
     files = files.withColumn("own", F.when(F.col("cosine") >= least, F.col("found"))).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     is_file = F.col("own").isNotNull() & (F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAMES), F.lit(False)) | F.col("mostly")) & F.col("path").isNotNull()
     licensed = files.where(is_file).groupBy("dir").agg(F.min_by("own", F.struct(-F.col("cosine"), F.col("own"))).alias("given")).withColumnRenamed("dir", "at")

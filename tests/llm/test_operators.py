@@ -359,6 +359,52 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty, F.lit("a/b")).count() == 0
 
 
+ORDINARY = {
+    "This file is licensed under the MIT License.": "MIT", "Copyright 2019 Foo Inc. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "This library is released under the MIT License, see the file LICENSE for details.": "MIT", "some other prose on the line. Released under the BSD 3-Clause License. and more": "BSD-3-Clause",
+    "# Copyright (c) 2021 The Authors.\n#\n# Licensed under the Apache License, Version 2.0\n# (the \"License\"); you may not use\n# this file": "Apache-2.0", "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+    "The code is distributed under the terms of the MIT license": "MIT", "You may use it under the GNU General Public License, version 2, or a later one": "GPL-2.0", "w1 w2\nThis work is licensed under CC BY-NC 4.0 by w3": "CC-BY-NC-4.0",
+    "Licensed under the Foo License, Version 2.0.": None, "Released under the Artistic License": None, "Copyright 2020 by X. All rights reserved, no permission is granted.": None, "w1 license w2": None,
+}
+
+
+def test_ordinary_wording_has_its_license(spark, docs):
+    rows = [(i, " ".join(f"w{(7 * i + j) % 90} the of" for j in range(40))) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ORDINARY)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = dict(zip(range(100, 200), ORDINARY.values(), strict=False))
+    whole = {r.doc_id: (r.license, r.cosine) for r in licenses.scan(df, F.lit(None)).collect()}
+    assert {i: whole[i][0] for i in want} == want and all(whole[i] == (None, 0) for i in range(60))
+    # all weights from brute force
+    known = licenses.Templates(licenses.TEMPLATES, Counter(t for _, x in rows for t in set(licenses._terms(x))), len(rows))
+    assert {i: x[1] for i, x in whole.items() if i >= 100} == {i: pytest.approx(known.best_span(licenses._word.findall(t.lower()))[0], abs=1e-8) for i, t in rows if i >= 100}
+    # weights of rare terms that come by the join are those that come by broadcast
+    assert {r.doc_id: (r.license, r.cosine) for r in licenses.scan(df, F.lit(None), hot_terms=1).collect()} == whole
+
+
+def test_frequencies_are_those_of_all_documents(spark):
+    texts = ["the MIT License of a", "the the of", None, "", "a of zz", "THE license, of Zz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    noted = {t for x in (texts[0], texts[5]) for t in licenses._terms(x)}
+    got = licenses.frequencies(df, spark.createDataFrame([(t,) for t in licenses._long(noted)], "term long"))
+    want = Counter(t for x in texts if x for t in set(licenses._terms(x)))
+    assert {r.term % (1 << 64): r.n for r in got.collect()} == {t: n for t, n in want.items() if t in noted}
+
+
+def test_best_span_is_that_of_all_spans():
+    rng, known = random.Random(3), licenses.Templates(licenses.TEMPLATES)
+    templates = [(len(t.split()), licenses._terms(t), known.needed[k]) for k, t in enumerate(t for _, texts in sorted(licenses.TEMPLATES.items()) for t in texts)]
+    norm = lambda x: np.sqrt(sum((n * known.weight.get(t, known.other)) ** 2 for t, n in x.items()))
+    for _ in range(15):
+        words, best = rng.choices("licensed under the mit license a b released apache version 2.0 this".split(), k=12), 0.0
+        for i in range(12):
+            for j in range(i + 1, 13):
+                span = licenses._terms(" ".join(words[i:j]))
+                for n, other, needed in templates:
+                    if j - i <= 2 * n and needed <= span.keys():
+                        best = max(best, sum(c * other[t] * known.weight.get(t, known.other) ** 2 for t, c in span.items()) / norm(span) / norm(other))
+        assert known.best_span(words)[0] == pytest.approx(best)
+
+
 def test_cosine_is_that_of_dense_vectors():
     known = licenses.Templates(licenses.TEMPLATES)
     text = "Licensed under the Apache License, Version 3"

@@ -42,7 +42,7 @@ def target_sizes(sizes: DataFrame, weights: tuple[float, ...], share: float, cap
     r = r.withColumn("left", F.lit(float(share)) * F.sum("source_size").over(all_) - F.coalesce(F.sum(most).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     r = r.withColumn("rate", F.col("left") / (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))))
     # the first source in this order that the rate doesn't lift over its cap fixes the rate of it and all after it
-    r = r.withColumn("level", F.min(F.when(F.col("rate") <= F.col("ratio"), F.struct(F.col("ratio"), F.col("rate")))).over(all_)["rate"])
+    r = r.withColumn("level", F.min(F.when(F.col("rate") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("null"), "source", "rate"))).over(all_)["rate"])
     return r.select("source", "source_size", F.least(most, F.coalesce(F.col("level") * F.col("w"), most)).alias("target"))
 
 

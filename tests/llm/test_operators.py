@@ -150,6 +150,14 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_texts(empty).count() == 0
 
 
+def test_targets_of_sources_that_tie(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), ("d", 1000), (None, 1000)], "source string, source_size long")
+    target = lambda d, w: {r.source: r.target for r in mixing.target_sizes(d, w, 1.5, 2.0).collect()}
+    assert target(sizes.where("source is not null"), (5.0, 2.0, 1.0, 5.0)) == pytest.approx({"a": 1495, "b": 20, "c": 20, "d": 1495})
+    got = target(sizes, (5.0, 2.0, 1.0, 5.0, 5.0))
+    assert got == pytest.approx({"a": 4490 / 3, "b": 20, "c": 20, "d": 4490 / 3, None: 4490 / 3})
+
+
 def test_mix_draws(docs):
     m = mixing.Mix(docs, block_words=32, shard_slots=16)
     slots = m.slots.collect()

@@ -118,22 +118,22 @@ def block_of(pos: Column) -> Column:
 
 
 def _takes(slots: DataFrame) -> DataFrame:
-    """How often each block is taken whole, and the share of it that a last slot takes."""
-    return slots.groupBy("source", "block").agg(F.count(F.when(F.col("part") >= 1, 1)).alias("whole"), F.coalesce(F.max(F.when(F.col("part") < 1, F.col("part"))), F.lit(0.0)).alias("part"))
+    """How often each block is taken whole, the share of it that a last slot takes, and ``by``: which shards take it."""
+    return slots.groupBy("source", "block").agg(F.count(F.when(F.col("part") >= 1, 1)).alias("whole"), F.coalesce(F.max(F.when(F.col("part") < 1, F.col("part"))), F.lit(0.0)).alias("part"), F.sort_array(F.collect_list(F.struct("shard", "epoch", (F.col("part") >= 1).alias("all")))).alias("by"))
 
 
 def _overlaps(docs: DataFrame, plan: DataFrame, takes: DataFrame, keys: list[str]) -> DataFrame:
-    """(document, block) pairs with the words a..b of the document in it, the whole takes of it, and ``to``: where a part ends."""
+    """(document, block) pairs with the words a..b of the document in it, the whole takes of it, ``to``: where a part ends, and ``by``: its shards."""
     d = docs.where("size > 0").select(*keys).join(F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "n")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     d = d.withColumn("block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1))))
-    t = takes.select(F.col("source").alias("s"), F.col("block").alias("j"), "whole", "part").hint("merge")  # it grows with the data
+    t = takes.select(F.col("source").alias("s"), F.col("block").alias("j"), "whole", "part", "by").hint("merge")  # it grows with the data
     d = d.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j"))).drop("s", "j")
     lo, hi = block_start(F.col("block")), block_start(F.col("block") + 1)
     d = d.withColumn("lo", lo).withColumn("hi", hi)
     a = F.greatest(F.col("start"), F.col("lo")) - F.col("start")
     b = F.least(F.col("start") + F.col("size"), F.col("hi")) - F.col("start")
     to = F.col("lo") + F.round(F.col("part") * (F.col("hi") - F.col("lo"))).cast("long") - F.col("start")
-    return d.select(*keys, a.alias("a"), b.alias("b"), "whole", F.greatest(a, F.least(b, to)).alias("to"))
+    return d.select(*keys, a.alias("a"), b.alias("b"), "whole", F.greatest(a, F.least(b, to)).alias("to"), "by")
 
 
 class Mix:
@@ -151,7 +151,8 @@ class Mix:
 
 
 def mix(df: DataFrame, **how) -> DataFrame:
-    """doc_id, source, size (words), source_size, target (of its source, in words), taken (words that the mix takes).
+    """doc_id, source, size (words), source_size, target (of its source, in words), taken (words that the mix takes),
+    shards (which output shards take how many of these words: "shard:words" by a space, in the order of shards; else empty).
 
     A row for each row of ``df``. Null texts have size 0; a null source is a source of its own, last in order; null ids
     stay null; repeated rows each have their own place; a document without words, or of a source without any, takes 0;
@@ -160,32 +161,43 @@ def mix(df: DataFrame, **how) -> DataFrame:
     m = Mix(df, **how)
     taken = F.col("whole") * (F.col("b") - F.col("a")) + F.col("to") - F.col("a")
     keys = ["doc_id", "source", "size", "start"]
-    got = _overlaps(m.docs, m.sources, _takes(m.slots), keys).groupBy("source", "start").agg(F.sum(taken).alias("taken"))
-    got = got.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken").hint("merge")
-    some = m.docs.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")), "left").select(*keys, "taken")
-    rows = some.unionByName(m.docs.where("size = 0").select(*keys, F.lit(None).cast("long").alias("taken")))
+    by = F.transform("by", lambda x: F.struct(x["shard"].alias("shard"), (F.when(x["all"], F.col("b")).otherwise(F.col("to")) - F.col("a")).alias("n")))
+    got = _overlaps(m.docs, m.sources, _takes(m.slots), keys).groupBy("source", "start").agg(F.sum(taken).alias("taken"), F.flatten(F.collect_list(by)).alias("by"))
+    some = F.filter("by", lambda x: x["n"] > 0)
+    of = lambda shard: F.aggregate(F.filter(some, lambda x: x["shard"] == shard), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    shards = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(some, lambda x: x["shard"]))), lambda k: F.concat_ws(":", k.cast("string"), of(k).cast("string"))), " ")
+    got = got.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken", shards.alias("shards")).hint("merge")
+    some = m.docs.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")), "left").select(*keys, "taken", "shards")
+    rows = some.unionByName(m.docs.where("size = 0").select(*keys, F.lit(None).cast("long").alias("taken"), F.lit("").alias("shards")))
     plan = F.broadcast(m.sources.select(F.col("source").alias("s"), "source_size", "target"))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
-def mix_texts(df: DataFrame, **how) -> DataFrame:
+def mix_texts(df: DataFrame, shard_col: str | None = None, **how) -> DataFrame:
     """The mix itself, in the columns of ``df``: a row for each copy of a document that the mix takes.
 
     A copy taken whole keeps its text as it is; of one taken in part, the words taken are joined by a space.
+    With ``shard_col``, a further column of that name, the rows are the output shards' own: a row for the words of a
+    document that a shard takes in an epoch.
     """
     text = how.get("text_col", "text")
     keys = ["source", "start", "size"]
     m = Mix(df, keep=tuple(df.columns), **how)
     o = _overlaps(m.docs, m.sources, _takes(m.slots), keys)
-    o = o.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("whole") + 1).cast("int"))))
-    o = o.withColumn("end", F.when(F.col("copy") <= F.col("whole"), F.col("b")).otherwise(F.col("to"))).where("end > a")
+    if shard_col:
+        o = o.withColumn("x", F.explode("by")).withColumn("end", F.when(F.col("x.all"), F.col("b")).otherwise(F.col("to"))).where("end > a")
+        o = o.withColumn("copy", F.struct("x.shard", "x.epoch"))
+    else:
+        o = o.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("whole") + 1).cast("int"))))
+        o = o.withColumn("end", F.when(F.col("copy") <= F.col("whole"), F.col("b")).otherwise(F.col("to"))).where("end > a")
     got = o.groupBy("source", "start", "copy").agg(F.sum(F.col("end") - F.col("a")).alias("n"), F.sort_array(F.collect_list(F.struct("a", "end"))).alias("runs"))
     got = got.withColumnsRenamed({"source": "s", "start": "at"})
     rows = m.docs.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")))
     words = F.regexp_extract_all(F.col(f"kept_{text}"), F.lit(WORD), 0)
     part = F.array_join(F.flatten(F.transform("runs", lambda x: F.slice("words", (x["a"] + 1).cast("int"), (x["end"] - x["a"]).cast("int")))), " ")
-    whole = rows.where("n = size").select(*(F.col(f"kept_{c}").alias(c) for c in df.columns))
+    shard = [F.col("copy.shard").alias(shard_col)] if shard_col else []
+    whole = rows.where("n = size").select(*(F.col(f"kept_{c}").alias(c) for c in df.columns), *shard)
     cut = rows.where("n < size").withColumn("words", words).withColumn(f"kept_{text}", part)
     if "n_chars" in df.columns:
         cut = cut.withColumn("kept_n_chars", F.length(f"kept_{text}").cast(df.schema["n_chars"].dataType))
-    return whole.unionByName(cut.select(*(F.col(f"kept_{c}").alias(c) for c in df.columns)))
+    return whole.unionByName(cut.select(*(F.col(f"kept_{c}").alias(c) for c in df.columns), *shard))

@@ -171,6 +171,26 @@ def test_mix_draws(docs):
     assert sum(len(words(r.text)) for r in texts.collect()) == sum(r.taken for r in mixing.mix(docs, block_words=32, shard_slots=16).collect())
 
 
+def test_output_shards_hold_their_slots(docs):
+    how = {"block_words": 32, "shard_slots": 16}
+    m = mixing.Mix(docs, **how)
+    want = Counter()  # words of a shard by source: those of its slots
+    for r in m.slots.collect():
+        q, rest = divmod(r.source_size, r.n)
+        want[r.shard, r.source] += round((q + (r.block < rest)) * min(1.0, r.part))
+    want = +want
+    got, rows = Counter(), mixing.mix(docs, **how).collect()
+    for r in rows:
+        pairs = [tuple(map(int, x.split(":"))) for x in r.shards.split()]
+        assert pairs == sorted(set(pairs)) and sum(n for _, n in pairs) == r.taken
+        for shard, n in pairs:
+            got[shard, r.source] += n
+    texts = Counter()
+    for r in mixing.mix_texts(docs, shard_col="of_shard", **how).collect():
+        texts[r.of_shard, r.source] += len(words(r.text))
+    assert len({k for k, _ in want}) > 1 and got == want and texts == want
+
+
 def repeat_words(w):
     seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     mark = [False] * len(w)

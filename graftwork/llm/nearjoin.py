@@ -265,7 +265,17 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 
 
 def one_of_each(df: DataFrame, **how) -> DataFrame:
-    """The document of each class with the smallest id, with the columns of ``df``; rows with a null id all stay."""
-    id_col = how.get("id_col", "doc_id")
-    gone = near_classes(df, **how).where("class_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return df.join(gone, df[id_col] == F.col("gone_id"), "left_anti")
+    """One row of each class, that with the smallest id, with the columns of ``df``; a null id comes after all others.
+
+    Decided by row: of one id's rows those whose own text has an earlier near copy go, and repeated rows and copies with null
+    ids are copies like any others. Rows with a text that is null or has no words all stay.
+    """
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    if df.where(df[id_col].isNull()).isEmpty() and df.groupBy(id_col).count().where("count > 1").isEmpty():
+        gone = near_classes(df, **how).where("class_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+        return df.join(gone, df[id_col] == F.col("gone_id"), "left_anti")
+    # ids don't tell rows apart: numbers in the order of ids take their place
+    ordered = df.orderBy(df[id_col].asc_nulls_last(), F.xxhash64(df[text_col]), F.xxhash64(*df.columns))
+    rows = materialize(ordered.withColumn("number_of_row", F.monotonically_increasing_id()), "numbered")
+    gone = near_classes(rows, **(how | {"id_col": "number_of_row"})).where("class_id < doc_id").select(F.col("doc_id").alias("gone_id"))
+    return rows.join(gone, rows["number_of_row"] == F.col("gone_id"), "left_anti").drop("number_of_row")

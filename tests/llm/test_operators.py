@@ -374,6 +374,15 @@ def test_top_k_large_values(spark):
     assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(j, sum(a * b for a, b in zip(x[0], x[j], strict=True))) for j in (1, 2)]
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d), (4, None), (4, None), (5, "")]
+    want = [(1, a), (2, b), (3, c), (None, d), (4, None), (4, None), (5, "")]
+    of = lambda r: Counter(tuple(x) for x in nearjoin.one_of_each(spark.createDataFrame(r, "doc_id long, text string").repartition(3)).collect())
+    assert of(rows) == Counter(want)
+    assert of([r for r in dict(rows).items() if r[0]]) == Counter([(1, a), (2, b), (3, c), (4, None), (5, "")])
+
+
 def test_licenses(spark, docs, empty):
     mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][0]
     rows = [("a/LICENSE", mit), ("a/x.py", "no word of it"), ("a/b/c/y.py", None), ("a/b/z.py", "code\n" + apache + "\nmore code of many words that say nothing at all about it"), ("d/w.py", ""), ("a/e/copying", apache), ("a/e/f/v.py", "v"), (None, "x"), ("u.py", "u")]

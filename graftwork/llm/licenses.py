@@ -341,7 +341,7 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     files = materialize(best_notices(base, templates or TEMPLATES, hot_terms), "licenses")  # narrow, and used three times below
     files = files.withColumn("own", F.when(F.col("cosine") >= least, F.col("found"))).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     is_file = F.col("own").isNotNull() & (F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAMES), F.lit(False)) | F.col("mostly")) & F.col("path").isNotNull()
-    licensed = files.where(is_file).groupBy("dir").agg(F.min_by("own", F.struct(-F.col("cosine"), F.col("own"))).alias("given")).withColumnRenamed("dir", "at")
+    licensed = files.where(is_file).groupBy("dir").agg(F.min_by("own", F.struct(-F.round("cosine", 9), F.col("own"))).alias("given")).withColumnRenamed("dir", "at")
     dirs = files.where("own is null and path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     ups = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("up"))

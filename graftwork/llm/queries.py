@@ -34,11 +34,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Documents whose ids these numbers divide are named like license files; the second kind lies a folder higher.
+NAMED, HIGHER = 4, 12
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents lie in a tree of folders: source, then thousands of ids."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs, path)
+    folder = F.when(F.col("doc_id") % HIGHER != 0, F.floor(F.col("doc_id") / 1000).cast("string"))
+    name = F.concat(F.when(F.col("doc_id") % NAMED == 0, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return licenses.scan(docs, F.concat_ws("/", F.coalesce("source", F.lit("-")), folder, name))
 
 
 #: The audit's second replica is made here: records of these remainders by 97 are damaged or lost in it.

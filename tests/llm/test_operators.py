@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graftwork.llm import language, licenses, mixing, nearjoin, packing, quality, substring, tokens, topk, warc
+from graftwork.llm import language, licenses, mixing, nearjoin, packing, quality, queries, substring, tokens, topk, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that operators use inside.
@@ -442,6 +442,27 @@ def test_best_span_is_that_of_all_spans():
         assert known.best_span(words)[0] == pytest.approx(best)
 
 
+def test_inheritance_of_the_whole_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    known = licenses.Templates(licenses.TEMPLATES, Counter(t for r in docs if r.text for t in set(licenses._terms(r.text))), sum(bool(r.text) for r in docs))
+    own, where, given = {}, {}, {}
+    for r in docs:
+        words, runs = licenses.runs_of(r.text and r.text.encode())
+        cosine, name, n = max((known.best_span(x.split(" ")) for x in runs), default=(0.0, None, 0))
+        own[r.doc_id] = name if cosine >= licenses.LEAST else None
+        where[r.doc_id] = f"{r.source}" if r.doc_id % 12 == 0 else f"{r.source}/{r.doc_id // 1000}"
+        if own[r.doc_id] and (r.doc_id % 4 == 0 or 2 * n >= words):
+            given.setdefault(where[r.doc_id], []).append((-round(cosine, 9), name))
+    want = {}
+    for i, d in where.items():
+        up = next((x for x in (d, d.split("/")[0]) if x in given), None)
+        want[i] = own[i] or (up and min(given[up])[1])
+    rows = queries.op5_licenses(spark, sf).collect()
+    assert {r.doc_id: r.license for r in rows} == want
+    assert {r.how for r in rows} == {"file", "notice", "inherited", None} and any(r.from_dir and "/" not in r.from_dir and "/0/" in r.path for r in rows if r.how == "inherited")
+
+
 def test_cosine_is_that_of_dense_vectors():
     known = licenses.Templates(licenses.TEMPLATES)
     text = "Licensed under the Apache License, Version 3"

@@ -1,16 +1,20 @@
 """Token counts and ids of whole texts, exactly as the tokenizer's own library gives them.
 
-A byte-level BPE of the common kind first cuts a text by a pattern without look-behind. In that pattern no
-match runs from a non-space into a space, and a match that starts at a space followed by a non-space doesn't
-depend on what stands before. So every such space is a *stable boundary*: the ids of a text are the ids of
-what lies between stable boundaries, one after the other. Two things follow:
-
-* Stretches whose characters are all below U+0250, whose classes no Unicode version changes, and that hold
-  no special string are encoded by ``tiktoken`` with the ranks of the same vocabulary, which is several
-  times as fast; the rest goes through ``tokenizers`` itself. The ids are the same.
-* Huge documents are encoded in overlapping windows with offsets. Neighbouring windows are spliced at a
-  stable boundary in their overlap, if both give the same tokens around it; if the overlap has no such
-  place, it is widened until it has.
+A byte-level BPE of the common kind first cuts a text by a pattern without look-behind. A place between two characters is a
+*stable boundary* if every match that holds the first one ends there, whatever else the text has: then the ids of a text are
+those of what lies before it and those of what lies behind it, one after the other. By the pattern's alternatives these are:
+
+* a space followed by a non-space, seen from its left side (no match runs from a character into such a space);
+* the end of a run of letters, of digits or of other marks, but for an apostrophe before a letter, which may begin a contraction.
+
+What is a letter, digit or mark is told only for characters that were the same kind in Unicode 3.2 and are so now, so that no
+version of a library sees it differently; places inside special strings are left out. Two things follow:
+
+* Stretches whose characters are all below U+0250 and that hold no special string are encoded by ``tiktoken`` with the ranks
+  of the same vocabulary, which is several times as fast; the rest goes through ``tokenizers`` itself. The ids are the same.
+* Huge documents are encoded in overlapping windows with offsets. Neighbouring windows are spliced at a stable boundary in
+  their overlap, if both give the same tokens from there to the overlap's last one. An overlap without such a place is widened
+  before anything is encoded, and one whose windows disagree afterwards, so each stretch is encoded about once.
 
 Other ``.json`` tokenizers and ``.model`` files have no boundary that is proven stable; their library
 encodes those texts whole.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -36,6 +41,23 @@ WINDOW_CHARS = 16_384
 OVERLAP_CHARS = 256
 
 _stable = re.compile(r" (?=\S)")
+#: Kinds of characters in the cutting pattern; UNSURE: of which a library's Unicode version may think otherwise.
+UNSURE, BLANK, LETTER, DIGIT, MARK = range(5)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """The kind of each character of the Basic Multilingual Plane."""
+
+    def kind(c: str) -> int:
+        old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+        if c in "\t\n\v\f\r ":
+            return BLANK
+        if old != new or new[0] in "CZ":
+            return UNSURE
+        return LETTER if new[0] == "L" else DIGIT if new[0] == "N" else MARK
+
+    return np.array([kind(chr(i)) for i in range(0x10000)], np.uint8)
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -96,8 +118,8 @@ class Encoder:
             lengths = {i: len(b) for b, i in ranks.items()} | {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens") or []}
             self._bytes = np.zeros(max(lengths) + 1, np.int64)
             self._bytes[list(lengths)] = list(lengths.values())
-            special = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
-            self._odd = re.compile("|".join(["[^\x00-\u024f]", *special]))
+            self._special = [t["content"] for t in spec.get("added_tokens") or []]
+            self._odd = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, self._special)]))
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text, as unsigned 32-bit numbers."""
@@ -117,33 +139,55 @@ class Encoder:
         """Where the tokens of a window start, in bytes, and last where it ends."""
         return np.concatenate([[0], np.cumsum(self._bytes[self.ids(text)])])
 
+    def boundaries(self, text: str, lo: int, hi: int) -> np.ndarray:
+        """Stable boundaries p of a text with lo <= p < hi, 0 < p: text[:p] and text[p:] can be encoded apart."""
+        lo = max(1, lo)
+        if hi <= lo:
+            return np.empty(0, np.int64)
+        code = np.frombuffer(text[lo - 1 : hi + 1].encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = np.where(code < 0x10000, _kinds()[np.minimum(code, 0xFFFF)], UNSURE)
+        left, right = kind[: hi - lo], kind[1 : hi - lo + 1]
+        good = (left != right) & (left != UNSURE) & (left != BLANK) & (right != UNSURE) & ~((code[: hi - lo] == 39) & (right == LETTER))
+        if len(code) > hi - lo + 1:
+            after = kind[2:]
+        else:
+            after = np.append(kind[2:], np.uint8(UNSURE))
+        good |= (code[1 : hi - lo + 1] == 32) & (after != UNSURE) & (after != BLANK)
+        for special in self._special:
+            at = text.find(special, max(0, lo - len(special)))
+            while 0 <= at < hi:
+                good[max(0, at + 1 - lo) : max(0, at + len(special) - lo)] = False
+                at = text.find(special, at + 1)
+        return np.flatnonzero(good) + lo
+
     def _spliced(self, text: str, window: int, overlap: int) -> int:
-        window = max(2, window)
-        total, start, end, skip = 0, 0, min(window, len(text)), 0
-        at = self._offsets(text[:end])  # of the window text[start:end]; its first skip tokens are counted already
+        window, overlap = max(2, window), max(2, overlap)
+        total, start, skip, end = 0, 0, 0, min(max(2, window), len(text))
+        at = None  # offsets of the window text[start:end]; its first skip tokens are counted already
         while end < len(text):
-            wide = max(2, overlap)
-            while True:
-                begin = max(start, end - wide)
-                stop = min(max(end, begin + window), len(text))
-                at2 = self._offsets(text[begin:stop])
-                shared = text[begin:end]
-                lead = len(text[start:begin].encode())
-                # the windows' own edges are no boundaries of the text
-                places = [m.start() for m in _stable.finditer(shared) if m.start() and m.start() + 1 < len(shared)]
-                inside = np.array([len(shared[:p].encode()) for p in places], np.int64)
-                left, right = np.searchsorted(at, inside + lead), np.searchsorted(at2, inside)
-                same = len(places) > 1 and np.array_equal(at[left], inside + lead) and np.array_equal(at2[right], inside) and np.array_equal(np.diff(left), np.diff(right))
-                if same and left[mid := len(places) // 2] > skip:
-                    total += int(left[mid]) - skip
-                    start, end, at, skip = begin, stop, at2, int(right[mid])
-                    break
-                if begin == start:  # nothing is left to widen into: a wider window
-                    end = min(end + window, len(text))
-                    at = self._offsets(text[start:end])
-                    if end == len(text):
-                        break
-                wide *= 2
+            begin, wide = max(start + 1, end - overlap), overlap
+            places = self.boundaries(text, begin, end)
+            while not len(places) and end < len(text):  # only what is new is looked at
+                begin, end, wide = max(start + 1, end - 1), min(len(text), end + wide), 2 * wide
+                places, at = self.boundaries(text, begin, end), None
+            if end == len(text):
+                break
+            at = self._offsets(text[start:end]) if at is None else at
+            stop = min(len(text), max(end + 1, begin + window))
+            at2 = self._offsets(text[begin:stop])
+            lead, size = len(text[start:begin].encode()), {begin: 0}
+            for a, b in zip([begin, *places[:-1].tolist()], places.tolist(), strict=True):
+                size[b] = size[a] + len(text[a:b].encode())
+            inside = np.array([size[p] for p in places.tolist()], np.int64)
+            left, right = np.searchsorted(at, inside + lead), np.searchsorted(at2, inside)
+            same = np.array_equal(at[left], inside + lead) and np.array_equal(at2[right], inside) and np.array_equal(at[left[0] : left[-1] + 1] - lead, at2[right[0] : right[-1] + 1])
+            mid = len(places) // 2
+            if same and left[mid] >= skip and places[mid] > start:
+                total += int(left[mid]) - skip
+                start, end, at, skip = begin, stop, at2, int(right[mid])
+            else:  # the windows disagree: a wider overlap, up to twice the window
+                end, at = min(len(text), end + max(overlap, end - start)), None
+        at = self._offsets(text[start:end]) if at is None else at
         return total + len(at) - 1 - skip
 
 

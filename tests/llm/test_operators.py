@@ -74,6 +74,31 @@ def test_windows_agree_with_the_library():
         assert enc.count(text, rng.randint(2, 50), rng.randint(1, 20)) == len(want)
 
 
+def test_boundaries_are_stable():
+    enc, rng = tokens.Encoder(PATH), random.Random(2)
+    bits = [" ", "\n", "the", "'", "'s", "re", "1", "!", "é", "漢字", "。", "<|endoftext|>", "<|end", "\x1c", "\u0378", "٣", "\u3000"]
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 30)))
+        want = enc._whole(text)
+        for p in enc.boundaries(text, 0, len(text)).tolist():
+            assert enc._whole(text[:p]) + enc._whole(text[p:]) == want
+
+
+@pytest.mark.parametrize("text", ["漢字" * 60_000, "漢字日本語。" * 20_000, "aB3+/x9" * 20_000, "x" * 120_000, "some words " * 12_000])
+def test_huge_texts_are_encoded_about_once(monkeypatch, text):
+    enc, sizes = tokens.Encoder(PATH), []
+    whole, ids = len(enc.ids(text)), enc.ids
+    monkeypatch.setattr(enc, "ids", lambda t: sizes.append(len(t)) or ids(t))
+    assert enc.count(text) == whole and sum(sizes) <= 1.1 * len(text)
+
+
+def test_ids_of_all_texts_are_the_library_s(spark):
+    enc = tokens.Encoder(PATH)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        text = r.text or ""
+        assert enc.ids(text).tolist() == enc._whole(text) and enc.count(text, 3000, 64) == len(enc._whole(text))
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_other_tokenizers(docs, name):
     rows = tokens.count_tokens(docs.where("doc_id in (1, 4, 15)"), public_tokenizers.path(name)).collect()

@@ -399,6 +399,49 @@ def test_top_k_large_values(spark):
     assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(j, sum(a * b for a, b in zip(x[0], x[j], strict=True))) for j in (1, 2)]
 
 
+def test_top_k_of_values_beyond_a_long(spark):
+    """Scores are cut to a long before they are compared; a component that can't be scaled takes its row out."""
+    df = spark.createDataFrame([(0, [1e20]), (3, [1e20]), (2, [3e20]), (5, [-1e20]), (6, [1e-3]), (7, [1e308])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(topk.top_k(df, F.col("vec_id") == 0, k=4).collect(), key=lambda r: r["rank"])]
+    assert got == [(2, topk.LONG[1]), (3, topk.LONG[1]), (6, 0), (5, topk.LONG[0])]
+
+
+def test_top_k_over_many_cells(spark, monkeypatch):
+    """Clustered vectors, a crowd of equal ones, more shards than cells: as brute force, and bounds keep queries from most cells."""
+    monkeypatch.setattr(topk, "MAX_CELLS", 16)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(16, 4)) * 8
+    rows = [(i, [float(x) for x in centre[i % 16] + rng.normal(size=4) * 0.1]) for i in range(1200)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1200, 1700)] + [(i, [float(i % 3), 1.0]) for i in range(1700, 1760)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    good = [(i, np.floor(64 * np.float32(v).astype(float)).astype(int)) for i, v in rows]
+    want = Counter()
+    for i, v in good:
+        if i % 20 == 0:
+            found = sorted((-int(v @ u), j) for j, u in good if j != i and len(u) == len(v))[:7]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(found))
+    routed, route = [], topk._route
+    monkeypatch.setattr(topk, "_route", lambda *a: (out := route(*a), routed.append(out.count()))[0])
+    assert Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, shard_rows=40, leaf_rows=8).collect())) == want
+    assert len(routed) > 1 and sum(routed) < 16 * 88 / 2
+
+
+def test_kd_tree_is_walked_best_first():
+    rng = np.random.default_rng(3)
+    x, ids = np.floor(rng.normal(size=(2000, 3)) * 100), np.arange(2000)
+    tree = topk.build(ids, x, 16)
+    for n, (a, b) in enumerate(tree["rows"]):  # boxes are tight, and children split their parent's rows
+        assert (tree["lo"][n] == tree["x"][a:b].min(0)).all() and (tree["hi"][n] == tree["x"][a:b].max(0)).all()
+        if tree["kids"][n][0]:
+            left, right = tree["rows"][tree["kids"][n]]
+            assert left[0] == a and left[1] == right[0] and right[1] == b
+    best = topk.Best(np.full(30, -1), x[:30], np.full(30, -np.inf), 5)
+    taken = best.walk(tree)
+    for q in range(30):
+        want = sorted((-s, i) for i, s in enumerate((x @ x[q]).tolist()))[:5]
+        assert list(zip((-best.s[best.q == q]).tolist(), best.v[best.q == q].tolist(), strict=True)) == want
+    assert taken < 30 * len(tree["lo"]) / 4
+
+
 def test_one_row_of_each_class_stays(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d), (4, None), (4, None), (5, "")]

@@ -1,12 +1,14 @@
 """Quality rules: log-likelihood ratio of hashed n-grams between trusted documents and the whole corpus.
 
-Words, their forms, and pairs and triples of forms are hashed into ``buckets``; pairs of words are not counted. Two smoothed multinomials are counted: one over the trusted documents,
-one over every document of the corpus. A document's score is the mean, over its own n-grams, of log(trusted / corpus): the
-log-likelihood ratio divided by the length, so long texts aren't favoured. It is kept if that is at least ``threshold``;
-nothing is drawn at random.
+Words, word pairs, the forms of words, and pairs and triples of forms are hashed into ``buckets``. Two smoothed multinomials are
+counted: one over the trusted documents, one over every document of the corpus. A document's score is the mean, over its own
+n-grams, of log(trusted / corpus): the log-likelihood ratio divided by the length, so long texts aren't favoured. It is kept if
+that is at least ``threshold``; nothing is drawn at random.
 
-Features are shapes as well as words: the form of each word (its case, its letters' share and the marks at its end) tells
-about documents whose words were never seen before.
+The form of a word (its case, its letters' share and the marks at its end) tells about documents whose words were never seen before.
+
+Texts are read a slice of a batch at a time: all words of the slice become numbers once, and everything else is arithmetic on
+arrays over all of its words, with the document of each.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column_of, hash_words, mix64, slices, small_batches, split_words, window_hashes
+from .common import CACHE_ENTRIES, U64, column_of, mix64, slices, small_batches, split_words, window_hashes
 
-BUCKETS = 1 << 16
+#: A power of two.
+BUCKETS = 1 << 17
 #: Documents whose labels say they are good, at most: the model is fitted on this many of them, by a hash of their id.
 TRUSTED_ROWS = 20_000
 #: Counts that the trusted side is thought to have in each bucket beforehand, in the corpus's proportion: rare n-grams say little.
@@ -29,6 +33,8 @@ PRIOR = 2.0
 THRESHOLD = -0.2
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 WINDOW = 8
+#: Bytes of text that are looked at together.
+SLICE = 2 << 20
 MIN_WORDS = 20
 MOST_REPEATED = (30, 100)
 
@@ -40,48 +46,81 @@ def _shape(word: bytes) -> bytes:
     return b"\0" + case + word[len(core) :][:4]
 
 
-class _Forms(dict):
+class _Numbers(dict):
+    """word -> its number; words met for the first time are put on a list."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
-        value = int(hash_words([_shape(word)])[0])
-        if len(word) <= 32:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = value
-        return value
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class _Vocabulary:
+    """Hash, hash of the form and characters of each word met so far; it starts anew when it has grown too large."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self.facts = np.empty((3, 0), U64)
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """[hash, form, characters] x word"""
+        if len(self.numbers) > CACHE_ENTRIES:
+            self.__init__()
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if new := self.numbers.new:
+            hashes = (map(xxhash.xxh3_64_intdigest, new), map(xxhash.xxh3_64_intdigest, map(_shape, new)), (len(x.decode()) for x in new))
+            self.facts = np.concatenate([self.facts, np.stack([np.fromiter(x, U64, len(new)) for x in hashes])], axis=1)
+            self.numbers.new = []
+        return self.facts[:, at]
 
 
-_forms = _Forms()
+_vocabulary = _Vocabulary()
+
+
+class Words:
+    """All words of several texts: hash, form (its hash), characters, and the text that each is in."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        each = [split_words(x) for x in texts]
+        self.texts = len(texts)
+        self.count = np.fromiter(map(len, each), np.int64, len(each))
+        self.hash, self.form, self.chars = _vocabulary.look_up([w for x in each for w in x])
+        self.doc = np.repeat(np.arange(len(each)), self.count)
+
+    def windows(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of runs of n words within a text, and where they start."""
+        at = np.flatnonzero(self.doc[: len(h) - n + 1] == self.doc[n - 1 :]) if len(h) >= n else np.empty(0, np.int64)
+        return window_hashes(h, n)[at], at
+
+
+def features(w: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all texts, and the text of each."""
+    with np.errstate(over="ignore"):
+        pair, at2 = w.windows(w.hash, 2)
+        again = np.where(w.hash[at2] == w.hash[at2 + 1], U64(1), U64(2)) if len(at2) else pair
+        form2, _ = w.windows(w.form, 2)
+        form3, at3 = w.windows(w.form, 3)
+        grams = [mix64(w.hash), mix64(w.form), pair, form2, again, form3]
+    return (np.concatenate(grams) & U64(buckets - 1)).astype(np.int64), np.concatenate([w.doc, w.doc, *[w.doc[at2]] * 3, w.doc[at3]])
 
 
-def features(words: list[bytes], h: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets of a text's n-grams: its words, and pairs and triples of their forms."""
-    if not words:
-        return np.empty(0, np.int64)
-    form = np.fromiter(map(_forms.__getitem__, words), U64, len(words))
+def repeated_words(w: Words) -> np.ndarray:
+    """For each text, its words in windows of 8 words that occur twice or more in the text, the first one included."""
+    found, at = w.windows(w.hash, WINDOW)
     with np.errstate(over="ignore"):
-        same = h[1:] == h[:-1]
-        grams = [mix64(h), mix64(form), window_hashes(form, 2), window_hashes(form, 3), np.where(same, U64(1), U64(2))]
-    return (np.concatenate(grams) % U64(buckets)).astype(np.int64)
-
-
-def repeated_words(h: np.ndarray) -> int:
-    """Words in windows of 8 words that occur twice or more in the text, the first one included."""
-    w = window_hashes(h, WINDOW)
-    if len(w) < 2:
-        return 0
-    order = np.argsort(w, kind="stable")
-    s = w[order]
-    eq = s[1:] == s[:-1]
-    if not eq.any():
-        return 0
-    twice = np.zeros(len(w) + 1, bool)
-    twice[order[1:][eq]] = True
-    twice[order[:-1][eq]] = True
-    edge = np.zeros(len(h) + 1, np.int32)
-    at = np.flatnonzero(twice)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + WINDOW, -1)
-    return int((np.cumsum(edge[:-1]) > 0).sum())
+        key = mix64(found + w.doc[at].astype(U64) * U64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twice = np.zeros(len(key), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    edge = np.zeros(len(w.hash) + 1, np.int32)
+    edge[at[twice]] += 1
+    edge[at[twice] + WINDOW] -= 1
+    return np.bincount(w.doc[np.cumsum(edge[:-1]) > 0], minlength=w.texts)
 
 
 def count_grams(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -90,13 +129,11 @@ def count_grams(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for text, trusted in zip(column_of(batch, "text"), batch.column(batch.schema.get_field_index("trusted")).to_pylist(), strict=True):
-                    words = split_words(text)
-                    got = np.bincount(features(words, hash_words(words), buckets), minlength=buckets)
-                    total[1] += got
-                    if trusted:
-                        total[0] += got
+            for batch in slices(whole, "text", SLICE):
+                bucket, doc = features(Words(column_of(batch, "text")), buckets)
+                trusted = np.array(batch.column(batch.schema.get_field_index("trusted")).to_pylist(), bool)
+                total[1] += np.bincount(bucket, minlength=buckets)
+                total[0] += np.bincount(bucket[trusted[doc]], minlength=buckets)
         some = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "trusted", "corpus"])
 
@@ -138,25 +175,25 @@ def score(df: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, id_col
     kept = chosen.schema.fields[1:-1]
     schema = ", ".join([f"doc_id {chosen.schema[0].dataType.simpleString()}", *(f"{c} long" for c in _LONGS), "base_failed boolean, kept boolean, llr double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
 
-    def measure(text: bytes | None, ratio: np.ndarray) -> tuple:
-        words = split_words(text)
-        if not words:
-            return 0, 0, sum(map((text or b"").count, SYMBOLS)), 0, 0, True, False, 0.0
-        h = hash_words(words)
-        chars = len(text.decode()) - (len(text) - sum(map(len, words)))
-        lines = [x for x in text.split(b"\n") if x.strip()]
-        repeated = repeated_words(h)
-        failed = len(words) < MIN_WORDS or MOST_REPEATED[1] * repeated > MOST_REPEATED[0] * len(words)
-        llr = float(ratio[features(words, h, len(ratio))].mean(dtype=np.float64))
-        return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, not failed and llr >= threshold, llr
+    def lines(text: bytes | None) -> int:
+        if not text or b"\n" not in text:
+            return 0
+        some = [x for x in text.split(b"\n") if x.strip()]
+        return len(some) - len(set(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
         for whole in batches:
-            for batch in slices(whole, "text"):
-                cols = list(zip(*(measure(x, ratio) for x in column_of(batch, "text")), strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds), *batch.columns[1:-1]], ["doc_id", *_LONGS, "base_failed", "kept", "llr", *(f.name for f in kept)])
+            for batch in slices(whole, "text", SLICE):
+                texts = column_of(batch, "text")
+                w = Words(texts)
+                bucket, doc = features(w, len(ratio))
+                llr = np.bincount(doc, ratio[bucket], w.texts) / np.maximum(np.bincount(doc, minlength=w.texts), 1)
+                repeated = repeated_words(w)
+                failed = (w.count < MIN_WORDS) | (MOST_REPEATED[1] * repeated > MOST_REPEATED[0] * w.count)
+                longs = [w.count, np.bincount(w.doc, w.chars.astype(np.float64), w.texts).astype(np.int64), [sum(map((x or b"").count, SYMBOLS)) for x in texts], list(map(lines, texts)), repeated]
+                cols = [*(pa.array(x, pa.int64()) for x in longs), pa.array(failed), pa.array(~failed & (llr >= threshold)), pa.array(llr, pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *batch.columns[1:-1]], ["doc_id", *_LONGS, "base_failed", "kept", "llr", *(f.name for f in kept)])
 
     return small_batches(chosen).mapInArrow(run, schema)
 

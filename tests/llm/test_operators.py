@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graftwork.llm import language, licenses, mixing, nearjoin, packing, quality, queries, substring, tokens, topk, warc
+from graftwork.llm import common, language, licenses, mixing, nearjoin, packing, quality, queries, substring, tokens, topk, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that operators use inside.
@@ -225,6 +226,33 @@ def repeat_words(w):
     return sum(mark)
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * factor) & MASK
+    return x ^ (x >> 31)
+
+
+def grams_of(text, buckets):
+    """Buckets of a text's n-grams, one at a time in whole numbers."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in words(text)]
+    form = [xxhash.xxh3_64_intdigest(quality._shape(w)) for w in words(text)]
+
+    def runs(x, n):
+        out = []
+        for i in range(len(x) - n + 1):
+            v = 0
+            for y in x[i : i + n]:
+                v = (v * 0x9E3779B97F4A7C15 + y) & MASK
+            out.append(mixed(v))
+        return out
+
+    again = [1 if a == b else 2 for a, b in zip(h, h[1:], strict=False)]
+    return Counter(x % buckets for x in [*map(mixed, h), *map(mixed, form), *runs(h, 2), *runs(form, 2), *runs(form, 3), *again])
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (7, 1, 0), (12, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     ratio = quality.fit(docs, labels)
@@ -236,22 +264,45 @@ def test_quality(spark, docs, empty):
         rep = repeat_words(w)
         want[i, len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), rep, len(w) < 20 or 100 * rep > 30 * len(w)] += 1
     assert got == want
-    texts = {i: t for i, t, *_ in awkward()}
-    for r in quality.score(docs, ratio).where("doc_id in (3, 12)").collect():
-        f = quality.features(words(texts[r.doc_id]), quality.hash_words(words(texts[r.doc_id])), len(ratio))
-        assert r.llr == pytest.approx(ratio[f].mean(dtype=float)) and r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+    # the model and the scores from counts of n-grams taken one at a time
+    counts = np.zeros((2, quality.BUCKETS))
+    for i, t, *_ in awkward():
+        for b, n in grams_of(t, quality.BUCKETS).items():
+            counts[:, b] += n * (i in (1, 2, 7)), n
+    expected = counts[1] * counts[0].sum() / counts[1].sum()
+    known = np.log((counts[0] + quality.PRIOR) / (expected + quality.PRIOR))
+    assert np.allclose(ratio, known, atol=1e-5)
+    texts = defaultdict(set)
+    for i, t, *_ in awkward():
+        texts[i].add(t)
+    for r in quality.score(docs, ratio).where("doc_id <> 16").collect():
+        grams = grams_of(next(iter(texts[r.doc_id])), quality.BUCKETS)
+        llr = sum(known[b] * n for b, n in grams.items()) / max(1, grams.total())
+        assert r.llr == pytest.approx(llr, abs=1e-5) and r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
     assert not quality.fit(docs, labels.limit(0)).any()
     assert quality.score(empty, quality.fit(empty, labels)).count() == 0
     assert quality.kept_documents(docs, ratio).columns == docs.columns
 
 
-def test_quality_counts(spark, docs):
+def test_quality_counts(docs):
     marked = docs.select("text", (F.coalesce(F.col("doc_id") == 1, F.lit(False))).alias("trusted"))
-    got, want = quality.count_grams(marked, 512), np.zeros((2, 512))
+    want = np.zeros((2, 512))
     for i, t, *_ in awkward():
-        f = np.bincount(quality.features(words(t), quality.hash_words(words(t)), 512), minlength=512)
-        want += [f * (i == 1), f]
-    assert np.array_equal(got, want)
+        for b, n in grams_of(t, 512).items():
+            want[:, b] += n * (i == 1), n
+    assert np.array_equal(quality.count_grams(marked, 512), want)
+
+
+def test_quality_held_out(spark):
+    """Labelled documents that the model wasn't fitted on."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = quality.score(docs, quality.fit(docs, labels.where(fitted))).join(labels.where(~fitted), "doc_id").where("not base_failed")
+    by = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    print(by)
+    assert by.get((1, True), 0) >= 0.98 * (by.get((1, True), 0) + by.get((1, False), 0)) and by.get((0, False), 0) >= 0.9 * (by.get((0, True), 0) + by.get((0, False), 0)) > 0
 
 
 def test_substring(docs, empty):
@@ -276,10 +327,10 @@ def test_substring(docs, empty):
 
 
 def test_substring_crowds(docs, monkeypatch):
-    """Anchors with many passages go another way, with the same result."""
+    """Anchors with many passages are cut into windows, and large tables joined by a shuffle, with the same result."""
     want = sorted(map(str, substring.remove_repeats(docs, 8).collect()))
-    monkeypatch.setattr(substring, "MOST_PASSAGES", 0)
-    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substring, "CROWD", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(map(str, substring.remove_repeats(docs, 8).collect())) == want
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..storage import materialize  # noqa: F401
 
@@ -19,14 +20,24 @@ U64 = np.uint64
 BATCH_ROWS = 1000
 
 
+#: A table of at most so many bytes is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself; its session's Arrow batches are made smaller, unless the user has set their size."""
+    """``df`` itself; its session's Arrow batches are made smaller, unless the user has set their size, to whatever."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(key):
         df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A stored table, to be broadcast if its rows, of ``row_bytes`` each, add up to BROADCAST_BYTES at most; else as it is."""
+    size = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     """A column as Python values; strings as their UTF-8 bytes."""
     col = batch.column(batch.schema.get_field_index(name))

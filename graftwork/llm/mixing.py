@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1024
 SHARD_SLOTS = 4096
 #: Rows of a source that are put in order together, on average.
 BUCKET_ROWS = 2000
-#: The table of sources is broadcast; more of them are refused.
-MOST_SOURCES = 100_000
+#: Repeats of one row that are laid out by one task.
+REPEATS = 1024
 
 
 def target_sizes(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -46,22 +46,34 @@ def target_sizes(sizes: DataFrame, weights: tuple[float, ...], share: float, cap
     return r.select("source", "source_size", F.least(most, F.coalesce(F.col("level") * F.col("w"), most)).alias("target"))
 
 
-def lay_out(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size and start: the words of its source before it. ``keep``: more columns, as they are.
+def lay_out(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: Column | None = None) -> DataFrame:
+    """doc_id, source, size, mark (a hash of the row), m (how many rows are like this one) and start: the words of its source before it.
 
-    Order within a source: by a hash bucket of the id, then id, then size. Rows of a bucket are put in order in one task;
-    buckets hold about BUCKET_ROWS rows whatever the source's share, and their totals are summed up in a second step.
+    Texts are read once. Order within a source: by a bucket of the hashes of id and row, then id, size and row hash, so rows of one
+    id have an order too. Equal rows are counted before anything is dealt out; buckets hold about BUCKET_ROWS rows whatever the
+    source's share, and their totals are summed up in a second step.
     """
-    docs = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(df[c].alias(f"kept_{c}") for c in keep))
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    inner = W.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    docs = docs.withColumn("upto", F.sum("size").over(inner))
+    mark = F.xxhash64(df[text_col]) if mark is None else mark
+    rows = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mark.alias("mark"))
+    docs = materialize(rows.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("m")), "sizes")
+    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
+    inner = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, 0)
+    docs = docs.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(inner))
     totals = docs.groupBy("source", "bucket").agg(F.max("upto").alias("total"))
     outer = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = totals.withColumn("base", F.coalesce(F.sum("total").over(outer), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
     joined = docs.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"), *(f"kept_{c}" for c in keep))
+    return joined.select("doc_id", "source", "size", "mark", "m", (F.col("base") + F.col("upto") - F.col("size") * F.col("m")).alias("start"))
+
+
+def each_row(docs: DataFrame) -> DataFrame:
+    """A row of its own, with its own start, for each of the rows that were counted together."""
+    every = lambda d, lo, hi: d.withColumn("i", F.explode(F.sequence(lo, hi))).withColumn("start", F.col("start") + F.col("i") * F.col("size")).drop("i")
+    few = every(docs.where(F.col("m") <= REPEATS), F.lit(0).cast("long"), F.col("m") - 1)
+    many = docs.where(F.col("m") > REPEATS).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("m") - 1).cast("long"), F.lit(REPEATS).cast("long"))))
+    many = many.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "mark", "lot")
+    return few.unionByName(every(many, F.col("lot"), F.least(F.col("lot") + REPEATS, F.col("m")) - 1).drop("lot"))
 
 
 def plan_sources(sizes: DataFrame, weights, share, cap, block_words: int) -> DataFrame:
@@ -118,13 +130,14 @@ def block_of(pos: Column) -> Column:
 
 
 def _takes(slots: DataFrame) -> DataFrame:
-    """How often each block is taken whole, the share of it that a last slot takes, and ``by``: which shards take it."""
-    return slots.groupBy("source", "block").agg(F.count(F.when(F.col("part") >= 1, 1)).alias("whole"), F.coalesce(F.max(F.when(F.col("part") < 1, F.col("part"))), F.lit(0.0)).alias("part"), F.sort_array(F.collect_list(F.struct("shard", "epoch", (F.col("part") >= 1).alias("all")))).alias("by"))
+    """How often each block is taken whole, the share of it that a last slot takes, and ``by``: its slots, whole ones first."""
+    by = F.sort_array(F.collect_list(F.struct((F.col("part") < 1).alias("cut"), "epoch", "shard")))
+    return slots.groupBy("source", "block").agg(F.count(F.when(F.col("part") >= 1, 1)).alias("whole"), F.coalesce(F.max(F.when(F.col("part") < 1, F.col("part"))), F.lit(0.0)).alias("part"), by.alias("by"))
 
 
 def _overlaps(docs: DataFrame, plan: DataFrame, takes: DataFrame, keys: list[str]) -> DataFrame:
     """(document, block) pairs with the words a..b of the document in it, the whole takes of it, ``to``: where a part ends, and ``by``: its shards."""
-    d = docs.where("size > 0").select(*keys).join(F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "n")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    d = docs.where("size > 0").select(*keys).join(_named(plan, "source_size", "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     d = d.withColumn("block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1))))
     t = takes.select(F.col("source").alias("s"), F.col("block").alias("j"), "whole", "part", "by").hint("merge")  # it grows with the data
     d = d.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j"))).drop("s", "j")
@@ -136,17 +149,21 @@ def _overlaps(docs: DataFrame, plan: DataFrame, takes: DataFrame, keys: list[str
     return d.select(*keys, a.alias("a"), b.alias("b"), "whole", F.greatest(a, F.least(b, to)).alias("to"), "by")
 
 
+def _named(plan: DataFrame, *columns: str) -> DataFrame:
+    return broadcast_if_small(plan.select(F.col("source").alias("s"), *columns), F.lit(64) + F.coalesce(F.octet_length(F.col("s").cast("string")), F.lit(0)))
+
+
 class Mix:
-    """The parts of a mix: ``docs`` (laid out), ``sources``, ``slots``; all are DataFrames."""
+    """The parts of a mix: ``docs`` (laid out, a row for each row), ``sources``, ``slots``; all are DataFrames."""
 
-    def __init__(self, df: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> None:
+    def __init__(self, df: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: Column | None = None) -> None:
         if share > cap or min(weights) <= 0 or block_words < 1:
             raise ValueError("weights must be positive, and share at most cap")
-        self.docs = materialize(lay_out(df, id_col, text_col, source_col, keep), "mix")
-        sizes = self.docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+        laid = materialize(lay_out(df, id_col, text_col, source_col, mark), "mix")
+        sizes = laid.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
+        self.docs = each_row(laid)
+        # a row for each source; the running sums over them are one task's work
         self.sources = materialize(plan_sources(sizes, tuple(map(float, weights)), share, cap, block_words), "sources")
-        if self.sources.count() > MOST_SOURCES:
-            raise ValueError(f"over {MOST_SOURCES} sources")
         self.slots = draw_slots(self.sources, shard_slots, seed)
 
 
@@ -156,12 +173,13 @@ def mix(df: DataFrame, **how) -> DataFrame:
 
     A row for each row of ``df``. Null texts have size 0; a null source is a source of its own, last in order; null ids
     stay null; repeated rows each have their own place; a document without words, or of a source without any, takes 0;
-    an empty table gives an empty result. Reruns agree: all draws are hashes of ``seed``, source and index.
+    an empty table gives an empty result. Reruns agree: all draws are hashes of ``seed``, source and index, and rows of one id
+    are told apart by their texts.
     """
     m = Mix(df, **how)
     taken = F.col("whole") * (F.col("b") - F.col("a")) + F.col("to") - F.col("a")
     keys = ["doc_id", "source", "size", "start"]
-    by = F.transform("by", lambda x: F.struct(x["shard"].alias("shard"), (F.when(x["all"], F.col("b")).otherwise(F.col("to")) - F.col("a")).alias("n")))
+    by = F.transform("by", lambda x: F.struct(x["shard"].alias("shard"), (F.when(x["cut"], F.col("to")).otherwise(F.col("b")) - F.col("a")).alias("n")))
     got = _overlaps(m.docs, m.sources, _takes(m.slots), keys).groupBy("source", "start").agg(F.sum(taken).alias("taken"), F.flatten(F.collect_list(by)).alias("by"))
     some = F.filter("by", lambda x: x["n"] > 0)
     of = lambda shard: F.aggregate(F.filter(some, lambda x: x["shard"] == shard), F.lit(0).cast("long"), lambda n, x: n + x["n"])
@@ -169,35 +187,45 @@ def mix(df: DataFrame, **how) -> DataFrame:
     got = got.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken", shards.alias("shards")).hint("merge")
     some = m.docs.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")), "left").select(*keys, "taken", "shards")
     rows = some.unionByName(m.docs.where("size = 0").select(*keys, F.lit(None).cast("long").alias("taken"), F.lit("").alias("shards")))
-    plan = F.broadcast(m.sources.select(F.col("source").alias("s"), "source_size", "target"))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
+    return rows.join(_named(m.sources, "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def mix_texts(df: DataFrame, shard_col: str | None = None, **how) -> DataFrame:
-    """The mix itself, in the columns of ``df``: a row for each copy of a document that the mix takes.
+    """The mix itself, in the columns of ``df``: a row for each copy of a document that the mix takes, shard by shard.
+
+    A copy taken whole keeps its text as it is; of one taken in part, the words taken are joined by a space. A copy belongs to
+    the shard of the slot that takes its first words; the rows of a shard lie in one partition, in pseudorandom order, so
+    that sources are mixed in what is written. With ``shard_col``, a further column of that name, copies are cut where shards
+    are: a row for the words of a document that a shard takes in an epoch. Rows without words aren't in the mix; null ids and
+    sources, repeated rows and empty tables are as in ``mix``.
 
-    A copy taken whole keeps its text as it is; of one taken in part, the words taken are joined by a space.
-    With ``shard_col``, a further column of that name, the rows are the output shards' own: a row for the words of a
-    document that a shard takes in an epoch.
+    Texts meet the mix once, at the end, by id and a hash of the whole row.
     """
-    text = how.get("text_col", "text")
-    keys = ["source", "start", "size"]
-    m = Mix(df, keep=tuple(df.columns), **how)
-    o = _overlaps(m.docs, m.sources, _takes(m.slots), keys)
+    id_col, text = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    keys = ["doc_id", "source", "size", "start", "mark", "m"]
+    mark = F.xxhash64(*(df[c] for c in df.columns))
+    m = Mix(df, mark=mark, **how)
+    o = _overlaps(m.docs, m.sources, _takes(m.slots), keys).select(*keys, "a", "b", "to", F.posexplode("by").alias("copy", "x"))
+    o = o.withColumn("end", F.when(F.col("x.cut"), F.col("to")).otherwise(F.col("b"))).where("end > a")
     if shard_col:
-        o = o.withColumn("x", F.explode("by")).withColumn("end", F.when(F.col("x.all"), F.col("b")).otherwise(F.col("to"))).where("end > a")
         o = o.withColumn("copy", F.struct("x.shard", "x.epoch"))
-    else:
-        o = o.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("whole") + 1).cast("int"))))
-        o = o.withColumn("end", F.when(F.col("copy") <= F.col("whole"), F.col("b")).otherwise(F.col("to"))).where("end > a")
-    got = o.groupBy("source", "start", "copy").agg(F.sum(F.col("end") - F.col("a")).alias("n"), F.sort_array(F.collect_list(F.struct("a", "end"))).alias("runs"))
-    got = got.withColumnsRenamed({"source": "s", "start": "at"})
-    rows = m.docs.where("size > 0").join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")))
+    got = o.groupBy(*keys, "copy").agg(F.sum(F.col("end") - F.col("a")).alias("n"), F.sort_array(F.collect_list(F.struct("a", "end"))).alias("runs"), F.min_by("x.shard", "a").alias("shard"))
+    got = materialize(got.select(F.col("doc_id").alias("of"), "size", F.xxhash64("mark", "start", "copy").alias("place"), F.col("mark").alias("marked"), "m", "n", "runs", "shard"), "taken")
+    texts = df.select(*(df[c].alias(f"kept_{c}") for c in df.columns), mark.alias("mark"))
+    same = lambda a, b: a[f"kept_{id_col}"].eqNullSafe(b["of"]) & (a["mark"] == b["marked"])
+    size = F.lit(96) + 16 * F.size("runs")
+    once = broadcast_if_small(got.where("m = 1"), size)
+    rows = texts.join(once, same(texts, once))
+    many = got.where("m > 1")
+    if not many.isEmpty():  # equal rows: one of them stands for all, and is met by each copy of each
+        names = many.select("of", "marked").distinct()
+        one = texts.join(names, same(texts, names), "left_semi").dropDuplicates([f"kept_{id_col}", "mark"])
+        rows = rows.unionByName(one.join(many, same(one, many)))
     words = F.regexp_extract_all(F.col(f"kept_{text}"), F.lit(WORD), 0)
     part = F.array_join(F.flatten(F.transform("runs", lambda x: F.slice("words", (x["a"] + 1).cast("int"), (x["end"] - x["a"]).cast("int")))), " ")
-    shard = [F.col("copy.shard").alias(shard_col)] if shard_col else []
-    whole = rows.where("n = size").select(*(F.col(f"kept_{c}").alias(c) for c in df.columns), *shard)
-    cut = rows.where("n < size").withColumn("words", words).withColumn(f"kept_{text}", part)
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    rows = rows.withColumn("words", F.when(F.col("n") < F.col("size"), words)).withColumn("part", F.when(F.col("n") < F.col("size"), part))
+    out = {text: F.coalesce("part", f"kept_{text}")}
     if "n_chars" in df.columns:
-        cut = cut.withColumn("kept_n_chars", F.length(f"kept_{text}").cast(df.schema["n_chars"].dataType))
-    return whole.unionByName(cut.select(*(F.col(f"kept_{c}").alias(c) for c in df.columns), *shard))
+        out["n_chars"] = F.when(F.col("part").isNotNull(), F.length("part")).otherwise(F.col("kept_n_chars")).cast(df.schema["n_chars"].dataType)
+    return rows.select(*(out.get(c, F.col(f"kept_{c}")).alias(c) for c in df.columns), *([F.col("shard").alias(shard_col)] if shard_col else []))

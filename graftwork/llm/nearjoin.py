@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column_of, hash_words, materialize, slices, small_batches, split_words, window_hashes
+from .common import U64, broadcast_if_small, column_of, hash_words, materialize, slices, small_batches, split_words, window_hashes
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -34,7 +34,8 @@ BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-6
 CHUNK = 256
-BROADCAST_ROWS = 300_000
+#: Shares that the copies of one text are dealt to when they get their class.
+SALTS = 8
 
 
 @lru_cache(1)
@@ -136,6 +137,11 @@ def link(members: list[tuple[int, np.ndarray, np.ndarray, bool]], within: bool,
             yield k, x
 
 
+def _digest(text: bytes | None) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(text or b"")
+    return d & ((1 << 63) - 1), d >> 65
+
+
 def _profile(rows: DataFrame) -> DataFrame:
     """(doc, text) -> doc, two hashes of the words, the signature's bands; a text without words has none."""
 
@@ -144,9 +150,8 @@ def _profile(rows: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 digest, keys = [], []
                 for text in column_of(batch, "text"):
-                    d = xxhash.xxh3_128_intdigest(text or b"")
                     s = shingles(text)
-                    digest.append((d & ((1 << 63) - 1), d >> 65))
+                    digest.append(_digest(text))
                     keys.append(bands(signature(s)[None])[0].view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*digest, strict=True)), pa.array(keys, pa.list_(pa.int64()))], ["doc", "d1", "d2", "bands"])
 
@@ -172,10 +177,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id linked to it, directly or not), n_links (documents linked to it directly).
 
@@ -188,11 +189,12 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     profile = materialize(_profile(rows), "profile")
     some = profile.where("doc is not null and bands is not null")
     # the same digest has the same bands: copies are put together before anything is compared
-    reps = materialize(some.select("doc", "d1", "d2").distinct().groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "reps")
-    own = some.join(reps.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("doc") == F.col("rep")))
+    each = some.groupBy("doc", "d1", "d2").agg(F.any_value("bands").alias("bands"))
+    reps = each.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     # one id may have several texts: a representative is known by its number, made of both hashes
     rid = F.xxhash64("d1", "d2")
-    met = own.select(rid.alias("rid"), F.posexplode("bands").alias("band", "key")).distinct()
+    own = materialize(reps.withColumn("rid", rid), "reps")
+    met = own.select("rid", F.posexplode("bands").alias("band", "key")).distinct()
     crowded = met.groupBy("band", "key").agg(F.min("rid").alias("least"), F.max("rid").alias("most")).where("least < most")
     buckets = materialize(met.join(crowded.select(F.col("band").alias("b2"), F.col("key").alias("k2"), "least"), (F.col("band") == F.col("b2")) & (F.col("key") == F.col("k2"))).select("rid", "band", "key", "least"), "buckets")
     home = buckets.groupBy("rid").agg(F.min("least").alias("home"))
@@ -205,20 +207,24 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     other = places.select(F.col("band").alias("b2"), F.col("key").alias("k2"), F.col("chunk").alias("c2"))
     pairs = materialize(places.join(other, (F.col("band") == F.col("b2")) & (F.col("key") == F.col("k2")) & (F.col("chunk") <= F.col("c2"))).select(F.col("chunk").alias("c1"), "c2").distinct(), "pairs")
 
-    weight = own.select("doc", "d1", "d2", rid.alias("rid")).join(reps.withColumnsRenamed({"d1": "e1", "d2": "e2"}).drop("rep"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("doc", "rid", "copies").distinct()
+    weight = own.select("doc", "d1", "d2", "rid", "copies")
     wanted = materialize(weight.join(homed.withColumnRenamed("rid", "r2"), F.col("rid") == F.col("r2")).drop("r2"), "wanted")
-    joined = rows.join(_small(wanted.withColumnRenamed("doc", "d")), F.col("doc") == F.col("d")).select("text", "rid", "copies", "chunk")
+    joined = rows.join(broadcast_if_small(wanted.withColumnRenamed("doc", "d"), F.lit(80)), F.col("doc") == F.col("d")).select("text", "d1", "d2", "rid", "copies", "chunk")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts = [shingles(x) for x in column_of(batch, "text")]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in texts], pa.binary()), pa.array([signature(x).tobytes() for x in texts], pa.binary())], ["rid", "copies", "chunk", "sets", "sig"])
+                texts = column_of(batch, "text")
+                # of the texts of one id, the one that is meant
+                meant = [i for i, (t, d1, d2) in enumerate(zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) if _digest(t) == (d1, d2)]
+                found = [shingles(texts[i]) for i in meant]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(meant, pa.int64())) for c in (3, 4, 5)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([signature(x).tobytes() for x in found], pa.binary())], ["rid", "copies", "chunk", "sets", "sig"])
 
     full = small_batches(joined).mapInArrow(sets, "rid long, copies long, chunk long, sets binary, sig binary")
-    first = full.join(pairs.withColumnsRenamed({"c1": "x1", "c2": "x2"}), F.col("chunk") == F.col("x1")).select("x1", "x2", F.lit(True).alias("first"), "rid", "copies", "sets", "sig")
-    second = full.join(pairs.where("c1 <> c2").withColumnsRenamed({"c1": "x1", "c2": "x2"}), F.col("chunk") == F.col("x2")).select("x1", "x2", F.lit(False).alias("first"), "rid", "copies", "sets", "sig")
-    groups = first.unionByName(second).repartition("x1", "x2").sortWithinPartitions("x1", "x2")
+    first = pairs.select(F.col("c1").alias("c"), F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.lit(True).alias("first"))
+    second = pairs.where("c1 <> c2").select(F.col("c2").alias("c"), F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.lit(False).alias("first"))
+    members = full.join(first.unionByName(second), F.col("chunk") == F.col("c")).select("x1", "x2", "first", "rid", "copies", "sets", "sig")
+    groups = members.repartition("x1", "x2").sortWithinPartitions("x1", "x2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -259,8 +265,11 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     least = named.groupBy("label").agg(F.min("doc").alias("class_id")).withColumnRenamed("label", "l2")
     classes = named.join(least, F.col("label") == F.col("l2")).select(F.col("rid").alias("r3"), "class_id")
     by_rep = weight.select("rid", "doc", "copies").join(counts, F.col("rid") == F.col("r2"), "left").join(classes, F.col("rid") == F.col("r3"), "left")
-    by_rep = by_rep.select("rid", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = profile.select("doc", F.when(F.col("bands").isNotNull() & F.col("doc").isNotNull(), rid).alias("r")).join(by_rep, F.col("r") == F.col("rid"), "left")
+    by_rep = by_rep.where("copies > 1 or class_id is not null").select("rid", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # all copies of a text meet in one row: it is laid out SALTS times, and they are dealt to these
+    by_rep = by_rep.withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = profile.select("doc", F.when(F.col("bands").isNotNull() & F.col("doc").isNotNull(), rid).alias("r"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("s"))
+    out = out.join(by_rep, (F.col("r") == F.col("rid")) & (F.col("s") == F.col("s2")), "left")
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

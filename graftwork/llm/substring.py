@@ -1,18 +1,17 @@
 """Substring dedup: remove the words of passages that an earlier document has.
 
 A window is ``length`` consecutive words. Each window names one anchor: the smallest hash among its runs of ANCHOR words, so
-equal windows name equal anchors, wherever they stand. Consecutive windows with one anchor form a *context*. Contexts are the
-unit of work:
+equal windows name equal anchors, wherever they stand. Consecutive windows with one anchor form a *context* of at most
+2 * length - ANCHOR words. Contexts are the unit of work:
 
 1. Anchors that stand in one document alone can't hold a shared window; that is told by an aggregate over anchor hashes.
-2. Equal contexts are one reference passage, owned by the smallest document that has it.
-3. The reference passages of the remaining anchors are dealt to shards by anchor. Each shard gets a suffix automaton of its
-   passages, whose states know the smallest document they end in. The shard's distinct contexts stream through it; the matching
-   statistic says at each word how long a suffix is known, and at ``length`` words or more the state says which document
-   had it first. (An anchor with a single passage needs no automaton: all of its windows belong to the owner.) The
-   automaton is sent to where its shard's contexts are, not to all: a context can only match in its anchor's shard.
-4. An anchor with over MOST_PASSAGES different passages would make a shard unbounded. Its windows are compared one by one instead,
-   by an aggregate over window hashes, which gives the same numbers.
+2. Each different context of the other anchors is a reference passage, owned by the smallest document that has it.
+3. Reference passages are dealt to shards by anchor, and each shard gets a suffix automaton of its passages, whose states know
+   the smallest document they end in. The contexts of the shard's documents stream through it; the matching statistic says at
+   each word how long a suffix is known, and at ``length`` words or more the state says which document had it first. A context
+   can only match in its anchor's shard, so the automaton is sent to where these are, not to all; equal contexts stream once.
+4. An anchor with over CROWD different passages is too much for a shard. Its passages are cut into windows, each of which is a
+   passage of its own, dealt by its own hash to the same shards and matched by the same automata.
 5. Owners that are smaller than a document mark windows in it; the words under marks are removed, in maximal spans.
 """
 
@@ -26,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column_of, hash_words, materialize, mix64, slices, small_batches, split_words, window_hashes
+from .common import U64, broadcast_if_small, column_of, hash_words, materialize, mix64, slices, small_batches, split_words, window_hashes
 
 LENGTH = 50
 ANCHOR = 32
-MOST_PASSAGES = 1000
-SHARD_PASSAGES = 2000
-#: Tables of at most so many rows are broadcast (about 100 bytes a row); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Passages of an anchor that a shard takes as they are; those of larger anchors are cut into windows.
+CROWD = 500
+SHARD_PASSAGES = 1000
 _POS = 28
 _MULT = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -162,36 +160,34 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return small_batches(docs).where("doc is not null and text is not null").mapInArrow(run, "fp long, ctx long, doc long, th long, firsts array<int>, n int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast it if it is small enough; else the planner joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _passages(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """fp, ctx, doc, n and the word hashes of passages; ``wanted``: fp, ctx, doc, th, first, n."""
-    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("fp", "ctx", "first", "n")).alias("w"))
-    lists = _small(materialize(lists, "wanted").withColumnsRenamed({"doc": "d", "th": "t"}))
-    found = docs.join(lists, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "text", "w")
+    """fp, ctx, doc, words (hashes) of passages; ``wanted``: doc, th, and first: the window that each begins with."""
+    lists = materialize(wanted.groupBy("doc", "th").agg(F.collect_list("first").alias("firsts")).withColumnsRenamed({"doc": "d", "th": "t"}), "wanted")
+    lists = broadcast_if_small(lists, F.lit(64) + 4 * F.size("firsts"))
+    found = docs.join(lists, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "text", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 rows = []
-                for doc, text, w in zip(batch.column(0).to_pylist(), column_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
+                for doc, text, firsts in zip(batch.column(0).to_pylist(), column_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
                     h = hash_words(split_words(text))
-                    rows += [(x["fp"], x["ctx"], doc, x["n"], h[x["first"] : x["first"] + x["n"] + length - 1].tobytes()) for x in w]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["fp", "ctx", "doc", "n", "words"])
+                    fp, ctx, first, count = contexts(h, length)
+                    at = np.searchsorted(first, np.array(firsts, np.int64))
+                    for f, c, a, n in zip(fp[at].view(np.int64).tolist(), ctx[at].view(np.int64).tolist(), first[at].tolist(), count[at].tolist(), strict=True):
+                        rows.append((f, c, doc, h[a : a + n + length - 1].tobytes()))
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["fp", "ctx", "doc", "words"])
 
     # a document met by two rows of the same id and text gives its passages twice
-    return small_batches(found).mapInArrow(run, "fp long, ctx long, doc long, n int, words binary").dropDuplicates(["fp", "ctx"])
+    return small_batches(found).mapInArrow(run, "fp long, ctx long, doc long, words binary").dropDuplicates(["fp", "ctx"])
 
 
 def _owners(passages: DataFrame, length: int) -> DataFrame:
     """fp, ctx, owners: for each window of a passage, the smallest document that has it."""
     passages = materialize(passages, "passages")
-    crowd = _small(materialize(passages.groupBy("fp").count().where(f"count > {MOST_PASSAGES}").select(F.col("fp").alias("hot")), "crowd"))
-    shards = max(1, passages.count() // SHARD_PASSAGES)
+    crowd = materialize(passages.groupBy("fp").count().where(F.col("count") > CROWD).select(F.col("fp").alias("hot")), "crowd")
+    crowd = broadcast_if_small(crowd, F.lit(32))
     schema = "fp long, ctx long, owners array<long>"
 
     def match(table: pa.Table) -> pa.Table:
@@ -204,41 +200,64 @@ def _owners(passages: DataFrame, length: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [window_hashes(np.frombuffer(x, U64), length) for x in column_of(batch, "words")]
+            words = [np.frombuffer(x, U64) for x in column_of(batch, "words")]
+            each = [window_hashes(x, length) for x in words]
             take = pa.array(np.repeat(np.arange(batch.num_rows), list(map(len, each))))
             no = np.concatenate([np.arange(len(x)) for x in each]) if each else np.empty(0, np.int64)
             w = np.concatenate(each) if each else np.empty(0, U64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(no.astype(np.int32)), pa.array(w.view(np.int64))], ["fp", "ctx", "doc", "no", "w"])
+            cut = [x[k : k + length].tobytes() for x, y in zip(words, each, strict=True) for k in range(len(y))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(no.astype(np.int32)), pa.array(w.view(np.int64)), pa.array(cut, pa.binary())], ["fp", "ctx", "doc", "no", "w", "words"])
+
+    usual = passages.join(crowd, F.col("fp") == F.col("hot"), "left_anti").select("fp", "ctx", "doc", "words")
+    hot = passages.join(crowd, F.col("fp") == F.col("hot"), "left_semi").select("fp", "ctx", "doc", "words").repartition("fp", "ctx")
+    cut = materialize(hot.mapInArrow(windows, "fp long, ctx long, doc long, no int, w long, words binary"), "windows")
+    own = cut.groupBy("w").agg(F.min("doc").alias("doc"), F.min("words").alias("words")).select(F.col("w").alias("fp"), F.lit(None).cast("long").alias("ctx"), "doc", "words")
+    together = materialize(usual.unionByName(own), "references")
+    shards = max(1, together.count() // SHARD_PASSAGES)
+    matched = together.groupBy(F.pmod("fp", F.lit(shards)).alias("shard")).applyInArrow(match, schema)
+    matched = materialize(matched, "matched")
+    first = matched.where("ctx is null").select(F.col("fp").alias("v"), F.element_at("owners", 1).alias("owner"))
+    of_cut = cut.select("fp", "ctx", "no", "w").join(first, F.col("w") == F.col("v")).groupBy("fp", "ctx").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "owner"))), lambda x: x["owner"]).alias("owners"))
+    return matched.where("ctx is not null").unionByName(of_cut)
+
 
-    usual = passages.join(crowd, F.col("fp") == F.col("hot"), "left_anti")
-    by_automaton = usual.groupBy(F.pmod("fp", F.lit(shards)).alias("shard")).applyInArrow(match, schema)
-    one = passages.join(crowd, F.col("fp") == F.col("hot"), "left_semi").select("fp", "ctx", "doc", "words").repartition("fp", "ctx").mapInArrow(windows, "fp long, ctx long, doc long, no int, w long")
-    first = one.groupBy("w").agg(F.min("doc").alias("owner")).withColumnRenamed("w", "v")
-    by_window = one.join(first, F.col("w") == F.col("v")).groupBy("fp", "ctx").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "owner"))), lambda x: x["owner"]).alias("owners"))
-    return by_automaton.unionByName(by_window)
+def _merged(runs: DataFrame) -> DataFrame:
+    """(doc, th, runs) -> doc, th, marks: the runs in order, each that begins where another ends joined to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(2)
+            value = col.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(col.offsets.to_numpy()))
+            order = np.lexsort((value, row))
+            value, row = value[order], row[order]
+            first, end = value >> 32, (value >> 32) + (value & 0xFFFFFFFF)
+            new = np.r_[True, (row[1:] != row[:-1]) | (first[1:] != end[:-1])] if len(row) else np.empty(0, bool)
+            begin = np.flatnonzero(new)
+            last = np.r_[begin[1:], len(row)] - 1 if len(begin) else begin
+            marks = (first[begin] << 32) + end[last] - first[begin]
+            ends = np.searchsorted(row[begin], np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(marks, pa.int64()))], ["doc", "th", "marks"])
+
+    return runs.mapInArrow(run, "doc long, th long, marks array<long>")
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, th, text) -> doc, th, marks: runs of windows that an earlier document has, each as first * 2^32 + number."""
     anchors = materialize(_anchors(docs, length), "anchors")
-    kinds = anchors.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("ctx") != F.max("ctx")).alias("several"))
+    kinds = anchors.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     # stored, so that the join has a shuffle of its own and large keys can be split in it
-    shared = materialize(kinds.where("hi > lo").select(F.col("fp").alias("f"), "several"), "kinds")
+    shared = materialize(kinds.where("hi > lo").select(F.col("fp").alias("f")), "kinds")
     met = materialize(anchors.join(shared, F.col("fp") == F.col("f")).drop("f"), "shared")
-    passages = met.groupBy("fp", "ctx").agg(F.min("doc").alias("owner"), F.max("several").alias("several"))
-    alone = passages.where("not several").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owner")
-    owned = passages.where("several").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owner")
-    several = met.where("several")
-    wanted = several.join(owned, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c")) & (F.col("doc") == F.col("owner"))).select("fp", "ctx", "doc", "th", F.element_at("firsts", 1).alias("first"), "n").groupBy("fp", "ctx").agg(F.min_by(F.struct("doc", "th", "first", "n"), F.struct("th", "first")).alias("x")).select("fp", "ctx", "x.*")
+    own = F.min(F.struct("doc", "th", F.element_at("firsts", 1).alias("first"))).alias("x")
+    wanted = met.groupBy("fp", "ctx").agg(own).select("x.*")
     owners = materialize(_owners(_passages(docs, wanted, length), length), "owners").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owners")
-    on = (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))
     run = lambda first, n: F.shiftleft(first.cast("long"), 32) + n
-    whole = met.where("not several").join(alone, on).where("doc > owner").select("doc", "th", F.transform("firsts", lambda f: run(f, F.col("n"))).alias("runs"))
     which = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("owners", i) < F.col("doc"))
-    part = several.join(owners, on).select("doc", "th", "firsts", "n", which.alias("which")).where(F.size("which") > 0)
+    part = met.join(owners, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).where(F.array_min("owners") < F.col("doc")).select("doc", "th", "firsts", "n", which.alias("which"))
     each = F.flatten(F.transform("firsts", lambda f: F.transform("which", lambda i: run(f + i, F.lit(1)))))
     part = part.select("doc", "th", F.when(F.size("which") == F.col("n"), F.transform("firsts", lambda f: run(f, F.col("n")))).otherwise(each).alias("runs"))
-    return whole.unionByName(part).groupBy("doc", "th").agg(F.flatten(F.collect_list("runs")).alias("marks"))
+    return _merged(part.groupBy("doc", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -250,7 +269,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     remove from each other; other columns are ignored; an empty table gives an empty result.
     """
     base = df.select(df[id_col].cast("long").alias("doc"), F.xxhash64(df[text_col]).alias("th"), df[text_col].cast("string").alias("text"))
-    found = _small(materialize(marks(base, length), "marks").withColumnsRenamed({"doc": "d", "th": "t"}))
+    found = broadcast_if_small(materialize(marks(base, length), "marks").withColumnsRenamed({"doc": "d", "th": "t"}), F.lit(64) + 8 * F.size("marks"))
     rows = df.select(df[id_col].cast("long").alias("doc"), F.xxhash64(df[text_col]).alias("th"), *(df[c].alias(f"kept_{c}") for c in keep), df[text_col].cast("string").alias("text"))
     rows = rows.join(found, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").drop("d", "t", "th")
     others = rows.schema.fields[1:-2]

@@ -35,6 +35,16 @@ class Forest:
             self.parent[k] = self.up[k] = hi
         return k
 
+    def edges(self, los: list[int], his: list[int]) -> None:
+        """Many edges at once; ways to the top are halved as they are walked."""
+        up, parent = self.up, self.parent
+        for lo, hi in zip(los, his, strict=True):
+            v = lo
+            while (n := up.get(v, v)) != v:
+                up[v] = v = up.get(n, n)
+            if v != hi:
+                parent[v] = up[v] = hi
+
 
 def child_counts(parent: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each vertex, the edges from its subtree to its parent: edges (lo, hi, multiplicity n) in the order of hi."""
@@ -95,11 +105,12 @@ def filled_neighbours(parent: np.ndarray, later: list[set[int]]) -> list[list[in
     return [sorted(s - {v}) for v, s in enumerate(sets)]
 
 
-def limited_tree(later: dict[int, list[int]], order: list[int], width_limit: int | None, find_max_width: bool) -> list[dict]:
+def limited_tree(later: dict[int, list[int]], order: list[int], width_limit: int | None, find_max_width: bool, rooted: bool = False) -> list[dict]:
     """Tree of vertices inserted in ``order``; ones wider than the limit wait until the end, where they form a chain.
 
     ``later``: all neighbours of each vertex, with multiplicity. Returns rows jnid, vid, parent, pst_weight, width. With
-    ``find_max_width`` it stops as soon as the vertices that are left can't widen the tree.
+    ``find_max_width`` it stops as soon as the vertices that are left can't widen the tree. With ``rooted``, once a vertex is as
+    wide as all that are left with it, those form a chain above it.
     """
     at: dict[int, int] = {}
     rows: list[dict] = []
@@ -133,6 +144,9 @@ def limited_tree(later: dict[int, list[int]], order: list[int], width_limit: int
             most = max(most, 1 + len(jxn))
         if find_max_width and most >= len(wide) + len(order) - i:
             return rows
+        if rooted and rows and rows[-1]["vid"] == v and rows[-1]["width"] >= len(wide) + len(order) - i:
+            wide += order[i + 1 :]
+            break
     for i, v in enumerate(wide):
         kids = [j for j, r in enumerate(rows) if r["parent"] is None] if i == 0 else [len(rows) - 1]
         add(v, kids, sum(u not in at and u != v for u in later.get(v, ())), set(wide[i + 1 :]))
@@ -187,26 +201,27 @@ def pack_forward(parent: np.ndarray, weight: np.ndarray, cap: int) -> np.ndarray
 def pack_critical(parent: np.ndarray, weight: np.ndarray, cap: int) -> np.ndarray:
     """Cuts the heaviest root-to-leaf way into parts; all other vertices take the part of the nearest one above on it."""
     n = len(parent)
-    part = np.full(n, NONE, np.int64)
     if not n:
-        return part
-    below, kids = path_figures(parent, weight)["subtree_weight"], children(parent)
-    v = int(below.argmax())
-    way = [v]
-    while kids[v]:
-        k = max(kids[v], key=lambda k: (below[k], -k))
-        below[v] -= below[k]
-        way.append(v := k)
-    now, size = 0, 0
-    for v in reversed(way):
-        if size + below[v] < cap:
-            size += below[v]
-        else:
-            now, size = now + 1, below[v]
-        part[v] = now
-    for v in range(n - 1, -1, -1):
-        if part[v] == NONE:
-            part[v] = part[parent[v]] if parent[v] != NONE else now
+        return np.full(n, NONE, np.int64)
+    below = path_figures(parent, weight)["subtree_weight"]
+    heaviest = np.full(n + 1, NONE, np.int64)  # child of each vertex; those without a parent go to the last place
+    by = np.lexsort((-np.arange(n), below))  # lightest first, so that the heaviest, smallest one is written last
+    heaviest[np.where(parent[by] == NONE, n, parent[by])] = by
+    way = [int(below.argmax())]
+    while (v := int(heaviest[way[-1]])) != NONE:
+        way.append(v)
+    own = below[way] - np.append(below[way[1:]], 0)
+    part = np.full(n, NONE, np.int64)
+    ends = np.cumsum(own[::-1])
+    at = now = 0
+    while at < len(way):  # a part takes what stays below the cap, and its first vertex whatever it weighs
+        base = ends[at - 1] if at else 0
+        stop = max(at + (now > 0), int(np.searchsorted(ends, base + cap)))
+        part[way[::-1][at:stop]] = now
+        at, now = stop, now + 1
+    last = part[way[0]]
+    for v in np.flatnonzero(part == NONE)[::-1].tolist():
+        part[v] = part[parent[v]] if parent[v] != NONE else last
     return part
 
 
@@ -222,29 +237,31 @@ def fill(order: np.ndarray, weight: np.ndarray, cap: int) -> np.ndarray:
 
 
 def stream_vertices(vids: list[int], nbrs: list[list[int]], edges: int, k: int, balance: float, by_edges: bool, power: float = 1.5) -> list[int]:
-    """One pass over vertices in ascending order; each joins the part with most of its neighbours, less a growing cost of size."""
+    """One pass over vertices in ascending order; each joins the part with most of its neighbours, less a growing cost of size.
+
+    All parts up to the first empty one are weighed up at once; if none has room, it is the first part.
+    """
     n, m = len(vids), 2 * edges
     cap = capacity(m if by_edges else n, k, balance)
     a = (n * (k / m) ** power if by_edges else m * k ** (power - 1) / n**power) if n and m else 0.0
-    where, size, out = {}, [0] * k, []
-    for v, near in zip(vids, nbrs, strict=True):
-        w = len(near) if by_edges else 1
-        placed = [0] * k
-        for u in near:
-            if u in where:
-                placed[where[u]] += 1
-        best, top = 0, None
-        for p in range(k):
-            if size[p] + w <= cap:
-                value = placed[p] - (a * (size[p] + w) ** power - a * size[p] ** power)
-                if top is None or value > top:
-                    best, top = p, value
-            if not size[p]:
-                break
-        where[v] = best
+    ids, where, size = np.array(vids, np.int64), np.full(n, NONE, np.int64), np.zeros(k)
+    ends = np.cumsum([0, *map(len, nbrs)])
+    near = np.searchsorted(ids, np.concatenate([np.empty(0, np.int64), *nbrs]).astype(np.int64))
+    cost, filled = np.zeros(k), 0  # a part's cost so far; parts fill up one after the other
+    for i in range(n):
+        w = ends[i + 1] - ends[i] if by_edges else 1
+        open_ = min(k, filled + 1)
+        of = where[near[ends[i] : ends[i + 1]]]
+        grown = a * (size[:open_] + w) ** power
+        gain = np.where(size[:open_] + w <= cap, np.bincount(of[of >= 0], minlength=k)[:open_] - (grown - cost[:open_]), -np.inf)
+        best = int(gain.argmax())
+        if gain[best] == -np.inf:
+            best = 0
+        where[i] = best
         size[best] += w
-        out.append(best)
-    return out
+        cost[best] = a * size[best] ** power
+        filled = max(filled, best + (size[best] > 0))
+    return where.tolist()
 
 
 def stream_edges(src: np.ndarray, dst: np.ndarray, k: int, balance: float, vertices: int, power: float = 1.5) -> np.ndarray:

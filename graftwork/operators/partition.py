@@ -18,6 +18,11 @@ METHODS = ("forward", "backward", "depth", "height", "naive")
 BALANCE = 1.03
 
 
+def capacity(total: int, k: int, balance: float = BALANCE) -> int:
+    """What a part may weigh."""
+    return kernels.capacity(total, k, balance)
+
+
 def _packer(method: str) -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
     if method == "forward":
         return kernels.pack_forward

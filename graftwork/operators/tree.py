@@ -45,44 +45,60 @@ def pst_lists(edges: DataFrame, seq: DataFrame) -> DataFrame:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lo, hi, w) in the order of hi -> the forest of their edges, and the sum of w for each lo, in one row a vertex."""
     f = kernels.Forest()  # a partition comes in several batches
+    weight: dict[int, int] = {}
     for b in batches:
-        for lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            f.edge(lo, hi)
-    yield pa.RecordBatch.from_arrays([pa.array(list(f.parent), pa.int64()), pa.array(list(f.parent.values()), pa.int64())], ["lo", "hi"])
+        lo, hi, w = (b.column(c).fill_null(kernels.NONE).to_numpy(zero_copy_only=False) for c in range(3))
+        if not len(lo):
+            continue
+        v, at = np.unique(lo, return_inverse=True)
+        for k, n in zip(v.tolist(), np.bincount(at, w).astype(np.int64).tolist(), strict=True):
+            weight[k] = weight.get(k, 0) + n
+        new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != kernels.NONE)
+        f.edges(lo[new].tolist(), hi[new].tolist())
+    # every vertex with a parent is the lower end of an edge or has one below it
+    names = list(weight.keys() | f.parent.keys())
+    cols = [names, [f.parent.get(v) for v in names], [weight.get(v, 0) for v in names]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["lo", "hi", "w"])
 
 
-def partial_forests(epos: DataFrame) -> DataFrame:
-    """The forest of each partition's edges, as (lo, hi) rows: fewer than vertices."""
-    return epos.where("hi is not null").select("lo", "hi").sortWithinPartitions("hi", "lo").mapInArrow(_forest, "lo long, hi long")
+def partial_forests(rows: DataFrame) -> DataFrame:
+    """(lo, hi, w) -> the forest of each partition's edges with the sums of w, a row for each of its vertices.
+
+    A row without hi has only a weight."""
+    return rows.select("lo", "hi", "w").sortWithinPartitions("hi", "lo").mapInArrow(_forest, "lo long, hi long, w long")
 
 
 def reduce_forests(forests: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """Join partial forests, ``fan_in`` at a time, until one is left: (child, parent)."""
-    while (n := forests.rdd.getNumPartitions()) > 1:
-        forests = partial_forests(materialize(forests, "forest").repartition(-(-n // fan_in)))
-    return forests.select(F.col("lo").alias("child"), F.col("hi").alias("parent"))
+    """Join partial forests, about ``fan_in`` at a time, until one is left: jnid, parent, w."""
+    n = int(forests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        n = -(-n // fan_in)
+        forests = partial_forests(forests.repartition(n))
+        if n == 1:
+            return forests.select(F.col("lo").alias("jnid"), F.col("hi").alias("parent"), "w")
+        forests = materialize(forests, "forest")
 
 
 def build_tree(epos: DataFrame, seq: DataFrame) -> DataFrame:
-    """tree(jnid, parent, pst_weight) with a node for every vertex of the sequence, also one without edges."""
-    up = reduce_forests(partial_forests(epos))
-    return attach(up, pst_weight(epos), seq)
+    """tree(jnid, parent, pst_weight) with a node for every vertex of the sequence, also one without edges.
+
+    Edges are read once: each partition shrinks to its forest and the weights of its vertices.
+    """
+    return attach(reduce_forests(partial_forests(epos.select("lo", "hi", F.lit(1).cast("long").alias("w")))), seq)
 
 
-def attach(up: DataFrame, weights: DataFrame, seq: DataFrame) -> DataFrame:
-    nodes = seq.select(F.col("pos").alias("jnid"))
-    t = nodes.join(up.withColumnRenamed("child", "jnid"), "jnid", "left").join(weights, "jnid", "left")
-    return t.select("jnid", "parent", F.coalesce("pst_weight", F.lit(0)).alias("pst_weight"))
+def attach(reduced: DataFrame, seq: DataFrame) -> DataFrame:
+    t = seq.select(F.col("pos").alias("jnid")).join(reduced, "jnid", "left")
+    return t.select("jnid", "parent", F.coalesce("w", F.lit(0)).alias("pst_weight"))
 
 
 def merge_trees(left: DataFrame, right: DataFrame) -> DataFrame:
     """The tree of both graphs' edges, from their trees over one sequence."""
-    both = left.unionByName(right)
-    edges = both.where("parent is not null").select(F.col("jnid").alias("lo"), F.col("parent").alias("hi"))
-    up = reduce_forests(partial_forests(edges))
-    weights = both.groupBy("jnid").agg(F.sum("pst_weight").alias("pst_weight"))
-    return attach(up, weights, both.select(F.col("jnid").alias("pos")).distinct())
+    both = left.select("jnid", "parent", "pst_weight").unionByName(right.select("jnid", "parent", "pst_weight"))
+    reduced = reduce_forests(partial_forests(both.select(F.col("jnid").alias("lo"), F.col("parent").alias("hi"), F.col("pst_weight").alias("w"))))
+    return attach(reduced, both.select(F.col("jnid").alias("pos")).distinct())
 
 
 def kids(tree: DataFrame) -> DataFrame:
@@ -152,8 +168,9 @@ def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return in_one_task(tree.select("jnid", "parent").join(later, "jnid", "left"), run, "jnid long, jxn array<long>, width long")
 
 
-def limited(edges: DataFrame, seq: DataFrame, width_limit: int | None = None, find_max_width: bool = False) -> DataFrame:
-    """Tree with a limit of width, or cut off once its width can't grow: jnid, vid, parent, pst_weight, width."""
+def limited(edges: DataFrame, seq: DataFrame, width_limit: int | None = None, find_max_width: bool = False, rooted: bool = False) -> DataFrame:
+    """Tree with a limit of width, cut off once its width can't grow, or closed by a chain of all that is left once a vertex is as wide
+    as that (``rooted``): jnid, vid, parent, pst_weight, width."""
     both = edges.select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nbrs = seq.join(both.groupBy(F.col("src").alias("vid")).agg(F.collect_list("dst").alias("nbrs")), "vid", "left")
 
@@ -161,7 +178,7 @@ def limited(edges: DataFrame, seq: DataFrame, width_limit: int | None = None, fi
         t = t.sort_values("pos")
         vids = t["vid"].tolist()
         later = {v: [] if n is None else list(n) for v, n in zip(vids, t["nbrs"], strict=True)}
-        out = pd.DataFrame(kernels.limited_tree(later, vids, width_limit, find_max_width), columns=["jnid", "vid", "parent", "pst_weight", "width"])
+        out = pd.DataFrame(kernels.limited_tree(later, vids, width_limit, find_max_width, rooted), columns=["jnid", "vid", "parent", "pst_weight", "width"])
         return out.astype({"parent": "Int64"})
 
     return in_one_task(nbrs.select("pos", "vid", "nbrs"), run, "jnid long, vid long, parent long, pst_weight long, width long")
@@ -173,7 +190,8 @@ def validate(tree: DataFrame, epos: DataFrame) -> DataFrame:
     t = tree.select("jnid", "parent", "pst_weight")
     wrong = t.agg(F.count(F.when(F.col("parent") <= F.col("jnid"), 1)).alias("bad_parents"), F.coalesce(F.sum("pst_weight"), F.lit(0)).alias("w"))
     own = t.where("parent is not null").select(F.col("jnid").alias("lo"), F.col("parent").alias("hi"))
-    again = reduce_forests(partial_forests(own.unionByName(epos.where("hi is not null").select("lo", "hi")))).select(F.col("child").alias("jnid"), F.col("parent").alias("p"))
+    every = own.unionByName(epos.where("hi is not null").select("lo", "hi")).withColumn("w", F.lit(0).cast("long"))
+    again = reduce_forests(partial_forests(every)).select("jnid", F.col("parent").alias("p"))
     moved = t.join(again, "jnid", "left").where(~F.col("parent").eqNullSafe(F.col("p"))).agg(F.count("*").alias("bad_edges"))
     m = epos.agg(F.count("*").alias("m"))
     return wrong.join(m).join(moved).select("bad_parents", "bad_edges", (F.col("w") - F.col("m")).alias("weight_gap"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +40,20 @@ def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.sparkContext.binaryRecords(path, EDGE_RECORD.itemsize)
 
-    def decode(chunk: Iterator[bytes]) -> Iterator[tuple[int, int, float]]:
-        for tail, head, weight in struct.iter_unpack("<IIf", b"".join(chunk)):
-            yield tail, head, weight
+    def decode(records: Iterator[bytes]) -> Iterator[tuple[int, int, float]]:
+        while chunk := b"".join(islice(records, 10_000)):
+            x = np.frombuffer(chunk, EDGE_RECORD)
+            yield from zip(x["tail"].tolist(), x["head"].tolist(), x["weight"].tolist(), strict=True)
 
     return rows.mapPartitions(decode).toDF("src long, dst long, weight float")
 
 
+def _words(spark: SparkSession, path: str) -> DataFrame:
+    """(i, word): the unsigned 32-bit numbers of a file, read by many tasks, and their places."""
+    numbered = spark.sparkContext.binaryRecords(path, 4).zipWithIndex()
+    return numbered.map(lambda x: (x[1], int.from_bytes(x[0], "little"))).toDF("i long, word long")
+
+
 def read_edges(spark: SparkSession, path: str, part: int | None = None, parts: int | None = None, dedup: bool = False) -> DataFrame:
     """By suffix: .dat is binary, all else text. ``part`` of ``parts`` (from 0) loads that share of the edges, by their hash."""
     e = (read_binary_edges if path.endswith(".dat") else read_text_edges)(spark, path).select("src", "dst")
@@ -67,14 +72,7 @@ def read_sequence(spark: SparkSession, path: str, binary: bool = False) -> DataF
     """(pos, vid); binary: a 64-bit count and 32-bit ids."""
     if not binary:
         return read_lines(spark, path)
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for data in f["content"]:
-                n = int.from_bytes(data[:8], "little")
-                yield pd.DataFrame({"pos": np.arange(n), "vid": np.frombuffer(data, "<u4", n, 8).astype(np.int64)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "pos long, vid long")
+    return _words(spark, path).where("i >= 2").select((F.col("i") - 2).alias("pos"), F.col("word").alias("vid"))
 
 
 def read_partition(spark: SparkSession, path: str, seq: DataFrame) -> DataFrame:
@@ -84,14 +82,7 @@ def read_partition(spark: SparkSession, path: str, seq: DataFrame) -> DataFrame:
 
 def read_tree(spark: SparkSession, path: str, pre_weight: bool = False) -> DataFrame:
     """tree(jnid, parent, pst_weight[, pre_weight]) from a tree file: the count, then the records."""
-    width = 3 if pre_weight else 2
-    names = ["jnid", "parent", "pst_weight", "pre_weight"][: width + 1]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                n = int.from_bytes(data[:4], "little")
-                x = np.frombuffer(data, "<u4", n * width, 4).reshape(n, width).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(x[:, 0], mask=x[:, 0] == NO_PARENT), *(pa.array(x[:, i]) for i in range(1, width))], names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, ", ".join(f"{n} long" for n in names))
+    names = ["parent", "pst_weight", "pre_weight"][: 3 if pre_weight else 2]
+    words = _words(spark, path).where("i >= 1").selectExpr(f"(i - 1) div {len(names)} AS jnid", f"(i - 1) % {len(names)} AS field", "word")
+    of = [F.max(F.when((F.col("field") == k) & (F.col("word") != NO_PARENT), F.col("word"))).alias(c) for k, c in enumerate(names)]
+    return words.groupBy("jnid").agg(*of)

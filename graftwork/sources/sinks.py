@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import struct
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators.sequence import degrees
 from ..operators.tree import arrays, in_one_task, kids
-from .graphs import EDGE_RECORD, NO_PARENT
+from .graphs import NO_PARENT
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
@@ -24,20 +25,40 @@ def write_text_edges(edges: DataFrame, path: str) -> None:
     edge_lines(edges).write.text(path)
 
 
+def _little(x: Column, size: int = 4) -> Column:
+    """The bytes of a whole number, lowest first."""
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * i).bitwiseAND(255)), 2, "0")) for i in range(size)))
+
+
 def edge_records(edges: DataFrame) -> DataFrame:
     """Each edge as its record of 12 bytes, weight 1."""
+    return edges.select(F.concat(_little(F.col("src")), _little(F.col("dst")), F.unhex(F.lit("0000803F"))).alias("record"))
 
-    def encode(src: pd.Series, dst: pd.Series) -> pd.Series:
-        return pd.Series([struct.pack("<IIf", a, b, 1.0) for a, b in zip(src, dst, strict=True)])
 
-    return edges.select(F.pandas_udf(encode, "binary")("src", "dst").alias("record"))
+def write_binary_edges(edges: DataFrame, path: str) -> None:
+    """A folder of files of records, written by all tasks.
 
+    The last byte of the weight 1 is always the same, so records are lines that end with it."""
+    lines = edge_records(edges).select(F.expr("substring(record, 1, 11)").cast("string").alias("value"))
+    lines.write.option("lineSep", "?").text(path)
+
+
+def _write_local(df: DataFrame, order: str, columns: dict[str, int], head: bytes, path: str) -> None:
+    """One local file: a head, then each row's numbers. Tasks make the bytes of their rows; the driver joins them, one
+    partition at a time, in order."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([(c, f"<u{n}") for c, n in columns.items()])
+        for b in batches:
+            out = np.zeros(b.num_rows, kind)
+            for i, c in enumerate(columns):
+                out[c] = b.column(i).fill_null(NO_PARENT).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["data"])
 
-def write_binary_edges(edges: DataFrame, path: str) -> None:
-    """One local file of records, written a batch at a time: for graphs of one machine."""
     with open(path, "wb") as f:
-        for row in edges.select("src", "dst").toLocalIterator(prefetchPartitions=True):
-            f.write(np.array([(row[0], row[1], 1.0)], EDGE_RECORD).tobytes())
+        f.write(head)
+        for row in df.orderBy(order).select(*columns).mapInArrow(encode, "data binary").toLocalIterator():
+            f.write(row["data"])
 
 
 def write_partitioned(assigned: DataFrame, path: str) -> None:
@@ -52,10 +73,7 @@ def write_sequence(seq: DataFrame, path: str) -> None:
 
 def write_binary_sequence(seq: DataFrame, path: str) -> None:
     """A local file: a 64-bit count and 32-bit ids."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", seq.count()))
-        for row in seq.orderBy("pos").toLocalIterator():
-            f.write(struct.pack("<I", row["vid"]))
+    _write_local(seq, "pos", {"vid": 4}, struct.pack("<Q", seq.count()), path)
 
 
 def write_partition(parts: DataFrame, seq: DataFrame, path: str) -> None:
@@ -65,11 +83,8 @@ def write_partition(parts: DataFrame, seq: DataFrame, path: str) -> None:
 
 def write_tree(tree: DataFrame, path: str) -> None:
     """A local tree file: the count, then parent, pst_weight and, if there is one, pre_weight of each node."""
-    names = [c for c in ("parent", "pst_weight", "pre_weight") if c in tree.columns]
-    with Path(path).open("wb") as f:
-        f.write(struct.pack("<I", tree.count()))
-        for row in tree.orderBy("jnid").toLocalIterator():
-            f.write(struct.pack(f"<{len(names)}I", *(NO_PARENT if row[c] is None else row[c] for c in names)))
+    columns = {c: 4 for c in ("parent", "pst_weight", "pre_weight") if c in tree.columns}
+    _write_local(tree, "jnid", columns, struct.pack("<I", tree.count()), path)
 
 
 def graph_adjacency(edges: DataFrame, seq: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 import struct
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from graftwork import catalogue
 from graftwork.functions import kernels
 from graftwork.functions.hashes import golden_hash, parity_hash, prime_hash
 from graftwork.operators import evaluate as ev
@@ -219,7 +221,7 @@ def test_files(spark, tmp_path):
     sinks.write_binary_sequence(run.seq, str(tmp_path / "seq.bin"))
     assert rows(graphs.read_sequence(spark, str(tmp_path / "seq.bin"), binary=True)) == rows(run.seq)
     sinks.write_tree(run.tree, str(tmp_path / "t.tre"))
-    assert [tuple(r) for r in graphs.read_tree(spark, str(tmp_path / "t.tre")).collect()] == [tuple(r) for r in run.tree.orderBy("jnid").collect()]
+    assert [tuple(r) for r in graphs.read_tree(spark, str(tmp_path / "t.tre")).orderBy("jnid").collect()] == [tuple(r) for r in run.tree.orderBy("jnid").collect()]
     parts = partition.hash_partition(edges, 2)
     sinks.write_partition(parts, run.seq, str(tmp_path / "parts"))
     assert rows(graphs.read_partition(spark, str(tmp_path / "parts"), run.seq)) == rows(parts)
@@ -256,3 +258,64 @@ def test_stream_of_edges(spark, tmp_path):
     keep_tree(stream, seq, str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
     want = tree.build_tree(tree.positioned(edges_of(spark, pairs), seq), seq)
     assert rows(spark.read.parquet(str(tmp_path / "state" / "version=2"))) == rows(want)
+
+
+def pack_streamed(edges, n, k, balance=1.03):
+    """One pass over edges, by the definition: most known ends, less what the part's growth costs; lowest part first."""
+    m = len(edges)
+    cap, a = max(1, int((m // k) * balance)), n * (k / m) ** 1.5
+    size, knows, out = [0] * k, [set() for _ in range(k)], []
+    for x, y in edges:
+        first_empty = next((p for p in range(k) if not size[p]), k - 1)
+        fits = [p for p in range(first_empty + 1) if size[p] + 1 <= cap]
+        score = {p: (x in knows[p]) + (y in knows[p]) - a * ((size[p] + 1) ** 1.5 - size[p] ** 1.5) for p in fits}
+        best = max(fits, key=lambda p: (score[p], -p)) if fits else size.index(min(size))
+        size[best] += 1
+        knows[best] |= {x, y}
+        out.append(best)
+    return out
+
+
+def test_stream_of_edges_by_definition(spark):
+    rng = random.Random(11)
+    for k in (2, 3):
+        pairs = sorted({(a, b) for a, b in random_graph(rng, 15, 60) if a != b})
+        got = {(r.src, r.dst): r.part for r in partition.stream_edges(edges_of(spark, pairs), k).collect()}
+        assert [got[e] for e in pairs] == pack_streamed(pairs, len({v for e in pairs for v in e}), k)
+
+
+def test_rooted_tree_is_closed_by_a_chain(spark):
+    run = partitioning.graph_to_tree(edges_of(spark, [(0, 1), (1, 2), (0, 2), (7, 8)]))
+    got = {r.jnid: r.parent for r in tree.limited(run.edges, run.seq, rooted=True).collect()}
+    assert len(got) == 5 and sum(p is None for p in got.values()) == 1
+
+
+def test_forests_over_many_partitions(spark):
+    rng = random.Random(12)
+    pairs = [(a, b) for a, b in random_graph(rng, 60, 300) if a != b]
+    epos = spark.createDataFrame([(min(p), max(p)) for p in pairs], "lo long, hi long").repartition(20)
+    seq = spark.range(60).select(F.col("id").alias("pos"), F.col("id").alias("vid"))
+    want = sorted((v, None if p < 0 else p, sum(min(e) == v for e in pairs)) for v, p in enumerate(parents_by_definition(60, pairs)))
+    forests = tree.partial_forests(epos.withColumn("w", F.lit(1).cast("long")))
+    assert sorted(map(tuple, tree.attach(tree.reduce_forests(forests, 2), seq).collect())) == want
+
+
+NEW = [n for n in catalogue.ORACLE_SQL if n.endswith("file") or n.endswith("files")] + ["gp_tree", "gp_tree_merged", "gp_depth", "gp_height", "gp_backward", "gp_vfennel_k4", "gp_tree_metis_adj", "gp_tree_max_width", "gp_tree_validate_damaged", "gp_omitted_vertices_tree", "gp_partial_loads", "gp_forward_bounds_k4", "gp_efennel_bounds_k4"]
+
+
+@pytest.mark.parametrize("name", NEW)
+def test_query_as_its_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
+    got = catalogue.QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    want = con.execute(catalogue.ORACLE_SQL[name]).to_arrow_table().select(columns).to_pylist()
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(str(tuple(r.values())) for r in want)
+
+
+def test_tree_file_with_pre_weights(spark, tmp_path):
+    run = partitioning.graph_to_tree(graphs.supplier_part(spark, "/root/testdata/sf0.001"))
+    full = run.tree.join(tree.pre_weights(run.tree, tree.positioned(run.edges, run.seq)), "jnid")
+    sinks.write_tree(full, str(tmp_path / "t.tre"))
+    assert sorted(map(str, map(tuple, graphs.read_tree(spark, str(tmp_path / "t.tre"), pre_weight=True).collect()))) == sorted(map(str, map(tuple, full.select("jnid", "parent", "pst_weight", "pre_weight").collect())))

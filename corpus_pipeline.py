@@ -16,17 +16,30 @@ from graftwork.llm.queries import TOKENIZER
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that they reject go."""
+    """Quality rules: documents that they reject go.
+
+    A null or empty text has under 20 words, so it goes. Rows with a null id are judged like others, and each of repeated rows; other
+    columns stay as they are, whatever their names; an empty table stays empty.
+    """
     return quality.kept_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the smallest id."""
+    """One document of each class of near duplicates stays: the one with the smallest id.
+
+    Decided by row: repeated rows and copies with null ids go like any others, a null id coming last, and a row goes only if its
+    own text has an earlier near copy, also where another row has its id. Texts that are null or have no words all stay. Other
+    columns stay as they are; an empty table stays empty.
+    """
     return nearjoin.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go, and documents of which nothing is left."""
+    """Passages that an earlier document has go, and documents of which nothing is left.
+
+    A null text stays null, and a text that loses nothing stays as it is; rows with a null id are compared with none, those of one
+    id not with each other. n_chars is counted anew where words went; other columns stay as they are; an empty table stays empty.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = substring.remove_repeats(docs, keep=tuple(rest)).where("n_words = 0 or n_removed < n_words")
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("kept_n_chars")) if "n_chars" in rest else None}
@@ -34,12 +47,19 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights: a row for each copy, whole or in part, that the mix takes."""
+    """Sources are brought to their target weights: a row for each copy, whole or in part, that the mix takes, laid out by shards.
+
+    A document without words isn't in the mix. A null source is one of its own; rows with a null id and repeated rows each have
+    their own place; n_chars is counted anew for copies in part; other columns stay as they are; an empty table stays empty.
+    """
     return mixing.mix_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all texts, packed into sequences of 1024."""
+    """Token ids of all texts, packed into sequences of 1024.
+
+    A null or empty text is its end id alone; null ids stay null, repeated rows are packed each; an empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -1,10 +1,12 @@
 """License scan: TF-IDF cosine of notices to templates, then inheritance from the nearest licensed directory.
 
-The words within ``SPAN`` of a word of licensing are looked at, whatever the line breaks and comment marks between them. Words
-and word pairs are weighted by their rarity among all documents; what is compared with a template is each span of words in
-there, up to twice as long as the template, so that prose and names around a notice don't count. A span must have all words
-of a short template that are in the templates of few licenses (names and versions): "the Foo License" isn't MIT. The span and template of
-the highest cosine are the file's notice; at ``least`` or more its license is the file's. A file named like a license file, or of
+Words and word pairs are weighted by their rarity among all documents; what is compared with a template is each span of words of a text, up to
+twice as long as the template and whatever the line breaks and comment marks in it, so that prose and names around a notice
+don't count. All of a text is looked at: a sparse product of its terms, block by block, with the templates' bounds the cosine of
+any span in the block, and only blocks that can't reach ``least`` with any template are left out. A span must have all words
+of a short template that are in the templates of few licenses (names and versions): "the Foo License" isn't MIT. Of the
+templates that reach ``least``, longer ones go before parts of them: a text in three clauses isn't one in two. The chosen span
+and template are the file's notice; at ``least`` or more its license is the file's. A file named like a license file, or of
 which the notice is at least half, gives its license to its directory; a file without one takes that of the nearest directory
 above it that has one, by a join of each directory's ancestors with the licensed directories.
 """
@@ -12,10 +14,9 @@ above it that has one, by a join of each directory's ancestors with the licensed
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
+from math import log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ TEMPLATES = {
         "Released under the Apache License 2.0.", "Apache License, Version 2.0", "Licensed under the Apache 2.0 license.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD license.", f"{_CONDITIONS}: {_NOTICE_KEPT}"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD license.", _CONDITIONS, f"{_CONDITIONS}: {_NOTICE_KEPT}"],
     "BSD-3-Clause": [
-        "Released under the BSD 3-Clause License.", _CONDITIONS, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         f"{_CONDITIONS}: {_NOTICE_KEPT} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", _CC.format("Attribution")],
@@ -58,10 +59,23 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
-TEMPLATES = {name: [*texts, f"SPDX-License-Identifier: {name}"] for name, texts in TEMPLATES.items()}
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+#: How the texts of licenses begin.
+BEGINNINGS = {
+    "AGPL-3.0": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {_VERBATIM} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "GPL-2.0": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 {_VERBATIM} Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
+    "GPL-3.0": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_VERBATIM} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "LGPL-2.1": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 {_VERBATIM} This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1.",
+    "LGPL-3.0": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_VERBATIM} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+}
+TEMPLATES = {name: [*texts, *([BEGINNINGS[name]] if name in BEGINNINGS else []), *(f"{x} {name}" for x in ("SPDX-License-Identifier:", "License:", "Licensed under", "Released under"))] for name, texts in TEMPLATES.items()}
 LEAST = 0.7
-#: Words on each side of a word of licensing that may belong to its notice.
+#: Texts are looked at in blocks of twice so many words, each of which begins in the middle of the one before.
 SPAN = 256
+#: What a doubling of a template's words is worth, among templates that reach LEAST.
+LONGER = 0.1
 #: Templates of at most so many words need all their words that at most one in FEW licenses has.
 SHORT, FEW = 15, 4
 #: Weights of the most frequent terms go to all tasks; those of rarer ones are joined to the notices that have them.
@@ -69,8 +83,6 @@ HOT_TERMS = 100_000
 #: Terms that are in no notice are mostly kept from the count by a table of bits.
 BITS = 1 << 20
 _word = re.compile(r"\w+(?:[.-]\w+)*")
-_hint = re.compile(r"licen[sc]|copyright|permission|public domain|creative commons|redistribution|free software")
-_hint_bytes = re.compile(_hint.pattern.encode(), re.I)
 FILE_NAMES = r"(?i)^(un)?(licen[sc]e|copying|notice)([.-].*)?$"
 
 
@@ -96,24 +108,6 @@ def _terms(text: str) -> Counter:
     return Counter(_hash(_word.findall(text.lower())).tolist())
 
 
-def runs_of(text: bytes | None) -> tuple[int, list[str]]:
-    """Words of a text that has a word of licensing (else 0), and the runs of words near those, joined by spaces."""
-    if not text or not _hint_bytes.search(text):
-        return 0, []
-    low = text.decode().lower()
-    found = list(_word.finditer(low))
-    starts = [m.start() for m in found]
-    runs: list[list[int]] = []
-    for m in _hint.finditer(low):
-        k = max(0, bisect_right(starts, m.start()) - 1)
-        a, b = max(0, k - SPAN), min(len(found), k + SPAN + 1)
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = b
-        else:
-            runs.append([a, b])
-    return len(found), [" ".join(m.group() for m in found[a:b]) for a, b in runs]
-
-
 def _norms(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
     """[i, j]: squared norm of terms i..j."""
     same = np.triu(ids[:, None] == ids[None, :], 1)
@@ -141,6 +135,12 @@ class Templates:
             norm = self._norm(terms)
             for t, n in terms.items():
                 self.rows.setdefault(t, []).append((k, n * self.weight.get(t, self.other) / norm))
+        # the same, as arrays: of each term the templates that have it and its share of their squared norms
+        self.terms = np.array(sorted(self.rows), U64)
+        rows = [self.rows[t] for t in self.terms.tolist()]
+        self.ends = np.cumsum([0, *map(len, rows)])
+        self.of = np.array([k for r in rows for k, _ in r])
+        self.square = np.array([x * x for r in rows for _, x in r])
 
     def rarity(self, n: int) -> float:
         return log((1 + self.size) / (1 + n)) + 1
@@ -160,17 +160,52 @@ class Templates:
         k = min(dot, key=lambda k: (-round(dot[k], 12), k))
         return min(1.0, dot[k] / self._norm(terms)), self.names[k]
 
-    def best_span(self, words: list[str], more: dict[int, float] | None = None) -> tuple[float, str | None, int]:
-        """The best cosine of a span of the words, its license, and the words in it. ``more``: weights of further terms."""
-        top, chosen = (0.0, None, 0), len(self.names)
+    def _reach(self, found: np.ndarray) -> float:
+        """At most the squared cosine of any span with these terms (their numbers, any of them several times)."""
+        found = np.unique(found)
+        size = self.ends[found + 1] - self.ends[found]
+        at = np.arange(size.sum()) + np.repeat(self.ends[found] - np.cumsum(size) + size, size)
+        return float(np.bincount(self.of[at], self.square[at]).max(initial=0.0))
+
+    def runs_of(self, text: bytes | None) -> tuple[int, list[str]]:
+        """Words of a text (0 if it has no notice), and the runs of words that may hold one, joined by spaces."""
+        words = _word.findall(text.decode().lower()) if text else []
+        if not words:
+            return 0, []
+        ids, m = _hash(words), len(words)
+        at = np.minimum(np.searchsorted(self.terms, ids), len(self.terms) - 1)
+        hit = self.terms[at] == ids
+        least = LEAST * LEAST - 1e-9
+        if not hit.any() or self._reach(at[hit]) < least:
+            return 0, []
+        runs: list[list[int]] = []
+        for a in _blocks(words):
+            b = min(m, a + 2 * SPAN)
+            own = np.concatenate([at[a:b][hit[a:b]], at[m + a : m + b - 1][hit[m + a : m + b - 1]]])
+            if len(own) and self._reach(own) >= least:
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+        return (m if runs else 0), [" ".join(words[a:b]) for a, b in runs]
+
+    def order(self, cosine: float, k: int) -> tuple[bool, float, int]:
+        """What makes a span and template better than others: see the module's text; ties go to the first license by name."""
+        good = cosine >= LEAST - 1e-12
+        return good, round(cosine + (LONGER * log2(self.words[k]) if good else 0.0), 9), -k
+
+    def best_span(self, words: list[str], more: dict[int, float] | None = None) -> tuple[float, str | None, int, tuple]:
+        """The cosine of the best span of the words, its license, the words in it, and its place in the order. ``more``: weights of
+        further terms."""
+        top: tuple = (0.0, None, 0, (False, 0.0, -len(self.names)))
         for at in _blocks(words):
-            floor = [top[0]]
+            floor = [min(LEAST, top[0])]
             for k, ends, cosine in self._spans(_hash(words[at : at + 2 * SPAN]), more or {}, self.other, floor):
                 i, j = divmod(int(np.argmax(np.round(cosine, 12))), len(ends))
                 c = min(1.0, float(cosine[i, j]))
-                if c > top[0] + 1e-12 or (0 < top[0] <= c + 1e-12 and k < chosen):
-                    top, chosen = (c, self.names[k], int(ends[j] - ends[i] + 1)), k
-                    floor[0] = c
+                if c > 0 and (place := self.order(c, k)) > top[3]:
+                    top = c, self.names[k], int(ends[j] - ends[i] + 1), place
+                    floor[0] = min(LEAST, c)
         return top
 
     def open_terms(self, words: list[str], least: float) -> set[int]:
@@ -273,7 +308,7 @@ def best_notices(base: DataFrame, templates: dict[str, list[str]], hot_terms: in
     first = Templates(templates, counts, size)
 
     def best(known: Templates, words: int, runs: list[str], more: dict[int, float]) -> tuple[float, str | None, bool]:
-        top = max((known.best_span(run.split(" "), more) for run in runs), key=lambda x: round(x[0], 12), default=(0.0, None, 0))
+        top = max((known.best_span(run.split(" "), more) for run in runs), key=lambda x: x[3], default=(0.0, None, 0))
         return top[0], top[1], bool(top[1]) and 2 * top[2] >= words
 
     def table(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -285,9 +320,9 @@ def best_notices(base: DataFrame, templates: dict[str, list[str]], hot_terms: in
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for words, runs in map(runs_of, column_of(batch, "text")):
+                for words, runs in map(first.runs_of, column_of(batch, "text")):
                     got = best(first, words, runs, {})
-                    terms = set().union(*(first.open_terms(run.split(" "), got[0]) for run in runs))
+                    terms = set().union(*(first.open_terms(run.split(" "), min(got[0], LEAST)) for run in runs))
                     rows.append((*got, words, runs, _long(terms)) if terms else (*got, None, None, None))
                 yield table(batch, rows)
 

@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of a sequence: fewer than short documents would come to, so that the limit binds.
+MOST_SEGMENTS = 8
+
+
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), max_segments=MOST_SEGMENTS, with_ids=False).drop("ids")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

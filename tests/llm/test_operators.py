@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -391,18 +392,47 @@ def test_bayes_rule():
     assert abs((a == b).mean() - 0.75) < 0.15 and len(s)
 
 
-def test_language(docs, empty):
+def char_grams(text, buckets):
+    """Buckets of a text's character n-grams, one at a time."""
+    low = "".join((c.lower() if len(c.lower()) == 1 and ord(c) < 0x10000 else c) if c.isalpha() else " " for c in text)
+    low, out = re.sub(" +", " ", low), Counter()
+    for n in (1, 2, 3, 4):
+        for i in range(len(low) - n + 1):
+            h = 0
+            for k, c in enumerate(low[i : i + n]):
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + k + 1) & MASK
+            out[((((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & MASK) >> 40) % buckets] += 1
+    return out
+
+
+@pytest.mark.parametrize(("together", "block"), [(256, 1 << 17), (1, 50)])
+def test_language(docs, empty, monkeypatch, together, block):
+    monkeypatch.setattr(language, "TOGETHER", together)  # more languages than go together are scored in passes
+    monkeypatch.setattr(language, "BLOCK", block)
+    n = language.BUCKETS
+    counts, prior = {x: np.ones(n) for x in ("de", "en")}, Counter()
+    for _, t, lang, _ in awkward():
+        if t is not None and lang:
+            prior[lang] += 1
+            for b, k in char_grams(t, n).items():
+                counts[lang][b] += k
+    log = {x: np.log(c / c.sum()) for x, c in counts.items()}
     model = language.train(docs.select("text", "lang"))
-    assert model[0] == ["de", "en"]
-    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (4, 5, 6)) and all(0 <= r.score <= 1 for r in got.values())
-    names, log = model
-    for i, t, *_ in awkward():
-        if i in (1, 7, 15):
-            bucket, _, _ = language._features([t], language.BUCKETS)
-            score = log[:, bucket].sum(1, dtype=float) + log[:, -1]
-            assert got[i].lang_pred == names[int(score.argmax())]
-            assert got[i].score == pytest.approx(1 / np.exp(score - score.max()).sum(), abs=1e-6)
+    assert model[0] == ["de", "en"] and np.allclose(model[1][:, :n], np.stack([log["de"], log["en"]]), atol=1e-5)
+    got = defaultdict(list)
+    for r in language.predict(docs, model, keep=(F.col("source"),)).collect():
+        got[r.doc_id].append(r)
+    assert Counter((i, r.source) for i, x in got.items() for r in x) == Counter((i, s) for i, _, _, s in awkward())
+    for i, t, _, _ in awkward():
+        if i == 16 or i is None:
+            continue
+        score = {x: np.log((prior[x] + 1) / (prior.total() + 2)) + sum(log[x][b] * k for b, k in char_grams(t or "", n).items()) for x in log}
+        best = max(score, key=score.get)
+        for r in got[i]:
+            if not any(c.isalpha() for c in t or ""):
+                assert (r.lang_pred, r.score) == ("und", 0)
+            else:
+                assert r.lang_pred == best and r.score == pytest.approx(1 / sum(np.exp(s - score[best]) for s in score.values()), abs=1e-2)
     nothing = language.train(empty.select("text", "lang"))
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(empty, model).count() == 0
@@ -410,11 +440,11 @@ def test_language(docs, empty):
 
 def test_language_features_are_those_of_each_text():
     texts = ["Ab, c", "", "É!é", "x\U0001d4b3y 1"]
-    bucket, doc, has = language._features(texts, 1 << 15)
+    folded, doc, has = language._fold(texts)
     assert has.tolist() == [True, False, True, True]
+    (bucket, of), = language._grams(folded, doc, 1 << 15)
     for i, t in enumerate(texts):
-        own, _, _ = language._features([t], 1 << 15)
-        assert sorted(bucket[doc == i].tolist()) == sorted(own.tolist())
+        assert Counter(bucket[of == i].tolist()) == char_grams(t, 1 << 15)
 
 
 def test_language_held_out(spark):
@@ -529,10 +559,10 @@ def test_ordinary_wording_has_its_license(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = dict(zip(range(100, 200), ORDINARY.values(), strict=False))
     whole = {r.doc_id: (r.license, r.cosine) for r in licenses.scan(df, F.lit(None)).collect()}
-    assert {i: whole[i][0] for i in want} == want and all(whole[i] == (None, 0) for i in range(60))
+    assert {i: whole[i][0] for i in want} == want and all(whole[i][0] is None for i in range(60))
     # all weights from brute force
     known = licenses.Templates(licenses.TEMPLATES, Counter(t for _, x in rows for t in set(licenses._terms(x))), len(rows))
-    assert {i: x[1] for i, x in whole.items() if i >= 100} == {i: pytest.approx(known.best_span(licenses._word.findall(t.lower()))[0], abs=1e-8) for i, t in rows if i >= 100}
+    assert {i: x[1] for i, x in whole.items() if x[1] >= licenses.LEAST} == {i: pytest.approx(c, abs=1e-8) for i, t in rows if (c := known.best_span(licenses._word.findall(t.lower()))[0]) >= licenses.LEAST}
     # weights of rare terms that come by the join are those that come by broadcast
     assert {r.doc_id: (r.license, r.cosine) for r in licenses.scan(df, F.lit(None), hot_terms=1).collect()} == whole
 
@@ -546,19 +576,37 @@ def test_frequencies_are_those_of_all_documents(spark):
     assert {r.term % (1 << 64): r.n for r in got.collect()} == {t: n for t, n in want.items() if t in noted}
 
 
+def license_of(text):
+    known = licenses.Templates(licenses.TEMPLATES)
+    words, runs = known.runs_of(text.encode())
+    got = max((known.best_span(r.split(" ")) for r in runs), key=lambda x: x[3], default=(0.0, None))
+    return got[1] if got[0] >= licenses.LEAST else None
+
+
+def test_bodies_of_licenses():
+    two = f"Copyright 2020 X\n\n{licenses._CONDITIONS}:\n\n1. {licenses._NOTICE_KEPT}\n\nTHIS SOFTWARE IS PROVIDED AS IS"
+    three = two.replace("\n\nTHIS", "\n3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS")
+    short = two[: two.index("Redistributions in binary")]
+    assert [license_of(t) for t in (two, three, short)] == ["BSD-2-Clause", "BSD-3-Clause", "BSD-2-Clause"]
+    assert license_of("SPDX-License-Identifier: MIT") == "MIT" and license_of("Released under MIT.") == "MIT"
+    for name, text in licenses.BEGINNINGS.items():
+        assert license_of("\n".join(["w1 w2 w3"] * 300 + [text.replace(", ", ",\n   ")] + ["and so on"] * 500)) == name
+
+
 def test_best_span_is_that_of_all_spans():
     rng, known = random.Random(3), licenses.Templates(licenses.TEMPLATES)
     templates = [(len(t.split()), licenses._terms(t), known.needed[k]) for k, t in enumerate(t for _, texts in sorted(licenses.TEMPLATES.items()) for t in texts)]
     norm = lambda x: np.sqrt(sum((n * known.weight.get(t, known.other)) ** 2 for t, n in x.items()))
     for _ in range(15):
-        words, best = rng.choices("licensed under the mit license a b released apache version 2.0 this".split(), k=12), 0.0
+        words, best = rng.choices("licensed under the mit license a b released apache version 2.0 this".split(), k=12), (False, 0.0)
         for i in range(12):
             for j in range(i + 1, 13):
                 span = licenses._terms(" ".join(words[i:j]))
-                for n, other, needed in templates:
+                for k, (n, other, needed) in enumerate(templates):
                     if j - i <= 2 * n and needed <= span.keys():
-                        best = max(best, sum(c * other[t] * known.weight.get(t, known.other) ** 2 for t, c in span.items()) / norm(span) / norm(other))
-        assert known.best_span(words)[0] == pytest.approx(best)
+                        cosine = min(1.0, sum(c * other[t] * known.weight.get(t, known.other) ** 2 for t, c in span.items()) / norm(span) / norm(other))
+                        best = max(best, known.order(cosine, k)[:2])
+        assert known.best_span(words)[3][:2] == (best[0], pytest.approx(best[1]))
 
 
 def test_inheritance_of_the_whole_query(spark):
@@ -567,11 +615,11 @@ def test_inheritance_of_the_whole_query(spark):
     known = licenses.Templates(licenses.TEMPLATES, Counter(t for r in docs if r.text for t in set(licenses._terms(r.text))), sum(bool(r.text) for r in docs))
     own, where, given = {}, {}, {}
     for r in docs:
-        words, runs = licenses.runs_of(r.text and r.text.encode())
-        cosine, name, n = max((known.best_span(x.split(" ")) for x in runs), default=(0.0, None, 0))
+        every = licenses._word.findall((r.text or "").lower())  # all of it, whatever the scan leaves out
+        cosine, name, n, _ = known.best_span(every)
         own[r.doc_id] = name if cosine >= licenses.LEAST else None
         where[r.doc_id] = f"{r.source}" if r.doc_id % 12 == 0 else f"{r.source}/{r.doc_id // 1000}"
-        if own[r.doc_id] and (r.doc_id % 4 == 0 or 2 * n >= words):
+        if own[r.doc_id] and (r.doc_id % 4 == 0 or 2 * n >= len(every)):
             given.setdefault(where[r.doc_id], []).append((-round(cosine, 9), name))
     want = {}
     for i, d in where.items():
@@ -610,4 +658,12 @@ def test_warc_audit(spark):
 
     assert got[16][1:] == (sum(size(r) for r in rows if 0 <= r[0] < 16), size(rows[19]))
     assert warc.audit(leaves(df), leaves(df)).count() == 0
+    # rows without a number are no record -1, and repeated ones count; names that clash are ignored
+    odd = spark.createDataFrame([(None, "u", "a" * 50_000, "x", "y"), (None, "u", "b", "x", "y"), (-1, "u", "c", "x", "y"), (1 << 60, "u", None, "x", "y"), (1 << 60, "u", None, "x", "y")], "page_id long, url string, html string, number string, hash string")
+    at = lambda a, b: Counter((r.number, r.kind, r.length) for r in warc.audit(leaves(a), leaves(b)).collect())
+    one = size((0, "u", None))
+    assert at(odd, odd.where("page_id is not null")) == {(None, "missing", size((0, "u", "a" * 50_000)) + size((0, "u", "b"))): 1}
+    assert at(odd, odd.where("page_id <> -1 or page_id is null")) == {(-1, "missing", size((0, "u", "c"))): 1}
+    assert at(odd, odd.dropDuplicates(["page_id", "html"])) == {(1 << 60, "changed", 2 * one): 1} and at(odd, odd) == {}
+    assert at(odd.where("page_id = -1"), odd.where("page_id is null or page_id = -1"))[None, "extra", size((0, "u", "a" * 50_000)) + size((0, "u", "b"))] == 1
     assert warc.audit(leaves(df.limit(0)), leaves(df.limit(0))).count() == 0

@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from graftwork.llm import quality
+from graftwork.llm import mixing, quality
 from graftwork.storage import materialize
 
+from .test_operators import awkward, frame
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -94,3 +96,104 @@ def test_sequences(steps):
             at += length
         assert at <= 1024 and at & (at - 1) == 0
     assert sum(n for s in sequences.values() for _, n, _ in s) == sum(r.doc_tokens for r in steps[5].where("start = 0").collect())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, awkward()).cache()
+
+
+def of(rows):
+    return Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_rules_on_awkward_rows(spark, odd):
+    got = corpus_pipeline.keep_good(spark, odd, SF)
+    assert got.columns == odd.columns
+    scored = quality.score(odd, quality.fit(odd, spark.read.parquet(f"{SF}/labels.parquet")), keep=("text",))
+    assert of(got.collect()) == Counter((r.doc_id, r.kept_text) for r in scored.where("kept").collect())
+
+
+def test_one_of_each_on_awkward_rows(spark, odd):
+    rows = sorted(((i, t) for i, t, *_ in awkward()), key=lambda r: (r[0] is None, r[0] or 0))
+    up = list(range(len(rows)))
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    sets = [grams(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    got = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
+    assert got.columns == odd.columns
+    assert of(got.collect()) == Counter(r for k, r in enumerate(rows) if find(k) == k)
+
+
+def test_passages_on_awkward_rows(spark, odd):
+    first: dict = {}
+    for i, t, *_ in awkward():
+        w = (t or "").encode().split()
+        for k in range(len(w) - 49):
+            if i is not None:
+                key = tuple(w[k : k + 50])
+                first[key] = min(first.get(key, i), i)
+    want = Counter()
+    for i, t, *_ in awkward():
+        w, gone = (t or "").encode().split(), set()
+        for k in range(len(w) - 49):
+            if i is not None and first[tuple(w[k : k + 50])] < i:
+                gone |= set(range(k, k + 50))
+        if not w or len(gone) < len(w):
+            want[i, t if not gone else b" ".join(x for k, x in enumerate(w) if k not in gone).decode()] += 1
+    got = corpus_pipeline.drop_repeated_passages(spark, odd, SF)
+    assert got.columns == odd.columns and of(got.collect()) == want
+
+
+def test_mixing_on_awkward_rows(spark, odd):
+    got = corpus_pipeline.mix_sources(spark, odd, SF)
+    again = Counter(map(str, corpus_pipeline.mix_sources(spark, odd.repartition(2), SF).collect()))
+    rows = got.collect()
+    assert got.columns == odd.columns and Counter(map(str, rows)) == again  # reruns agree, whatever the order of the rows
+    taken = Counter()
+    limit = Counter()
+    for i, t, _, s in awkward():
+        for w in (t or "").encode().split():
+            limit[i, s, w] += 2
+    for r in rows:
+        assert r.doc == "extra" and r.text.split()
+        taken.update((r.doc_id, r.source, w) for w in r.text.encode().split())
+    assert all(n <= limit[k] for k, n in taken.items())
+    total = sum(len((t or "").encode().split()) for _, t, *_ in awkward())
+    assert taken.total() == pytest.approx(1.5 * total, rel=0.02)
+
+
+def test_packing_on_awkward_rows(spark, odd):
+    rows = corpus_pipeline.pack_sequences(spark, odd, SF).collect()
+    whole = Counter()
+    for r in rows:
+        if r.start == 0:
+            whole[r.doc_id, r.doc_tokens] += 1
+    assert whole.total() == len(awkward()) and sum(r.length for r in rows) == sum(n * k for (_, n), k in whole.items())
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_empty_tables(spark, name, stage):
+    got = stage(spark, frame(spark, []), SF)
+    assert got.count() == 0 and (name == "packing" or got.columns == frame(spark, []).columns)
+
+
+def test_mix_is_laid_out_by_shards(spark, steps):
+    """The seed and the size of shards move texts between shards, and change no total."""
+    totals, order = set(), set()
+    for how in ({}, {"seed": 1}, {"block_words": 64, "shard_slots": 8}):
+        rows = mixing.mix_texts(steps[3], shard_col="of_shard", **how).collect()
+        totals.add(round(sum(len(r.text.split()) for r in rows) / 100))
+        order.add(tuple(sorted((r.of_shard, r.doc_id) for r in rows)))
+    assert len(totals) <= 2 and len(order) == 3
+    plan = mixing.mix_texts(steps[3])._jdf.queryExecution().toString()
+    assert "hashpartitioning(shard" in plan

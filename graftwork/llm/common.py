@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize  # noqa: F401
+from ..storage import discard, materialize  # noqa: F401
 
 #: A word cache is emptied beyond this many entries, so a worker's memory stays bounded.
 CACHE_ENTRIES = 400_000

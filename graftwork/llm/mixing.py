@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1024
@@ -57,14 +57,16 @@ def lay_out(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mark.alias("mark"))
     docs = materialize(rows.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("m")), "sizes")
     buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
+    laid = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
     inner = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, 0)
-    docs = docs.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(inner))
-    totals = docs.groupBy("source", "bucket").agg(F.max("upto").alias("total"))
+    laid = laid.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(inner))
+    totals = laid.groupBy("source", "bucket").agg(F.max("upto").alias("total"))
     outer = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = totals.withColumn("base", F.coalesce(F.sum("total").over(outer), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
-    joined = docs.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", "mark", "m", (F.col("base") + F.col("upto") - F.col("size") * F.col("m")).alias("start"))
+    joined = laid.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    out = materialize(joined.select("doc_id", "source", "size", "mark", "m", (F.col("base") + F.col("upto") - F.col("size") * F.col("m")).alias("start")), "mix")
+    discard(docs)
+    return out
 
 
 def each_row(docs: DataFrame) -> DataFrame:
@@ -159,7 +161,7 @@ class Mix:
     def __init__(self, df: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: Column | None = None) -> None:
         if share > cap or min(weights) <= 0 or block_words < 1:
             raise ValueError("weights must be positive, and share at most cap")
-        laid = materialize(lay_out(df, id_col, text_col, source_col, mark), "mix")
+        laid = lay_out(df, id_col, text_col, source_col, mark)
         sizes = laid.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
         self.docs = each_row(laid)
         # a row for each source; the running sums over them are one task's work

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_if_small, column_of, hash_words, materialize, slices, small_batches, split_words, window_hashes
+from .common import U64, broadcast_if_small, column_of, discard, hash_words, materialize, slices, small_batches, split_words, window_hashes
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -166,14 +166,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     already, so few are needed.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    label = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
+    old = label = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m"))
         step = label.join(near, label["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = label.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
         new = materialize(step.join(jump, step["label"] == jump["n2"], "left").select("node", "old", F.least("label", "l2").alias("label")), "labels")
-        label = new.select("node", "label")
+        discard(old)
+        old, label = new, new.select("node", "label")
         if new.where("label <> old").isEmpty():
+            discard(both)
             return label
 
 
@@ -259,6 +261,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, tolerance: float =
             yield flush()
 
     linked = materialize(small_batches(groups).mapInArrow(verify, "a long, b long, links long"), "links")
+    discard(buckets, home, homed, pairs, wanted)
     counts = linked.groupBy(F.col("a").alias("r2")).agg(F.sum("links").alias("near"))
     label = components(linked.select(F.col("a").alias("node")).union(linked.select("b")).distinct(), linked)
     named = weight.join(label, F.col("rid") == F.col("node")).select("doc", "rid", "label")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast_if_small, column_of, hash_words, materialize, mix64, slices, small_batches, split_words, window_hashes
+from .common import U64, broadcast_if_small, column_of, discard, hash_words, materialize, mix64, slices, small_batches, split_words, window_hashes
 
 LENGTH = 50
 ANCHOR = 32
@@ -213,9 +213,11 @@ def _owners(passages: DataFrame, length: int) -> DataFrame:
     cut = materialize(hot.mapInArrow(windows, "fp long, ctx long, doc long, no int, w long, words binary"), "windows")
     own = cut.groupBy("w").agg(F.min("doc").alias("doc"), F.min("words").alias("words")).select(F.col("w").alias("fp"), F.lit(None).cast("long").alias("ctx"), "doc", "words")
     together = materialize(usual.unionByName(own), "references")
+    discard(passages)
     shards = max(1, together.count() // SHARD_PASSAGES)
     matched = together.groupBy(F.pmod("fp", F.lit(shards)).alias("shard")).applyInArrow(match, schema)
     matched = materialize(matched, "matched")
+    discard(together)
     first = matched.where("ctx is null").select(F.col("fp").alias("v"), F.element_at("owners", 1).alias("owner"))
     of_cut = cut.select("fp", "ctx", "no", "w").join(first, F.col("w") == F.col("v")).groupBy("fp", "ctx").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "owner"))), lambda x: x["owner"]).alias("owners"))
     return matched.where("ctx is not null").unionByName(of_cut)
@@ -249,6 +251,7 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # stored, so that the join has a shuffle of its own and large keys can be split in it
     shared = materialize(kinds.where("hi > lo").select(F.col("fp").alias("f")), "kinds")
     met = materialize(anchors.join(shared, F.col("fp") == F.col("f")).drop("f"), "shared")
+    discard(anchors, shared)
     own = F.min(F.struct("doc", "th", F.element_at("firsts", 1).alias("first"))).alias("x")
     wanted = met.groupBy("fp", "ctx").agg(own).select("x.*")
     owners = materialize(_owners(_passages(docs, wanted, length), length), "owners").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), "owners")

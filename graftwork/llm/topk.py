@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import discard, materialize, small_batches
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 128
@@ -201,6 +201,7 @@ class Index:
             return pa.table({"dim": pa.array([dim], pa.int32()), "cell": pa.array([cell]), "sub": pa.array([sub]), "data": pa.array([data], pa.binary()), "lo": box[0], "hi": box[1]})
 
         self.trees = materialize(dealt.groupBy("dim", "cell", "sub").applyInArrow(plant, "dim int, cell long, sub long, data binary, lo array<double>, hi array<double>"), "trees")
+        discard(found, celled)
         self.boxes: dict[int, tuple] = {}
         for dim in many:  # shards of a cell have boxes of their own; what goes to all tasks is a box a cell
             lo, hi = (F.array(*(f(F.col(c)[i]) for i in range(dim))).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.llm import mixing, nearjoin, packing, quality, substring
-from graftwork.llm.common import materialize
+from graftwork.llm.common import discard, materialize
 from graftwork.llm.queries import TOKENIZER
 
 
@@ -78,7 +78,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            if k:
+                discard(before)
     return docs

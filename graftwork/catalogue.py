@@ -151,7 +151,7 @@ _query("gp_jxn", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width, coa
 _query("gp_fill", _JXN + " SELECT (count(*) - (SELECT count(*) FROM epos))::BIGINT AS fill FROM jx")(lambda g: facts.tree_facts(g.tree, tree.filled(g.tree, g.epos)).select("fill"))
 _HEIGHTS = _ABOVE + ", dep AS (SELECT v, max(steps) AS depth, sum(t.pst_weight) AS w FROM above JOIN tree t ON t.jnid = above.a GROUP BY v)"
 _query("gp_heights", _HEIGHTS + " SELECT v AS jnid, depth::BIGINT AS depth, w::BIGINT AS path_weight, (SELECT max(steps) FROM above b WHERE b.a = dep.v)::BIGINT AS height, (SELECT count(*) FROM above b WHERE b.a = dep.v)::BIGINT AS subtree_size FROM dep")(
-    lambda g: tree.path_figures(g.tree).drop("subtree_weight")
+    lambda g: tree.path_figures(g.tree).drop("subtree_weight", "enter")
 )
 _query(
     "gp_tree_facts",

@@ -46,30 +46,6 @@ class Forest:
                 parent[v] = up[v] = hi
 
 
-def child_counts(parent: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each vertex, the edges from its subtree to its parent: edges (lo, hi, multiplicity n) in the order of hi."""
-    out = np.zeros(len(parent), np.int64)
-    up = np.arange(len(parent))
-
-    def top(v: int) -> int:
-        root = v
-        while up[root] != root:
-            root = up[root]
-        while up[v] != root:
-            up[v], v = root, up[v]
-        return root
-
-    kids = children(parent)
-    done = 0
-    for a, b, c in zip(lo.tolist(), hi.tolist(), n.tolist(), strict=True):
-        while done < b:  # all below b are joined with their kids
-            for k in kids[done]:
-                up[k] = done
-            done += 1
-        out[top(a)] += c
-    return out
-
-
 def children(parent: np.ndarray) -> list[list[int]]:
     kids: list[list[int]] = [[] for _ in range(len(parent))]
     for v, p in enumerate(parent.tolist()):
@@ -79,7 +55,8 @@ def children(parent: np.ndarray) -> list[list[int]]:
 
 
 def path_figures(parent: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """depth, vertices and weight on the way to the root, height above the leaves, size and weight of subtrees."""
+    """depth, vertices and weight on the way to the root, height above the leaves, size and weight of subtrees, and enter: a number
+    such that a subtree's vertices have those from its root's on."""
     n = len(parent)
     depth, above = np.zeros(n, np.int64), np.array(weight, np.int64)
     height, size, below = np.zeros(n, np.int64), np.ones(n, np.int64), np.array(weight, np.int64)
@@ -89,11 +66,17 @@ def path_figures(parent: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray
             height[p[v]] = max(height[p[v]], height[v] + 1)
             size[p[v]] += size[v]
             below[p[v]] += below[v]
+    enter, free, roots = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
     for v in range(n - 1, -1, -1):
         if p[v] != NONE:
             depth[v] = depth[p[v]] + 1
             above[v] += above[p[v]]
-    return {"depth": depth, "path_weight": above, "height": height, "subtree_size": size, "subtree_weight": below}
+            enter[v] = free[p[v]]
+            free[p[v]] += size[v]
+        else:
+            enter[v], roots = roots, roots + size[v]
+        free[v] = enter[v] + 1
+    return {"depth": depth, "path_weight": above, "height": height, "subtree_size": size, "subtree_weight": below, "enter": enter}
 
 
 def filled_neighbours(parent: np.ndarray, later: list[set[int]]) -> list[list[int]]:

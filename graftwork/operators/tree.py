@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -132,27 +133,29 @@ def arrays(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def path_figures(tree: DataFrame) -> DataFrame:
-    """jnid, depth, path_weight (to the root, itself included), height, subtree_size, subtree_weight."""
+    """jnid, depth, path_weight (to the root, itself included), height, subtree_size, subtree_weight, enter (a subtree's vertices have
+    the subtree_size numbers from its root's on)."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         ids, parent = arrays(t)
         return pd.DataFrame({"jnid": ids} | kernels.path_figures(parent, t["pst_weight"].to_numpy(np.int64)))
 
-    return in_one_task(tree.select("jnid", "parent", "pst_weight"), run, "jnid long, depth long, path_weight long, height long, subtree_size long, subtree_weight long")
+    return in_one_task(tree.select("jnid", "parent", "pst_weight"), run, "jnid long, depth long, path_weight long, height long, subtree_size long, subtree_weight long, enter long")
 
 
 def pre_weights(tree: DataFrame, epos: DataFrame) -> DataFrame:
-    """jnid, pre_weight: edges from a vertex's subtree to its parent."""
-    e = epos.where("hi is not null").groupBy("lo", "hi").count().select(F.col("lo").alias("jnid"), F.col("hi").alias("parent"), "count")
+    """jnid, pre_weight: edges from a vertex's subtree to its parent.
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        edges = t[t["count"] > 0].sort_values("parent")
-        nodes = t[t["count"] == 0].copy()
-        ids, parent = arrays(nodes)
-        at = lambda c: np.searchsorted(ids, edges[c].to_numpy(np.int64))
-        return pd.DataFrame({"jnid": ids, "pre_weight": kernels.child_counts(parent, at("jnid"), at("parent"), edges["count"].to_numpy(np.int64))})
-
-    return in_one_task(tree.select("jnid", "parent", F.lit(0).cast("long").alias("count")).unionByName(e), run, "jnid long, pre_weight long")
+    Both ends of an edge lie on one way to the root, so it belongs to the child of its later end below which the earlier one is: of the
+    children in the order of their numbers the last one that begins at or before it.
+    """
+    enter = materialize(path_figures(tree).select("jnid", "enter"), "enter")
+    e = epos.where("hi is not null").groupBy("lo", "hi").agg(F.count("*").alias("n"))
+    ends = e.join(enter.withColumnRenamed("jnid", "lo"), "lo").select(F.col("hi").alias("at"), "enter", F.lit(None).cast("long").alias("kid"), "n")
+    kids_ = tree.where("parent is not null").join(enter, "jnid").select(F.col("parent").alias("at"), "enter", F.col("jnid").alias("kid"), F.lit(0).cast("long").alias("n"))
+    before = W.partitionBy("at").orderBy("enter", F.col("kid").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    found = ends.unionByName(kids_).select(F.last("kid", ignorenulls=True).over(before).alias("jnid"), "n").groupBy("jnid").agg(F.sum("n").alias("pre_weight"))
+    return tree.select("jnid").join(found, "jnid", "left").select("jnid", F.coalesce("pre_weight", F.lit(0)).alias("pre_weight"))
 
 
 def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:

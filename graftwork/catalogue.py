@@ -149,6 +149,17 @@ _query("gp_jxn", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width, coa
     lambda g: tree.filled(g.tree, g.epos).select("jnid", "width", F.aggregate("jxn", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 )
 _query("gp_fill", _JXN + " SELECT (count(*) - (SELECT count(*) FROM epos))::BIGINT AS fill FROM jx")(lambda g: facts.tree_facts(g.tree, tree.filled(g.tree, g.epos)).select("fill"))
+
+
+@_query("gp_jxn_validate_damaged", _JXN + """ SELECT count(*) FILTER (WHERE t.parent IS NOT NULL AND t.jnid % 9 = 4) AS bad_first,
+ (SELECT count(DISTINCT jx.jnid) FROM jx JOIN tree s ON s.jnid = jx.jnid JOIN tree p ON p.jnid = s.parent WHERE p.jnid % 9 = 4 AND jx.u = p.parent)::BIGINT AS bad_subset FROM tree t""")
+def _jxn_damaged(g: Graph) -> DataFrame:
+    """What the validator says of a filled graph in which some vertices lack their first later neighbour."""
+    whole = tree.filled(g.tree, g.epos)
+    broken = whole.withColumn("jxn", F.when(F.col("jnid") % 9 == 4, F.slice("jxn", 2, 1 << 30)).otherwise(F.col("jxn")))
+    return tree.validate_filled(g.tree, broken)
+
+
 _HEIGHTS = _ABOVE + ", dep AS (SELECT v, max(steps) AS depth, sum(t.pst_weight) AS w FROM above JOIN tree t ON t.jnid = above.a GROUP BY v)"
 _query("gp_heights", _HEIGHTS + " SELECT v AS jnid, depth::BIGINT AS depth, w::BIGINT AS path_weight, (SELECT max(steps) FROM above b WHERE b.a = dep.v)::BIGINT AS height, (SELECT count(*) FROM above b WHERE b.a = dep.v)::BIGINT AS subtree_size FROM dep")(
     lambda g: tree.path_figures(g.tree).drop("subtree_weight", "enter")
@@ -183,7 +194,13 @@ _query(
 m AS (SELECT *, max(width) OVER (ORDER BY jnid) AS most FROM ws), z AS (SELECT min(jnid) AS last FROM m WHERE most >= (SELECT count(*) FROM seq) - jnid)
 SELECT m.jnid, seq.vid, CASE WHEN parent <= z.last THEN parent END AS parent, pst_weight, width::BIGINT AS width FROM m JOIN seq ON seq.pos = m.jnid, z WHERE m.jnid <= z.last""",
 )(lambda g: tree.limited(g.edges, g.seq, find_max_width=True))
-_query("gp_tree_rooted", _JXN + " SELECT t.jnid, seq.vid, t.parent, t.pst_weight, (1 + count(jx.u))::BIGINT AS width FROM tree t JOIN seq ON seq.pos = t.jnid LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY ALL")(lambda g: tree.limited(g.edges, g.seq, rooted=True))
+_query(
+    "gp_tree_rooted",
+    _JXN + """, ws AS (SELECT t.jnid, t.parent, t.pst_weight, (1 + count(jx.u))::BIGINT AS width FROM tree t LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY ALL), n AS (SELECT count(*) AS n FROM seq),
+z AS (SELECT min(jnid) AS z FROM ws, n WHERE width = n - jnid)
+SELECT ws.jnid, seq.vid, CASE WHEN ws.jnid > z THEN CASE WHEN ws.jnid + 1 < n THEN ws.jnid + 1 END WHEN parent <= z THEN parent WHEN z + 1 < n THEN z + 1 END AS parent, pst_weight,
+ CASE WHEN ws.jnid > z THEN n - ws.jnid ELSE width END AS width FROM ws JOIN seq ON seq.pos = ws.jnid, n, z""",
+)(lambda g: tree.limited(g.edges, g.seq, rooted=True))
 
 _query("gp_hash_parts", _PARTS + " SELECT vid, part FROM parts")(lambda g: g.hash_parts())
 _query("gp_part_counts", _PARTS + " SELECT part, count(*) AS vertices FROM parts GROUP BY part")(lambda g: sinks.part_counts(g.hash_parts()))

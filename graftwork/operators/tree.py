@@ -198,3 +198,14 @@ def validate(tree: DataFrame, epos: DataFrame) -> DataFrame:
     moved = t.join(again, "jnid", "left").where(~F.col("parent").eqNullSafe(F.col("p"))).agg(F.count("*").alias("bad_edges"))
     m = epos.agg(F.count("*").alias("m"))
     return wrong.join(m).join(moved).select("bad_parents", "bad_edges", (F.col("w") - F.col("m")).alias("weight_gap"))
+
+
+def validate_filled(tree: DataFrame, filled: DataFrame) -> DataFrame:
+    """Counts of broken invariants of the filled graph, all 0 for a sound one: bad_first, vertices whose parent isn't their first later
+    neighbour, and bad_subset, those with a further later neighbour that their parent lacks."""
+    own = tree.select("jnid", "parent").join(filled.select("jnid", "jxn"), "jnid")
+    up = filled.select(F.col("jnid").alias("parent"), F.col("jxn").alias("above"))
+    both = own.join(up, "parent", "left")
+    first = ~F.get("jxn", F.lit(0)).eqNullSafe(F.col("parent"))
+    lacks = F.col("parent").isNotNull() & (F.size(F.array_except("jxn", F.array_append(F.coalesce("above", F.array().cast("array<long>")), F.col("parent")))) > 0)
+    return both.agg(F.count(F.when(first, 1)).alias("bad_first"), F.count(F.when(lacks, 1)).alias("bad_subset"))

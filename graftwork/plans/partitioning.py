@@ -21,21 +21,37 @@ class Run:
     tree: DataFrame
     facts: DataFrame | None = None
     valid: DataFrame | None = None
+    kids: DataFrame | None = None
+    later: DataFrame | None = None
+    filled: DataFrame | None = None
     parts: dict[int, DataFrame] = field(default_factory=dict)
     evaluation: dict[int, DataFrame] = field(default_factory=dict)
 
 
-def graph_to_tree(edges: DataFrame, seq: DataFrame | None = None, widths: bool = False, with_facts: bool = False, check: bool = False) -> Run:
-    """Sequence (by degree unless given), tree and, if asked for, facts and checks. A graph loaded in part needs a sequence
-    of the whole: trees over different orders don't merge."""
+def graph_to_tree(
+    edges: DataFrame, seq: DataFrame | None = None, widths: bool = False, with_facts: bool = False, check: bool = False, with_kids: bool = False, with_later: bool = False,
+    width_limit: int | None = None, find_max_width: bool = False, rooted: bool = False,
+) -> Run:
+    """Sequence (by degree unless given), tree and what else is asked for: facts, checks, children, later neighbours, and with
+    ``widths`` those in the filled graph. A limit of width, an early end at the greatest width and rooting make the tree with its
+    widths in one task. A graph loaded in part needs a sequence of the whole: trees over different orders don't merge."""
     seq = seq if seq is not None else sequence.degree_sequence(edges)
     epos = materialize(tree.positioned(edges, seq), "epos")
-    t = materialize(tree.build_tree(epos, seq), "tree")
+    special = width_limit is not None or find_max_width or rooted
+    t = materialize(tree.limited(edges, seq, width_limit, find_max_width, rooted) if special else tree.build_tree(epos, seq), "tree")
     run = Run(edges, seq, t)
+    if widths:
+        run.filled = t.select("jnid", "width") if special else materialize(tree.filled(t, epos), "filled")
     if with_facts:
-        run.facts = facts.tree_facts(t, tree.filled(t, epos) if widths else None)
+        run.facts = facts.tree_facts(t, run.filled)
     if check:
         run.valid = tree.validate(t, epos)
+        if widths and not special:
+            run.valid = run.valid.join(tree.validate_filled(t, run.filled))
+    if with_kids:
+        run.kids = tree.kids(t)
+    if with_later:
+        run.later = tree.pst_lists(edges, seq)
     return run
 
 

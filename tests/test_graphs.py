@@ -300,7 +300,7 @@ def test_forests_over_many_partitions(spark):
     assert sorted(map(tuple, tree.attach(tree.reduce_forests(forests, 2), seq).collect())) == want
 
 
-NEW = [n for n in catalogue.ORACLE_SQL if n.endswith("file") or n.endswith("files")] + ["gp_tree", "gp_tree_merged", "gp_depth", "gp_height", "gp_backward", "gp_vfennel_k4", "gp_tree_metis_adj", "gp_tree_max_width", "gp_tree_validate_damaged", "gp_omitted_vertices_tree", "gp_partial_loads", "gp_forward_bounds_k4", "gp_efennel_bounds_k4"]
+NEW = [n for n in catalogue.ORACLE_SQL if n.endswith("file") or n.endswith("files")] + ["gp_tree", "gp_tree_merged", "gp_depth", "gp_height", "gp_backward", "gp_vfennel_k4", "gp_tree_metis_adj", "gp_tree_max_width", "gp_tree_validate_damaged", "gp_jxn_validate_damaged", "gp_pre_weight", "gp_heights", "gp_tree_rooted", "gp_omitted_vertices_tree", "gp_partial_loads", "gp_forward_bounds_k4", "gp_efennel_bounds_k4"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -319,3 +319,14 @@ def test_tree_file_with_pre_weights(spark, tmp_path):
     full = run.tree.join(tree.pre_weights(run.tree, tree.positioned(run.edges, run.seq)), "jnid")
     sinks.write_tree(full, str(tmp_path / "t.tre"))
     assert sorted(map(str, map(tuple, graphs.read_tree(spark, str(tmp_path / "t.tre"), pre_weight=True).collect()))) == sorted(map(str, map(tuple, full.select("jnid", "parent", "pst_weight", "pre_weight").collect())))
+
+
+def test_options_of_a_run(spark):
+    edges = edges_of(spark, [(a, b) for a in range(6) for b in range(a)] + [(0, 9), (9, 8)])
+    run = partitioning.graph_to_tree(edges, widths=True, with_facts=True, check=True, with_kids=True, with_later=True)
+    assert tuple(run.valid.first()) == (0, 0, 0, 0, 0) and run.facts.first().width == 6 and run.later.count() == 7
+    assert dict(rows(run.kids.select("jnid", F.size("kids")))) == dict(rows(run.tree.where("parent is not null").groupBy("parent").count()))
+    limited = partitioning.graph_to_tree(edges, widths=True, with_facts=True, width_limit=3)
+    assert limited.tree.count() == 8 and limited.facts.first().vert_cnt == 8
+    assert partitioning.graph_to_tree(edges, find_max_width=True).tree.count() < 8
+    assert partitioning.graph_to_tree(edges, rooted=True).tree.where("parent is null").count() == 1

@@ -72,8 +72,9 @@ BEGINNINGS = {
 }
 TEMPLATES = {name: [*texts, *([BEGINNINGS[name]] if name in BEGINNINGS else []), *(f"{x} {name}" for x in ("SPDX-License-Identifier:", "License:", "Licensed under", "Released under"))] for name, texts in TEMPLATES.items()}
 LEAST = 0.7
-#: Texts are looked at in blocks of twice so many words, each of which begins in the middle of the one before.
-SPAN = 256
+#: Texts are looked at in blocks of twice so many words, each of which begins in the middle of the one before: a span of twice the
+#: longest template's words lies in one of them.
+SPAN = 340
 #: What a doubling of a template's words is worth, among templates that reach LEAST.
 LONGER = 0.1
 #: Templates of at most so many words need all their words that at most one in FEW licenses has.

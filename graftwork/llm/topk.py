@@ -11,7 +11,7 @@
 4. In a shard, a tree is walked best bound first: the most promising open node of each query is taken out, and its
    children are opened or its leaf is scored, until no open node's bound reaches the query's k-th score.
 
-What is shuffled: each vector twice, a query once for each shard that its bounds leave open, and a tree once for every
+What is shuffled: each vector three times, a query once for each shard that its bounds leave open, and a tree once for every
 QUERY_BLOCK queries that come to it. Only boxes of cells (MAX_CELLS at most for a length of vectors) go to all tasks.
 """
 

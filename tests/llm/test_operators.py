@@ -588,6 +588,7 @@ def test_bodies_of_licenses():
     three = two.replace("\n\nTHIS", "\n3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS")
     short = two[: two.index("Redistributions in binary")]
     assert [license_of(t) for t in (two, three, short)] == ["BSD-2-Clause", "BSD-3-Clause", "BSD-2-Clause"]
+    assert 2 * max(licenses.Templates(licenses.TEMPLATES).words) <= licenses.SPAN  # no block cuts a span
     assert license_of("SPDX-License-Identifier: MIT") == "MIT" and license_of("Released under MIT.") == "MIT"
     for name, text in licenses.BEGINNINGS.items():
         assert license_of("\n".join(["w1 w2 w3"] * 300 + [text.replace(", ", ",\n   ")] + ["and so on"] * 500)) == name

@@ -19,7 +19,10 @@ from .common import broadcast_if_small, discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1024
-SHARD_SLOTS = 4096
+#: Slots of an output shard: about 260,000 words.
+SHARD_SLOTS = 256
+#: Slots of a source that are made together.
+RUN_SLOTS = 4096
 #: Rows of a source that are put in order together, on average.
 BUCKET_ROWS = 2000
 #: Repeats of one row that are laid out by one task.
@@ -91,11 +94,11 @@ def draw_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -
     """A row for each slot: shard, source, epoch, block, and part: which share of the block it takes."""
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     # slots are made from runs, so that a hot source's are made by many tasks
-    runs = plan.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("slots") - 1) / shard_slots)).cast("int"))).alias("run")).where("slots > 0")
+    runs = plan.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("slots") - 1) / RUN_SLOTS)).cast("int"))).alias("run")).where("slots > 0")
     # a number of its own: these rows are few and small, what is made of them isn't
     runs = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("run"))
-    lo = F.col("run").cast("long") * shard_slots
-    s = runs.select("source", "source_size", "target", "n", "slots", "first", F.explode(F.sequence(lo, F.least(lo + shard_slots, F.col("slots")) - 1)).alias("k"))
+    lo = F.col("run").cast("long") * RUN_SLOTS
+    s = runs.select("source", "source_size", "target", "n", "slots", "first", F.explode(F.sequence(lo, F.least(lo + RUN_SLOTS, F.col("slots")) - 1)).alias("k"))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.floor(F.col("k") / F.col("n")).cast("long"))
     s = s.withColumn("epoch", F.floor(F.col("k") / F.col("n")).cast("int"))
     s = s.withColumn("block", permutation(F.col("k") % F.col("n"), F.col("n"), key))

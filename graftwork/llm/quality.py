@@ -199,7 +199,10 @@ def score(df: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, id_col
 
 
 def kept_documents(df: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``df``."""
+    """The documents that the rules keep, with the columns of ``df`` whatever their names.
+
+    A null or empty text fails the rules; rows with a null id and repeated rows are judged each; an empty table stays empty.
+    """
     rest = tuple(c for c in df.columns if c != "doc_id")
     out = score(df, ratio, threshold, keep=rest).where("kept")
     return out.select(*(F.col("doc_id" if c == "doc_id" else f"kept_{c}").alias(c) for c in df.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +50,13 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
     return col.to_pylist()
 
 
+def _give_back() -> None:
+    """What a worker has freed goes back to the machine, so workers that are used again don't grow from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
     """Parts of a batch with about ``most`` bytes of text each, so that arrays made from them stay small."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -58,6 +67,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    _give_back()
 
 
 class WordHash(dict):

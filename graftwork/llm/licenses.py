@@ -109,11 +109,15 @@ def _terms(text: str) -> Counter:
     return Counter(_hash(_word.findall(text.lower())).tolist())
 
 
-def _norms(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """[i, j]: squared norm of terms i..j."""
-    same = np.triu(ids[:, None] == ids[None, :], 1)
-    before = np.cumsum(same[::-1], axis=0, dtype=np.int32)[::-1]
-    return np.cumsum(np.triu(w**2 * (1 + 2 * before)), axis=1)
+def _repeats(ids: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of places of one term, the first one first, and its squared weight."""
+    order = np.argsort(ids, kind="stable")
+    by, out, lag = ids[order], [], 1
+    while lag < len(by) and len(at := np.flatnonzero(by[lag:] == by[:-lag])):
+        out.append((order[at], order[at + lag]))
+        lag += 1
+    first, second = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
+    return first, second, square[first]
 
 
 class Templates:
@@ -209,15 +213,18 @@ class Templates:
                     floor[0] = min(LEAST, c)
         return top
 
-    def open_terms(self, words: list[str], least: float) -> set[int]:
-        """Terms in no template that are in spans whose cosine may reach ``least``, as a term weighs 1 at least."""
+    def open_terms(self, words: list[str], cosine: float, place: tuple) -> set[int]:
+        """Terms in no template that are in spans which, as a term weighs 1 at least, may come before one of that cosine and place
+        in the order."""
         out: set[int] = set()
+        good = place[0]
+        least = [max(LEAST, place[1] - LONGER * log2(n)) if good else cosine for n in self.words]
         for at in _blocks(words):
             ids = _hash(words[at : at + 2 * SPAN])
             m = (len(ids) + 1) // 2
             cover = np.zeros((2, m + 1), np.int64)  # of words, of word pairs
-            for _, ends, cosine in self._spans(ids, {}, 1.0, [least - 1e-9]):
-                i, j = np.nonzero(cosine >= max(least - 1e-9, 1e-9))
+            for k, ends, cosines in self._spans(ids, {}, 1.0, [min(least) - 1e-9]):
+                i, j = np.nonzero(cosines >= max(least[k] - 1e-9, 1e-9))
                 np.add.at(cover[0], ends[i], 1), np.add.at(cover[0], ends[j] + 1, -1)
                 np.add.at(cover[1], ends[i], 1), np.add.at(cover[1], ends[j], -1)
             within = np.cumsum(cover, axis=1) > 0
@@ -226,24 +233,30 @@ class Templates:
 
     def _spans(self, ids: np.ndarray, more: dict[int, float], other: float, floor: list[float]) -> Iterator[tuple]:
         """Template, positions, and [start, end] cosines of the spans between those, for templates that can reach ``floor``."""
-        terms, m = ids.tolist(), (len(ids) + 1) // 2
+        m = (len(ids) + 1) // 2
+        terms, place = np.unique(ids, return_inverse=True)
         bound: dict[int, float] = {}  # a span's cosine is at most the norm of what the template shares with all the words
-        for t in set(terms):
+        shares: dict[int, list] = {}
+        for i, t in enumerate(terms.tolist()):
             for k, x in self.rows.get(t, ()):
                 bound[k] = bound.get(k, 0.0) + x * x
-        squares = None
+                shares.setdefault(k, []).append((i, t, x))
+        w = None
         for k in sorted(bound, key=lambda k: (-round(bound[k], 12), k)):
             if sqrt(bound[k]) < floor[0] - 1e-12:
                 return
-            share = {t: x for t in set(terms) for j, x in self.rows.get(t, ()) if j == k}
-            if not self.needed[k] <= share.keys():
+            if not self.needed[k] <= {t for _, t, _ in shares[k]}:
                 continue
-            if squares is None:
-                w = np.array([self.weight.get(t) or more.get(t, other) for t in terms])
-                squares = _norms(ids[:m], w[:m])
-                if m > 1:
-                    squares[:-1, 1:] += _norms(ids[m:], w[m:])
-            v = np.array([share.get(t, 0.0) for t in terms]) * w
+            if w is None:
+                w = np.array([self.weight.get(t) or more.get(t, other) for t in terms.tolist()])[place]
+                up, up2 = (np.concatenate([[0.0], np.cumsum(x * x)]) for x in (w[:m], w[m:]))
+                # a repeated term adds twice its square for each pair of its places
+                a1, b1, s1 = _repeats(ids[:m], w[:m] ** 2)
+                a2, b2, s2 = _repeats(ids[m:], w[m:] ** 2)
+                first, second, twice = np.concatenate([a1, a2]), np.concatenate([b1, b2 + 1]), np.concatenate([s1, s2])  # a word pair ends a word later
+            share = np.zeros(len(terms))
+            share[[i for i, _, _ in shares[k]]] = [x for _, _, x in shares[k]]
+            v = share[place] * w
             ends = np.flatnonzero(v[:m])  # a best span starts and ends with words of the template
             if not len(ends):
                 continue
@@ -255,7 +268,13 @@ class Templates:
             for t in self.needed[k]:
                 seen = np.concatenate([[0], np.cumsum(ids[:m] == U64(t))])
                 fits &= seen[ends + 1][None, :] > seen[ends][:, None]
-            yield k, ends, np.where(fits, dot, 0.0) / np.sqrt(np.where(length > 0, squares[np.ix_(ends, ends)], 1.0))
+            n = len(ends)
+            a, b = np.searchsorted(ends, first, "right") - 1, np.searchsorted(ends, second)
+            inside = (a >= 0) & (b < n)
+            pairs = np.bincount(a[inside] * n + b[inside], 2 * twice[inside], n * n).reshape(n, n)
+            pairs = np.cumsum(np.cumsum(pairs, axis=1)[::-1], axis=0)[::-1]  # places at or after the start, at or before the end
+            squares = (up[1:] + up2)[ends][None, :] - (up[:-1] + up2)[ends][:, None] + pairs
+            yield k, ends, np.where(fits, dot, 0.0) / np.sqrt(np.where(length > 0, squares, 1.0))
 
 
 def _blocks(words: list[str]) -> range:
@@ -308,9 +327,9 @@ def best_notices(base: DataFrame, templates: dict[str, list[str]], hot_terms: in
     counts = _counts(frequencies(base, own))
     first = Templates(templates, counts, size)
 
-    def best(known: Templates, words: int, runs: list[str], more: dict[int, float]) -> tuple[float, str | None, bool]:
-        top = max((known.best_span(run.split(" "), more) for run in runs), key=lambda x: x[3], default=(0.0, None, 0))
-        return top[0], top[1], bool(top[1]) and 2 * top[2] >= words
+    def best(known: Templates, words: int, runs: list[str], more: dict[int, float]) -> tuple[float, str | None, bool, tuple]:
+        top = max((known.best_span(run.split(" "), more) for run in runs), key=lambda x: x[3], default=(0.0, None, 0, (False, 0.0, 0)))
+        return top[0], top[1], bool(top[1]) and 2 * top[2] >= words, top[3]
 
     def table(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
@@ -322,8 +341,8 @@ def best_notices(base: DataFrame, templates: dict[str, list[str]], hot_terms: in
             for batch in slices(whole, "text"):
                 rows = []
                 for words, runs in map(first.runs_of, column_of(batch, "text")):
-                    got = best(first, words, runs, {})
-                    terms = set().union(*(first.open_terms(run.split(" "), min(got[0], LEAST)) for run in runs))
+                    *got, place = best(first, words, runs, {})
+                    terms = set().union(*(first.open_terms(run.split(" "), got[0], place) for run in runs))
                     rows.append((*got, words, runs, _long(terms)) if terms else (*got, None, None, None))
                 yield table(batch, rows)
 
@@ -340,7 +359,7 @@ def best_notices(base: DataFrame, templates: dict[str, list[str]], hot_terms: in
             rows = []
             for words, runs, terms in zip(*(batch.column(c).to_pylist() for c in ("words", "runs", "open")), strict=True):
                 rare = [] if every else [t for t in terms if t % (1 << 64) not in hot]
-                rows.append((0.0, None, False, words, runs, rare) if rare else (*best(known, words, runs, {}), None, None, None))
+                rows.append((0.0, None, False, words, runs, rare) if rare else (*best(known, words, runs, {})[:3], None, None, None))
             yield table(batch, rows)
 
     more = small_batches(left).mapInArrow(go_on, f"{result}, {todo}")
@@ -359,7 +378,7 @@ def best_notices(base: DataFrame, templates: dict[str, list[str]], hot_terms: in
             rows = []
             for words, runs, terms, ns in zip(*(batch.column(c).to_pylist() for c in ("words", "runs", "terms", "ns")), strict=True):
                 weights = {t % (1 << 64): known.rarity(n) for t, n in zip(terms, ns, strict=True)}
-                rows.append((*best(known, words, runs, weights), None, None, None))
+                rows.append((*best(known, words, runs, weights)[:3], None, None, None))
             yield table(batch, rows)
 
     last = small_batches(joined).mapInArrow(finish, f"{result}, {todo}")

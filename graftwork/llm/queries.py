@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, nearjoin, packing, quality, substring, tokens, topk, warc
+from . import clusters, language, licenses, mixing, nearjoin, negatives, packing, quality, substring, tokens, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -82,11 +82,52 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, keep=(held_out.alias("held_out"),))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op5_licenses, op6_warc_audit, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op5_licenses, op6_warc_audit, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language, op11_hard_negatives, op13_clusters)}
 
 _WORDS = r"w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents)"
 
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    """Each round in two table expressions: the nearest centroid of each vector, and the centroids after it."""
+    sql = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, x FROM v QUALIFY j < {k})"""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (SELECT v.vec_id, v.x, min({{'d': {apart}, 'j': c.j}}) AS best FROM v, c{r} c GROUP BY ALL)"""
+        if r < rounds:
+            sql += f""",
+m{r} AS (SELECT j, list(m ORDER BY i) AS x FROM (SELECT best.j AS j, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (j))"""
+    return sql + f"""
+SELECT a.vec_id, a.best.j::INTEGER AS cluster, a.best.d AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.j))::BIGINT AS cluster_inertia, (sum(a.best.d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.best.j
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.x) = len(a.x)),
+pos AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, pos.vec_id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, pos.vec_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank, n.vec_id AS negative_id, pos.score AS positive_score, n.score AS negative_score
+FROM pos JOIN p n USING (anchor_id) WHERE NOT n.same AND 30 * pos.score <= 100 * n.score AND 100 * n.score <= 90 * pos.score QUALIFY rank <= 10
+""",
+    "op13_clusters": _kmeans_sql(),
     "op3_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

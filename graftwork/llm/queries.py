@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, language, licenses, mixing, nearjoin, negatives, packing, quality, substring, tokens, topk, warc
+from . import clusters, language, licenses, mixing, nearjoin, negatives, packing, quality, substring, tokens, topk, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -88,11 +88,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0, label)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id")))
+    scored = toxicity.score(docs, model, keep=(held_out("doc_id").alias("held_out"),))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op5_licenses, op6_warc_audit, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language, op11_hard_negatives, op13_clusters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_mix, op3_topk, op4_quality, op5_licenses, op6_warc_audit, op7_substring, op8_count_tokens, op9_near_duplicates, op10_language, op11_hard_negatives, op12_toxicity, op13_clusters)}
 
 _WORDS = r"w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents)"
 

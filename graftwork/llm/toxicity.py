@@ -44,7 +44,7 @@ LANDMARK_LETTERS = 22
 EXCESS = 0.3
 #: A toxic document counts as mislabelled if its best sentence scores no more than so many of the clean documents' best ones do.
 CLEAN_SHARE = 0.995
-DOCS, SENTENCES, CUT = 4000, 64, 256
+DOCS, SENTENCES, CUT = 1500, 64, 256
 ROUNDS = 4
 #: Times that each toxic sentence is learned with signs put into its words.
 DISGUISES = 2
@@ -91,7 +91,7 @@ def fold(texts: list[str]) -> Folded:
     sign = _signs()[np.where(high, 32, code)]
     for p in np.flatnonzero(high).tolist():
         sign[p] = _OTHER + int(code[p]) % 4 if chr(code[p]).isalpha() else 0
-    doc = np.repeat(np.arange(len(texts) + 1), [1, *(len(t) + 1 for t in texts)]) - 1
+    doc = np.repeat(np.arange(-1, len(texts), dtype=np.int32), [1, *(len(t) + 1 for t in texts)])
     end = code == 10
     stop, white = (code == 46) | (code == 33) | (code == 63), (code == 32) | ((code >= 9) & (code <= 13))
     end[:-1] |= stop[:-1] & white[1:]
@@ -115,17 +115,17 @@ def fold(texts: list[str]) -> Folded:
 
 def _ends(f: Folded) -> np.ndarray:
     """For each place but the last the edge that ends its sentence."""
-    return np.repeat(f.edge[1:], np.diff(f.edge))
+    return np.repeat(f.edge[1:].astype(np.int32), np.diff(f.edge))
 
 
 def _sums(f: Folded, table: np.ndarray) -> np.ndarray:
     """For each place the weights of the subsequences that begin there, within its sentence."""
     total = len(f.sign) - 1
     out, ends = np.zeros(max(total, 0), np.float32), _ends(f)
-    whole = np.concatenate([f.sign, np.zeros(SPAN, np.uint8)]).astype(np.int32)
+    whole = np.concatenate([f.sign, np.zeros(SPAN, np.uint8)])
     for a in range(0, total, BLOCK):
         b = min(total, a + BLOCK)
-        part = whole[a : b + SPAN]
+        part = whole[a : b + SPAN].astype(np.int32)
         m, at = b - a, np.arange(a, b)
         shifted = [part[d : d + m] for d in range(SPAN)]
         key, sums = np.empty(m, np.int32), out[a:b]
@@ -148,8 +148,9 @@ def _sums(f: Folded, table: np.ndarray) -> np.ndarray:
 def _runs(f: Folded, table: np.ndarray) -> np.ndarray:
     """For each place the weights of the WIDTH places from it on, within its sentence."""
     before = np.concatenate([[0.0], np.cumsum(_sums(f, table), dtype=np.float64)])
-    at = np.arange(len(before) - 1)
-    return before[np.minimum(at + WIDTH, _ends(f))] - before[at]
+    out = before[np.minimum(np.arange(WIDTH, len(before) - 1 + WIDTH, dtype=np.int32), _ends(f))]
+    out -= before[:-1]
+    return out
 
 
 def _subsequences(word: np.ndarray) -> dict[int, float]:
@@ -187,7 +188,7 @@ class Landmarks:
 
     def features(self, f: Folded, place: np.ndarray) -> np.ndarray:
         """[run, feature] of the runs that begin at ``place``."""
-        ends, whole = _ends(f), np.concatenate([f.sign, np.zeros(SPAN + WIDTH, np.uint8)]).astype(np.int32)
+        ends, whole = _ends(f), np.concatenate([f.sign, np.zeros(SPAN + WIDTH, np.uint8)])
         out = np.empty((len(place), self.white.shape[1]))
         for k in range(0, len(place), 512):
             first = place[k : k + 512]
@@ -195,7 +196,8 @@ class Landmarks:
             end = ends[first][:, None]
             count = np.zeros((len(first), len(self.keys)))
             for o in _OFFSETS:
-                row = self.row[(whole[at] << 15) | (whole[at + o[0]] << 10) | (whole[at + o[1]] << 5) | whole[at + o[2]]]
+                a, b, c, d = (whole[at + k].astype(np.int32) for k in (0, *o))
+                row = self.row[(a << 15) | (b << 10) | (c << 5) | d]
                 i, j = np.nonzero((row >= 0) & (at + o[-1] <= end) & (at < end))
                 np.add.at(count, (i, row[i, j]), DECAY ** (o[-1] - N + 1))
             out[k : k + 512] = count @ self.white

@@ -15,7 +15,7 @@ looks for the sentences that earn them: in rounds, the best run of each toxic do
 clean sentences, hardest first, train the machine, which then chooses anew; toxic sentences also come with letters and spaces put into their words. A repeated sentence counts once, and as clean if a clean document has it.
 At last scores become probabilities by a logistic curve.
 
-The sample that is learned from is bounded: DOCS documents of each label, SENTENCES of each, CUT letters of each sentence. Every
+The sample that is learned from is bounded: TOXIC_DOCS and CLEAN_DOCS documents, SENTENCES of each, CUT letters of each sentence. Every
 document is scored whole, a slice of text at a time; the table (4 MB) goes to all tasks.
 """
 
@@ -44,7 +44,7 @@ LANDMARK_LETTERS = 22
 EXCESS = 0.3
 #: A toxic document counts as mislabelled if its best sentence scores no more than so many of the clean documents' best ones do.
 CLEAN_SHARE = 0.995
-DOCS, SENTENCES, CUT = 1500, 64, 256
+TOXIC_DOCS, CLEAN_DOCS, SENTENCES, CUT = 1500, 4000, 64, 256
 ROUNDS = 4
 #: Times that each toxic sentence is learned with signs put into its words.
 DISGUISES = 2
@@ -273,12 +273,18 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     new = np.array([not (s in seen or seen.add(s)) for s in strings])  # a sentence counts where it stands first
     label = label & np.array([s not in clean for s in strings])
     # landmarks: words by the number of texts of each kind that have them, in sentences that no earlier text has
-    met = {(w[:LANDMARK_LETTERS], d, bool(x)) for s, d, x, n in zip(strings, of.tolist(), label, new, strict=True) if n for w in s.split(b"\0") if len(w) >= N - 1}
-    if not met:
-        return Model(None)
     counts: dict[bytes, list[int]] = {}
-    for w, _, x in met:
-        counts.setdefault(w, [0, 0])[x] += 1
+    held: tuple[set[bytes], set[bytes]] = set(), set()
+    for k, s in enumerate(strings):
+        if new[k]:
+            held[int(label[k])].update(w[:LANDMARK_LETTERS] for w in s.split(b"\0") if len(w) >= N - 1)
+        if k + 1 == len(strings) or of[k + 1] != of[k]:
+            for x, words in enumerate(held):
+                for w in words:
+                    counts.setdefault(w, [0, 0])[x] += 1
+                words.clear()
+    if not counts:
+        return Model(None)
     names = sorted(counts)
     n, p = np.array([counts[w] for w in names], float).T
     share = len(np.unique(of[label & new])) / len(np.unique(of[new]))
@@ -325,13 +331,13 @@ def _sample(text: str) -> str:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from the texts of labelled documents: at most DOCS of each label, the ones with the smallest hashes of their ids.
+    """Learns from the texts of labelled documents: at most TOXIC_DOCS and CLEAN_DOCS, the ones with the smallest hashes of their ids.
 
     An id with several labels is toxic if one of them is. Null ids, labels and texts say nothing; without both labels nothing is learned and
     every score is 0.
     """
     of = labels.select(F.col(id_col).cast("long").alias("learn_id"), F.col(label_col).cast("int").alias("learn_label")).where("learn_id is not null and learn_label is not null").groupBy("learn_id").agg((F.max("learn_label") > 0).alias("is_toxic"))
-    some = [of.where("is_toxic" if x else "not is_toxic").orderBy(F.xxhash64("learn_id"), "learn_id").limit(DOCS) for x in (True, False)]
+    some = [of.where(kind).orderBy(F.xxhash64("learn_id"), "learn_id").limit(n) for kind, n in (("is_toxic", TOXIC_DOCS), ("not is_toxic", CLEAN_DOCS))]
     rows = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].cast("string").alias("text")).where("text is not null")
     met = rows.join(F.broadcast(some[0].unionByName(some[1])), F.col("d") == F.col("learn_id")).select("d", "is_toxic", "text")
 
@@ -341,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_sample(t) for t in batch.column(2).to_pylist()], pa.string())], ["d", "is_toxic", "text"])
 
     # an id may stand on many rows, so their number is held down too
-    sample = small_batches(met).mapInArrow(cut, "d long, is_toxic boolean, text string").orderBy(F.xxhash64("d"), "d", "text").limit(4 * DOCS).collect()
+    sample = small_batches(met).mapInArrow(cut, "d long, is_toxic boolean, text string").orderBy(F.xxhash64("d"), "d", "text").limit(2 * (TOXIC_DOCS + CLEAN_DOCS)).collect()
     return learn([r["text"] for r in sample], np.array([r["is_toxic"] for r in sample], bool)) if sample else Model(None)
 
 

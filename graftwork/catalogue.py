@@ -148,7 +148,8 @@ _JXN = _ABOVE + ", jx AS (SELECT DISTINCT above.a AS jnid, epos.hi AS u FROM abo
 _query("gp_jxn", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width, coalesce(sum(jx.u), 0)::BIGINT AS total FROM tree t LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY t.jnid")(
     lambda g: tree.filled(g.tree, g.epos).select("jnid", "width", F.aggregate("jxn", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 )
-_query("gp_fill", _JXN + " SELECT (count(*) - (SELECT count(*) FROM epos))::BIGINT AS fill FROM jx")(lambda g: facts.tree_facts(g.tree, tree.filled(g.tree, g.epos)).select("fill"))
+_query("gp_fill", _JXN + " SELECT (count(*) - (SELECT count(*) FROM epos))::BIGINT AS fill FROM jx")(lambda g: facts.tree_facts(g.tree, tree.widths(g.tree, g.epos)).select("fill"))
+_query("gp_widths", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width FROM tree t LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY t.jnid")(lambda g: tree.widths(g.tree, g.epos))
 
 
 @_query("gp_jxn_validate_damaged", _JXN + """ SELECT count(*) FILTER (WHERE t.parent IS NOT NULL AND t.jnid % 9 = 4) AS bad_first,

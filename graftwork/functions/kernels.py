@@ -46,6 +46,26 @@ class Forest:
                 parent[v] = up[v] = hi
 
 
+class Least:
+    """The least of any run of values, from the least of all runs whose lengths are powers of 2."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [values]
+        while 2 << len(self.levels) - 1 <= len(values):
+            v, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(v[:-half], v[half:]))
+
+    def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each run, both ends included; the largest number for an empty one."""
+        out = np.full(len(first), np.iinfo(np.int64).max)
+        length = last - first + 1
+        level = np.frexp(np.maximum(length, 1))[1] - 1
+        for k in np.unique(level[length > 0]).tolist():
+            rows = np.flatnonzero((level == k) & (length > 0))
+            out[rows] = np.minimum(self.levels[k][first[rows]], self.levels[k][last[rows] - (1 << k) + 1])
+        return out
+
+
 def children(parent: np.ndarray) -> list[list[int]]:
     kids: list[list[int]] = [[] for _ in range(len(parent))]
     for v, p in enumerate(parent.tolist()):
@@ -265,18 +285,3 @@ def stream_edges(src: np.ndarray, dst: np.ndarray, k: int, balance: float, verti
         size[best] += 1
         knows[best] |= {x, y}
     return out
-
-
-def tree_edge_weights(parent: np.ndarray, pst: np.ndarray, pre: np.ndarray) -> np.ndarray:
-    """Weight of each vertex's edge to its parent, as the communication that cutting it there would cost."""
-    width, size, above = pst.astype(np.int64), np.ones(len(parent), np.int64), np.ones(len(parent), np.int64)
-    p = parent.tolist()
-    for v in range(len(p)):
-        if p[v] != NONE:
-            width[p[v]] += width[v] - pre[v]
-            size[p[v]] += size[v]
-    for v in range(len(p) - 1, -1, -1):
-        if p[v] != NONE:
-            above[v] += above[p[v]]
-    up = np.where(parent == NONE, 0, parent)
-    return np.where(parent == NONE, 0, np.minimum(size, width) + np.minimum(above[up], width))

@@ -55,7 +55,9 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
         at += n
     offsets = df.sparkSession.createDataFrame(rows or [(0, 0)], "part long, at long")
     in_part = F.col("id") - F.shiftleft(F.col("part"), 33)
-    return put.withColumn("part", part).join(F.broadcast(offsets), "part").select((F.col("at") + in_part).alias("pos"), "vid")
+    out = put.withColumn("part", part).join(F.broadcast(offsets), "part").select((F.col("at") + in_part).alias("pos"), "vid")
+    out._rows = at
+    return out
 
 
 def degree_sequence(edges: DataFrame) -> DataFrame:

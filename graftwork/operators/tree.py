@@ -18,15 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.kernels import NONE
-from ..storage import materialize
-
-#: Partial forests that one task joins in a round of the reduction.
-FAN_IN = 8
-
+from ..storage import broadcast_if_small, discard, materialize
+from . import ranges as rg
 
 def positioned(edges: DataFrame, seq: DataFrame) -> DataFrame:
     """epos(lo, hi): positions of the ends of each edge; loops go. Vertices that the sequence omits come after all others:
     their end is null, and an edge between two of them belongs to no tree."""
+    seq = broadcast_if_small(seq, 16)
     a = seq.select(F.col("vid").alias("src"), F.col("pos").alias("p"))
     b = seq.select(F.col("vid").alias("dst"), F.col("pos").alias("q"))
     e = edges.select("src", "dst").where("src <> dst").join(a, "src", "left").join(b, "dst", "left").where("p is not null or q is not null")
@@ -71,23 +69,103 @@ def partial_forests(rows: DataFrame) -> DataFrame:
     return rows.select("lo", "hi", "w").sortWithinPartitions("hi", "lo").mapInArrow(_forest, "lo long, hi long, w long")
 
 
-def reduce_forests(forests: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """Join partial forests, about ``fan_in`` at a time, until one is left: jnid, parent, w."""
-    n = int(forests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        n = -(-n // fan_in)
-        forests = partial_forests(forests.repartition(n))
-        if n == 1:
-            return forests.select(F.col("lo").alias("jnid"), F.col("hi").alias("parent"), "w")
-        forests = materialize(forests, "forest")
+def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, lo, hi, w, size) in the order of range and hi -> what is known of each vertex of a range, done, and edges for later ranges.
+
+    Edges within the range make its forest first, as they come first. Then each component meets later vertices in their order: the first is its
+    root's parent, and each further one is an edge from the one before, which is how they will be joined above it."""
+    at, base, forest, weight, last = None, 0, kernels.Forest(), {}, {}
+
+    def flush() -> pa.RecordBatch:
+        names = list(weight.keys() | forest.parent.keys())
+        cols = [names, [forest.parent.get(v) for v in names], [weight.get(v, 0) for v in names]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([True] * len(names))], ["lo", "hi", "w", "done"])
+
+    for whole in batches:
+        own = whole.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            batch = whole.slice(a, b - a)
+            if own[a] != at:
+                if at is not None:
+                    yield flush()
+                at, forest, weight, last = own[a], kernels.Forest(), {}, {}
+                base = int(at + 1) * int(batch.column(4)[0].as_py())
+            lo, hi, w = (batch.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+            v, place = np.unique(lo, return_inverse=True)
+            total = np.zeros(len(v), np.int64)
+            np.add.at(total, place, w)
+            for k, n in zip(v.tolist(), total.tolist(), strict=True):
+                weight[k] = weight.get(k, 0) + n
+            new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != NONE)
+            inside = new & (hi < base)
+            forest.edges(lo[inside].tolist(), hi[inside].tolist())
+            onward = []
+            for x, y in zip(lo[new & ~inside].tolist(), hi[new & ~inside].tolist(), strict=True):
+                r = forest.top(x)
+                before = last.get(r)
+                if before is None:
+                    forest.parent[r] = y
+                elif before != y:
+                    onward.append((before, y))
+                last[r] = y
+            if onward:
+                x, y = zip(*onward, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([0] * len(x), pa.int64()), pa.array([False] * len(x))], ["lo", "hi", "w", "done"])
+    if at is not None:
+        yield flush()
+
+
+def reduce_forests(forests: DataFrame, last: int) -> DataFrame:
+    """Joins partial forests over positions up to ``last``: jnid, parent, w.
+
+    Each range of positions has a task, which holds its vertices alone. It settles them as far as its edges say, and sends on what
+    its components mean for later ranges. Ranges that get new edges run again, with what they knew; as edges only lead to later ranges, the first
+    is settled after one round, and there are never more rounds than ranges.
+    """
+    size, ranges = rg.RANGE_ROWS, last // rg.RANGE_ROWS + 1
+
+    def settle(rows: DataFrame) -> DataFrame:
+        put = rows.select(rg.range_of("lo").alias("range"), "lo", "hi", "w", F.lit(size).cast("long").alias("size"))
+        put = put.repartition(ranges, "range") if ranges > 1 else put.repartition(1)  # one range: RANGE_ROWS vertices at most
+        return put.sortWithinPartitions("range", F.col("hi").asc_nulls_first(), "lo").mapInArrow(_in_its_range, "lo long, hi long, w long, done boolean")
+
+    if ranges <= 1:
+        return settle(forests).select(F.col("lo").alias("jnid"), F.col("hi").alias("parent"), "w")
+    tables = [materialize(settle(forests), "ranges")]
+    of = dict.fromkeys(range(ranges), 0)  # the table with the latest state of each range
+    while active := [r[0] for r in tables[-1].where("not done").select(rg.range_of("lo")).distinct().collect()]:  # a number a range
+        sent, known = tables[-1].where("not done"), {}
+        for r in active:
+            known.setdefault(of[r], []).append(r)
+        rows = sent.select("lo", "hi", "w")
+        for k, some in known.items():
+            rows = rows.unionByName(tables[k].where("done").where(rg.range_of("lo").isin(some)).select("lo", "hi", "w"))
+        tables.append(materialize(settle(rows), "ranges"))
+        of |= dict.fromkeys(active, len(tables) - 1)
+    held = [(t, [r for r, k in of.items() if k == i]) for i, t in enumerate(tables)]
+    out = None
+    for t, some in held:
+        if some:
+            part = t.where("done").where(rg.range_of("lo").isin(some)).select(F.col("lo").alias("jnid"), F.col("hi").alias("parent"), "w")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def build_tree(epos: DataFrame, seq: DataFrame) -> DataFrame:
     """tree(jnid, parent, pst_weight) with a node for every vertex of the sequence, also one without edges.
 
-    Edges are read once: each partition shrinks to its forest and the weights of its vertices.
+    Edges are read once: each partition shrinks to its forest and the weights of its vertices, which are joined range by range.
     """
-    return attach(reduce_forests(partial_forests(epos.select("lo", "hi", F.lit(1).cast("long").alias("w")))), seq)
+    return attach(reduce_forests(partial_forests(epos.select("lo", "hi", F.lit(1).cast("long").alias("w"))), last_position(seq)), seq)
+
+
+def last_position(seq: DataFrame) -> int:
+    """The number of vertices less 1, which ``ranked`` knows of the sequences that it makes."""
+    rows = getattr(seq, "_rows", None)
+    return (seq.count() if rows is None else rows) - 1
 
 
 def attach(reduced: DataFrame, seq: DataFrame) -> DataFrame:
@@ -98,7 +176,8 @@ def attach(reduced: DataFrame, seq: DataFrame) -> DataFrame:
 def merge_trees(left: DataFrame, right: DataFrame) -> DataFrame:
     """The tree of both graphs' edges, from their trees over one sequence."""
     both = left.select("jnid", "parent", "pst_weight").unionByName(right.select("jnid", "parent", "pst_weight"))
-    reduced = reduce_forests(partial_forests(both.select(F.col("jnid").alias("lo"), F.col("parent").alias("hi"), F.col("pst_weight").alias("w"))))
+    last = both.agg(F.max("jnid")).first()[0]
+    reduced = reduce_forests(partial_forests(both.select(F.col("jnid").alias("lo"), F.col("parent").alias("hi"), F.col("pst_weight").alias("w"))), -1 if last is None else last)
     return attach(reduced, both.select(F.col("jnid").alias("pos")).distinct())
 
 
@@ -134,13 +213,111 @@ def arrays(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def path_figures(tree: DataFrame) -> DataFrame:
     """jnid, depth, path_weight (to the root, itself included), height, subtree_size, subtree_weight, enter (a subtree's vertices have
-    the subtree_size numbers from its root's on)."""
+    the subtree_size numbers from its root's on; later children and roots come first).
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        ids, parent = arrays(t)
-        return pd.DataFrame({"jnid": ids} | kernels.path_figures(parent, t["pst_weight"].to_numpy(np.int64)))
-
-    return in_one_task(tree.select("jnid", "parent", "pst_weight"), run, "jnid long, depth long, path_weight long, height long, subtree_size long, subtree_weight long, enter long")
+    A tree of one range is worked out by one task, which holds RANGE_ROWS vertices at most; a larger one range by range: subtrees first,
+    then what siblings with smaller numbers take, then sums along the ways to the roots.
+    """
+    names = "jnid long, depth long, path_weight long, height long, subtree_size long, subtree_weight long, enter long"
+    if rg.range_count(tree) <= 1:
+
+        def run(t: pd.DataFrame) -> pd.DataFrame:
+            ids, parent = arrays(t)
+            return pd.DataFrame({"jnid": ids} | kernels.path_figures(parent, t["pst_weight"].to_numpy(np.int64)))
+
+        return in_one_task(tree.select("jnid", "parent", "pst_weight"), run, names)
+    one = F.lit(1).cast("long")
+    below = rg.subtree_sums(with_last(tree.select("jnid", "parent", F.col("pst_weight").alias("subtree_weight"), one.alias("subtree_size")), tree), ["subtree_weight", "subtree_size"])
+    below = materialize(tree.select("jnid", "parent", "pst_weight").join(below, "jnid").withColumn("range", rg.range_of("jnid")), "subtrees")
+    # siblings, later ones first, are added up range by range and then within each, so a vertex may have any number of children
+    blocks = below.groupBy("parent", "range").agg(F.sum("subtree_size").alias("n")).withColumn("ahead", F.sum("n").over(W.partitionBy("parent").orderBy(F.desc("range"))) - F.col("n"))
+    blocks = blocks.select(F.col("parent").alias("p2"), F.col("range").alias("r2"), "ahead")
+    near = F.sum("subtree_size").over(W.partitionBy("parent", "range").orderBy(F.desc("jnid")).rowsBetween(W.unboundedPreceding, -1))
+    own = below.withColumn("near", F.coalesce(near, F.lit(0))).join(blocks, F.col("parent").eqNullSafe(F.col("p2")) & (F.col("range") == F.col("r2")))
+    nested = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")
+    own = materialize(own.select("jnid", "parent", F.col("pst_weight").alias("path_weight"), nested.alias("depth"), (F.col("near") + F.col("ahead") + nested).alias("enter")), "places")
+    ways = rg.way_sums(with_last(own, tree), ["depth", "path_weight", "enter"])
+    return ways.join(below.select("jnid", "height", "subtree_size", "subtree_weight"), "jnid").select(*(c.split()[0] for c in names.split(", ")))
+
+
+def with_last(df: DataFrame, tree: DataFrame) -> DataFrame:
+    """``df``, which has the ids of a tree: the last one needn't be looked for again."""
+    df._last_id = rg.last_id(tree)
+    return df
+
+
+def widths(tree: DataFrame, epos: DataFrame) -> DataFrame:
+    """jnid, width: 1 + the number of later neighbours in the filled graph, without making that graph.
+
+    The vertices that have i as a later neighbour there, and i itself, are the ways from i's earlier neighbours up to i. In the order
+    of ``enter`` each neighbour's way meets that of the one before it at their lowest common ancestor: so 1 for i and each
+    neighbour, less 1 for each such meeting and for i's parent, add up to 1 over the subtree of each vertex on the ways and to 0 elsewhere.
+    A meeting's ``enter`` is the least ``enter`` of a parent among the vertices after the one up to the other.
+    Rows are as many as edges and vertices; a neighbourhood is ordered block by block, so a vertex may have any number of them.
+    """
+    size = rg.RANGE_ROWS
+    figures = materialize(path_figures(tree).select("jnid", "enter"), "enter")
+    parent = tree.select("jnid", "parent").join(figures, "jnid").join(figures.select(F.col("jnid").alias("parent"), F.col("enter").alias("up")), "parent", "left")
+    tour = materialize(parent.select("jnid", "enter", "up"), "tour")
+    edges = epos.where("hi is not null").select("lo", "hi").distinct()
+    met = edges.join(tour.select(F.col("jnid").alias("lo"), "enter"), "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
+    met = materialize(met.withColumn("block", F.expr(f"enter div {size}")), "met")
+    near = met.withColumn("before", F.lag("enter").over(W.partitionBy("i", "block").orderBy("enter"))).where("before is not null").select("before", "enter")
+    if rg.range_count(tree) > 1:
+        ends = met.groupBy("i", "block").agg(F.min("enter").alias("enter"), F.max("enter").alias("most"))
+        near = near.unionByName(ends.withColumn("before", F.lag("most").over(W.partitionBy("i").orderBy("block"))).where("before is not null").select("before", "enter"))
+    pairs = near.groupBy((F.col("before") + 1).alias("a"), F.col("enter").alias("b")).agg(F.count("*").alias("n"))
+    meetings = least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), pairs)
+    gains = met.groupBy("enter").agg(F.count("*").alias("d"))
+    losses = meetings.select(F.col("least").alias("enter"), (-F.col("n")).alias("d")).unionByName(tour.where("up is not null").select(F.col("up").alias("enter"), F.lit(-1).cast("long").alias("d")))
+    change = gains.unionByName(losses).groupBy("enter").agg(F.sum("d").alias("width"))
+    rows = tree.select("jnid", "parent").join(figures, "jnid").join(change, "enter").select("jnid", "parent", "width")
+    return rg.subtree_sums(with_last(rows, tree), ["width"]).select("jnid", "width")
+
+
+def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, n) with the least ``value`` of line(at, value) at a .. b: a, b, n, least. ``at`` are whole numbers from 0, each once; null values count as none.
+
+    A task holds a block of the line, and the least values of all blocks, one a block; pairs stream past it. A pair that reaches
+    over several blocks is asked in the first and the last one, and the blocks between are looked up on the way.
+    """
+    size = rg.RANGE_ROWS
+    blocks = dict(line.groupBy(F.expr(f"at div {size}")).agg(F.min("value")).collect())
+    count = max(blocks, default=-1) + 1
+    most = np.iinfo(np.int64).max
+    whole = np.array([most if blocks.get(k) is None else blocks[k] for k in range(count)], np.int64)
+    cell = lambda c: F.expr(f"{c} div {size}")
+    none = F.lit(None).cast("long")
+    left = pairs.select(cell("a").alias("cell"), F.col("a").alias("x"), F.least("b", (cell("a") + 1) * size - 1).alias("y"), "a", "b", "n")
+    asked = left if count <= 1 else left.unionByName(pairs.where(cell("a") < cell("b")).select(cell("b").alias("cell"), (cell("b") * size).alias("x"), F.col("b").alias("y"), "a", "b", "n"))
+    rows = line.select(cell("at").alias("cell"), F.col("at").alias("x"), F.col("value").alias("y"), none.alias("a"), none.alias("b"), none.alias("n")).unionByName(asked)
+    rows = rows.repartition(max(1, count), "cell").sortWithinPartitions("cell", F.col("a").asc_nulls_first(), "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = kernels.Least(whole)
+        at, values, table = None, None, None
+        for batch in batches:
+            own, is_line = batch.column(0).to_numpy(), batch.column(3).is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(own) != 0) | (np.diff(is_line.astype(np.int8)) != 0)) + 1).tolist(), len(own)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                part = batch.slice(i, j - i)
+                if own[i] != at:
+                    at, values, table = own[i], np.full(size, most, np.int64), None
+                x = part.column(1).to_numpy() - at * size
+                if is_line[i]:
+                    y = part.column(2)
+                    values[x] = y.fill_null(most).to_numpy(zero_copy_only=False)
+                    continue
+                if table is None:
+                    table = kernels.Least(values)
+                a, b = (part.column(c).to_numpy() for c in (3, 4))
+                least = np.minimum(table.least(x, part.column(2).to_numpy() - at * size), between.least(a // size + 1, b // size - 1))
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), part.column(5), pa.array(least)], ["a", "b", "n", "least"])
+
+    found = rows.mapInArrow(run, "a long, b long, n long, least long")
+    return found if count <= 1 else found.groupBy("a", "b").agg(F.first("n").alias("n"), F.min("least").alias("least"))
 
 
 def pre_weights(tree: DataFrame, epos: DataFrame) -> DataFrame:
@@ -194,7 +371,7 @@ def validate(tree: DataFrame, epos: DataFrame) -> DataFrame:
     wrong = t.agg(F.count(F.when(F.col("parent") <= F.col("jnid"), 1)).alias("bad_parents"), F.coalesce(F.sum("pst_weight"), F.lit(0)).alias("w"))
     own = t.where("parent is not null").select(F.col("jnid").alias("lo"), F.col("parent").alias("hi"))
     every = own.unionByName(epos.where("hi is not null").select("lo", "hi")).withColumn("w", F.lit(0).cast("long"))
-    again = reduce_forests(partial_forests(every)).select("jnid", F.col("parent").alias("p"))
+    again = reduce_forests(partial_forests(every), rg.last_id(tree)).select("jnid", F.col("parent").alias("p"))
     moved = t.join(again, "jnid", "left").where(~F.col("parent").eqNullSafe(F.col("p"))).agg(F.count("*").alias("bad_edges"))
     m = epos.agg(F.count("*").alias("m"))
     return wrong.join(m).join(moved).select("bad_parents", "bad_edges", (F.col("w") - F.col("m")).alias("weight_gap"))

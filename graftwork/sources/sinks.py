@@ -6,14 +6,14 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..operators import ranges as rg
 from ..operators.sequence import degrees
-from ..operators.tree import arrays, in_one_task, kids
+from ..operators.tree import kids, with_last
+from ..storage import materialize
 from .graphs import NO_PARENT
 
 
@@ -97,22 +97,35 @@ def graph_adjacency(edges: DataFrame, seq: DataFrame) -> DataFrame:
     return head.unionByName(rows.select("line", F.concat_ws(" ", F.col("degree").cast("string"), "near").alias("value")))
 
 
-def tree_adjacency(tree: DataFrame) -> DataFrame:
-    """(line, value) of a tree's adjacency file: "n e 011", then 1 and each neighbour with the weight of the edge to it.
+def tree_edge_weights(tree: DataFrame) -> DataFrame:
+    """jnid, parent, weight: of each vertex's edge to its parent, what cutting the tree there may cost: as many vertices as lie on either side, but on
+    neither more than the edges that leave the vertex's subtree.
 
-    The tree needs its pre_weight.
+    Those edges are sums over the subtree: the edges of its vertices to later ones, less those that end within it, which are
+    what children's subtrees send to their parents (pre_weight).
     """
+    inner = tree.where("parent is not null").groupBy(F.col("parent").alias("p2")).agg(F.sum("pre_weight").alias("inner"))
+    one = F.lit(1).cast("long")
+    own = tree.join(inner, F.col("jnid") == F.col("p2"), "left").select("jnid", "parent", (F.col("pst_weight") - F.coalesce("inner", F.lit(0))).alias("leaving"), one.alias("size"))
+    own = with_last(materialize(own, "leaving"), tree)
+    below = rg.subtree_sums(own, ["leaving", "size"]).select("jnid", "leaving", "size")
+    above = rg.way_sums(own, ["size"]).select(F.col("jnid").alias("a2"), F.col("size").alias("above"))
+    rows = tree.where("parent is not null").select("jnid", "parent").join(below, "jnid").join(above, F.col("parent") == F.col("a2"))
+    return rows.select("jnid", "parent", (F.least("size", "leaving") + F.least("above", "leaving")).alias("weight"))
+
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        ids, parent = arrays(t)
-        w = kernels.tree_edge_weights(parent, t["pst_weight"].to_numpy(np.int64), t["pre_weight"].to_numpy(np.int64))
-        lines = [f"{len(ids)} {int((parent >= 0).sum())} 011"]
-        for v, ks in enumerate(kernels.children(parent)):
-            near = ([(parent[v], w[v])] if parent[v] >= 0 else []) + [(k, w[k]) for k in ks]
-            lines.append(" ".join(["1", *(f"{u + 1} {x}" for u, x in near)]))
-        return pd.DataFrame({"line": range(len(lines)), "value": lines})
+def tree_adjacency(tree: DataFrame) -> DataFrame:
+    """(line, value) of a tree's adjacency file: "n e 011", then 1 and each neighbour with the weight of the edge to it, the parent first, then
+    children in order.
 
-    return in_one_task(tree.select("jnid", "parent", "pst_weight", "pre_weight"), run, "line long, value string")
+    The tree needs its pre_weight.
+    """
+    edges = materialize(tree_edge_weights(tree), "tree_edges")
+    both = edges.select("jnid", F.lit(0).alias("kind"), F.col("parent").alias("near"), "weight").unionByName(edges.select(F.col("parent").alias("jnid"), F.lit(1).alias("kind"), F.col("jnid").alias("near"), "weight"))
+    near = both.groupBy("jnid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "near", "weight"))), lambda x: F.concat_ws(" ", x["near"] + 1, x["weight"])), " ").alias("near"))
+    lines = tree.select("jnid").join(near, "jnid", "left").select((F.col("jnid") + 1).alias("line"), F.concat_ws(" ", F.lit("1"), "near").alias("value"))
+    head = tree.agg(F.count("*").alias("n"), F.count("parent").alias("e")).select(F.lit(0).cast("long").alias("line"), F.concat_ws(" ", "n", "e", F.lit("011")).alias("value"))
+    return head.unionByName(lines)
 
 
 def tree_dot(tree: DataFrame) -> DataFrame:

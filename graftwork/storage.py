@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: A table of at most so many bytes is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, to be broadcast if its rows, counted first where their number isn't known, come to at most BROADCAST_BYTES."""
+    rows = getattr(df, "_rows", None)
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``materialize`` made, once everything that was made of them is stored itself."""
     for df in tables:

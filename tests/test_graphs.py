@@ -14,6 +14,7 @@ from graftwork.functions import kernels
 from graftwork.functions.hashes import golden_hash, parity_hash, prime_hash
 from graftwork.operators import evaluate as ev
 from graftwork.operators import facts, partition, sequence, tree
+from graftwork.operators import ranges as rg
 from graftwork.plans import partitioning
 from graftwork.sources import graphs, sinks
 from graftwork.streaming.forests import keep_tree
@@ -290,14 +291,15 @@ def test_rooted_tree_is_closed_by_a_chain(spark):
     assert len(got) == 5 and sum(p is None for p in got.values()) == 1
 
 
-def test_forests_over_many_partitions(spark):
+def test_forests_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(rg, "RANGE_ROWS", 20)
     rng = random.Random(12)
     pairs = [(a, b) for a, b in random_graph(rng, 60, 300) if a != b]
     epos = spark.createDataFrame([(min(p), max(p)) for p in pairs], "lo long, hi long").repartition(20)
     seq = spark.range(60).select(F.col("id").alias("pos"), F.col("id").alias("vid"))
     want = sorted((v, None if p < 0 else p, sum(min(e) == v for e in pairs)) for v, p in enumerate(parents_by_definition(60, pairs)))
     forests = tree.partial_forests(epos.withColumn("w", F.lit(1).cast("long")))
-    assert sorted(map(tuple, tree.attach(tree.reduce_forests(forests, 2), seq).collect())) == want
+    assert sorted(map(tuple, tree.attach(tree.reduce_forests(forests, 59), seq).collect())) == want
 
 
 NEW = [n for n in catalogue.ORACLE_SQL if n.endswith("file") or n.endswith("files")] + ["gp_tree", "gp_tree_merged", "gp_depth", "gp_height", "gp_backward", "gp_vfennel_k4", "gp_tree_metis_adj", "gp_tree_max_width", "gp_tree_validate_damaged", "gp_jxn_validate_damaged", "gp_pre_weight", "gp_heights", "gp_tree_rooted", "gp_omitted_vertices_tree", "gp_partial_loads", "gp_forward_bounds_k4", "gp_efennel_bounds_k4"]

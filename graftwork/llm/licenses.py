@@ -72,8 +72,8 @@ BEGINNINGS = {
 }
 TEMPLATES = {name: [*texts, *([BEGINNINGS[name]] if name in BEGINNINGS else []), *(f"{x} {name}" for x in ("SPDX-License-Identifier:", "License:", "Licensed under", "Released under"))] for name, texts in TEMPLATES.items()}
 LEAST = 0.7
-#: Texts are looked at in blocks of twice so many words, each of which begins in the middle of the one before: a span of twice the
-#: longest template's words lies in one of them.
+#: Texts are looked at in blocks of twice so many words, each of which begins in the middle of the one before. Where a template has over half
+#: as many words, blocks have four times its words: a span of twice the longest template's words always lies in one of them.
 SPAN = 340
 #: What a doubling of a template's words is worth, among templates that reach LEAST.
 LONGER = 0.1
@@ -132,6 +132,7 @@ class Templates:
         self.other = self.rarity(0)
         self.names = [name for name, _ in docs]
         self.words = [len(_word.findall(t)) for _, texts in sorted(templates.items()) for t in texts]
+        self.span = max([SPAN, *(2 * n for n in self.words)])
         own = Counter(t for texts in templates.values() for t in set().union(*map(_terms, texts)))
         words = [_hash(_word.findall(t.lower())).tolist()[:n] for t, n in zip((t for _, texts in sorted(templates.items()) for t in texts), self.words, strict=True)]
         self.needed = [{t for t in x if FEW * own[t] <= len(templates)} if len(x) <= SHORT else set() for x in words]
@@ -184,8 +185,8 @@ class Templates:
         if not hit.any() or self._reach(at[hit]) < least:
             return 0, []
         runs: list[list[int]] = []
-        for a in _blocks(words):
-            b = min(m, a + 2 * SPAN)
+        for a in _blocks(words, self.span):
+            b = min(m, a + 2 * self.span)
             own = np.concatenate([at[a:b][hit[a:b]], at[m + a : m + b - 1][hit[m + a : m + b - 1]]])
             if len(own) and self._reach(own) >= least:
                 if runs and a <= runs[-1][1]:
@@ -203,9 +204,9 @@ class Templates:
         """The cosine of the best span of the words, its license, the words in it, and its place in the order. ``more``: weights of
         further terms."""
         top: tuple = (0.0, None, 0, (False, 0.0, -len(self.names)))
-        for at in _blocks(words):
+        for at in _blocks(words, self.span):
             floor = [min(LEAST, top[0])]
-            for k, ends, cosine in self._spans(_hash(words[at : at + 2 * SPAN]), more or {}, self.other, floor):
+            for k, ends, cosine in self._spans(_hash(words[at : at + 2 * self.span]), more or {}, self.other, floor):
                 i, j = divmod(int(np.argmax(np.round(cosine, 12))), len(ends))
                 c = min(1.0, float(cosine[i, j]))
                 if c > 0 and (place := self.order(c, k)) > top[3]:
@@ -219,8 +220,8 @@ class Templates:
         out: set[int] = set()
         good = place[0]
         least = [max(LEAST, place[1] - LONGER * log2(n)) if good else cosine for n in self.words]
-        for at in _blocks(words):
-            ids = _hash(words[at : at + 2 * SPAN])
+        for at in _blocks(words, self.span):
+            ids = _hash(words[at : at + 2 * self.span])
             m = (len(ids) + 1) // 2
             cover = np.zeros((2, m + 1), np.int64)  # of words, of word pairs
             for k, ends, cosines in self._spans(ids, {}, 1.0, [min(least) - 1e-9]):
@@ -277,8 +278,8 @@ class Templates:
             yield k, ends, np.where(fits, dot, 0.0) / np.sqrt(np.where(length > 0, squares, 1.0))
 
 
-def _blocks(words: list[str]) -> range:
-    return range(0, max(1, len(words) - SPAN), SPAN)
+def _blocks(words: list[str], span: int) -> range:
+    return range(0, max(1, len(words) - span), span)
 
 
 def _long(terms: list[int] | set[int]) -> list[int]:

@@ -282,12 +282,13 @@ def one_of_each(df: DataFrame, **how) -> DataFrame:
     Decided by row: of one id's rows those whose own text has an earlier near copy go, and repeated rows and copies with null
     ids are copies like any others. Rows with a text that is null or has no words all stay.
     """
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    if df.where(df[id_col].isNull()).isEmpty() and df.groupBy(id_col).count().where("count > 1").isEmpty():
-        gone = near_classes(df, **how).where("class_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-        return df.join(gone, df[id_col] == F.col("gone_id"), "left_anti")
-    # ids don't tell rows apart: numbers in the order of ids take their place
-    ordered = df.orderBy(df[id_col].asc_nulls_last(), F.xxhash64(df[text_col]), F.xxhash64(*df.columns))
-    rows = materialize(ordered.withColumn("number_of_row", F.monotonically_increasing_id()), "numbered")
-    gone = near_classes(rows, **(how | {"id_col": "number_of_row"})).where("class_id < doc_id").select(F.col("doc_id").alias("gone_id"))
-    return rows.join(gone, rows["number_of_row"] == F.col("gone_id"), "left_anti").drop("number_of_row")
+    names = df.columns
+    id_col, text_col = (f"kept_{names.index(how.pop(c, d))}" for c, d in (("id_col", "doc_id"), ("text_col", "text")))
+    df = df.toDF(*(f"kept_{i}" for i in range(len(names))))  # no name of the user's can be one of ours
+    if df.where(F.col(id_col).isNull()).isEmpty() and df.groupBy(id_col).count().where("count > 1").isEmpty():
+        rows, key = df, id_col
+    else:  # ids don't tell rows apart: numbers in the order of ids take their place
+        ordered = df.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col), F.xxhash64(*df.columns))
+        rows, key = materialize(ordered.withColumn("number_of_row", F.monotonically_increasing_id()), "numbered"), "number_of_row"
+    gone = near_classes(rows, **how, id_col=key, text_col=text_col).where("class_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return rows.join(gone, F.col(key) == F.col("gone_id"), "left_anti").select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)))

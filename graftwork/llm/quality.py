@@ -1,6 +1,7 @@
 """Quality rules: log-likelihood ratio of hashed n-grams between trusted documents and the whole corpus.
 
-Words, word pairs, the forms of words, and pairs and triples of forms are hashed into ``buckets``. Two smoothed multinomials are
+Words, word pairs, the forms of words, pairs and triples of forms, and of each pair whether it is one word twice, are hashed into
+``buckets``. Two smoothed multinomials are
 counted: one over the trusted documents, one over every document of the corpus. A document's score is the mean, over its own
 n-grams, of log(trusted / corpus): the log-likelihood ratio divided by the length, so long texts aren't favoured. It is kept if
 that is at least ``threshold``; nothing is drawn at random.

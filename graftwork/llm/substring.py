@@ -48,6 +48,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def contexts(h: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, context hash, first window and number of windows of each context of a document's word hashes."""
     n = len(h) - length + 1
+    most = 1 << _POS
+    if len(h) > most:  # longer texts are cut so that each window lies in one part; a context that is cut is two
+        step = most - length + 1
+        parts = [(a, contexts(h[a : a + most], length)) for a in range(0, n, step)]
+        return tuple(np.concatenate([got[k] + a if k == 2 else got[k] for a, got in parts]) for k in range(4))
     if n <= 0:
         return (np.empty(0, U64),) * 2 + (np.empty(0, np.int64),) * 2
     anchor = min(ANCHOR, length)

@@ -668,3 +668,26 @@ def test_warc_audit(spark):
     assert at(odd, odd.dropDuplicates(["page_id", "html"])) == {(1 << 60, "changed", 2 * one): 1} and at(odd, odd) == {}
     assert at(odd.where("page_id = -1"), odd.where("page_id is null or page_id = -1"))[None, "extra", size((0, "u", "a" * 50_000)) + size((0, "u", "b"))] == 1
     assert warc.audit(leaves(df.limit(0)), leaves(df.limit(0))).count() == 0
+
+
+def test_contexts_of_texts_beyond_the_positions_of_a_key(monkeypatch):
+    """A text that is cut keeps each window in one context, under the anchor that it has in a whole text."""
+    h = common.hash_words([f"w{random.Random(k).randrange(40)}".encode() for k in range(1000)])
+    whole = {f + i: a for a, f, n in zip(*(x.tolist() for x in np.array(substring.contexts(h, 10), object)[[0, 2, 3]]), strict=True) for i in range(n)}
+    low = (1 << substring._POS) - 1
+    monkeypatch.setattr(substring, "_POS", 7)
+    got = {}
+    for a, f, n in zip(*(x.tolist() for x in np.array(substring.contexts(h, 10), object)[[0, 2, 3]]), strict=True):
+        for i in range(n):
+            assert f + i not in got
+            got[f + i] = a
+    assert got.keys() == whole.keys() == set(range(991)) and low > 1000
+
+
+def test_license_templates_longer_than_a_block(spark):
+    rng = random.Random(9)
+    own = " ".join(f"term{rng.randrange(400)}" for _ in range(600))
+    text = " ".join(f"plain{k % 50}" for k in range(300)) + " " + own + " " + " ".join(f"plain{k % 50}" for k in range(700))
+    df = spark.createDataFrame([(1, text), (2, "nothing of the kind")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, F.concat(F.lit("a/"), F.col("doc_id").cast("string")), templates={"Own": [own], "Other": ["This is another license."]}).collect()}
+    assert got[1].license == "Own" and got[1].cosine == pytest.approx(1.0) and got[2].license is None

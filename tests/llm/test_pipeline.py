@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from graftwork.llm import mixing, quality
+from graftwork.llm import mixing, nearjoin, quality
 from graftwork.storage import materialize
 
 from .test_operators import awkward, frame
@@ -197,3 +197,14 @@ def test_mix_is_laid_out_by_shards(spark, steps):
     assert len(totals) <= 2 and len(order) == 3
     plan = mixing.mix_texts(steps[3])._jdf.queryExecution().toString()
     assert "hashpartitioning(shard" in plan
+
+
+def test_one_of_each_with_names_of_its_own(spark):
+    """Columns named as the operator names its own, with and without repeated ids."""
+    names = ["gone_id", "number_of_row", "d", "f", "kept_0", "kept_1", "class_id", "doc"]
+    text = "a b c d e f g h i j k l m n o p"
+    for ids, left in (([1, 2, 3], [1, 3]), ([1, 1, 2], [1, 2])):
+        texts = [text, text, "something else altogether is said here"]
+        df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+        got = nearjoin.one_of_each(df)
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == left and all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import hashes
 from .operators import evaluate as ev
 from .operators import facts, partition, sequence, tree
+from .plans import partitioning
 from .sources import graphs, sinks
 from .storage import materialize, shared_folder
 
@@ -348,10 +349,10 @@ def _binary_file(g: Graph) -> DataFrame:
 
 @_query("gp_partial_loads", _E + " SELECT src, dst FROM e")
 def _partial_loads(g: Graph) -> DataFrame:
-    """A graph file that three workers load in parts, repeats left out."""
+    """A graph file that three workers load in shares of its bytes; repeats in different shares go at last."""
     sinks.write_text_edges(g.edges.unionByName(g.edges.where("src % 2 = 0")), path := f"{g.folder}/graph.net")
     a, b, c = (graphs.read_edges(g.edges.sparkSession, path, k, 3, dedup=True) for k in range(3))
-    return a.unionByName(b).unionByName(c)
+    return a.unionByName(b).unionByName(c).distinct()
 
 
 @_query("gp_sequence_file", _S + " SELECT pos, vid FROM seq")
@@ -360,6 +361,25 @@ def _sequence_file(g: Graph) -> DataFrame:
     return graphs.read_sequence(g.edges.sparkSession, path)
 
 
+@_query("gp_binary_sequence_file", _S + " SELECT pos, vid FROM seq")
+def _binary_sequence_file(g: Graph) -> DataFrame:
+    sinks.write_binary_sequence(g.seq, path := f"{g.folder}/graph.seq")
+    return graphs.read_sequence(g.edges.sparkSession, path, binary=True)
+
+
+@_query("gp_tree_file", _T + " SELECT jnid, parent, pst_weight FROM tree")
+def _tree_file(g: Graph) -> DataFrame:
+    sinks.write_tree(g.tree, path := f"{g.folder}/graph.tre")
+    return graphs.read_tree(g.edges.sparkSession, path)
+
+
+@_query("gp_partial_trees", _T + " SELECT jnid, parent, pst_weight FROM tree")
+def _partial_trees(g: Graph) -> DataFrame:
+    """A tree for each of two shares of a graph file, merged."""
+    sinks.write_binary_edges(g.edges, path := f"{g.folder}/graph.dat")
+    return tree.merge_trees(*(partitioning.partial_tree(g.edges.sparkSession, path, g.seq, k, 2) for k in range(2)))
+
+
 @_query("gp_partition_file", _PARTS + " SELECT vid, part FROM parts")
 def _partition_file(g: Graph) -> DataFrame:
     sinks.write_partition(g.hash_parts(), g.seq, path := f"{g.folder}/parts")

@@ -60,6 +60,14 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return out
 
 
+def checked(seq: DataFrame) -> DataFrame:
+    """A sequence that a user gives: each vertex and each position once, or an error; else edges would count several times."""
+    for c in ("vid", "pos"):
+        if (twice := seq.groupBy(c).count().where("count > 1").select(c).first()) is not None:
+            raise ValueError(f"{c} {twice[0]} stands more than once in the sequence")
+    return seq
+
+
 def degree_sequence(edges: DataFrame) -> DataFrame:
     """By degree, then vertex id."""
     return ranked(degrees(edges), "degree", "vid")

@@ -35,7 +35,7 @@ def graph_to_tree(
     """Sequence (by degree unless given), tree and what else is asked for: facts, checks, children, later neighbours, and with
     ``widths`` those in the filled graph. A limit of width, an early end at the greatest width and rooting make the tree with its
     widths in one task. A graph loaded in part needs a sequence of the whole: trees over different orders don't merge."""
-    seq = seq if seq is not None else sequence.degree_sequence(edges)
+    seq = sequence.checked(seq) if seq is not None else sequence.degree_sequence(edges)
     epos = materialize(tree.positioned(edges, seq), "epos")
     special = width_limit is not None or find_max_width or rooted
     t = materialize(tree.limited(edges, seq, width_limit, find_max_width, rooted) if special else tree.build_tree(epos, seq), "tree")
@@ -64,6 +64,12 @@ def partition_tree(run: Run, ks: list[int], method: str = "forward", balance: fl
     return run
 
 
+def partial_tree(spark: SparkSession, graph: str, seq: DataFrame, part: int, parts: int) -> DataFrame:
+    """The tree of a share of a graph file's edges, under a sequence of the whole graph; ``tree.merge_trees`` joins such trees."""
+    edges = graphs.read_edges(spark, graph, part, parts)
+    return materialize(tree.build_tree(tree.positioned(edges, seq), seq), "tree")
+
+
 def distributed_partition(spark: SparkSession, graph: str, ks: list[int], out: str | None = None, seq: str | None = None, method: str = "forward") -> Run:
     """From a graph file to parts and, with ``out``, partitioned edge files, a folder for each number of parts."""
     edges = graphs.read_edges(spark, graph)

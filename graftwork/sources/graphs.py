@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequence import distinct_edges, ranked
-
-#: Records of the binary edge file (tail, head, weight) and the number that means "no parent" in a tree file.
-EDGE_RECORD = np.dtype([("tail", "<u4"), ("head", "<u4"), ("weight", "<f4")])
-NO_PARENT = 0xFFFFFFFF
+from ..operators.sequence import checked, distinct_edges, ranked
+from .records import read_records
 
 
 def edges_from(df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -34,32 +27,20 @@ def read_text_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Records of 12 bytes: tail, head, weight. Each record is delivered once; bytes after the last whole one are an error.
-
-    Spark cuts the file between records, so one large file is read by many tasks.
-    """
-    rows = spark.sparkContext.binaryRecords(path, EDGE_RECORD.itemsize)
-
-    def decode(records: Iterator[bytes]) -> Iterator[tuple[int, int, float]]:
-        while chunk := b"".join(islice(records, 10_000)):
-            x = np.frombuffer(chunk, EDGE_RECORD)
-            yield from zip(x["tail"].tolist(), x["head"].tolist(), x["weight"].tolist(), strict=True)
-
-    return rows.mapPartitions(decode).toDF("src long, dst long, weight float")
-
-
-def _words(spark: SparkSession, path: str) -> DataFrame:
-    """(i, word): the unsigned 32-bit numbers of a file, read by many tasks, and their places."""
-    numbered = spark.sparkContext.binaryRecords(path, 4).zipWithIndex()
-    return numbered.map(lambda x: (x[1], int.from_bytes(x[0], "little"))).toDF("i long, word long")
+    """Records of 12 bytes: tail, head, weight; a file or a folder of them. Each record is delivered once; bytes after the last whole one are an
+    error. Files are read by ranges of bytes."""
+    return read_records(spark, path, "edges")
 
 
 def read_edges(spark: SparkSession, path: str, part: int | None = None, parts: int | None = None, dedup: bool = False) -> DataFrame:
-    """By suffix: .dat is binary, all else text. ``part`` of ``parts`` (from 0) loads that share of the edges, by their hash."""
-    e = (read_binary_edges if path.endswith(".dat") else read_text_edges)(spark, path).select("src", "dst")
+    """By suffix: .dat is binary, all else text. ``part`` of ``parts`` (from 0) loads that share of the file's bytes, and reads no others; a
+    line belongs to the share that it begins in."""
+    kind = "edges" if path.endswith(".dat") else "text"
     if parts is not None:
-        e = e.where(F.pmod(F.xxhash64("src", "dst"), F.lit(parts)) == part)
-    return distinct_edges(e) if dedup else e
+        e = read_records(spark, path, kind, part or 0, parts)
+    else:
+        e = (read_binary_edges if kind == "edges" else read_text_edges)(spark, path)
+    return distinct_edges(e.select("src", "dst")) if dedup else e.select("src", "dst")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,20 +50,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequence(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
-    """(pos, vid); binary: a 64-bit count and 32-bit ids."""
+    """(pos, vid); binary: a 64-bit count and 32-bit ids. A vertex that stands twice is an error."""
     if not binary:
-        return read_lines(spark, path)
-    return _words(spark, path).where("i >= 2").select((F.col("i") - 2).alias("pos"), F.col("word").alias("vid"))
+        return checked(read_lines(spark, path))
+    return checked(read_records(spark, path, "sequence").withColumnRenamed("place", "pos"))
 
 
 def read_partition(spark: SparkSession, path: str, seq: DataFrame) -> DataFrame:
-    """parts(vid, part) from one part a line, in the order of the sequence. The number of parts is the largest + 1."""
-    return read_lines(spark, path).select("pos", F.col("vid").cast("int").alias("part")).join(seq, "pos").select("vid", "part")
+    """parts(vid, part) from one part a line, in the order of the sequence, which must be as long. The number of parts is the largest + 1."""
+    lines = read_lines(spark, path)
+    vertices = seq.count()
+    if lines._rows != vertices:
+        raise ValueError(f"{path} has {lines._rows} parts for {vertices} vertices")
+    return lines.select("pos", F.col("vid").cast("int").alias("part")).join(seq, "pos").select("vid", "part")
 
 
 def read_tree(spark: SparkSession, path: str, pre_weight: bool = False) -> DataFrame:
     """tree(jnid, parent, pst_weight[, pre_weight]) from a tree file: the count, then the records."""
-    names = ["parent", "pst_weight", "pre_weight"][: 3 if pre_weight else 2]
-    words = _words(spark, path).where("i >= 1").selectExpr(f"(i - 1) div {len(names)} AS jnid", f"(i - 1) % {len(names)} AS field", "word")
-    of = [F.max(F.when((F.col("field") == k) & (F.col("word") != NO_PARENT), F.col("word"))).alias(c) for k, c in enumerate(names)]
-    return words.groupBy("jnid").agg(*of)
+    return read_records(spark, path, "weighted_tree" if pre_weight else "tree").withColumnRenamed("place", "jnid")

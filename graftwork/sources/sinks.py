@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +9,7 @@ from ..operators import ranges as rg
 from ..operators.sequence import degrees
 from ..operators.tree import kids, with_last
 from ..storage import materialize
-from .graphs import NO_PARENT
+from .records import MOST, write_records
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
@@ -25,9 +20,10 @@ def write_text_edges(edges: DataFrame, path: str) -> None:
     edge_lines(edges).write.text(path)
 
 
-def _little(x: Column, size: int = 4) -> Column:
-    """The bytes of a whole number, lowest first."""
-    return F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * i).bitwiseAND(255)), 2, "0")) for i in range(size)))
+def _little(x: Column) -> Column:
+    """The four bytes of an id, lowest first."""
+    id_ = F.when(x.between(0, MOST), x.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no record holds the id "), x.cast("string"))))
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(id_, 8 * i).bitwiseAND(255)), 2, "0")) for i in range(4)))
 
 
 def edge_records(edges: DataFrame) -> DataFrame:
@@ -36,29 +32,8 @@ def edge_records(edges: DataFrame) -> DataFrame:
 
 
 def write_binary_edges(edges: DataFrame, path: str) -> None:
-    """A folder of files of records, written by all tasks.
-
-    The last byte of the weight 1 is always the same, so records are lines that end with it."""
-    lines = edge_records(edges).select(F.expr("substring(record, 1, 11)").cast("string").alias("value"))
-    lines.write.option("lineSep", "?").text(path)
-
-
-def _write_local(df: DataFrame, order: str, columns: dict[str, int], head: bytes, path: str) -> None:
-    """One local file: a head, then each row's numbers. Tasks make the bytes of their rows; the driver joins them, one
-    partition at a time, in order."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([(c, f"<u{n}") for c, n in columns.items()])
-        for b in batches:
-            out = np.zeros(b.num_rows, kind)
-            for i, c in enumerate(columns):
-                out[c] = b.column(i).fill_null(NO_PARENT).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["data"])
-
-    with open(path, "wb") as f:
-        f.write(head)
-        for row in df.orderBy(order).select(*columns).mapInArrow(encode, "data binary").toLocalIterator():
-            f.write(row["data"])
+    """A folder of files of records of 12 bytes, weight 1 if there is no ``weight``, written by all tasks. Ids that aren't 0 to 2^32 - 2 are an error."""
+    write_records(edges.select("src", "dst", *(["weight"] if "weight" in edges.columns else [])), path, "edges")
 
 
 def write_partitioned(assigned: DataFrame, path: str) -> None:
@@ -72,8 +47,8 @@ def write_sequence(seq: DataFrame, path: str) -> None:
 
 
 def write_binary_sequence(seq: DataFrame, path: str) -> None:
-    """A local file: a 64-bit count and 32-bit ids."""
-    _write_local(seq, "pos", {"vid": 4}, struct.pack("<Q", seq.count()), path)
+    """A file: a 64-bit count and 32-bit ids. Ids that aren't 0 to 2^32 - 2 are an error."""
+    write_records(seq.select(F.col("pos").alias("place"), "vid"), path, "sequence")
 
 
 def write_partition(parts: DataFrame, seq: DataFrame, path: str) -> None:
@@ -82,9 +57,9 @@ def write_partition(parts: DataFrame, seq: DataFrame, path: str) -> None:
 
 
 def write_tree(tree: DataFrame, path: str) -> None:
-    """A local tree file: the count, then parent, pst_weight and, if there is one, pre_weight of each node."""
-    columns = {c: 4 for c in ("parent", "pst_weight", "pre_weight") if c in tree.columns}
-    _write_local(tree, "jnid", columns, struct.pack("<I", tree.count()), path)
+    """A tree file: the count, then parent, pst_weight and, if there is one, pre_weight of each node. Numbers beyond 2^32 - 2 are an error."""
+    more = ["pre_weight"] if "pre_weight" in tree.columns else []
+    write_records(tree.select(F.col("jnid").alias("place"), "parent", "pst_weight", *more), path, "weighted_tree" if more else "tree")
 
 
 def graph_adjacency(edges: DataFrame, seq: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ def test_forests_over_many_partitions(spark, monkeypatch):
     assert sorted(map(tuple, tree.attach(tree.reduce_forests(forests, 59), seq).collect())) == want
 
 
-NEW = [n for n in catalogue.ORACLE_SQL if n.endswith("file") or n.endswith("files")] + ["gp_tree", "gp_tree_merged", "gp_depth", "gp_height", "gp_backward", "gp_vfennel_k4", "gp_tree_metis_adj", "gp_tree_max_width", "gp_tree_validate_damaged", "gp_jxn_validate_damaged", "gp_pre_weight", "gp_heights", "gp_tree_rooted", "gp_omitted_vertices_tree", "gp_partial_loads", "gp_forward_bounds_k4", "gp_efennel_bounds_k4"]
+NEW = [n for n in catalogue.ORACLE_SQL if n.endswith("file") or n.endswith("files")] + ["gp_tree", "gp_tree_merged", "gp_depth", "gp_height", "gp_backward", "gp_vfennel_k4", "gp_tree_metis_adj", "gp_tree_max_width", "gp_tree_validate_damaged", "gp_jxn_validate_damaged", "gp_pre_weight", "gp_heights", "gp_tree_rooted", "gp_omitted_vertices_tree", "gp_partial_loads", "gp_partial_trees", "gp_fill", "gp_widths", "gp_forward_bounds_k4", "gp_efennel_bounds_k4"]
 
 
 @pytest.mark.parametrize("name", NEW)

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import golden_hash
+from ..storage import materialize
+from .ends import with_ends
+from .sequence import ranked
 
 
 def _joined(edges: DataFrame, parts: DataFrame, seq: DataFrame | None) -> DataFrame:
-    """Each edge with the parts, hashes and positions of its ends."""
+    """Each edge with the parts and positions of its ends; an edge that lacks a part at one end goes."""
     info = parts.select("vid", "part")
     if seq is not None:
-        info = info.join(seq.select("vid", "pos"), "vid", "left")
-    ends = [info.select(*(F.col(c).alias(f"{c}_{s}") for c in info.columns)) for s in "xy"]
-    e = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    return e.join(ends[0], F.col("x") == F.col("vid_x")).join(ends[1], F.col("y") == F.col("vid_y"))
+        info = info.join(seq.select(F.col("vid").alias("v2"), "pos"), F.col("vid") == F.col("v2"), "left").drop("v2")
+    info = materialize(info, "parts")  # counted, and read for both ends
+    e = with_ends(edges.select("src", "dst"), info, 24).where("vid_x is not null and vid_y is not null")
+    return e.withColumnsRenamed({"src": "x", "dst": "y"})
 
 
 def _owners(e: DataFrame, seq: bool) -> dict[str, object]:
@@ -72,9 +75,6 @@ def assign_edges(edges: DataFrame, parts: DataFrame, seq: DataFrame, canonical:
 
 def isomorphic(edges: DataFrame, parts: DataFrame, seq: DataFrame, canonical: bool = True) -> DataFrame:
     """Edges between new vertex numbers, which are those of the sequence sorted by part; src < dst if ``canonical``, loops go."""
-    from .sequence import ranked
-
     new = ranked(seq.join(parts, "vid").select("vid", "part", "pos"), "part", "pos")
-    a, b = (new.select(F.col("vid").alias(c), F.col("pos").alias(f"new_{c}")) for c in ("src", "dst"))
-    e = edges.select("src", "dst").join(a, "src").join(b, "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+    e = with_ends(edges.select("src", "dst"), new, 16).where("pos_x is not null and pos_y is not null").select(F.col("pos_x").alias("src"), F.col("pos_y").alias("dst"))
     return e.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")) if canonical else e

@@ -18,16 +18,15 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.kernels import NONE
-from ..storage import broadcast_if_small, discard, materialize
+from ..storage import materialize
 from . import ranges as rg
+from .ends import with_ends
+from .sequence import ranked
 
 def positioned(edges: DataFrame, seq: DataFrame) -> DataFrame:
     """epos(lo, hi): positions of the ends of each edge; loops go. Vertices that the sequence omits come after all others:
     their end is null, and an edge between two of them belongs to no tree."""
-    seq = broadcast_if_small(seq, 16)
-    a = seq.select(F.col("vid").alias("src"), F.col("pos").alias("p"))
-    b = seq.select(F.col("vid").alias("dst"), F.col("pos").alias("q"))
-    e = edges.select("src", "dst").where("src <> dst").join(a, "src", "left").join(b, "dst", "left").where("p is not null or q is not null")
+    e = with_ends(edges.select("src", "dst").where("src <> dst"), seq, 16).select(F.col("pos_x").alias("p"), F.col("pos_y").alias("q")).where("p is not null or q is not null")
     return e.select(F.least("p", "q").alias("lo"), F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), F.greatest("p", "q")).alias("hi"))
 
 
@@ -38,9 +37,9 @@ def pst_weight(epos: DataFrame) -> DataFrame:
 
 def pst_lists(edges: DataFrame, seq: DataFrame) -> DataFrame:
     """jnid and the sorted distinct ids of its later neighbours."""
-    both = edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = both.join(seq.select(F.col("vid").alias("src"), F.col("pos").alias("jnid")), "src").join(seq.select(F.col("vid").alias("dst"), F.col("pos").alias("other")), "dst", "left")
-    return e.where("other is null or other > jnid").groupBy("jnid").agg(F.array_sort(F.collect_set("dst")).alias("pst"))
+    e = with_ends(edges.select("src", "dst").where("src <> dst"), seq, 16)
+    both = e.select(F.explode(F.array(F.struct(F.col("pos_x").alias("jnid"), F.col("pos_y").alias("other"), F.col("dst").alias("near")), F.struct(F.col("pos_y").alias("jnid"), F.col("pos_x").alias("other"), F.col("src").alias("near")))).alias("e")).select("e.*")
+    return both.where("jnid is not null and (other is null or other > jnid)").groupBy("jnid").agg(F.array_sort(F.collect_set("near")).alias("pst"))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +347,47 @@ def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return in_one_task(tree.select("jnid", "parent").join(later, "jnid", "left"), run, "jnid long, jxn array<long>, width long")
 
 
+def closed(edges: DataFrame, seq: DataFrame, rooted: bool = False) -> DataFrame:
+    """The tree up to the vertex at which it is known how wide it gets: jnid, vid, parent, pst_weight, width.
+
+    That is the first vertex, after which fewer vertices come than the widest one so far has; with ``rooted``, than it has itself, and then all that
+    are left form a chain above it, which is what the filled graph has there. Widths are those of ``widths``; vertices that the
+    sequence omits count as later ones.
+    """
+    n = last_position(seq) + 1
+    e = edges.select("src", "dst").where("src <> dst")
+    omitted = e.select(F.explode(F.array("src", "dst")).alias("vid")).distinct().join(seq.select(F.col("vid").alias("v2")), F.col("vid") == F.col("v2"), "left_anti")
+    more = ranked(omitted, "vid")
+    whole = seq.select("pos", "vid").unionByName(more.select((F.col("pos") + n).alias("pos"), "vid"))
+    whole._rows = n + more._rows
+    epos = materialize(with_ends(e, whole, 16).where(f"least(pos_x, pos_y) < {n}").select(F.least("pos_x", "pos_y").alias("lo"), F.greatest("pos_x", "pos_y").alias("hi")), "epos")
+    t = materialize(build_tree(epos, whole), "tree")
+    t = with_last(materialize(t.join(widths(t, epos), "jnid"), "widths"), t).where(F.col("jnid") < n)
+    limit = F.lit(n) - F.col("jnid")
+    if rooted:
+        end = t.where(F.col("width") >= limit).agg(F.min("jnid")).first()[0]
+    else:  # the widest so far: of whole ranges before, and within the range
+        blocks = t.groupBy(rg.range_of("jnid").alias("r2")).agg(F.max("width").alias("most"))
+        blocks = blocks.withColumn("before", F.max("most").over(W.orderBy("r2").rowsBetween(W.unboundedPreceding, -1))).drop("most")  # a row a range
+        near = t.withColumn("range", rg.range_of("jnid")).join(F.broadcast(blocks), F.col("range") == F.col("r2"))
+        so_far = F.greatest(F.max("width").over(W.partitionBy("range").orderBy("jnid")), "before")
+        end = near.withColumn("most", so_far).where(F.col("most") >= limit).agg(F.min("jnid")).first()[0]
+    end = -1 if end is None else end
+    named = t.join(seq.select(F.col("pos").alias("p2"), "vid"), F.col("jnid") == F.col("p2"))
+    if not rooted:
+        return named.where(F.col("jnid") <= end).select("jnid", "vid", F.when(F.col("parent") <= end, F.col("parent")).alias("parent"), "pst_weight", "width")
+    after = F.col("jnid") > end
+    chain = F.when(F.col("jnid") + 1 < n, F.col("jnid") + 1)
+    parent = F.when(after, chain).when(F.col("parent") <= end, F.col("parent")).otherwise(F.lit(end + 1 if end + 1 < n else None).cast("long"))
+    return named.select("jnid", "vid", parent.alias("parent"), "pst_weight", F.when(after, limit).otherwise(F.col("width")).cast("long").alias("width"))
+
+
 def limited(edges: DataFrame, seq: DataFrame, width_limit: int | None = None, find_max_width: bool = False, rooted: bool = False) -> DataFrame:
     """Tree with a limit of width, cut off once its width can't grow, or closed by a chain of all that is left once a vertex is as wide
-    as that (``rooted``): jnid, vid, parent, pst_weight, width."""
+    as that (``rooted``): jnid, vid, parent, pst_weight, width. Without a limit either is worked out range by range; which vertices a limit
+    puts off depends on all before, so a limit needs one task and is for small graphs."""
+    if width_limit is None and find_max_width != rooted:
+        return closed(edges, seq, rooted)
     both = edges.select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nbrs = seq.join(both.groupBy(F.col("src").alias("vid")).agg(F.collect_list("dst").alias("nbrs")), "vid", "left")
 

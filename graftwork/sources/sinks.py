@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranges as rg
+from ..operators.ends import with_ends
 from ..operators.sequence import degrees
 from ..operators.tree import kids, with_last
 from ..storage import materialize
@@ -64,9 +65,9 @@ def write_tree(tree: DataFrame, path: str) -> None:
 
 def graph_adjacency(edges: DataFrame, seq: DataFrame) -> DataFrame:
     """(line, value) of an adjacency file: "n m 010", then for each vertex its degree, loops included, and its neighbours' positions from 1."""
-    a, b = (seq.select(F.col("vid").alias(c), (F.col("pos") + 1).alias(f"at_{c}")) for c in ("src", "dst"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
-    near = both.join(a, "src").join(b, "dst").groupBy(F.col("at_src").alias("line")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("at_dst")), lambda x: x.cast("string")), " ").alias("near"))
+    e = with_ends(edges.select("src", "dst").where("src <> dst"), seq, 16).where("pos_x is not null and pos_y is not null").select((F.col("pos_x") + 1).alias("line"), (F.col("pos_y") + 1).alias("at"))
+    both = e.select(F.explode(F.array(F.struct("line", "at"), F.struct(F.col("at").alias("line"), F.col("line").alias("at")))).alias("e")).select("e.*")
+    near = both.groupBy("line").agg(F.array_join(F.transform(F.sort_array(F.collect_list("at")), lambda x: x.cast("string")), " ").alias("near"))
     rows = seq.join(degrees(edges), "vid").select((F.col("pos") + 1).alias("line"), "degree").join(near, "line", "left")
     head = seq.agg(F.count("*").alias("n")).join(edges.where("src <> dst").agg(F.count("*").alias("m"))).select(F.lit(0).cast("long").alias("line"), F.concat_ws(" ", "n", "m", F.lit("010")).alias("value"))
     return head.unionByName(rows.select("line", F.concat_ws(" ", F.col("degree").cast("string"), "near").alias("value")))

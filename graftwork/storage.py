@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,10 +32,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, to be broadcast if its rows, counted first where their number isn't known, come to at most BROADCAST_BYTES."""
+def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the rows of a table, counted first where their number isn't known, come to at most BROADCAST_BYTES."""
     rows = getattr(df, "_rows", None)
-    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
+    return (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES
 
 
 def discard(*tables: DataFrame) -> None:

@@ -42,21 +42,27 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         f"{_CONDITIONS}: {_NOTICE_KEPT} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.", "Released under the Boost Software License 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", _CC.format("Attribution")],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", _CC.format("Attribution-NonCommercial")],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", _CC.format("Attribution-NoDerivatives")],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", _CC.format("Attribution-ShareAlike")],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2.", _GNU.format("General Public License", "2")],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", _GNU.format("General Public License", "3")],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, Version 2.0.", "Released under the Eclipse Public License v2."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "The code is under the GNU GPL version 2.", _GNU.format("General Public License", "2")],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "The code is under the GNU GPL version 3.", _GNU.format("General Public License", "3")],
     "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the LGPL v2.1.", _GNU.format("Lesser General Public License", "2.1")],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL v3.", _GNU.format("Lesser General Public License", "3")],
     "MIT": [
-        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license.", "The MIT License (MIT)",
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license.", "MIT licensed.", "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "Zlib": ["Released under the zlib license.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
 _VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
@@ -83,7 +89,8 @@ SHORT, FEW = 15, 4
 HOT_TERMS = 100_000
 #: Terms that are in no notice are mostly kept from the count by a table of bits.
 BITS = 1 << 20
-_word = re.compile(r"\w+(?:[.-]\w+)*")
+#: Words; "-only" and "-or-later" are no part of the name before them, so GPL-3.0-or-later names GPL-3.0.
+_word = re.compile(r"\w+(?:[.-](?!(?:only|or-later)\b)\w+)*")
 FILE_NAMES = r"(?i)^(un)?(licen[sc]e|copying|notice)([.-].*)?$"
 
 

@@ -691,3 +691,18 @@ def test_license_templates_longer_than_a_block(spark):
     df = spark.createDataFrame([(1, text), (2, "nothing of the kind")], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(df, F.concat(F.lit("a/"), F.col("doc_id").cast("string")), templates={"Own": [own], "Other": ["This is another license."]}).collect()}
     assert got[1].license == "Own" and got[1].cosine == pytest.approx(1.0) and got[2].license is None
+
+
+@pytest.mark.parametrize(
+    ("text", "license"),
+    [
+        ("Licensed under GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("# SPDX-License-Identifier: LGPL-2.1-or-later\nimport os", "LGPL-2.1"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"),
+        ("The code is under the GNU GPL version 3", "GPL-3.0"), ("This project is MIT licensed.", "MIT"), ("Distributed under the Boost Software License, Version 1.0. See LICENSE.", "BSL-1.0"),
+        ("Licensed under the Eclipse Public License, Version 2.0", "EPL-2.0"), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("Released under the zlib license", "Zlib"),
+        ("SPDX-License-Identifier: MIT", "MIT"), ("License: Apache-2.0", "Apache-2.0"), ("we only go there or later", None), ("the general public was there, version 3 or not", None),
+    ],
+)
+def test_names_of_licenses(text, license):
+    known = licenses.Templates(licenses.TEMPLATES)
+    cosine, name, *_ = known.best_span(licenses._word.findall(text.lower()))
+    assert (name if cosine >= licenses.LEAST else None) == license

@@ -5,13 +5,13 @@ are DECAY for each position that the subsequence takes. So letters put into a wo
 weights but don't hide it. Text is folded to 28 signs: letters without case and accents, other letters, and one space for a run of anything
 else; letters that stand alone one after the other are put together ("i d i o t").
 
-Nyström: landmarks are words with a space on either side. A string's features are its kernel values with the landmarks, divided by
+Nyström: landmarks are words with a space on either side, and beginnings of words after a space. A string's features are its kernel values with the landmarks, divided by
 the landmarks' lengths and whitened by the inverse root of their kernel matrix. A linear machine on these features is a sum
 over subsequences again, so all of it folds into one table of 2^20 weights: scoring looks up the subsequences that begin at each letter,
 whatever the number of landmarks.
 
 A sentence is judged by its best run of WIDTH letters, a document by its best sentence. Labels belong to documents, so training
-looks for the sentences that earn them: in rounds, the best run of each toxic document's sentences and those of
+looks for the sentences that earn them: in rounds, the best runs of toxic documents' sentences that clean documents don't reach, and those of
 clean sentences, hardest first, train the machine, which then chooses anew; toxic sentences also come with letters and spaces put into their words. A repeated sentence counts once, and as clean if a clean document has it.
 At last scores become probabilities by a logistic curve.
 
@@ -36,14 +36,16 @@ from .common import slices, small_batches
 
 N, SPAN, DECAY = 4, 7, 0.9
 WIDTH = 12
-#: Landmarks: words that toxic sentences have more than others, and frequent words.
-TOXIC_LANDMARKS, OTHER_LANDMARKS = 48, 80
+#: Landmarks: words, and beginnings of words, that toxic sentences have more than others, and frequent ones.
+TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 80
+#: Letters of the beginnings of words that are landmarks as words are.
+STEMS = (4, 5, 6)
 LANDMARK_LETTERS = 22
 #: A toxic landmark's excess over what its frequency lets expect must reach this share of the greatest one: labels are noisy, and
 #: words of a few mislabelled documents stand out as well, but less.
 EXCESS = 0.3
 #: A toxic document counts as mislabelled if its best sentence scores no more than so many of the clean documents' best ones do.
-CLEAN_SHARE = 0.995
+CLEAN_SHARE = 0.99
 TOXIC_DOCS, CLEAN_DOCS, SENTENCES, CUT = 1500, 4000, 64, 256
 ROUNDS = 4
 #: Times that each toxic sentence is learned with signs put into its words.
@@ -261,6 +263,11 @@ class Model:
     b: float = -4.0
 
 
+def _marks(word: bytes) -> list[bytes]:
+    """What can be a landmark of a word: itself between spaces, and its beginnings after a space, which inflected words share."""
+    return [b"\0" + word[:LANDMARK_LETTERS] + b"\0", *(b"\0" + word[:n] for n in STEMS if len(word) > n)]
+
+
 def learn(texts: list[str], toxic: np.ndarray) -> Model:
     """From texts, sentence by sentence, and whether each one's document is toxic."""
     if not toxic.any() or toxic.all():
@@ -272,12 +279,12 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     seen: set[bytes] = set()
     new = np.array([not (s in seen or seen.add(s)) for s in strings])  # a sentence counts where it stands first
     label = label & np.array([s not in clean for s in strings])
-    # landmarks: words by the number of texts of each kind that have them, in sentences that no earlier text has
+    # landmarks: words and their beginnings by the number of texts of each kind that have them, in sentences that no earlier text has
     counts: dict[bytes, list[int]] = {}
     held: tuple[set[bytes], set[bytes]] = set(), set()
     for k, s in enumerate(strings):
         if new[k]:
-            held[int(label[k])].update(w[:LANDMARK_LETTERS] for w in s.split(b"\0") if len(w) >= N - 1)
+            held[int(label[k])].update(x for w in s.split(b"\0") if len(w) >= N - 1 for x in _marks(w))
         if k + 1 == len(strings) or of[k + 1] != of[k]:
             for x, words in enumerate(held):
                 for w in words:
@@ -294,19 +301,19 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     if not marks:
         return Model(None)
     common = [int(i) for i in np.lexsort((names, -(n + p))) if int(i) not in set(marks)][:OTHER_LANDMARKS]
-    landmarks = Landmarks([b"\0" + names[i] + b"\0" for i in [*marks, *common]])
+    landmarks = Landmarks([names[i] for i in [*marks, *common]])
     table = np.zeros(1 << 20, np.float32)
     table[landmarks.keys] = landmarks.phi[:, : len(marks)] @ excess[marks] / excess[marks].max()
     place, rng, trusted = np.empty(0, np.int64), np.random.default_rng(1), toxic.copy()
     for _ in range(ROUNDS):
         start, best = _best(f, table)
-        # of a toxic document the best sentence, of the clean sentences the hardest
-        by = np.lexsort((-best, of))
-        by = by[np.r_[True, of[by][1:] != of[by][:-1]]]
-        least = np.quantile(best[by][~toxic[of[by]]], CLEAN_SHARE)
-        earned = by[trusted[of[by]] & label[by] & (best[by] > least)]
-        trusted = np.isin(np.arange(len(texts)), of[earned])  # who is out stays out: the machine learns what it is given
-        chosen = earned[np.unique(np.array([strings[i] for i in earned], object), return_index=True)[1]] if len(earned) else earned
+        # of a toxic document the sentences that clean documents don't reach, of the clean sentences the hardest
+        top = np.full(len(texts), -np.inf)
+        np.maximum.at(top, of, best)
+        least = np.quantile(top[~toxic & np.isfinite(top)], CLEAN_SHARE)
+        trusted &= top > least  # who is out stays out: the machine learns what it is given
+        earned = np.flatnonzero(trusted[of] & label & new & (best > least))
+        chosen = earned[np.argsort(-best[earned], kind="stable")[:HARDEST]]
         if not len(chosen):
             return Model(None)
         others = np.flatnonzero(~label & new)

@@ -99,15 +99,18 @@ def model(spark):
 
 
 def test_held_out_documents(spark, model):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    texts = dict(docs.select("doc_id", "text").collect())
+    """Against the labels of documents that weren't learned from: other languages have insults of their own, which no list here knows."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts, label = dict(docs.select("doc_id", "text").collect()), dict(labels.select("doc_id", "toxic").collect())
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert got.keys() == texts.keys() and all(0 <= s <= 1 for s in got.values())
     held = [i for i in texts if zlib.crc32(str(i).encode()) % 3 == 1]
-    bad = [i for i in held if INSULT.search(texts[i] or "")]
-    good = [i for i in held if not INSULT.search(texts[i] or "")]
-    assert len(bad) > 150 and np.mean([got[i] >= 0.7 for i in bad]) >= 0.97
-    assert len(good) > 3000 and np.mean([got[i] >= 0.7 for i in good]) <= 0.003
+    english = [i for i in held if INSULT.search(texts[i] or "")]
+    assert len(english) > 150 and np.mean([got[i] >= 0.7 for i in english]) >= 0.97
+    bad, good = ([i for i in held if label.get(i) == x] for x in (1, 0))
+    # so small a table has few toxic documents of each other language, and labels that no sentence earns
+    assert len(bad) > 100 and np.mean([got[i] >= 0.7 for i in bad]) >= 0.5
+    assert len(good) > 1000 and np.mean([got[i] >= 0.7 for i in good]) <= 0.005
 
 
 def test_insults_in_odd_writing(spark, model):

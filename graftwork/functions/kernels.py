@@ -125,14 +125,15 @@ def limited_tree(later: dict[int, list[int]], order: list[int], width_limit: int
             top[k] = k = top[top[k]]
         return k
 
-    def add(v: int, kids: Iterable[int], pst: int, jxn: set[int]) -> None:
+    def add(v: int, kids: Iterable[int], pst: int, jxn: set[int], width: int) -> None:
         j = len(rows)
         for k in kids:
             rows[k]["parent"] = top[k] = j
+            filled[k] = set()  # only roots are asked again
         top.append(j)
         filled.append(jxn)
         at[v] = j
-        rows.append({"jnid": j, "vid": v, "parent": None, "pst_weight": pst, "width": 1 + len(jxn)})
+        rows.append({"jnid": j, "vid": v, "parent": None, "pst_weight": pst, "width": width})
 
     wide: list[int] = []
     most = 0
@@ -143,7 +144,7 @@ def limited_tree(later: dict[int, list[int]], order: list[int], width_limit: int
         if width_limit is not None and (len(ahead) > width_limit or len(jxn) > width_limit):
             wide.append(v)
         else:
-            add(v, kids, len(ahead), jxn)
+            add(v, kids, len(ahead), jxn, 1 + len(jxn))
             most = max(most, 1 + len(jxn))
         if find_max_width and most >= len(wide) + len(order) - i:
             return rows
@@ -152,7 +153,7 @@ def limited_tree(later: dict[int, list[int]], order: list[int], width_limit: int
             break
     for i, v in enumerate(wide):
         kids = [j for j, r in enumerate(rows) if r["parent"] is None] if i == 0 else [len(rows) - 1]
-        add(v, kids, sum(u not in at and u != v for u in later.get(v, ())), set(wide[i + 1 :]))
+        add(v, kids, sum(u not in at and u != v for u in later.get(v, ())), set(), len(wide) - i)
         if find_max_width:
             break
     return rows

@@ -21,6 +21,7 @@ from ..functions.kernels import NONE
 from ..storage import materialize
 from . import ranges as rg
 from .ends import with_ends
+from .limits import width_limited
 from .sequence import ranked
 
 def positioned(edges: DataFrame, seq: DataFrame) -> DataFrame:
@@ -347,6 +348,18 @@ def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return in_one_task(tree.select("jnid", "parent").join(later, "jnid", "left"), run, "jnid long, jxn array<long>, width long")
 
 
+def _with_omitted(edges: DataFrame, seq: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+    """The length of a sequence; the sequence with the vertices of edges that it omits behind it; and the stored positions lo < hi of edges with an end in it."""
+    n = last_position(seq) + 1
+    e = edges.select("src", "dst").where("src <> dst")
+    omitted = e.select(F.explode(F.array("src", "dst")).alias("vid")).distinct().join(seq.select(F.col("vid").alias("v2")), F.col("vid") == F.col("v2"), "left_anti")
+    more = ranked(omitted, "vid")
+    whole = seq.select("pos", "vid").unionByName(more.select((F.col("pos") + n).alias("pos"), "vid"))
+    whole._rows = n + more._rows
+    epos = with_ends(e, whole, 16).where(f"least(pos_x, pos_y) < {n}").select(F.least("pos_x", "pos_y").alias("lo"), F.greatest("pos_x", "pos_y").alias("hi"))
+    return n, whole, materialize(epos, "epos")
+
+
 def closed(edges: DataFrame, seq: DataFrame, rooted: bool = False) -> DataFrame:
     """The tree up to the vertex at which it is known how wide it gets: jnid, vid, parent, pst_weight, width.
 
@@ -354,13 +367,7 @@ def closed(edges: DataFrame, seq: DataFrame, rooted: bool = False) -> DataFrame:
     are left form a chain above it, which is what the filled graph has there. Widths are those of ``widths``; vertices that the
     sequence omits count as later ones.
     """
-    n = last_position(seq) + 1
-    e = edges.select("src", "dst").where("src <> dst")
-    omitted = e.select(F.explode(F.array("src", "dst")).alias("vid")).distinct().join(seq.select(F.col("vid").alias("v2")), F.col("vid") == F.col("v2"), "left_anti")
-    more = ranked(omitted, "vid")
-    whole = seq.select("pos", "vid").unionByName(more.select((F.col("pos") + n).alias("pos"), "vid"))
-    whole._rows = n + more._rows
-    epos = materialize(with_ends(e, whole, 16).where(f"least(pos_x, pos_y) < {n}").select(F.least("pos_x", "pos_y").alias("lo"), F.greatest("pos_x", "pos_y").alias("hi")), "epos")
+    n, whole, epos = _with_omitted(edges, seq)
     t = materialize(build_tree(epos, whole), "tree")
     t = with_last(materialize(t.join(widths(t, epos), "jnid"), "widths"), t).where(F.col("jnid") < n)
     limit = F.lit(n) - F.col("jnid")
@@ -384,10 +391,13 @@ def closed(edges: DataFrame, seq: DataFrame, rooted: bool = False) -> DataFrame:
 
 def limited(edges: DataFrame, seq: DataFrame, width_limit: int | None = None, find_max_width: bool = False, rooted: bool = False) -> DataFrame:
     """Tree with a limit of width, cut off once its width can't grow, or closed by a chain of all that is left once a vertex is as wide
-    as that (``rooted``): jnid, vid, parent, pst_weight, width. Without a limit either is worked out range by range; which vertices a limit
-    puts off depends on all before, so a limit needs one task and is for small graphs."""
+    as that (``rooted``): jnid, vid, parent, pst_weight, width. A limit or either of these is worked out range by range; several of them at once
+    need one task and are for small graphs."""
     if width_limit is None and find_max_width != rooted:
         return closed(edges, seq, rooted)
+    if width_limit is not None and not find_max_width and not rooted:
+        n, _, epos = _with_omitted(edges, seq)
+        return width_limited(epos, seq, n, width_limit)
     both = edges.select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nbrs = seq.join(both.groupBy(F.col("src").alias("vid")).agg(F.collect_list("dst").alias("nbrs")), "vid", "left")
 

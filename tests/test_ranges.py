@@ -1,13 +1,14 @@
 """Trees over many ranges: every figure and every partition as one task gives it."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graftwork.functions import kernels
-from graftwork.operators import facts, partition, tree
+from graftwork.operators import facts, limits, partition, tree
 from graftwork.operators import ranges as rg
 from graftwork.sources import sinks
 
@@ -244,3 +245,36 @@ def ways(by, v):
     while by[out[-1]].parent is not None:
         out.append(by[out[-1]].parent)
     return out
+
+
+@pytest.mark.parametrize("size", [1 << 18, 8])
+def test_width_limit(spark, monkeypatch, size):
+    monkeypatch.setattr(rg, "RANGE_ROWS", size)
+    monkeypatch.setattr(tree, "in_one_task", None)
+    rng = random.Random(5)
+    for limit in (0, 2, 4):
+        pairs = [(rng.randrange(40), min(rng.randrange(40), rng.randrange(40))) for _ in range(70)]
+        order = [v for v in rng.sample(range(42), 42) if v % 11 != 3]
+        near = {v: [] for v in order}
+        for x, y in pairs:
+            for a, b in {(x, y), (y, x)}:
+                if a in near:
+                    near[a].append(b)
+        seq = spark.createDataFrame(list(enumerate(order)), "pos long, vid long")
+        got = tree.limited(spark.createDataFrame(pairs, "src long, dst long"), seq, limit)
+        want = [tuple(r[c] for c in ("jnid", "vid", "parent", "pst_weight", "width")) for r in kernels.limited_tree(near, order, limit, False)]
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_ranges_settled_at_once():
+    assert limits.levels([(0, 3), (1, 3), (2, 4)], 5) == [[0, 1, 2], [3, 4]]
+    assert limits.levels([(0, 1), (0, 2)], 3) == [[0], [1], [2]]
+
+
+def test_a_long_chain_has_no_sets():
+    order = list(range(3000))
+    tracemalloc.start()
+    rows_ = kernels.limited_tree({v: [u for u in (v - 1, v + 1) if 0 <= u < 3000] for v in order}, order, 0, False)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert [r["width"] for r in rows_] == list(range(3000, 0, -1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -46,6 +47,18 @@ class Forest:
                 parent[v] = up[v] = hi
 
 
+def forest(los: np.ndarray, his: np.ndarray, vertices: int) -> array:
+    """Parents in the elimination forest of edges (lo, hi) between vertices 0, 1, ..., in the order of hi; NONE for a root. Ways to
+    the top are halved as they are walked."""
+    up, parent = array("q", range(vertices)), array("q", [NONE]) * vertices
+    for v, hi in zip(los.tolist(), his.tolist(), strict=True):
+        while (n := up[v]) != v:
+            up[v] = v = up[n]
+        if v != hi:
+            parent[v] = up[v] = hi
+    return parent
+
+
 class Least:
     """The least of any run of values, from the least of all runs whose lengths are powers of 2."""
 

@@ -38,7 +38,14 @@ def _settled(limit: int, n: int, size: int) -> Callable[[Iterator[pa.RecordBatch
         out: list[list] = [[] for _ in _SCHEMA]
         here: dict[int, list] = {}  # components by the next of their members
         held: dict[int, list[int]] = {}  # waiting vertices of this range by their later neighbours
-        end = 0
+        many: list[tuple[int, np.ndarray, int]] = []  # kind, vs, other: rows that differ by v alone
+        end = rows = 0
+
+        def put_all(kind: int, vs: np.ndarray, other: int) -> None:
+            nonlocal rows
+            if len(vs):
+                many.append((kind, vs, other))
+                rows += len(vs)
 
         def put(kind: int, v: int, other: int | None = None, root: int | None = None, members: array | None = None, weight: int = 0, width: int = 0) -> None:
             for column, x in zip(out, (kind, v, other, root, members, weight, width), strict=True):
@@ -71,23 +78,26 @@ def _settled(limit: int, n: int, size: int) -> Callable[[Iterator[pa.RecordBatch
                     put(LINK, root, other=v)
                 send(v, (v, array("q", sorted(jxn))))
                 return
-            later = near[near > v].tolist()
-            put(WAITS, v, weight=sum(u >= n for u in later))
-            for u in (*near[near < v].tolist(), *waiting):
-                put(GAIN, u)
-            for u in later:
-                if u < end:
-                    held.setdefault(u, []).append(v)
-                elif u < n:
-                    put(MEETS, u, other=v)
+            put(WAITS, v, weight=int((near >= n).sum()))
+            put_all(GAIN, near[near < v], v)
+            put_all(GAIN, np.array(waiting, np.int64), v)
+            for u in near[(near > v) & (near < end)].tolist():
+                held.setdefault(u, []).append(v)
+            put_all(MEETS, near[(near >= end) & (near < n)], v)
             for c in components:
                 send(v, c)
 
-        def taken() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
-            for column in out:
+        def taken() -> Iterator[pa.RecordBatch]:
+            nonlocal rows
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
+            if many:
+                kinds, vs, others = zip(*many, strict=True)
+                lengths = [len(x) for x in vs]
+                known = {"kind": np.repeat(kinds, lengths), "v": np.concatenate(vs), "other": np.repeat(others, lengths)}
+                yield pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(rows, f.type) for f in _SCHEMA], schema=_SCHEMA)
+            for column in (*out, many):
                 column.clear()
-            return done
+            rows = 0
 
         at, near, met = None, [], []
 
@@ -107,13 +117,13 @@ def _settled(limit: int, n: int, size: int) -> Callable[[Iterator[pa.RecordBatch
                     at, near, met = int(v[i]), [], []
                     if at >= end:
                         end, here, held = min(n, (at // size + 1) * size), {}, {}
-                    if len(out[0]) >= _AT_ONCE:
-                        yield taken()
+                    if len(out[0]) >= _AT_ONCE or rows >= 16 * _AT_ONCE:
+                        yield from taken()
                 near.append(other[i:j][other[i:j] != rg.NONE])
                 met += [(batch.column(3)[k].as_py(), array("q", batch.column(4)[k].values.to_numpy().tobytes())) for k in (np.flatnonzero(has_root[i:j]) + i).tolist()]
         if at is not None:
             finish()
-            yield taken()
+            yield from taken()
 
     return run
 

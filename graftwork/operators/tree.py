@@ -7,6 +7,7 @@ vertices before they meet, and weights are plain sums.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,43 +44,58 @@ def pst_lists(edges: DataFrame, seq: DataFrame) -> DataFrame:
     return both.where("jnid is not null and (other is null or other > jnid)").groupBy("jnid").agg(F.array_sort(F.collect_set("near")).alias("pst"))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lo, hi, w) in the order of hi -> the forest of their edges, and the sum of w for each lo, in one row a vertex."""
-    f = kernels.Forest()  # a partition comes in several batches
-    weight: dict[int, int] = {}
-    for b in batches:
-        lo, hi, w = (b.column(c).fill_null(kernels.NONE).to_numpy(zero_copy_only=False) for c in range(3))
-        if not len(lo):
-            continue
-        v, at = np.unique(lo, return_inverse=True)
-        for k, n in zip(v.tolist(), np.bincount(at, w).astype(np.int64).tolist(), strict=True):
-            weight[k] = weight.get(k, 0) + n
-        new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != kernels.NONE)
-        f.edges(lo[new].tolist(), hi[new].tolist())
-    # every vertex with a parent is the lower end of an edge or has one below it
-    names = list(weight.keys() | f.parent.keys())
-    cols = [names, [f.parent.get(v) for v in names], [weight.get(v, 0) for v in names]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["lo", "hi", "w"])
+def _forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """The forest of edges in the order of hi, and the sum of w for each lo, in one row a vertex."""
+    v, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    x, y = at[: len(lo)], at[len(lo) :]
+    weight = np.zeros(len(v), np.int64)
+    np.add.at(weight, x, w)
+    new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != NONE)
+    parent = np.array(kernels.forest(x[new], y[new], len(v)), np.int64)
+    named = np.zeros(len(v), bool)
+    named[x] = True  # every vertex with a parent is the lower end of an edge or has one below it
+    named |= parent != NONE
+    up = np.where(parent == NONE, NONE, v[np.maximum(parent, 0)])[named]
+    return pa.RecordBatch.from_arrays([pa.array(v[named]), pa.array(up, mask=up == NONE), pa.array(weight[named])], ["lo", "hi", "w"])
+
+
+def _forests(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (lo, hi, w) in the order of hi -> the forests of so many of them at a time: a partition may be large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append([b.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in range(3)])
+            n += b.num_rows
+            if n >= rows:
+                yield _forest_of(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield _forest_of(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
 
 
 def partial_forests(rows: DataFrame) -> DataFrame:
-    """(lo, hi, w) -> the forest of each partition's edges with the sums of w, a row for each of its vertices.
+    """(lo, hi, w) -> the forests of each partition's edges, 2 * RANGE_ROWS at a time, with the sums of w, a row for each of their vertices.
 
     A row without hi has only a weight."""
-    return rows.select("lo", "hi", "w").sortWithinPartitions("hi", "lo").mapInArrow(_forest, "lo long, hi long, w long")
+    return rows.select("lo", "hi", "w").sortWithinPartitions("hi", "lo").mapInArrow(_forests(2 * rg.RANGE_ROWS), "lo long, hi long, w long")
 
 
 def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (range, lo, hi, w, size) in the order of range and hi -> what is known of each vertex of a range, done, and edges for later ranges.
 
     Edges within the range make its forest first, as they come first. Then each component meets later vertices in their order: the first is its
-    root's parent, and each further one is an edge from the one before, which is how they will be joined above it."""
-    at, base, forest, weight, last = None, 0, kernels.Forest(), {}, {}
+    root's parent, and each further one is an edge from the one before, which is how they will be joined above it. A range is held in arrays."""
+    at, base, size = None, 0, 0
+    up, last = array("q"), array("q")  # by place in the range: a way to the top, and the last later vertex met
+    parent, weight, named = (np.empty(0, t) for t in (np.int64, np.int64, bool))
 
     def flush() -> pa.RecordBatch:
-        names = list(weight.keys() | forest.parent.keys())
-        cols = [names, [forest.parent.get(v) for v in names], [weight.get(v, 0) for v in names]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([True] * len(names))], ["lo", "hi", "w", "done"])
+        some = np.flatnonzero(named | (parent != NONE))
+        to = parent[some]
+        return pa.RecordBatch.from_arrays([pa.array(some + base), pa.array(to, mask=to == NONE), pa.array(weight[some]), pa.array(np.ones(len(some), bool))], ["lo", "hi", "w", "done"])
 
     for whole in batches:
         own = whole.column(0).to_numpy()
@@ -91,29 +107,35 @@ def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if own[a] != at:
                 if at is not None:
                     yield flush()
-                at, forest, weight, last = own[a], kernels.Forest(), {}, {}
-                base = int(at + 1) * int(batch.column(4)[0].as_py())
+                at, size = own[a], int(batch.column(4)[0].as_py())
+                base = int(at) * size
+                up, last = array("q", range(size)), array("q", [NONE]) * size
+                parent, weight, named = np.full(size, NONE), np.zeros(size, np.int64), np.zeros(size, bool)
             lo, hi, w = (batch.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-            v, place = np.unique(lo, return_inverse=True)
-            total = np.zeros(len(v), np.int64)
-            np.add.at(total, place, w)
-            for k, n in zip(v.tolist(), total.tolist(), strict=True):
-                weight[k] = weight.get(k, 0) + n
+            place = lo - base
+            named[place] = True
+            np.add.at(weight, place, w)
             new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != NONE)
-            inside = new & (hi < base)
-            forest.edges(lo[inside].tolist(), hi[inside].tolist())
-            onward = []
-            for x, y in zip(lo[new & ~inside].tolist(), hi[new & ~inside].tolist(), strict=True):
-                r = forest.top(x)
-                before = last.get(r)
-                if before is None:
-                    forest.parent[r] = y
-                elif before != y:
-                    onward.append((before, y))
-                last[r] = y
-            if onward:
-                x, y = zip(*onward, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([0] * len(x), pa.int64()), pa.array([False] * len(x))], ["lo", "hi", "w", "done"])
+            inside = new & (hi < base + size)
+            for v, y in zip(place[inside].tolist(), (hi[inside] - base).tolist(), strict=True):
+                while (n := up[v]) != v:
+                    up[v] = v = up[n]
+                if v != y:
+                    up[v] = y
+                    parent[v] = y + base
+            x, y = [], []
+            for v, to in zip(place[new & ~inside].tolist(), hi[new & ~inside].tolist(), strict=True):
+                while (n := up[v]) != v:
+                    up[v] = v = up[n]
+                before = last[v]
+                if before == NONE:
+                    parent[v] = to
+                elif before != to:
+                    x.append(before)
+                    y.append(to)
+                last[v] = to
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(np.zeros(len(x), np.int64)), pa.array(np.zeros(len(x), bool))], ["lo", "hi", "w", "done"])
     if at is not None:
         yield flush()
 
@@ -129,7 +151,7 @@ def reduce_forests(forests: DataFrame, last: int) -> DataFrame:
 
     def settle(rows: DataFrame) -> DataFrame:
         put = rows.select(rg.range_of("lo").alias("range"), "lo", "hi", "w", F.lit(size).cast("long").alias("size"))
-        put = put.repartition(ranges, "range") if ranges > 1 else put.repartition(1)  # one range: RANGE_ROWS vertices at most
+        put = put.repartitionById(ranges, F.col("range").cast("int"))  # a range a task: hashes would put several into one
         return put.sortWithinPartitions("range", F.col("hi").asc_nulls_first(), "lo").mapInArrow(_in_its_range, "lo long, hi long, w long, done boolean")
 
     if ranges <= 1:
@@ -275,11 +297,16 @@ def widths(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return rg.subtree_sums(with_last(rows, tree), ["width"]).select("jnid", "width")
 
 
+#: Questions of a task of ``least_of``, about.
+ASKED_ROWS = 1 << 20
+
+
 def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, n) with the least ``value`` of line(at, value) at a .. b: a, b, n, least. ``at`` are whole numbers from 0, each once; null values count as none.
 
     A task holds a block of the line, and the least values of all blocks, one a block; pairs stream past it. A pair that reaches
-    over several blocks is asked in the first and the last one, and the blocks between are looked up on the way.
+    over several blocks is asked in the first and the last one, and the blocks between are looked up on the way. A block that is
+    asked more than ASKED_ROWS times goes to several tasks, among which the pairs are dealt out.
     """
     size = rg.RANGE_ROWS
     blocks = dict(line.groupBy(F.expr(f"at div {size}")).agg(F.min("value")).collect())
@@ -287,17 +314,25 @@ def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
     most = np.iinfo(np.int64).max
     whole = np.array([most if blocks.get(k) is None else blocks[k] for k in range(count)], np.int64)
     cell = lambda c: F.expr(f"{c} div {size}")
+    pairs = materialize(pairs.select("a", "b", "n"), "pairs")  # counted, and asked twice
+    asked = pairs.select(cell("a").alias("cell"), "a", "b", "n")
+    if count > 1:
+        asked = asked.unionByName(pairs.where(cell("a") < cell("b")).select(cell("b").alias("cell"), "a", "b", "n"))
+    often = dict(asked.groupBy("cell").count().collect())  # a number a block
+    shares = {k: max(1, -(-often.get(k, 0) // ASKED_ROWS)) for k in range(count)}
+    first = dict(zip(shares, np.cumsum([0, *shares.values()]).tolist(), strict=False))
+    table = line.sparkSession.createDataFrame([(k, first[k], n) for k, n in shares.items()] or [(0, 0, 1)], "k long, first long, shares long")
+    share = lambda df: df.join(F.broadcast(table), F.col("cell") == F.col("k"))
     none = F.lit(None).cast("long")
-    left = pairs.select(cell("a").alias("cell"), F.col("a").alias("x"), F.least("b", (cell("a") + 1) * size - 1).alias("y"), "a", "b", "n")
-    asked = left if count <= 1 else left.unionByName(pairs.where(cell("a") < cell("b")).select(cell("b").alias("cell"), (cell("b") * size).alias("x"), F.col("b").alias("y"), "a", "b", "n"))
-    rows = line.select(cell("at").alias("cell"), F.col("at").alias("x"), F.col("value").alias("y"), none.alias("a"), none.alias("b"), none.alias("n")).unionByName(asked)
-    rows = rows.repartition(max(1, count), "cell").sortWithinPartitions("cell", F.col("a").asc_nulls_first(), "x")
+    lines = share(line.select(cell("at").alias("cell"), none.alias("a"), F.col("at").alias("b"), F.col("value").alias("n"))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    rows = lines.unionByName(share(asked).withColumn("share", F.pmod(F.xxhash64("a", "b"), F.col("shares")))).select((F.col("first") + F.col("share")).cast("int").alias("task"), "cell", "a", "b", "n")
+    rows = rows.repartitionById(max(1, sum(shares.values())), "task").sortWithinPartitions("task", F.col("a").isNotNull()).select("cell", "a", "b", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = kernels.Least(whole)
         at, values, table = None, None, None
         for batch in batches:
-            own, is_line = batch.column(0).to_numpy(), batch.column(3).is_null().to_numpy(zero_copy_only=False)
+            own, is_line = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero((np.diff(own) != 0) | (np.diff(is_line.astype(np.int8)) != 0)) + 1).tolist(), len(own)]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if i == j:
@@ -305,16 +340,15 @@ def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
                 part = batch.slice(i, j - i)
                 if own[i] != at:
                     at, values, table = own[i], np.full(size, most, np.int64), None
-                x = part.column(1).to_numpy() - at * size
+                a, b, n = (part.column(c) for c in (1, 2, 3))
                 if is_line[i]:
-                    y = part.column(2)
-                    values[x] = y.fill_null(most).to_numpy(zero_copy_only=False)
+                    values[b.to_numpy() - at * size] = n.fill_null(most).to_numpy(zero_copy_only=False)
                     continue
                 if table is None:
                     table = kernels.Least(values)
-                a, b = (part.column(c).to_numpy() for c in (3, 4))
-                least = np.minimum(table.least(x, part.column(2).to_numpy() - at * size), between.least(a // size + 1, b // size - 1))
-                yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), part.column(5), pa.array(least)], ["a", "b", "n", "least"])
+                x, y = a.to_numpy(), b.to_numpy()
+                least = np.minimum(table.least(np.maximum(x - at * size, 0), np.minimum(y - at * size, size - 1)), between.least(x // size + 1, y // size - 1))
+                yield pa.RecordBatch.from_arrays([a, b, n, pa.array(least)], ["a", "b", "n", "least"])
 
     found = rows.mapInArrow(run, "a long, b long, n long, least long")
     return found if count <= 1 else found.groupBy("a", "b").agg(F.first("n").alias("n"), F.min("least").alias("least"))

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,27 @@ def test_a_long_chain_has_no_sets():
     assert tracemalloc.get_traced_memory()[1] < 20 << 20
     tracemalloc.stop()
     assert [r["width"] for r in rows_] == list(range(3000, 0, -1))
+
+
+def test_a_large_partition_is_held_piece_by_piece(monkeypatch):
+    most = []
+    one = kernels.forest
+    monkeypatch.setattr(kernels, "forest", lambda los, his, n: most.append(len(los)) or one(los, his, n))
+    batches = [pa.record_batch([pa.array(np.arange(k, k + 10)), pa.array(np.arange(k + 1, k + 11)), pa.array(np.ones(10, np.int64))], ["lo", "hi", "w"]) for k in range(0, 100, 10)]
+    got = pa.Table.from_batches(tree._forests(20)(iter(batches)))
+    assert most == [20] * 5 and sum(got["w"].to_pylist()) == 100 and got["hi"].to_pylist() == [v + 1 for v in got["lo"].to_pylist()]
+
+
+def test_a_block_that_is_asked_often_has_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tree, "ASKED_ROWS", 10)
+    rng = random.Random(3)
+    line = [rng.randrange(100) for _ in range(40)]
+    pairs = sorted({tuple(sorted((rng.randrange(40), rng.randrange(40)))) for _ in range(90)})
+    got = tree.least_of(spark.createDataFrame(list(enumerate(line)), "at long, value long"), spark.createDataFrame([(*p, 1) for p in pairs], "a long, b long, n long"))
+    assert rows(got) == [(a, b, 1, min(line[a : b + 1])) for a, b in pairs]
+    monkeypatch.setattr(tree, "materialize", lambda df, tag: df)
+    one = type(spark.range(0)).repartitionById
+    dealt = []
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda df, n, c: dealt.append(n) or one(df, n, c))
+    tree.least_of(spark.createDataFrame(list(enumerate(line)), "at long, value long"), spark.createDataFrame([(*p, 1) for p in pairs], "a long, b long, n long"))
+    assert dealt[0] >= len(pairs) // 10

@@ -268,6 +268,22 @@ def with_last(df: DataFrame, tree: DataFrame) -> DataFrame:
     return df
 
 
+def _neighbourhoods(tree: DataFrame, epos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """tour(jnid, parent, enter, up), ``up`` being the parent's ``enter``; met(i, enter, ...), each vertex and its earlier neighbours; and (i, before, enter), each
+    of these with the one before it in the order of ``enter``, in which i comes first. A neighbourhood is ordered block by block."""
+    figures = materialize(path_figures(tree).select("jnid", "enter"), "enter")
+    parent = tree.select("jnid", "parent").join(figures, "jnid").join(figures.select(F.col("jnid").alias("parent"), F.col("enter").alias("up")), "parent", "left")
+    tour = materialize(parent.select("jnid", "parent", "enter", "up"), "tour")
+    edges = epos.where("hi is not null").select("lo", "hi").distinct()
+    met = edges.join(tour.select(F.col("jnid").alias("lo"), "enter"), "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
+    met = materialize(met.withColumn("block", F.expr(f"enter div {rg.RANGE_ROWS}")), "met")
+    near = met.withColumn("before", F.lag("enter").over(W.partitionBy("i", "block").orderBy("enter"))).where("before is not null").select("i", "before", "enter")
+    if rg.range_count(tree) > 1:
+        ends = met.groupBy("i", "block").agg(F.min("enter").alias("enter"), F.max("enter").alias("most"))
+        near = near.unionByName(ends.withColumn("before", F.lag("most").over(W.partitionBy("i").orderBy("block"))).where("before is not null").select("i", "before", "enter"))
+    return tour, met, near
+
+
 def widths(tree: DataFrame, epos: DataFrame) -> DataFrame:
     """jnid, width: 1 + the number of later neighbours in the filled graph, without making that graph.
 
@@ -277,17 +293,8 @@ def widths(tree: DataFrame, epos: DataFrame) -> DataFrame:
     A meeting's ``enter`` is the least ``enter`` of a parent among the vertices after the one up to the other.
     Rows are as many as edges and vertices; a neighbourhood is ordered block by block, so a vertex may have any number of them.
     """
-    size = rg.RANGE_ROWS
-    figures = materialize(path_figures(tree).select("jnid", "enter"), "enter")
-    parent = tree.select("jnid", "parent").join(figures, "jnid").join(figures.select(F.col("jnid").alias("parent"), F.col("enter").alias("up")), "parent", "left")
-    tour = materialize(parent.select("jnid", "enter", "up"), "tour")
-    edges = epos.where("hi is not null").select("lo", "hi").distinct()
-    met = edges.join(tour.select(F.col("jnid").alias("lo"), "enter"), "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
-    met = materialize(met.withColumn("block", F.expr(f"enter div {size}")), "met")
-    near = met.withColumn("before", F.lag("enter").over(W.partitionBy("i", "block").orderBy("enter"))).where("before is not null").select("before", "enter")
-    if rg.range_count(tree) > 1:
-        ends = met.groupBy("i", "block").agg(F.min("enter").alias("enter"), F.max("enter").alias("most"))
-        near = near.unionByName(ends.withColumn("before", F.lag("most").over(W.partitionBy("i").orderBy("block"))).where("before is not null").select("before", "enter"))
+    tour, met, near = _neighbourhoods(tree, epos)
+    figures = tour.select("jnid", "enter")
     pairs = near.groupBy((F.col("before") + 1).alias("a"), F.col("enter").alias("b")).agg(F.count("*").alias("n"))
     meetings = least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), pairs)
     gains = met.groupBy("enter").agg(F.count("*").alias("d"))
@@ -297,10 +304,24 @@ def widths(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return rg.subtree_sums(with_last(rows, tree), ["width"]).select("jnid", "width")
 
 
-#: Questions of a task of ``least_of``, about.
+#: Questions that one task answers, about.
 ASKED_ROWS = 1 << 20
 
 
+def dealt(lines: DataFrame, asked: DataFrame, cells: int, by: list[str]) -> DataFrame:
+    """Rows of lines and asked, both (cell, a, ...) with null ``a`` in lines: those of a cell in one task, or, if it is asked more than ASKED_ROWS times, its lines in each
+    of several tasks and its questions dealt out among them. Lines come first."""
+    often = dict(asked.groupBy("cell").count().collect())  # a number a cell
+    shares = {k: max(1, -(-often.get(k, 0) // ASKED_ROWS)) for k in range(cells)}
+    first = dict(zip(shares, np.cumsum([0, *shares.values()]).tolist(), strict=False))
+    table = lines.sparkSession.createDataFrame([(k, first[k], n) for k, n in shares.items()] or [(0, 0, 1)], "k long, first long, shares long")
+    share = lambda df: df.join(F.broadcast(table), F.col("cell") == F.col("k"))
+    every = share(lines).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    some = share(asked).withColumn("share", F.pmod(F.xxhash64(*by), F.col("shares")))
+    rows = every.unionByName(some).withColumn("task", (F.col("first") + F.col("share")).cast("int"))
+    return rows.repartitionById(max(1, sum(shares.values())), "task").sortWithinPartitions(F.col("a").isNotNull()).select(*asked.columns)
+
+
 def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, n) with the least ``value`` of line(at, value) at a .. b: a, b, n, least. ``at`` are whole numbers from 0, each once; null values count as none.
 
@@ -318,15 +339,9 @@ def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(cell("a").alias("cell"), "a", "b", "n")
     if count > 1:
         asked = asked.unionByName(pairs.where(cell("a") < cell("b")).select(cell("b").alias("cell"), "a", "b", "n"))
-    often = dict(asked.groupBy("cell").count().collect())  # a number a block
-    shares = {k: max(1, -(-often.get(k, 0) // ASKED_ROWS)) for k in range(count)}
-    first = dict(zip(shares, np.cumsum([0, *shares.values()]).tolist(), strict=False))
-    table = line.sparkSession.createDataFrame([(k, first[k], n) for k, n in shares.items()] or [(0, 0, 1)], "k long, first long, shares long")
-    share = lambda df: df.join(F.broadcast(table), F.col("cell") == F.col("k"))
     none = F.lit(None).cast("long")
-    lines = share(line.select(cell("at").alias("cell"), none.alias("a"), F.col("at").alias("b"), F.col("value").alias("n"))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    rows = lines.unionByName(share(asked).withColumn("share", F.pmod(F.xxhash64("a", "b"), F.col("shares")))).select((F.col("first") + F.col("share")).cast("int").alias("task"), "cell", "a", "b", "n")
-    rows = rows.repartitionById(max(1, sum(shares.values())), "task").sortWithinPartitions("task", F.col("a").isNotNull()).select("cell", "a", "b", "n")
+    lines = line.select(cell("at").alias("cell"), none.alias("a"), F.col("at").alias("b"), F.col("value").alias("n"))
+    rows = dealt(lines, asked, count, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between = kernels.Least(whole)
@@ -369,17 +384,59 @@ def pre_weights(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return tree.select("jnid").join(found, "jnid", "left").select("jnid", F.coalesce("pre_weight", F.lit(0)).alias("pre_weight"))
 
 
-def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:
-    """jnid, jxn (later neighbours in the filled graph, as positions), width. The result can be quadratic: for small graphs."""
-    later = epos.where("hi is not null").groupBy(F.col("lo").alias("jnid")).agg(F.collect_set("hi").alias("later"))
+def filled_edges(tree: DataFrame, epos: DataFrame) -> DataFrame:
+    """(jnid, later): the edges of the filled graph, each once. There can be quadratically many; no task holds them.
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        ids, parent = arrays(t)
-        sets = [set() if x is None else set(np.searchsorted(ids, np.asarray(x, np.int64)).tolist()) for x in t["later"]]
-        jxn = kernels.filled_neighbours(parent, sets)
-        return pd.DataFrame({"jnid": ids, "jxn": [ids[x].tolist() for x in jxn], "width": [1 + len(x) for x in jxn]})
+    i is a later neighbour of the ways from its earlier neighbours up to it. Each way is followed from a neighbour to where it meets that of the one before it (see
+    ``widths``), range by range: a task holds a range of the tree, and ways that go on beyond it are sent to the range of their next vertex.
+    """
+    size, ranges = rg.RANGE_ROWS, rg.range_count(tree)
+    tour, _, near = _neighbourhoods(tree, epos)
+    near = materialize(near.withColumn("a", F.col("before") + 1), "near")
+    meetings = least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), near.select("a", F.col("enter").alias("b")).distinct().withColumn("n", F.lit(1).cast("long")))
+    ways = near.join(meetings.select("a", F.col("b").alias("enter"), F.col("least").alias("stop")), ["a", "enter"]).join(tour.select("enter", "jnid"), "enter").select("jnid", F.col("i").alias("later"), "stop")
+    none = F.lit(None).cast("long")
+    lines = tour.select(rg.range_of("jnid").alias("cell"), none.alias("a"), F.col("jnid").alias("b"), F.col("parent").alias("c"), F.col("up").alias("d"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parent, up = 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            is_line = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            cell = batch.column(0).to_numpy()
+            if is_line.any():
+                if not len(up):
+                    first, parent, up = int(cell[0]) * size, np.full(size, NONE), np.full(size, NONE)
+                part = batch.filter(pa.array(is_line))
+                at = part.column(2).to_numpy() - first
+                parent[at], up[at] = (part.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in (3, 4))
+            part = batch.filter(pa.array(~is_line))
+            v, later, stop = (part.column(c).to_numpy() for c in (1, 2, 3))
+            while len(v):
+                on = up[v - first] > stop
+                beyond = on & (parent[v - first] >= first + size)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(later), pa.nulls(len(v), pa.int64())], ["jnid", "later", "stop"])
+                if beyond.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (parent[v[beyond] - first], later[beyond], stop[beyond])], ["jnid", "later", "stop"])
+                on &= ~beyond
+                v, later, stop = parent[v[on] - first], later[on], stop[on]
 
-    return in_one_task(tree.select("jnid", "parent").join(later, "jnid", "left"), run, "jnid long, jxn array<long>, width long")
+    out = None
+    while True:
+        asked = ways.select(rg.range_of("jnid").alias("cell"), F.col("jnid").alias("a"), F.col("later").alias("b"), F.col("stop").alias("c"), none.alias("d"))
+        asked = materialize(asked, "ways")
+        found = materialize(dealt(lines, asked, ranges, ["a", "b"]).mapInArrow(follow, "jnid long, later long, stop long"), "followed")
+        edges = found.where("stop is null").select("jnid", "later")
+        out = edges if out is None else out.unionByName(edges)
+        ways = found.where("stop is not null")
+        if ranges <= 1 or ways.isEmpty():
+            return out
+
+
+def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:
+    """jnid, jxn (later neighbours in the filled graph, as positions), width. The result can be quadratic; a row is one vertex's."""
+    lists = filled_edges(tree, epos).where("later > jnid").groupBy(F.col("jnid").alias("j2")).agg(F.sort_array(F.collect_list("later")).alias("jxn"))
+    t = tree.select("jnid").join(lists, F.col("jnid") == F.col("j2"), "left").withColumn("jxn", F.coalesce("jxn", F.array().cast("array<long>")))
+    return t.select("jnid", "jxn", (1 + F.size("jxn")).cast("long").alias("width"))
 
 
 def _with_omitted(edges: DataFrame, seq: DataFrame) -> tuple[int, DataFrame, DataFrame]:

@@ -303,3 +303,17 @@ def test_a_block_that_is_asked_often_has_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda df, n, c: dealt.append(n) or one(df, n, c))
     tree.least_of(spark.createDataFrame(list(enumerate(line)), "at long, value long"), spark.createDataFrame([(*p, 1) for p in pairs], "a long, b long, n long"))
     assert dealt[0] >= len(pairs) // 10
+
+
+@pytest.mark.parametrize("asked", [7, 1 << 20])
+def test_filled_edges(spark, monkeypatch, asked):
+    monkeypatch.setattr(tree, "ASKED_ROWS", asked)
+    monkeypatch.setattr(tree, "in_one_task", None)
+    rng = random.Random(asked)
+    pairs = [(min(p), max(p)) for p in random_graph(rng, 45, 70) if p[0] != p[1]]
+    epos = spark.createDataFrame([*pairs, (5, None)], "lo long, hi long").repartition(3)
+    seq = spark.range(45).select(F.col("id").alias("pos"), F.col("id").alias("vid"))
+    t = tree.build_tree(epos, seq)
+    up = {r.jnid: rg.NONE if r.parent is None else r.parent for r in t.collect()}
+    want = kernels.filled_neighbours(np.array([up[v] for v in range(45)]), [{b for a, b in pairs if a == v} for v in range(45)])
+    assert [(r.jnid, r.jxn, r.width) for r in tree.filled(t, epos).orderBy("jnid").collect()] == [(v, x, 1 + len(x)) for v, x in enumerate(want)]

@@ -253,49 +253,100 @@ def fill(order: np.ndarray, weight: np.ndarray, cap: int) -> np.ndarray:
     return part
 
 
-def stream_vertices(vids: list[int], nbrs: list[list[int]], edges: int, k: int, balance: float, by_edges: bool, power: float = 1.5) -> list[int]:
-    """One pass over vertices in ascending order; each joins the part with most of its neighbours, less a growing cost of size.
+class VertexStream:
+    """One pass over vertices 0, 1, ...; each joins the part with most of its neighbours, less a growing cost of size.
 
-    All parts up to the first empty one are weighed up at once; if none has room, it is the first part.
+    All parts up to the first empty one are weighed up at once; if none has room, it is the first part. Held: a part for each vertex.
     """
-    n, m = len(vids), 2 * edges
-    cap = capacity(m if by_edges else n, k, balance)
-    a = (n * (k / m) ** power if by_edges else m * k ** (power - 1) / n**power) if n and m else 0.0
-    ids, where, size = np.array(vids, np.int64), np.full(n, NONE, np.int64), np.zeros(k)
-    ends = np.cumsum([0, *map(len, nbrs)])
-    near = np.searchsorted(ids, np.concatenate([np.empty(0, np.int64), *nbrs]).astype(np.int64))
-    cost, filled = np.zeros(k), 0  # a part's cost so far; parts fill up one after the other
-    for i in range(n):
-        w = ends[i + 1] - ends[i] if by_edges else 1
-        open_ = min(k, filled + 1)
-        of = where[near[ends[i] : ends[i + 1]]]
-        grown = a * (size[:open_] + w) ** power
-        gain = np.where(size[:open_] + w <= cap, np.bincount(of[of >= 0], minlength=k)[:open_] - (grown - cost[:open_]), -np.inf)
+
+    def __init__(self, vertices: int, edges: int, k: int, balance: float, by_edges: bool, power: float = 1.5) -> None:
+        n, m = vertices, 2 * edges
+        self.k, self.by_edges, self.power = k, by_edges, power
+        self.cap = capacity(m if by_edges else n, k, balance)
+        self.a = (n * (k / m) ** power if by_edges else m * k ** (power - 1) / n**power) if n and m else 0.0
+        self.vertices, self.where = n, np.empty(0, np.int32)  # made by the task that begins
+        self.size, self.cost, self.filled = np.zeros(k), np.zeros(k), 0  # a part's cost so far; parts fill up one after the other
+        self.now, self.weight, self.near = NONE, 0, np.zeros(k, np.int64)
+
+    def _place(self) -> None:
+        """The vertex that all rows have come of."""
+        w, size, open_ = self.weight if self.by_edges else 1, self.size, min(self.k, self.filled + 1)
+        grown = self.a * (size[:open_] + w) ** self.power
+        gain = np.where(size[:open_] + w <= self.cap, self.near[:open_] - (grown - self.cost[:open_]), -np.inf)
         best = int(gain.argmax())
         if gain[best] == -np.inf:
             best = 0
-        where[i] = best
+        self.where[self.now] = best
         size[best] += w
-        cost[best] = a * size[best] ** power
-        filled = max(filled, best + (size[best] > 0))
-    return where.tolist()
-
-
-def stream_edges(src: np.ndarray, dst: np.ndarray, k: int, balance: float, vertices: int, power: float = 1.5) -> np.ndarray:
-    """One pass over edges; each joins the part that knows most of its ends, less a growing cost of size; both ends are marked."""
-    m = len(src)
-    cap, a = max(1, capacity(m, k, balance)), vertices * (k / m) ** power if m else 0.0
-    size, knows, out = [0] * k, [set() for _ in range(k)], np.zeros(m, np.int64)
-    for i, (x, y) in enumerate(zip(src.tolist(), dst.tolist(), strict=True)):
-        best, top = min(range(k), key=size.__getitem__), None
-        for p in range(k):
-            if size[p] + 1 <= cap:
-                value = (x in knows[p]) + (y in knows[p]) - a * ((size[p] + 1) ** power - size[p] ** power)
-                if top is None or value > top:
-                    best, top = p, value
-            if not size[p]:
-                break
-        out[i] = best
-        size[best] += 1
-        knows[best] |= {x, y}
-    return out
+        self.cost[best] = self.a * size[best] ** self.power
+        self.filled = max(self.filled, best + (size[best] > 0))
+
+    def take(self, vertex: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in the order of both columns: for each vertex one with its degree, negative, and one for each earlier neighbour. Returns the
+        vertices that are placed by now, and their parts; one stays until a later one comes, or ``finish``."""
+        begun = self.now
+        if not len(self.where):
+            self.where = np.full(self.vertices, NONE, np.int32)
+        cuts = [0, *(np.flatnonzero(np.diff(vertex)) + 1).tolist(), len(vertex)] if len(vertex) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if near[i] < 0:
+                if self.now != NONE:
+                    self._place()
+                self.now, self.weight = int(vertex[i]), -int(near[i])
+                self.near[:] = 0
+                i += 1
+            if i < j:
+                self.near += np.bincount(self.where[near[i:j]], minlength=self.k)
+        return self._since(begun, self.now)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        begun = self.now
+        if begun != NONE:
+            self._place()
+        return self._since(begun, len(self.where))
+
+    def _since(self, begun: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        done = np.arange(max(begun, 0), max(end, 0))
+        return done, self.where[done]
+
+
+class EdgeStream:
+    """One pass over edges; each joins the part that knows most of its ends, less a growing cost of size; both ends are marked. Held: a bit for each vertex and part."""
+
+    def __init__(self, vertices: int, edges: int, k: int, balance: float, power: float = 1.5) -> None:
+        self.k, self.power = k, power
+        self.cap, self.a = max(1, capacity(edges, k, balance)), vertices * (k / edges) ** power if edges else 0.0
+        self.size = [0] * k
+        self.cost = [self._next(0)] * k
+        self.bytes, self.knows = vertices // 8 + 1, []  # of the parts up to the first empty one
+
+    def _next(self, size: int) -> float:
+        return self.a * ((size + 1) ** self.power - size**self.power)
+
+    def take(self, x: np.ndarray, y: np.ndarray, *carried: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The columns that are carried along, and the parts of edges between vertices x and y."""
+        size, cost, knows, cap, out = self.size, self.cost, self.knows, self.cap, np.empty(len(x), np.int64)
+        for i, (u, v) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            best, top = NONE, 0.0
+            uq, ur, vq, vr = u >> 3, u & 7, v >> 3, v & 7
+            for p in range(self.k):
+                if p == len(knows):
+                    knows.append(bytearray(self.bytes))
+                if size[p] < cap:
+                    known = knows[p]
+                    value = (known[uq] >> ur & 1) + (known[vq] >> vr & 1) - cost[p]
+                    if best == NONE or value > top:
+                        best, top = p, value
+                if not size[p]:
+                    break
+            if best == NONE:
+                best = min(range(self.k), key=size.__getitem__)
+            out[i] = best
+            size[best] += 1
+            cost[best] = self._next(size[best])
+            knows[best][uq] |= 1 << ur
+            knows[best][vq] |= 1 << vr
+        return (*carried, out)
+
+    def finish(self) -> tuple[np.ndarray, ...]:
+        return ()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ from ..functions import kernels
 from ..functions.hashes import golden_hash
 from ..storage import materialize
 from . import ranges as rg
-from .sequence import degrees, neighbours
+from .ends import with_ends
+from .sequence import degrees, ranked
 from .tree import arrays, in_one_task, with_last
 
 METHODS = ("forward", "backward", "depth", "height", "naive")
@@ -189,32 +191,84 @@ def hash_partition(edges: DataFrame, k: int) -> DataFrame:
     return degrees(edges).select("vid", F.pmod(golden_hash(F.col("vid")), F.lit(k)).cast("int").alias("part"))
 
 
-def stream_vertices(edges: DataFrame, k: int, balance: float = BALANCE, by_edges: bool = True) -> DataFrame:
-    """One pass over vertices by id; each joins the part with most of its neighbours, against the part's size."""
-    m = edges.count()
+#: Rows of a sequential pass that one task takes, and bytes of a row of what it leaves to the next one.
+PASS_ROWS = 1 << 22
+_PIECE = 1 << 24
+
+
+def in_sequence(df: DataFrame, order: list[str], kernel: object, schema: str) -> DataFrame:
+    """A kernel that takes rows (longs, in an order) one after the other: ``take`` and ``finish`` return columns of ``schema``.
+
+    Rows are sorted into ranges. PASS_ROWS of them at a time go to one task, which begins with the kernel as the task before left it, stored. The driver sees
+    the counts of ranges."""
+    names = df.columns
+    put = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("id"), *names)
+    put = materialize(put, "ordered")  # ranges are sampled, so they are fixed before they are counted
+    counts = sorted(put.groupBy(F.shiftrightunsigned("id", 33).alias("part")).count().collect())
+    starts, left = [0], PASS_ROWS  # ids at which passes begin
+    for part, n in counts:
+        at = 0
+        while n - at > left:
+            at, left = at + left, PASS_ROWS
+            starts.append((part << 33) + at)
+        left -= n - at
+    out, before = None, None
+    for i, start in enumerate(starts):
+        last = i + 1 == len(starts)
+        here = F.col("id") >= start if last else (F.col("id") >= start) & (F.col("id") < starts[i + 1])
+        rows = put.where(here).withColumn("state", F.lit(None).cast("binary"))
+        if before is not None:
+            rows = rows.unionByName(before.where("state is not null").select("id", "state"), allowMissingColumns=True)
+
+        def run(batches: Iterator[pa.RecordBatch], kernel: object = kernel, last: bool = last) -> Iterator[pa.RecordBatch]:
+            pieces, fields = [], [f.split() for f in schema.split(", ")]
+            types = {"long": pa.int64(), "int": pa.int32()}
+
+            def done(columns: tuple) -> pa.RecordBatch:
+                n = len(columns[0]) if columns else 0
+                some = [pa.array(c).cast(types[t]) for c, (_, t) in zip(columns, fields, strict=True)] if columns else [pa.nulls(0, types[t]) for _, t in fields]
+                return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *some], ["id", "state", *(c for c, _ in fields)])
+
+            for batch in batches:
+                is_state = batch.column(len(names) + 1).is_valid().to_numpy(zero_copy_only=False)
+                if is_state.any():  # pieces come first
+                    pieces += batch.column(len(names) + 1).filter(pa.array(is_state)).to_pylist()
+                    batch = batch.filter(pa.array(~is_state))
+                if pieces and batch.num_rows:
+                    kernel, pieces = pickle.loads(b"".join(pieces)), []
+                yield done(kernel.take(*(batch.column(c + 1).to_numpy() for c in range(len(names)))))
+            if last:
+                yield done(kernel.finish())
+                return
+            state = pickle.dumps(kernel)
+            for k in range(0, len(state), _PIECE):
+                one = [pa.array([k // _PIECE - (1 << 40)]), pa.array([state[k : k + _PIECE]], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*one, *(pa.nulls(1, types[t]) for _, t in fields)], ["id", "state", *(c for c, _ in fields)])
+
+        before = materialize(rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, f"id long, state binary, {schema}"), "pass")
+        found = before.where("state is null").drop("id", "state")
+        out = found if out is None else out.unionByName(found)
+    return out
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("vid")
-        vids = t["vid"].tolist()
-        return pd.DataFrame({"vid": vids, "part": np.array(kernels.stream_vertices(vids, [list(x) for x in t["nbrs"]], m, k, balance, by_edges), np.int32)})
 
-    return in_one_task(neighbours(edges), run, "vid long, part int")
+def stream_vertices(edges: DataFrame, k: int, balance: float = BALANCE, by_edges: bool = True) -> DataFrame:
+    """One pass over vertices by id; each joins the part with most of its neighbours, against the part's size."""
+    degree = materialize(degrees(edges), "degrees")
+    seq = ranked(degree, "vid")
+    ends = with_ends(edges.select("src", "dst"), seq, 16).where("pos_x <> pos_y").select(F.greatest("pos_x", "pos_y").alias("pos"), F.least("pos_x", "pos_y").alias("near"))
+    rows = ends.unionByName(seq.join(degree, "vid").select("pos", (-F.col("degree")).alias("near")))
+    parts = in_sequence(rows, ["pos", "near"], kernels.VertexStream(seq._rows, edges.count(), k, balance, by_edges), "pos long, part int")
+    return parts.join(seq, "pos").select("vid", "part")
 
 
 def stream_edges(edges: DataFrame, k: int, balance: float = BALANCE) -> DataFrame:
     """One pass over edges in the order of their ends: (src, dst, part)."""
-    n = degrees(edges).count()
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["src", "dst"], ignore_index=True)
-        return t.assign(part=kernels.stream_edges(t["src"].to_numpy(np.int64), t["dst"].to_numpy(np.int64), k, balance, n).astype(np.int32))
-
-    return in_one_task(edges.select("src", "dst"), run, "src long, dst long, part int")
+    seq = ranked(degrees(edges), "vid")
+    rows = with_ends(edges.select("src", "dst"), seq, 16).select("pos_x", "pos_y", "src", "dst")
+    return in_sequence(rows, ["pos_x", "pos_y"], kernels.EdgeStream(seq._rows, edges.count(), k, balance), "src long, dst long, part int")
 
 
 def round_robin(edges: DataFrame, k: int) -> DataFrame:
     """Edge i, in the order of its ends, to part i mod k."""
-    from .sequence import ranked
-
     numbered = ranked(edges.select(F.struct("src", "dst").alias("vid"), "src", "dst"), "src", "dst")
     return numbered.select("vid.src", "vid.dst", (F.col("pos") % k).cast("int").alias("part"))

@@ -317,3 +317,20 @@ def test_filled_edges(spark, monkeypatch, asked):
     up = {r.jnid: rg.NONE if r.parent is None else r.parent for r in t.collect()}
     want = kernels.filled_neighbours(np.array([up[v] for v in range(45)]), [{b for a, b in pairs if a == v} for v in range(45)])
     assert [(r.jnid, r.jxn, r.width) for r in tree.filled(t, epos).orderBy("jnid").collect()] == [(v, x, 1 + len(x)) for v, x in enumerate(want)]
+
+
+@pytest.mark.parametrize("rows_", [5, 1 << 22])
+def test_passes_go_on_where_the_last_one_ended(spark, monkeypatch, rows_):
+    monkeypatch.setattr(partition, "PASS_ROWS", rows_)
+    monkeypatch.setattr(partition, "_PIECE", 100)
+    monkeypatch.setattr(partition, "in_one_task", None)
+    pairs = [(a, b) for a, b in random_graph(random.Random(4), 12, 20)]
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    at = {v: i for i, v in enumerate(sorted({v for p in pairs for v in p}))}
+    n = len(at)
+    x, y = (np.array([at[v] for v in c]) for c in zip(*sorted(pairs), strict=True))
+    want = kernels.EdgeStream(n, len(pairs), 3, 1.03).take(x, y)[0].tolist()
+    assert sorted(map(tuple, partition.stream_edges(edges, 3).collect())) == sorted((*p, part) for p, part in zip(sorted(pairs), want, strict=True))
+    whole = dict(map(tuple, partition.stream_vertices(edges, 3).collect()))
+    monkeypatch.setattr(partition, "PASS_ROWS", 1 << 22)
+    assert len(whole) == n and whole == dict(map(tuple, partition.stream_vertices(edges, 3).collect()))

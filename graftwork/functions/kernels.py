@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -47,11 +48,16 @@ class Forest:
                 parent[v] = up[v] = hi
 
 
+def _ints(x: np.ndarray, at_once: int = 1 << 14) -> Iterator[int]:
+    """The numbers of an array, which aren't all made at once."""
+    return chain.from_iterable(x[k : k + at_once].tolist() for k in range(0, len(x), at_once))
+
+
 def forest(los: np.ndarray, his: np.ndarray, vertices: int) -> array:
     """Parents in the elimination forest of edges (lo, hi) between vertices 0, 1, ..., in the order of hi; NONE for a root. Ways to
     the top are halved as they are walked."""
     up, parent = array("q", range(vertices)), array("q", [NONE]) * vertices
-    for v, hi in zip(los.tolist(), his.tolist(), strict=True):
+    for v, hi in zip(_ints(los), _ints(his), strict=True):
         while (n := up[v]) != v:
             up[v] = v = up[n]
         if v != hi:

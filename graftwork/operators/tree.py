@@ -44,6 +44,11 @@ def pst_lists(edges: DataFrame, seq: DataFrame) -> DataFrame:
     return both.where("jnid is not null and (other is null or other > jnid)").groupBy("jnid").agg(F.array_sort(F.collect_set("near")).alias("pst"))
 
 
+#: Edges for later ranges that a task holds, in ranges, and rows of a batch that it sends.
+SENT_RANGES = 8
+_AT_ONCE = 1 << 15
+
+
 def _forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
     """The forest of edges in the order of hi, and the sum of w for each lo, in one row a vertex."""
     v, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
@@ -83,12 +88,45 @@ def partial_forests(rows: DataFrame) -> DataFrame:
     return rows.select("lo", "hi", "w").sortWithinPartitions("hi", "lo").mapInArrow(_forests(2 * rg.RANGE_ROWS), "lo long, hi long, w long")
 
 
+class _Sent:
+    """Edges for later ranges, of which only a forest is sent: one that stays below half of ``most`` rows takes in all further edges, a larger one is sent at once."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held, self.rows = most, [], 0
+
+    def add(self, lo: list[int], hi: list[int]) -> Iterator[pa.RecordBatch]:
+        self.held.append((np.array(lo, np.int64), np.array(hi, np.int64)))
+        self.rows += len(lo)
+        if self.rows >= self.most:
+            self._shrink()
+            if 2 * self.rows > self.most:
+                yield from self.rest()
+
+    def _shrink(self) -> None:
+        lo, hi = map(np.concatenate, zip(*self.held, strict=True))
+        self.held = []
+        by = np.lexsort((lo, hi))
+        forest = _forest_of(lo[by], hi[by], np.zeros(len(lo), np.int64))
+        forest = forest.filter(forest.column(1).is_valid())
+        self.held, self.rows = [(forest.column(0).to_numpy(), forest.column(1).to_numpy())], forest.num_rows
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if len(self.held) > 1:
+            self._shrink()
+        for lo, hi in self.held:
+            for k in range(0, len(lo), _AT_ONCE):
+                n = len(lo[k : k + _AT_ONCE])
+                yield pa.RecordBatch.from_arrays([pa.array(lo[k : k + n]), pa.array(hi[k : k + n]), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool))], ["lo", "hi", "w", "done"])
+        self.held, self.rows = [], 0
+
+
 def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (range, lo, hi, w, size) in the order of range and hi -> what is known of each vertex of a range, done, and edges for later ranges.
 
     Edges within the range make its forest first, as they come first. Then each component meets later vertices in their order: the first is its
-    root's parent, and each further one is an edge from the one before, which is how they will be joined above it. A range is held in arrays."""
-    at, base, size = None, 0, 0
+    root's parent, and each further one is an edge from the one before, which is how they will be joined above it. These edges meet in a few late
+    ranges, so only their forest is sent. A range is held in arrays, and SENT_RANGES times as many edges."""
+    at, base, size, sent = None, 0, 0, _Sent(0)
     up, last = array("q"), array("q")  # by place in the range: a way to the top, and the last later vertex met
     parent, weight, named = (np.empty(0, t) for t in (np.int64, np.int64, bool))
 
@@ -106,9 +144,10 @@ def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             batch = whole.slice(a, b - a)
             if own[a] != at:
                 if at is not None:
+                    yield from sent.rest()
                     yield flush()
                 at, size = own[a], int(batch.column(4)[0].as_py())
-                base = int(at) * size
+                base, sent = int(at) * size, _Sent(SENT_RANGES * size)
                 up, last = array("q", range(size)), array("q", [NONE]) * size
                 parent, weight, named = np.full(size, NONE), np.zeros(size, np.int64), np.zeros(size, bool)
             lo, hi, w = (batch.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
@@ -135,8 +174,9 @@ def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     y.append(to)
                 last[v] = to
             if x:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(np.zeros(len(x), np.int64)), pa.array(np.zeros(len(x), bool))], ["lo", "hi", "w", "done"])
+                yield from sent.add(x, y)
     if at is not None:
+        yield from sent.rest()
         yield flush()
 
 

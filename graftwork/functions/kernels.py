@@ -85,14 +85,6 @@ class Least:
         return out
 
 
-def children(parent: np.ndarray) -> list[list[int]]:
-    kids: list[list[int]] = [[] for _ in range(len(parent))]
-    for v, p in enumerate(parent.tolist()):
-        if p != NONE:
-            kids[p].append(v)
-    return kids
-
-
 def path_figures(parent: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """depth, vertices and weight on the way to the root, height above the leaves, size and weight of subtrees, and enter: a number
     such that a subtree's vertices have those from its root's on."""
@@ -185,26 +177,32 @@ def capacity(total: int, parts: int, balance: float) -> int:
 
 def pack_forward(parent: np.ndarray, weight: np.ndarray, cap: int) -> np.ndarray:
     """Bottom up, a subtree over the cap gives its largest child subtrees to the first parts with room; top down, the rest
-    inherits its parent's part, and what is left of a root goes to the last part with room. Ties: smaller child first."""
+    inherits its parent's part, and what is left of a root goes to the last part with room. Ties: smaller child first. A vertex takes
+    some 50 bytes, in arrays."""
     n = len(parent)
     if n and weight.max() > cap:
         raise ValueError(f"a vertex weighs {int(weight.max())}, over the capacity {cap} of a part")
-    part, rest, kids, size = np.full(n, NONE, np.int64), weight.astype(np.int64).tolist(), children(parent), []
-    for v in range(n):
-        total = rest[v] + sum(rest[k] for k in kids[v])
+    part, rest, size = np.full(n, NONE, np.int64), weight.astype(np.int64), []
+    by = np.argsort(parent, kind="stable")  # roots, then children, those of a vertex together and in order
+    ends = np.searchsorted(parent[by], np.arange(n + 1))
+    for v in _ints(np.flatnonzero(ends[1:] > ends[:-1])):
+        kids = by[ends[v] : ends[v + 1]]
+        total = int(rest[v] + rest[kids].sum())
         if total > cap:
-            waiting = sorted(kids[v], key=lambda k: (-rest[k], k))
+            waiting = kids[np.argsort(-rest[kids], kind="stable")]
             while total > cap:
-                left = []
-                for k in waiting:
-                    p = next((p for p, s in enumerate(size) if s + rest[k] <= cap), None) if total > cap else None
+                left = array("q")
+                for k, w in zip(_ints(waiting), _ints(rest[waiting]), strict=True):
+                    if total <= cap:  # all others stay
+                        break
+                    p = next((p for p, s in enumerate(size) if s + w <= cap), None)
                     if p is None:
                         left.append(k)
                         continue
                     part[k] = p
-                    size[p] += rest[k]
-                    total -= rest[k]
-                waiting = left
+                    size[p] += w
+                    total -= w
+                waiting = np.array(left, np.int64)
                 if total > cap:
                     size.append(0)
         rest[v] = total
@@ -213,11 +211,12 @@ def pack_forward(parent: np.ndarray, weight: np.ndarray, cap: int) -> np.ndarray
             if parent[v] != NONE:
                 part[v] = part[parent[v]]
                 continue
-            p = next((p for p in range(len(size) - 1, -1, -1) if size[p] + rest[v] <= cap), None)
+            w = int(rest[v])
+            p = next((p for p in range(len(size) - 1, -1, -1) if size[p] + w <= cap), None)
             if p is None:
                 p = len(size)
                 size.append(0)
-            part[v], size[p] = p, size[p] + rest[v]
+            part[v], size[p] = p, size[p] + w
     return part
 
 

@@ -6,7 +6,6 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ..storage import materialize
 from . import ranges as rg
 from .ends import with_ends
 from .sequence import degrees, ranked
-from .tree import arrays, in_one_task, with_last
+from .tree import with_last
 
 METHODS = ("forward", "backward", "depth", "height", "naive")
 BALANCE = 1.03
@@ -56,11 +55,14 @@ def skeleton(t: DataFrame, cap: int) -> DataFrame:
 def _packed(t: DataFrame, pack: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(jnid, part) of a few vertices, or of a tree of one range, by a kernel."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, parent = arrays(rows)
-        return pd.DataFrame({"jnid": ids, "part": pack(parent, rows["weight"].to_numpy(np.int64)).astype(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            table = pa.Table.from_batches(held).sort_by("jnid")
+            ids, up, _ = rg._above(table)
+            part = pack(up, table["weight"].to_numpy()).astype(np.int64)
+            yield from pa.table({"jnid": ids, "part": part}).to_batches(max_chunksize=1 << 16)
 
-    return in_one_task(t.select("jnid", "parent", "weight"), run, "jnid long, part long")
+    return t.select("jnid", "parent", "weight").repartition(1).mapInArrow(run, "jnid long, part long")
 
 
 def _handed_down(t: DataFrame, marked: DataFrame) -> DataFrame:

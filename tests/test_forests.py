@@ -1,6 +1,7 @@
 """What ranges send to later ones, and what packing holds."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +51,16 @@ def test_sent_edges_are_bounded():
 def test_numbers_come_in_blocks():
     x = np.arange(100)
     assert list(kernels._ints(x, 7)) == x.tolist()
+
+
+def test_packing_holds_arrays():
+    """A long way over the cap with many children is decided on in one task: no lists and objects for each vertex."""
+    n, way = 30_000, 1_500
+    parent = np.concatenate([n - way + np.minimum(np.random.default_rng(0).geometric(30 / way, n - way), way - 1), np.arange(n - way + 1, n), [-1]])
+    weight = np.full(n, 29)
+    tracemalloc.start()
+    part = kernels.pack_forward(parent, weight, kernels.capacity(29 * n, 2, 1.03))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 100 * n  # 158 * n with lists
+    assert np.bincount(part, weights=weight).max() <= kernels.capacity(29 * n, 2, 1.03)

@@ -56,7 +56,7 @@ def _ints(x: np.ndarray, at_once: int = 1 << 14) -> Iterator[int]:
 def forest(los: np.ndarray, his: np.ndarray, vertices: int) -> array:
     """Parents in the elimination forest of edges (lo, hi) between vertices 0, 1, ..., in the order of hi; NONE for a root. Ways to
     the top are halved as they are walked."""
-    up, parent = array("q", range(vertices)), array("q", [NONE]) * vertices
+    up, parent = array("i", range(vertices)), array("i", [NONE]) * vertices
     for v, hi in zip(_ints(los), _ints(his), strict=True):
         while (n := up[v]) != v:
             up[v] = v = up[n]

@@ -49,14 +49,21 @@ SENT_RANGES = 8
 _AT_ONCE = 1 << 15
 
 
+def _forest(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vertices of edges in the order of hi; of each edge its lower end's place among them; of each vertex its parent's place in the edges' forest."""
+    v = np.concatenate([lo, hi])
+    v.sort()
+    v = v[np.r_[True, v[1:] != v[:-1]]]
+    x = np.searchsorted(v, lo).astype(np.int32)
+    new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != NONE)
+    return v, x, np.array(kernels.forest(x[new], np.searchsorted(v, hi[new]).astype(np.int32), len(v)))
+
+
 def _forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
     """The forest of edges in the order of hi, and the sum of w for each lo, in one row a vertex."""
-    v, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
-    x, y = at[: len(lo)], at[len(lo) :]
+    v, x, parent = _forest(lo, hi)
     weight = np.zeros(len(v), np.int64)
     np.add.at(weight, x, w)
-    new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != NONE)
-    parent = np.array(kernels.forest(x[new], y[new], len(v)), np.int64)
     named = np.zeros(len(v), bool)
     named[x] = True  # every vertex with a parent is the lower end of an edge or has one below it
     named |= parent != NONE
@@ -89,35 +96,44 @@ def partial_forests(rows: DataFrame) -> DataFrame:
 
 
 class _Sent:
-    """Edges for later ranges, of which only a forest is sent: one that stays below half of ``most`` rows takes in all further edges, a larger one is sent at once."""
+    """Edges for later ranges, of which only a forest is sent: one that stays below half of ``most`` rows takes in all further edges, a larger one is sent at once.
+
+    They are held in two arrays, which are sorted in place."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.held, self.rows = most, [], 0
+        self.most, self.rows, self.is_forest = most, 0, True
+        self.lo = self.hi = np.empty(0, np.int64)
 
     def add(self, lo: list[int], hi: list[int]) -> Iterator[pa.RecordBatch]:
-        self.held.append((np.array(lo, np.int64), np.array(hi, np.int64)))
-        self.rows += len(lo)
+        end = self.rows + len(lo)
+        if end > len(self.lo):
+            room = np.empty((2, max(end, self.most + _AT_ONCE)), np.int64)
+            room[:, : self.rows] = self.lo[: self.rows], self.hi[: self.rows]
+            self.lo, self.hi = room
+        self.lo[self.rows : end], self.hi[self.rows : end] = lo, hi
+        self.rows, self.is_forest = end, False
         if self.rows >= self.most:
             self._shrink()
             if 2 * self.rows > self.most:
                 yield from self.rest()
 
     def _shrink(self) -> None:
-        lo, hi = map(np.concatenate, zip(*self.held, strict=True))
-        self.held = []
-        by = np.lexsort((lo, hi))
-        forest = _forest_of(lo[by], hi[by], np.zeros(len(lo), np.int64))
-        forest = forest.filter(forest.column(1).is_valid())
-        self.held, self.rows = [(forest.column(0).to_numpy(), forest.column(1).to_numpy())], forest.num_rows
+        lo, hi = self.lo[: self.rows], self.hi[: self.rows]
+        by = np.argsort(hi, kind="stable")
+        lo[:], hi[:] = lo[by], hi[by]
+        del by
+        v, _, parent = _forest(lo, hi)
+        some = np.flatnonzero(parent != NONE)
+        self.rows, self.is_forest = len(some), True
+        lo[: self.rows], hi[: self.rows] = v[some], v[parent[some]]
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if len(self.held) > 1:
+        if not self.is_forest:
             self._shrink()
-        for lo, hi in self.held:
-            for k in range(0, len(lo), _AT_ONCE):
-                n = len(lo[k : k + _AT_ONCE])
-                yield pa.RecordBatch.from_arrays([pa.array(lo[k : k + n]), pa.array(hi[k : k + n]), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool))], ["lo", "hi", "w", "done"])
-        self.held, self.rows = [], 0
+        for k in range(0, self.rows, _AT_ONCE):
+            lo, hi = (x[k : min(k + _AT_ONCE, self.rows)] for x in (self.lo, self.hi))
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(np.zeros(len(lo), np.int64)), pa.array(np.zeros(len(lo), bool))], ["lo", "hi", "w", "done"])
+        self.__init__(self.most)  # batches share the arrays, so these aren't written again
 
 
 def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,26 @@ def test_sent_edges_are_bounded():
     assert parents_by_definition(90, sent) == parents_by_definition(90, edges)
 
 
+def test_sent_edges_are_held_once():
+    """A forest is made in little more than the arrays that hold its edges."""
+    most, rng = 200_000, np.random.default_rng(5)
+    held = tree._Sent(most)
+    a, b = rng.integers(0, 60_000, (2, 2 * most))
+    lo, hi = np.minimum(a, b), np.maximum(a, b) + 1
+    tracemalloc.start()
+    sent = [r for k in range(0, 2 * most, 5000) for r in held.add(lo[k : k + 5000], hi[k : k + 5000])]
+    most_held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not sent and most_held < 60 * most  # 153 * most when edges were gathered, sorted and numbered in arrays of their own
+    sent = [e for r in held.rest() for e in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)]
+    want = kernels.Forest()
+    by = np.argsort(hi, kind="stable")
+    want.edges(lo[by].tolist(), hi[by].tolist())
+    got = kernels.Forest()
+    got.edges(*map(list, zip(*sorted(sent, key=lambda e: e[1]), strict=True)))
+    assert got.parent == want.parent
+
+
 def test_numbers_come_in_blocks():
     x = np.arange(100)
     assert list(kernels._ints(x, 7)) == x.tolist()

@@ -49,41 +49,43 @@ SENT_RANGES = 8
 _AT_ONCE = 1 << 15
 
 
-def _forest(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vertices of edges in the order of hi; of each edge its lower end's place among them; of each vertex its parent's place in the edges' forest."""
+def _forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The forest of edges in the order of hi, and the sum of w for each lo, in one row a vertex."""
     v = np.concatenate([lo, hi])
     v.sort()
     v = v[np.r_[True, v[1:] != v[:-1]]]
     x = np.searchsorted(v, lo).astype(np.int32)
     new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] & (hi != NONE)
-    return v, x, np.array(kernels.forest(x[new], np.searchsorted(v, hi[new]).astype(np.int32), len(v)))
-
-
-def _forest_of(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-    """The forest of edges in the order of hi, and the sum of w for each lo, in one row a vertex."""
-    v, x, parent = _forest(lo, hi)
+    parent = np.frombuffer(kernels.forest(x[new], np.searchsorted(v, hi[new]).astype(np.int32), len(v)), np.int32)
     weight = np.zeros(len(v), np.int64)
     np.add.at(weight, x, w)
     named = np.zeros(len(v), bool)
     named[x] = True  # every vertex with a parent is the lower end of an edge or has one below it
     named |= parent != NONE
-    up = np.where(parent == NONE, NONE, v[np.maximum(parent, 0)])[named]
-    return pa.RecordBatch.from_arrays([pa.array(v[named]), pa.array(up, mask=up == NONE), pa.array(weight[named])], ["lo", "hi", "w"])
+    some = np.flatnonzero(named)
+    for k in range(0, len(some), _AT_ONCE):
+        rows = some[k : k + _AT_ONCE]
+        up = parent[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(v[rows]), pa.array(v[np.maximum(up, 0)], mask=up == NONE), pa.array(weight[rows])], ["lo", "hi", "w"])
 
 
 def _forests(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (lo, hi, w) in the order of hi -> the forests of so many of them at a time: a partition may be large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n = np.empty((3, rows), np.int64), 0
         for b in batches:
-            held.append([b.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in range(3)])
-            n += b.num_rows
-            if n >= rows:
-                yield _forest_of(*map(np.concatenate, zip(*held, strict=True)))
-                held, n = [], 0
+            cols = [b.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in range(3)]
+            a = 0
+            while a < b.num_rows:
+                m = min(rows - n, b.num_rows - a)
+                held[:, n : n + m] = [c[a : a + m] for c in cols]
+                a, n = a + m, n + m
+                if n == rows:
+                    yield from _forest_of(*held)
+                    n = 0
         if n:
-            yield _forest_of(*map(np.concatenate, zip(*held, strict=True)))
+            yield from _forest_of(*held[:, :n])
 
     return run
 
@@ -98,19 +100,26 @@ def partial_forests(rows: DataFrame) -> DataFrame:
 class _Sent:
     """Edges for later ranges, of which only a forest is sent: one that stays below half of ``most`` rows takes in all further edges, a larger one is sent at once.
 
-    They are held in two arrays, which are sorted in place."""
+    An edge is held as one number, its ends' distances from ``base``, and the forest takes the edges' place; edges too far away for that are sent as they are."""
 
-    def __init__(self, most: int) -> None:
-        self.most, self.rows, self.is_forest = most, 0, True
-        self.lo = self.hi = np.empty(0, np.int64)
+    def __init__(self, most: int, base: int = 0) -> None:
+        self.most, self.base, self.rows, self.is_forest = most, base, 0, True
+        self.held = np.empty(0, np.int64)
 
     def add(self, lo: list[int], hi: list[int]) -> Iterator[pa.RecordBatch]:
+        lo, hi = (np.asarray(x, np.int64) - self.base for x in (lo, hi))
+        near = hi < kernels.FAR
+        if not near.all():
+            yield self._batch(lo[~near], hi[~near])
+            lo, hi = lo[near], hi[near]
+        if not len(lo):
+            return
         end = self.rows + len(lo)
-        if end > len(self.lo):
-            room = np.empty((2, max(end, self.most + _AT_ONCE)), np.int64)
-            room[:, : self.rows] = self.lo[: self.rows], self.hi[: self.rows]
-            self.lo, self.hi = room
-        self.lo[self.rows : end], self.hi[self.rows : end] = lo, hi
+        if end > len(self.held):
+            room = np.empty(max(end, self.most + _AT_ONCE), np.int64)
+            room[: self.rows] = self.held[: self.rows]
+            self.held = room
+        self.held[self.rows : end] = kernels.pairs(lo, hi)
         self.rows, self.is_forest = end, False
         if self.rows >= self.most:
             self._shrink()
@@ -118,22 +127,17 @@ class _Sent:
                 yield from self.rest()
 
     def _shrink(self) -> None:
-        lo, hi = self.lo[: self.rows], self.hi[: self.rows]
-        by = np.argsort(hi, kind="stable")
-        lo[:], hi[:] = lo[by], hi[by]
-        del by
-        v, _, parent = _forest(lo, hi)
-        some = np.flatnonzero(parent != NONE)
-        self.rows, self.is_forest = len(some), True
-        lo[: self.rows], hi[: self.rows] = v[some], v[parent[some]]
+        self.rows, self.is_forest = kernels.shrink(self.held[: self.rows]), True
+
+    def _batch(self, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lo + self.base), pa.array(hi + self.base), pa.array(np.zeros(len(lo), np.int64)), pa.array(np.zeros(len(lo), bool))], ["lo", "hi", "w", "done"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if not self.is_forest:
             self._shrink()
         for k in range(0, self.rows, _AT_ONCE):
-            lo, hi = (x[k : min(k + _AT_ONCE, self.rows)] for x in (self.lo, self.hi))
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(np.zeros(len(lo), np.int64)), pa.array(np.zeros(len(lo), bool))], ["lo", "hi", "w", "done"])
-        self.__init__(self.most)  # batches share the arrays, so these aren't written again
+            yield self._batch(*kernels.ends(self.held[k : min(k + _AT_ONCE, self.rows)]))
+        self.__init__(self.most, self.base)
 
 
 def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,8 @@ def _in_its_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield from sent.rest()
                     yield flush()
                 at, size = own[a], int(batch.column(4)[0].as_py())
-                base, sent = int(at) * size, _Sent(SENT_RANGES * size)
+                base = int(at) * size
+                sent = _Sent(SENT_RANGES * size, base)
                 up, last = array("q", range(size)), array("q", [NONE]) * size
                 parent, weight, named = np.full(size, NONE), np.zeros(size, np.int64), np.zeros(size, bool)
             lo, hi, w = (batch.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in (1, 2, 3))

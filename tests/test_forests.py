@@ -68,6 +68,40 @@ def test_sent_edges_are_held_once():
     assert got.parent == want.parent
 
 
+def test_sent_edges_become_their_forest_in_place():
+    """However many vertices they have, and also where some are too far away to be held."""
+    most, base, rng = 100_000, 1 << 40, np.random.default_rng(6)
+    held = tree._Sent(most, base)
+    a, b = rng.integers(0, 1_000_000, (2, most))
+    lo, hi = np.minimum(a, b) + base, np.maximum(a, b) + 1 + base
+    hi[::1000] += 1 << 31
+    tracemalloc.start()
+    sent = [r for k in range(0, most, 5000) for r in held.add(lo[k : k + 5000], hi[k : k + 5000])]
+    most_held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most_held < 60 * most  # 77 * most when they were sorted into arrays of their own
+    sent += list(held.rest())
+    got, want = kernels.Forest(), kernels.Forest()
+    got.edges(*map(list, zip(*sorted((e for r in sent for e in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)), key=lambda e: e[1]), strict=True)))
+    by = np.argsort(hi, kind="stable")
+    want.edges(lo[by].tolist(), hi[by].tolist())
+    assert got.parent == want.parent
+
+
+def test_a_piece_of_a_partition_is_held_once():
+    """Its rows, its vertices and their parents, and rows that go out a few at a time."""
+    rows, rng = 100_000, np.random.default_rng(7)
+    a, b = rng.integers(0, 10**9, (2, 2 * rows))
+    hi = np.sort(np.maximum(a, b) + 1)
+    lo = np.minimum(a, hi - 1)
+    batches = [pa.record_batch([pa.array(x[k : k + 5000]) for x in (lo, hi, np.ones(2 * rows, np.int64))], ["lo", "hi", "w"]) for k in range(0, 2 * rows, 5000)]
+    tracemalloc.start()
+    out = sum(r.num_rows for r in tree._forests(rows)(iter(batches)))
+    most_held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out <= 4 * rows and most_held < 110 * rows  # 127 * rows when a piece was gathered, then joined into arrays of its own
+
+
 def test_numbers_come_in_blocks():
     x = np.arange(100)
     assert list(kernels._ints(x, 7)) == x.tolist()

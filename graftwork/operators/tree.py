@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.kernels import NONE
-from ..storage import materialize
+from ..storage import fits_broadcast, materialize
 from . import ranges as rg
 from .ends import with_ends
 from .limits import width_limited
@@ -329,12 +329,17 @@ def with_last(df: DataFrame, tree: DataFrame) -> DataFrame:
     return df
 
 
-def _neighbourhoods(tree: DataFrame, epos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """tour(jnid, parent, enter, up), ``up`` being the parent's ``enter``; met(i, enter, ...), each vertex and its earlier neighbours; and (i, before, enter), each
-    of these with the one before it in the order of ``enter``, in which i comes first. A neighbourhood is ordered block by block."""
+def _tour(tree: DataFrame) -> DataFrame:
+    """tour(jnid, parent, enter, up), stored, ``up`` being the parent's ``enter``."""
     figures = materialize(path_figures(tree).select("jnid", "enter"), "enter")
     parent = tree.select("jnid", "parent").join(figures, "jnid").join(figures.select(F.col("jnid").alias("parent"), F.col("enter").alias("up")), "parent", "left")
-    tour = materialize(parent.select("jnid", "parent", "enter", "up"), "tour")
+    return materialize(parent.select("jnid", "parent", "enter", "up"), "tour")
+
+
+def _neighbourhoods(tree: DataFrame, epos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """tour(jnid, parent, enter, up); met(i, enter, ...), each vertex and its earlier neighbours; and (i, before, enter), each
+    of these with the one before it in the order of ``enter``, in which i comes first. A neighbourhood is ordered block by block."""
+    tour = _tour(tree)
     edges = epos.where("hi is not null").select("lo", "hi").distinct()
     met = edges.join(tour.select(F.col("jnid").alias("lo"), "enter"), "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
     met = materialize(met.withColumn("block", F.expr(f"enter div {rg.RANGE_ROWS}")), "met")
@@ -369,22 +374,22 @@ def widths(tree: DataFrame, epos: DataFrame) -> DataFrame:
 ASKED_ROWS = 1 << 20
 
 
-def dealt(lines: DataFrame, asked: DataFrame, cells: int, by: list[str]) -> DataFrame:
-    """Rows of lines and asked, both (cell, a, ...) with null ``a`` in lines: those of a cell in one task, or, if it is asked more than ASKED_ROWS times, its lines in each
-    of several tasks and its questions dealt out among them. Lines come first."""
+def dealt(lines: DataFrame, asked: DataFrame, cells: int, by: list[str], at_once: int = 1, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of lines and asked, both (cell, a, ...) with null ``a`` in lines: those of a cell in one task, or, if it is asked more than ``at_once`` times ASKED_ROWS times, its
+    lines in each of several tasks and its questions dealt out among them. Lines come first, questions in the order asked for."""
     often = dict(asked.groupBy("cell").count().collect())  # a number a cell
-    shares = {k: max(1, -(-often.get(k, 0) // ASKED_ROWS)) for k in range(cells)}
+    shares = {k: max(1, -(-often.get(k, 0) // (at_once * ASKED_ROWS))) for k in range(cells)}
     first = dict(zip(shares, np.cumsum([0, *shares.values()]).tolist(), strict=False))
     table = lines.sparkSession.createDataFrame([(k, first[k], n) for k, n in shares.items()] or [(0, 0, 1)], "k long, first long, shares long")
     share = lambda df: df.join(F.broadcast(table), F.col("cell") == F.col("k"))
     every = share(lines).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     some = share(asked).withColumn("share", F.pmod(F.xxhash64(*by), F.col("shares")))
     rows = every.unionByName(some).withColumn("task", (F.col("first") + F.col("share")).cast("int"))
-    return rows.repartitionById(max(1, sum(shares.values())), "task").sortWithinPartitions(F.col("a").isNotNull()).select(*asked.columns)
+    return rows.repartitionById(max(1, sum(shares.values())), "task").sortWithinPartitions(F.col("a").isNotNull(), *order).select(*asked.columns)
 
 
 def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, n) with the least ``value`` of line(at, value) at a .. b: a, b, n, least. ``at`` are whole numbers from 0, each once; null values count as none.
+    """(a, b, n) with the least ``value`` of line(at, value) at a .. b: a, b, n, least. ``at`` are whole numbers from 0, each once; null values count as none. Each (a, b, n) comes once.
 
     A task holds a block of the line, and the least values of all blocks, one a block; pairs stream past it. A pair that reaches
     over several blocks is asked in the first and the last one, and the blocks between are looked up on the way. A block that is
@@ -427,7 +432,7 @@ def least_of(line: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([a, b, n, pa.array(least)], ["a", "b", "n", "least"])
 
     found = rows.mapInArrow(run, "a long, b long, n long, least long")
-    return found if count <= 1 else found.groupBy("a", "b").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    return found if count <= 1 else found.groupBy("a", "b", "n").agg(F.min("least").alias("least"))
 
 
 def pre_weights(tree: DataFrame, epos: DataFrame) -> DataFrame:
@@ -445,57 +450,129 @@ def pre_weights(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return tree.select("jnid").join(found, "jnid", "left").select("jnid", F.coalesce("pre_weight", F.lit(0)).alias("pre_weight"))
 
 
-def filled_edges(tree: DataFrame, epos: DataFrame) -> DataFrame:
-    """(jnid, later): the edges of the filled graph, each once. There can be quadratically many; no task holds them.
+#: Rows of ``filled_pieces``: a vertex and some of its later neighbours, a way that goes on in an earlier block, and the first and last neighbour in a block.
+_PIECE, _WAY, _BLOCK = range(3)
+_FOUND = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("later", pa.int64()), ("stop", pa.int64()), ("laters", pa.list_(pa.int64()))])
+#: Edges of the filled graph that a task holds, as one number each.
+_HELD = 1 << 21
+#: Bits of a position in such a number; the others are a place in a block.
+_LATER_BITS = 44
 
-    i is a later neighbour of the ways from its earlier neighbours up to it. Each way is followed from a neighbour to where it meets that of the one before it (see
-    ``widths``), range by range: a task holds a range of the tree, and ways that go on beyond it are sent to the range of their next vertex.
-    """
-    size, ranges = rg.RANGE_ROWS, rg.range_count(tree)
-    tour, _, near = _neighbourhoods(tree, epos)
-    near = materialize(near.withColumn("a", F.col("before") + 1), "near")
-    meetings = least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), near.select("a", F.col("enter").alias("b")).distinct().withColumn("n", F.lit(1).cast("long")))
-    ways = near.join(meetings.select("a", F.col("b").alias("enter"), F.col("least").alias("stop")), ["a", "enter"]).join(tour.select("enter", "jnid"), "enter").select("jnid", F.col("i").alias("later"), "stop")
-    none = F.lit(None).cast("long")
-    lines = tour.select(rg.range_of("jnid").alias("cell"), none.alias("a"), F.col("jnid").alias("b"), F.col("parent").alias("c"), F.col("up").alias("d"))
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, parent, up = 0, np.empty(0, np.int64), np.empty(0, np.int64)
+def _follow(size: int, paired: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (cell, a, b, c, d): first the lines of one block of the tour (null, enter, up, jnid), then ways (later, enter, stop) -> rows as above. If ``paired``, ways are
+    in the order of later and enter and may repeat, and each stops where it meets the one before it; the first of a block is only told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, up, names, table = 0, np.full(size, NONE), np.full(size, NONE), None
+        held: list[np.ndarray] = []
+        count = 0
+        open_, last = np.empty((0, 2), np.int64), NONE  # later and first enter of the block's neighbourhood that isn't finished, and its last enter so far
+
+        def rows(kind: int, at: np.ndarray, later: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(later), pa.array(stop), pa.nulls(len(at), _FOUND.field("laters").type)], schema=_FOUND)
+
+        def pieces() -> pa.RecordBatch:
+            nonlocal count
+            edges = np.concatenate(held)
+            held.clear()
+            count = 0
+            edges.sort()
+            v = edges >> _LATER_BITS
+            starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            edges &= (1 << _LATER_BITS) - 1
+            laters = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(edges)].astype(np.int32)), pa.array(edges))
+            none = pa.nulls(len(starts), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), _PIECE, np.int32)), pa.array(names[v[starts]]), none, none, laters], schema=_FOUND)
+
         for batch in batches:
             is_line = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            cell = batch.column(0).to_numpy()
             if is_line.any():
-                if not len(up):
-                    first, parent, up = int(cell[0]) * size, np.full(size, NONE), np.full(size, NONE)
+                first = int(batch.column(0)[0].as_py()) * size
                 part = batch.filter(pa.array(is_line))
                 at = part.column(2).to_numpy() - first
-                parent[at], up[at] = (part.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in (3, 4))
-            part = batch.filter(pa.array(~is_line))
-            v, later, stop = (part.column(c).to_numpy() for c in (1, 2, 3))
+                up[at] = part.column(3).fill_null(NONE).to_numpy(zero_copy_only=False)
+                names[at] = part.column(4).to_numpy()
+                batch = batch.filter(pa.array(~is_line))
+            if not batch.num_rows:
+                continue
+            later, enter = (batch.column(c).to_numpy() for c in (1, 2))
+            if paired:
+                if table is None:
+                    table = kernels.Least(up)
+                before_later, before = np.r_[open_[0, 0] if len(open_) else NONE, later[:-1]], np.r_[last, enter[:-1]]
+                begins = later != before_later
+                starts = np.flatnonzero(begins)
+                told = np.concatenate([open_, np.stack([later[starts], enter[starts]], axis=1)])
+                ends_ = before[starts] if len(open_) else before[starts[1:]]
+                if len(ends_):
+                    yield rows(_BLOCK, told[:-1, 1], told[:-1, 0], ends_)
+                open_, last = told[-1:], enter[-1]
+                go = ~begins & (enter != before)
+                later, enter, stop = later[go], enter[go], table.least(before[go] + 1 - first, enter[go] - first)
+            else:
+                stop = batch.column(3).to_numpy()
+            v = enter - first
             while len(v):
-                on = up[v - first] > stop
-                beyond = on & (parent[v - first] >= first + size)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(later), pa.nulls(len(v), pa.int64())], ["jnid", "later", "stop"])
+                held.append(v << _LATER_BITS | later)
+                count += len(v)
+                if count >= _HELD:
+                    yield pieces()
+                on = up[v]
+                goes = on > stop
+                beyond = goes & (on < first)
                 if beyond.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (parent[v[beyond] - first], later[beyond], stop[beyond])], ["jnid", "later", "stop"])
-                on &= ~beyond
-                v, later, stop = parent[v[on] - first], later[on], stop[on]
+                    yield rows(_WAY, on[beyond], later[beyond], stop[beyond])
+                goes &= ~beyond
+                v, later, stop = on[goes] - first, later[goes], stop[goes]
+        if len(open_):
+            yield rows(_BLOCK, open_[:, 1], open_[:, 0], np.array([last]))
+        if held:
+            yield pieces()
+
+    return run
 
+
+def filled_pieces(tree: DataFrame, epos: DataFrame) -> DataFrame:
+    """(jnid, laters): the edges of the filled graph, each once; a vertex's later neighbours come in any number of pieces, ordered within each. There can be
+    quadratically many; a task holds _HELD of them.
+
+    i is a later neighbour of the ways from its earlier neighbours up to it. Each way is followed from a neighbour to where it meets that of the one before it (see
+    ``widths``), block by block of the tour: a task holds a block, pairs the neighbours of each i that are in it and follows their ways; ways that go on in an earlier block,
+    and neighbours whose one before is in an earlier block, are handed on.
+    """
+    size, ranges = rg.RANGE_ROWS, rg.range_count(tree)
+    tour = _tour(tree)
+    of = lambda c: F.expr(f"{c} div {size}")
+    none = F.lit(None).cast("long")
+    place = tour.select(F.col("jnid").alias("lo"), "enter")
+    met = epos.where("hi is not null").select("lo", "hi").join(F.broadcast(place) if fits_broadcast(place, 16) else place, "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
+    met = materialize(met, "met")
+    lines = tour.select(of("enter").alias("cell"), none.alias("a"), F.col("enter").alias("b"), F.col("up").alias("c"), F.col("jnid").alias("d"))
+    schema = "kind int, at long, later long, stop long, laters array<long>"
+    asked = met.select(of("enter").alias("cell"), F.col("i").alias("a"), F.col("enter").alias("b"), none.alias("c"), none.alias("d"))
+    found = materialize(dealt(lines, asked, ranges, ["a"], 4, ("a", "b")).mapInArrow(_follow(size, True), schema), "followed")
     out = None
+    ways = found.where(F.col("kind") == _WAY).select("later", F.col("at").alias("enter"), "stop")
+    if ranges > 1:
+        blocks = found.where(F.col("kind") == _BLOCK).select("later", "at", F.lag("stop").over(W.partitionBy("later").orderBy("at")).alias("before")).where("before is not null")
+        meetings = least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), blocks.select((F.col("before") + 1).alias("a"), F.col("at").alias("b"), F.col("later").alias("n")))
+        ways = ways.unionByName(meetings.select(F.col("n").alias("later"), F.col("b").alias("enter"), F.col("least").alias("stop")))
     while True:
-        asked = ways.select(rg.range_of("jnid").alias("cell"), F.col("jnid").alias("a"), F.col("later").alias("b"), F.col("stop").alias("c"), none.alias("d"))
-        asked = materialize(asked, "ways")
-        found = materialize(dealt(lines, asked, ranges, ["a", "b"]).mapInArrow(follow, "jnid long, later long, stop long"), "followed")
-        edges = found.where("stop is null").select("jnid", "later")
-        out = edges if out is None else out.unionByName(edges)
-        ways = found.where("stop is not null")
-        if ranges <= 1 or ways.isEmpty():
+        some = found.where(F.col("kind") == _PIECE).select(F.col("at").alias("jnid"), "laters")
+        out = some if out is None else out.unionByName(some)
+        if ranges <= 1:
+            return out
+        asked = materialize(ways.select(of("enter").alias("cell"), F.col("later").alias("a"), F.col("enter").alias("b"), F.col("stop").alias("c"), none.alias("d")), "ways")
+        if asked.isEmpty():
             return out
+        found = materialize(dealt(lines, asked, ranges, ["a", "b"]).mapInArrow(_follow(size, False), schema), "followed")
+        ways = found.where(F.col("kind") == _WAY).select("later", F.col("at").alias("enter"), "stop")
 
 
 def filled(tree: DataFrame, epos: DataFrame) -> DataFrame:
     """jnid, jxn (later neighbours in the filled graph, as positions), width. The result can be quadratic; a row is one vertex's."""
-    lists = filled_edges(tree, epos).where("later > jnid").groupBy(F.col("jnid").alias("j2")).agg(F.sort_array(F.collect_list("later")).alias("jxn"))
+    lists = filled_pieces(tree, epos).groupBy(F.col("jnid").alias("j2")).agg(F.sort_array(F.flatten(F.collect_list("laters"))).alias("jxn"))
     t = tree.select("jnid").join(lists, F.col("jnid") == F.col("j2"), "left").withColumn("jxn", F.coalesce("jxn", F.array().cast("array<long>")))
     return t.select("jnid", "jxn", (1 + F.size("jxn")).cast("long").alias("width"))
 
@@ -576,12 +653,62 @@ def validate(tree: DataFrame, epos: DataFrame) -> DataFrame:
     return wrong.join(m).join(moved).select("bad_parents", "bad_edges", (F.col("w") - F.col("m")).alias("weight_gap"))
 
 
+#: Children whose neighbours are looked for in their parent's by one task, about.
+KIDS = 1 << 14
+#: Rows of ``_lacking``: a vertex's later neighbours, those of a child of it, and a vertex whose first one is wrong.
+_OWN, _KID, _FIRST = range(3)
+
+
+def _lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, share, kind, jxn) in this order -> numbers of wrong first neighbours, and of children with a neighbour other than ``at`` that ``at`` lacks. Holds one vertex's
+    neighbours and a batch."""
+    bad_first = bad_subset = 0
+    key, have = None, np.empty(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, share, kind = (batch.column(c).to_numpy() for c in range(3))
+        lists = batch.column(3)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        bad_first += int((kind == _FIRST).sum())
+        cuts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]) | (share[1:] != share[:-1])) + 1, len(at)]
+        kids_ = np.add.reduceat(kind == _KID, cuts[:-1], dtype=np.int64)
+        for g in np.flatnonzero((kids_ > 0) | (np.arange(len(kids_)) == len(kids_) - 1)).tolist():
+            i = int(cuts[g])
+            if (at[i], share[i]) != key:
+                key, have = (at[i], share[i]), np.empty(0, np.int64)
+            if kind[i] == _OWN:
+                have = np.unique(values[offsets[i] : offsets[i + 1]])
+                i += 1
+            j = i + int(kids_[g])
+            if i == j:
+                continue
+            x = values[offsets[i] : offsets[j]]
+            lack = x != key[0]
+            if len(have):
+                row = np.minimum(np.searchsorted(have, x), len(have) - 1)
+                lack &= have[row] != x
+            bad_subset += int(np.logical_or.reduceat(lack, offsets[i:j] - offsets[i]).sum())
+    yield pa.RecordBatch.from_arrays([pa.array([bad_first], pa.int64()), pa.array([bad_subset], pa.int64())], ["bad_first", "bad_subset"])
+
+
 def validate_filled(tree: DataFrame, filled: DataFrame) -> DataFrame:
     """Counts of broken invariants of the filled graph, all 0 for a sound one: bad_first, vertices whose parent isn't their first later
-    neighbour, and bad_subset, those with a further later neighbour that their parent lacks."""
-    own = tree.select("jnid", "parent").join(filled.select("jnid", "jxn"), "jnid")
-    up = filled.select(F.col("jnid").alias("parent"), F.col("jxn").alias("above"))
-    both = own.join(up, "parent", "left")
-    first = ~F.get("jxn", F.lit(0)).eqNullSafe(F.col("parent"))
-    lacks = F.col("parent").isNotNull() & (F.size(F.array_except("jxn", F.array_append(F.coalesce("above", F.array().cast("array<long>")), F.col("parent")))) > 0)
-    return both.agg(F.count(F.when(first, 1)).alias("bad_first"), F.count(F.when(lacks, 1)).alias("bad_subset"))
+    neighbour, and bad_subset, those with a further later neighbour that their parent lacks.
+
+    Each list is sent twice, as a vertex's own and to its parent, where it streams past the parent's; a parent with over KIDS children goes to several tasks."""
+    kids_ = tree.where("parent is not null").groupBy(F.col("parent").alias("p2")).agg(F.ceil(F.count("*") / KIDS).cast("long").alias("shares"))
+    many = kids_.where("shares > 1").select(F.col("p2").alias("p3"), F.col("shares").alias("of"))  # at most one in KIDS vertices
+    t = tree.select("jnid", "parent").join(kids_, F.col("jnid") == F.col("p2"), "left").join(F.broadcast(many), F.col("parent") == F.col("p3"), "left")
+    own = t.join(filled.select(F.col("jnid").alias("j2"), "jxn"), F.col("jnid") == F.col("j2"))
+    zero = F.lit(0).cast("long")
+    first = F.get("jxn", F.lit(0))
+    row = lambda at, kind, share, jxn: F.struct(at.alias("at"), share.alias("share"), F.lit(kind).alias("kind"), jxn.alias("jxn"))
+    empty = F.array().cast("array<long>")
+    asks = F.col("parent").isNotNull() & (F.size("jxn") > 0) & ~((F.size("jxn") == 1) & first.eqNullSafe(F.col("parent")))
+    mine = F.when(F.col("shares").isNotNull(), F.transform(F.sequence(zero, F.col("shares") - 1), lambda k: row(F.col("jnid"), _OWN, k, F.col("jxn")))).otherwise(F.array())
+    theirs = F.when(asks, F.array(row(F.col("parent"), _KID, F.pmod(F.xxhash64("jnid"), F.coalesce("of", F.lit(1).cast("long"))), F.col("jxn")))).otherwise(F.array())
+    wrong = F.when(~first.eqNullSafe(F.col("parent")), F.array(row(F.col("jnid"), _FIRST, zero, empty))).otherwise(F.array())
+    rows = own.select(F.inline(F.concat(mine, theirs, wrong))).repartition("at", "share").sortWithinPartitions("at", "share", "kind")
+    counts = rows.mapInArrow(_lacking, "bad_first long, bad_subset long")
+    return counts.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("bad_first", "bad_subset")))

@@ -334,3 +334,45 @@ def test_passes_go_on_where_the_last_one_ended(spark, monkeypatch, rows_):
     whole = dict(map(tuple, partition.stream_vertices(edges, 3).collect()))
     monkeypatch.setattr(partition, "PASS_ROWS", 1 << 22)
     assert len(whole) == n and whole == dict(map(tuple, partition.stream_vertices(edges, 3).collect()))
+
+
+@pytest.mark.parametrize("size", [1 << 18, 8])
+def test_filled_graph_block_by_block(spark, monkeypatch, size):
+    """Edges may repeat; no table of edges is made, but pieces of lists, whatever the blocks."""
+    monkeypatch.setattr(rg, "RANGE_ROWS", size)
+    monkeypatch.setattr(tree, "ASKED_ROWS", 5)
+    monkeypatch.setattr(tree, "_HELD", 20)
+    for seed in range(2):
+        rng = random.Random(seed)
+        pairs = [(min(p), max(p)) for p in random_graph(rng, 45, 70) if p[0] != p[1]]
+        pairs += [(a, 44) for a in range(0, 44, 5)] if seed else pairs[:9]
+        epos = spark.createDataFrame([*pairs, (5, None)], "lo long, hi long").repartition(3)
+        t = tree.build_tree(epos, spark.range(45).select(F.col("id").alias("pos"), F.col("id").alias("vid")))
+        up = {r.jnid: rg.NONE if r.parent is None else r.parent for r in t.collect()}
+        want = kernels.filled_neighbours(np.array([up[v] for v in range(45)]), [{b for a, b in pairs if a == v} for v in range(45)])
+        got = [(r.jnid, u) for r in tree.filled_pieces(t, epos).collect() for u in r.laters]
+        assert sorted(got) == [(v, u) for v, x in enumerate(want) for u in x]
+        assert [(r.jnid, r.jxn, r.width) for r in tree.filled(t, epos).orderBy("jnid").collect()] == [(v, x, 1 + len(x)) for v, x in enumerate(want)]
+
+
+@pytest.mark.parametrize("rows_", [1, 10000])
+def test_damaged_filled_graph(spark, monkeypatch, rows_):
+    """Lists stream past their parents', batch by batch; a parent of many goes to several tasks."""
+    monkeypatch.setattr(tree, "KIDS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_)
+    try:
+        for seed in range(3):
+            rng = random.Random(seed)
+            up = [rng.choice([None, *([min(39, v + rng.randrange(1, 9)), 38 if v < 38 else 39] if v < 39 else [])]) for v in range(40)]
+            jxn = [sorted(rng.sample(range(40), rng.randrange(6))) for _ in up]
+            for v, p in enumerate(up):
+                if p is not None and rng.random() < 0.7:
+                    jxn[v] = [p, *rng.sample(jxn[p], min(2, len(jxn[p])))]
+            first = sum((x[0] if x else None) != p for x, p in zip(jxn, up, strict=True))
+            subset = sum(p is not None and bool({*x} - {*jxn[p], p}) for x, p in zip(jxn, up, strict=True))
+            t = spark.createDataFrame([(v, p, 1) for v, p in enumerate(up)], "jnid long, parent long, pst_weight long")
+            lists = spark.createDataFrame([(v, x, 1 + len(x)) for v, x in enumerate(jxn)], "jnid long, jxn array<long>, width long")
+            assert tuple(tree.validate_filled(t, lists).first()) == (first, subset)
+        assert tuple(tree.validate_filled(t.limit(0), lists.limit(0)).first()) == (0, 0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

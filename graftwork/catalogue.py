@@ -147,7 +147,7 @@ _query("gp_tree_prefix", _T + " SELECT jnid, CASE WHEN parent < 100 THEN parent
 _query("gp_pre_weight", _ABOVE + " SELECT t.jnid, count(epos.lo)::BIGINT AS pre_weight FROM tree t LEFT JOIN above ON above.a = t.jnid LEFT JOIN epos ON epos.lo = above.v AND epos.hi = t.parent GROUP BY t.jnid")(lambda g: tree.pre_weights(g.tree, g.epos))
 _JXN = _ABOVE + ", jx AS (SELECT DISTINCT above.a AS jnid, epos.hi AS u FROM above JOIN epos ON epos.lo = above.v WHERE epos.hi > above.a)"
 _query("gp_jxn", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width, coalesce(sum(jx.u), 0)::BIGINT AS total FROM tree t LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY t.jnid")(
-    lambda g: tree.filled(g.tree, g.epos).select("jnid", "width", F.aggregate("jxn", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    lambda g: tree.filled_sums(g.tree, g.epos)
 )
 _query("gp_fill", _JXN + " SELECT (count(*) - (SELECT count(*) FROM epos))::BIGINT AS fill FROM jx")(lambda g: facts.tree_facts(g.tree, tree.widths(g.tree, g.epos)).select("fill"))
 _query("gp_widths", _JXN + " SELECT t.jnid, (1 + count(jx.u))::BIGINT AS width FROM tree t LEFT JOIN jx ON jx.jnid = t.jnid GROUP BY t.jnid")(lambda g: tree.widths(g.tree, g.epos))

@@ -459,15 +459,53 @@ _HELD = 1 << 21
 _LATER_BITS = 44
 
 
+class _Block:
+    """A block of the tour, and the neighbourhoods in it as they come, batch by batch, in the order of later and enter."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.first, self.table = size, 0, None
+        self.up, self.names = np.full(size, NONE), np.full(size, NONE)
+        self.open, self.last = np.empty((0, 2), np.int64), NONE  # later and first enter of the neighbourhood that isn't finished, and its last enter so far
+
+    def asked(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Takes the lines (cell, null, enter, up, jnid) of a batch; the other rows."""
+        is_line = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        if not is_line.any():
+            return batch
+        self.first = int(batch.column(0)[0].as_py()) * self.size
+        part = batch.filter(pa.array(is_line))
+        at = part.column(2).to_numpy() - self.first
+        self.up[at] = part.column(3).fill_null(NONE).to_numpy(zero_copy_only=False)
+        self.names[at] = part.column(4).to_numpy()
+        return batch.filter(pa.array(~is_line))
+
+    def pairs(self, later: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which rows are new, which of them have one before; where the ways of the latter meet those of the ones before; and (later, first, last) of neighbourhoods that are finished."""
+        if self.table is None:
+            self.table = kernels.Least(self.up)
+        before_later, before = np.r_[self.open[0, 0] if len(self.open) else NONE, later[:-1]], np.r_[self.last, enter[:-1]]
+        begins = later != before_later
+        starts = np.flatnonzero(begins)
+        told = np.concatenate([self.open, np.stack([later[starts], enter[starts]], axis=1)])
+        ends_ = before[starts] if len(self.open) else before[starts[1:]]
+        done = np.column_stack([told[:-1], ends_])
+        self.open, self.last = told[-1:], enter[-1]
+        follows = ~begins & (enter != before)
+        stop = self.table.least(before[follows] + 1 - self.first, enter[follows] - self.first)
+        return begins | follows, follows, stop, done
+
+    def unfinished(self) -> np.ndarray:
+        return np.column_stack([self.open, np.full(len(self.open), self.last)])
+
+
 def _follow(size: int, paired: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (cell, a, b, c, d): first the lines of one block of the tour (null, enter, up, jnid), then ways (later, enter, stop) -> rows as above. If ``paired``, ways are
     in the order of later and enter and may repeat, and each stops where it meets the one before it; the first of a block is only told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, up, names, table = 0, np.full(size, NONE), np.full(size, NONE), None
+        block = _Block(size)
         held: list[np.ndarray] = []
         count = 0
-        open_, last = np.empty((0, 2), np.int64), NONE  # later and first enter of the block's neighbourhood that isn't finished, and its last enter so far
 
         def rows(kind: int, at: np.ndarray, later: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(later), pa.array(stop), pa.nulls(len(at), _FOUND.field("laters").type)], schema=_FOUND)
@@ -483,56 +521,125 @@ def _follow(size: int, paired: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
             edges &= (1 << _LATER_BITS) - 1
             laters = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(edges)].astype(np.int32)), pa.array(edges))
             none = pa.nulls(len(starts), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), _PIECE, np.int32)), pa.array(names[v[starts]]), none, none, laters], schema=_FOUND)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), _PIECE, np.int32)), pa.array(block.names[v[starts]]), none, none, laters], schema=_FOUND)
 
         for batch in batches:
-            is_line = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            if is_line.any():
-                first = int(batch.column(0)[0].as_py()) * size
-                part = batch.filter(pa.array(is_line))
-                at = part.column(2).to_numpy() - first
-                up[at] = part.column(3).fill_null(NONE).to_numpy(zero_copy_only=False)
-                names[at] = part.column(4).to_numpy()
-                batch = batch.filter(pa.array(~is_line))
+            batch = block.asked(batch)
             if not batch.num_rows:
                 continue
             later, enter = (batch.column(c).to_numpy() for c in (1, 2))
             if paired:
-                if table is None:
-                    table = kernels.Least(up)
-                before_later, before = np.r_[open_[0, 0] if len(open_) else NONE, later[:-1]], np.r_[last, enter[:-1]]
-                begins = later != before_later
-                starts = np.flatnonzero(begins)
-                told = np.concatenate([open_, np.stack([later[starts], enter[starts]], axis=1)])
-                ends_ = before[starts] if len(open_) else before[starts[1:]]
-                if len(ends_):
-                    yield rows(_BLOCK, told[:-1, 1], told[:-1, 0], ends_)
-                open_, last = told[-1:], enter[-1]
-                go = ~begins & (enter != before)
-                later, enter, stop = later[go], enter[go], table.least(before[go] + 1 - first, enter[go] - first)
+                _, go, stop, done = block.pairs(later, enter)
+                if len(done):
+                    yield rows(_BLOCK, done[:, 1], done[:, 0], done[:, 2])
+                later, enter = later[go], enter[go]
             else:
                 stop = batch.column(3).to_numpy()
-            v = enter - first
+            v = enter - block.first
             while len(v):
                 held.append(v << _LATER_BITS | later)
                 count += len(v)
                 if count >= _HELD:
                     yield pieces()
-                on = up[v]
+                on = block.up[v]
                 goes = on > stop
-                beyond = goes & (on < first)
+                beyond = goes & (on < block.first)
                 if beyond.any():
                     yield rows(_WAY, on[beyond], later[beyond], stop[beyond])
                 goes &= ~beyond
-                v, later, stop = on[goes] - first, later[goes], stop[goes]
-        if len(open_):
-            yield rows(_BLOCK, open_[:, 1], open_[:, 0], np.array([last]))
+                v, later, stop = on[goes] - block.first, later[goes], stop[goes]
+        if len(rest := block.unfinished()):
+            yield rows(_BLOCK, rest[:, 1], rest[:, 0], rest[:, 2])
         if held:
             yield pieces()
 
     return run
 
 
+def _meet(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows as those of ``_follow``, paired -> (enter, n, total, later, last): what is added at ``enter`` to the numbers and the sums of i's, or the first and
+    last neighbour of ``later`` in the block. Holds a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(size)
+        n, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        names = ["enter", "n", "total", "later", "last"]
+
+        def changes(enter: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(enter), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(enter), pa.array(n), pa.array(total), none, none], names)
+
+        def told(done: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(done), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(done[:, 1]), none, none, pa.array(done[:, 0]), pa.array(done[:, 2])], names)
+
+        for batch in batches:
+            batch = block.asked(batch)
+            if not batch.num_rows:
+                continue
+            later, enter = (batch.column(c).to_numpy() for c in (1, 2))
+            new, follows, stop, done = block.pairs(later, enter)
+            if len(done):
+                yield told(done)
+            at = enter[new] - block.first
+            np.add.at(n, at, 1)
+            np.add.at(total, at, later[new])
+            later = later[follows]
+            near = stop >= block.first
+            np.subtract.at(n, stop[near] - block.first, 1)
+            np.subtract.at(total, stop[near] - block.first, later[near])
+            if not near.all():
+                at, inverse = np.unique(stop[~near], return_inverse=True)
+                n_, total_ = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                np.subtract.at(n_, inverse, 1)
+                np.subtract.at(total_, inverse, later[~near])
+                yield changes(at, n_, total_)
+        if len(rest := block.unfinished()):
+            yield told(rest)
+        at = np.flatnonzero((n != 0) | (total != 0))
+        if len(at):
+            yield changes(at + block.first, n[at], total[at])
+
+    return run
+
+
+def _dealt_neighbourhoods(tree: DataFrame, epos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tour; its lines; and each vertex and its earlier neighbours, with the lines of their blocks, dealt by blocks of the tour in the order of vertex and ``enter``."""
+    tour = _tour(tree)
+    of, none = F.expr(f"enter div {rg.RANGE_ROWS}"), F.lit(None).cast("long")
+    place = tour.select(F.col("jnid").alias("lo"), "enter")
+    met = epos.where("hi is not null").select("lo", "hi").join(F.broadcast(place) if fits_broadcast(place, 16) else place, "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
+    met = materialize(met, "met")
+    lines = tour.select(of.alias("cell"), none.alias("a"), F.col("enter").alias("b"), F.col("up").alias("c"), F.col("jnid").alias("d"))
+    asked = met.select(of.alias("cell"), F.col("i").alias("a"), F.col("enter").alias("b"), none.alias("c"), none.alias("d"))
+    return tour, lines, dealt(lines, asked, rg.range_count(tree), ["a"], 4, ("a", "b"))
+
+
+def _meetings(tour: DataFrame, blocks: DataFrame) -> DataFrame:
+    """blocks(later, first, last) of each vertex's neighbourhood -> (n, b, least): for the first one of a block, b, of the vertex n, where its way meets that of the last one before."""
+    before = F.lag("last").over(W.partitionBy("later").orderBy("first"))
+    asked = blocks.select("later", "first", before.alias("before")).where("before is not null")
+    return least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), asked.select((F.col("before") + 1).alias("a"), F.col("first").alias("b"), F.col("later").alias("n")))
+
+
+def filled_sums(tree: DataFrame, epos: DataFrame) -> DataFrame:
+    """jnid, width, total: 1 + the number of later neighbours in the filled graph, and their sum, without making that graph.
+
+    As in ``widths``, each vertex i adds 1, and here i as well, at itself and its earlier neighbours, and takes as much away where their ways meet and at its parent: that adds
+    up over subtrees. A task does so for a block of the tour."""
+    ranges = rg.range_count(tree)
+    tour, _, rows = _dealt_neighbourhoods(tree, epos)
+    found = rows.mapInArrow(_meet(rg.RANGE_ROWS), "enter long, n long, total long, later long, last long")
+    change = tour.where("up is not null").select(F.col("up").alias("enter"), F.lit(-1).cast("long").alias("n"), (-F.col("jnid")).alias("total"))
+    if ranges > 1:
+        found = materialize(found, "met_sums")
+        meetings = _meetings(tour, found.where("later is not null").select("later", F.col("enter").alias("first"), "last"))
+        change = change.unionByName(meetings.select(F.col("least").alias("enter"), F.lit(-1).cast("long").alias("n"), (-F.col("n")).alias("total")))
+    change = change.unionByName(found.where("later is null").select("enter", "n", "total")).groupBy("enter").agg(F.sum("n").alias("width"), F.sum("total").alias("total"))
+    own = tour.select("jnid", "parent", "enter").join(change, "enter").select("jnid", "parent", "width", "total")
+    return rg.subtree_sums(with_last(own, tree), ["width", "total"]).select("jnid", "width", (F.col("total") - F.col("jnid")).alias("total"))
+
+
 def filled_pieces(tree: DataFrame, epos: DataFrame) -> DataFrame:
     """(jnid, laters): the edges of the filled graph, each once; a vertex's later neighbours come in any number of pieces, ordered within each. There can be
     quadratically many; a task holds _HELD of them.
@@ -542,28 +649,21 @@ def filled_pieces(tree: DataFrame, epos: DataFrame) -> DataFrame:
     and neighbours whose one before is in an earlier block, are handed on.
     """
     size, ranges = rg.RANGE_ROWS, rg.range_count(tree)
-    tour = _tour(tree)
-    of = lambda c: F.expr(f"{c} div {size}")
-    none = F.lit(None).cast("long")
-    place = tour.select(F.col("jnid").alias("lo"), "enter")
-    met = epos.where("hi is not null").select("lo", "hi").join(F.broadcast(place) if fits_broadcast(place, 16) else place, "lo").select(F.col("hi").alias("i"), "enter").unionByName(tour.select(F.col("jnid").alias("i"), "enter"))
-    met = materialize(met, "met")
-    lines = tour.select(of("enter").alias("cell"), none.alias("a"), F.col("enter").alias("b"), F.col("up").alias("c"), F.col("jnid").alias("d"))
+    tour, lines, rows = _dealt_neighbourhoods(tree, epos)
+    of, none = F.expr(f"enter div {size}"), F.lit(None).cast("long")
     schema = "kind int, at long, later long, stop long, laters array<long>"
-    asked = met.select(of("enter").alias("cell"), F.col("i").alias("a"), F.col("enter").alias("b"), none.alias("c"), none.alias("d"))
-    found = materialize(dealt(lines, asked, ranges, ["a"], 4, ("a", "b")).mapInArrow(_follow(size, True), schema), "followed")
+    found = materialize(rows.mapInArrow(_follow(size, True), schema), "followed")
     out = None
     ways = found.where(F.col("kind") == _WAY).select("later", F.col("at").alias("enter"), "stop")
     if ranges > 1:
-        blocks = found.where(F.col("kind") == _BLOCK).select("later", "at", F.lag("stop").over(W.partitionBy("later").orderBy("at")).alias("before")).where("before is not null")
-        meetings = least_of(tour.select(F.col("enter").alias("at"), F.col("up").alias("value")), blocks.select((F.col("before") + 1).alias("a"), F.col("at").alias("b"), F.col("later").alias("n")))
+        meetings = _meetings(tour, found.where(F.col("kind") == _BLOCK).select("later", F.col("at").alias("first"), F.col("stop").alias("last")))
         ways = ways.unionByName(meetings.select(F.col("n").alias("later"), F.col("b").alias("enter"), F.col("least").alias("stop")))
     while True:
         some = found.where(F.col("kind") == _PIECE).select(F.col("at").alias("jnid"), "laters")
         out = some if out is None else out.unionByName(some)
         if ranges <= 1:
             return out
-        asked = materialize(ways.select(of("enter").alias("cell"), F.col("later").alias("a"), F.col("enter").alias("b"), F.col("stop").alias("c"), none.alias("d")), "ways")
+        asked = materialize(ways.select(of.alias("cell"), F.col("later").alias("a"), F.col("enter").alias("b"), F.col("stop").alias("c"), none.alias("d")), "ways")
         if asked.isEmpty():
             return out
         found = materialize(dealt(lines, asked, ranges, ["a", "b"]).mapInArrow(_follow(size, False), schema), "followed")

@@ -355,6 +355,21 @@ def test_filled_graph_block_by_block(spark, monkeypatch, size):
         assert [(r.jnid, r.jxn, r.width) for r in tree.filled(t, epos).orderBy("jnid").collect()] == [(v, x, 1 + len(x)) for v, x in enumerate(want)]
 
 
+@pytest.mark.parametrize("size", [1 << 18, 8])
+def test_sums_of_the_filled_graph_without_it(spark, monkeypatch, size):
+    monkeypatch.setattr(rg, "RANGE_ROWS", size)
+    monkeypatch.setattr(tree, "ASKED_ROWS", 5)
+    monkeypatch.setattr(tree, "_follow", None)
+    rng = random.Random(size)
+    pairs = [(min(p), max(p)) for p in random_graph(rng, 45, 70) if p[0] != p[1]]
+    pairs += [(a, 44) for a in range(0, 44, 5)] + pairs[:9]
+    epos = spark.createDataFrame([*pairs, (5, None)], "lo long, hi long").repartition(3)
+    t = tree.build_tree(epos, spark.range(45).select(F.col("id").alias("pos"), F.col("id").alias("vid")))
+    up = {r.jnid: rg.NONE if r.parent is None else r.parent for r in t.collect()}
+    want = kernels.filled_neighbours(np.array([up[v] for v in range(45)]), [{b for a, b in pairs if a == v} for v in range(45)])
+    assert rows(tree.filled_sums(t, epos)) == [(v, 1 + len(x), sum(x)) for v, x in enumerate(want)]
+
+
 @pytest.mark.parametrize("rows_", [1, 10000])
 def test_damaged_filled_graph(spark, monkeypatch, rows_):
     """Lists stream past their parents', batch by batch; a parent of many goes to several tasks."""

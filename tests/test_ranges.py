@@ -267,6 +267,36 @@ def test_width_limit(spark, monkeypatch, size):
         assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize(("size", "rounds"), [(8, 4), (8, 0), (1 << 18, 1)])
+def test_width_limit_with_many_that_wait_for_sure(spark, monkeypatch, size, rounds):
+    """Low vertices meet a few high ones, as suppliers and parts do; whoever waits for sure isn't settled one by one, however many of them are found first."""
+    monkeypatch.setattr(rg, "RANGE_ROWS", size)
+    monkeypatch.setattr(limits, "SURE_ROUNDS", rounds)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        rng = random.Random(6)
+        pairs = [(v, 60 + rng.randrange(10)) for v in range(60) for _ in range(1 + v // 10)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(9)]
+        order = [v for v in range(70) if v not in (7, 69)]
+        near = {v: [] for v in order}
+        for x, y in pairs:
+            for a, b in {(x, y), (y, x)}:
+                if a in near:
+                    near[a].append(b)
+        seq = spark.createDataFrame(list(enumerate(order)), "pos long, vid long")
+        got = tree.limited(spark.createDataFrame(pairs, "src long, dst long"), seq, 4)
+        want = [tuple(r[c] for c in ("jnid", "vid", "parent", "pst_weight", "width")) for r in kernels.limited_tree(near, order, 4, False)]
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_who_waits_for_sure_depends_on_none_of_the_others(spark):
+    epos = spark.createDataFrame([(0, 3), (0, 4), (0, 5), (1, 3), (1, 4), (1, 5), (2, 5), (3, 4), (3, 5)], "lo long, hi long")
+    sure = limits.surely_waiting(epos, 5, 2)
+    assert np.flatnonzero(sure.has(np.arange(7))).tolist() == [0, 1, 3, 4]
+    assert sure.before(np.arange(5)).tolist() == [0, 1, 2, 2, 3]
+
+
 def test_ranges_settled_at_once():
     assert limits.levels([(0, 3), (1, 3), (2, 4)], 5) == [[0, 1, 2], [3, 4]]
     assert limits.levels([(0, 1), (0, 2)], 3) == [[0], [1], [2]]

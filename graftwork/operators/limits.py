@@ -260,12 +260,12 @@ def width_limited(epos: DataFrame, seq: DataFrame, n: int, limit: int) -> DataFr
     steps = levels([(r["a"], r["b"]) for r in pairs], ranges)
     given = _mapped(edges.unionByName(seq.select(F.col("pos").alias("lo"), none.cast("long").alias("hi"))), open_rows, "v long, other long")
     given = given if len(steps) == 1 else materialize(given, "open")
-    given = given.select("v", "other", none.cast("long").alias("root"), none.cast("array<long>").alias("members"))
+    given = given.select("v", "other", none.cast("long").alias("root"), F.array().cast("array<long>").alias("members"))  # null lists are slow to hand to Python
     tables: list[DataFrame] = []
     for some in steps:
         rows = given
         for t in tables:
-            rows = rows.unionByName(t.where(F.col("kind") == MEETS).select("v", "other", "root", "members"))
+            rows = rows.unionByName(t.where(F.col("kind") == MEETS).select("v", "other", "root", F.coalesce("members", F.array().cast("array<long>")).alias("members")))
         rows = rows.select(rg.range_of("v").alias("range"), "*").where(F.col("range").isin(some))
         slot = F.element_at(F.create_map(*(F.lit(x) for i, r in enumerate(some) for x in (r, i))), F.col("range").cast("int"))
         rows = rows.repartitionById(len(some), slot).sortWithinPartitions("v")  # so by range as well, but that tells rows of a task apart at once
